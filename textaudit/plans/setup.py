@@ -27,11 +27,12 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(doc_id, grp, model, y_true, y_pred, proba)``; truth = ``labels.toxic``, group =
-    ``documents.lang``."""
+    """``(doc_id, grp, dataset, model, y_true, y_pred, proba)``; truth = ``labels.toxic``,
+    group = ``documents.lang``, dataset = ``documents.source``."""
     t = tables(spark, sf_dir)
-    docs = t.documents.select("doc_id", "text", F.col(GROUP_COL).alias("grp"))
-    return build_predictions(docs, t.labels, MODELS, truth_col="toxic", keep=("grp",), threshold=THRESHOLD)
+    docs = t.documents.select("doc_id", "text", F.col(GROUP_COL).alias("grp"), F.col("source").alias("dataset"))
+    return build_predictions(docs, t.labels, MODELS, truth_col="toxic", keep=("grp", "dataset"),
+                             threshold=THRESHOLD)
 
 
 # --- SQL fragments ----------------------------------------------------------------------
@@ -53,11 +54,11 @@ def sql_predictions_ctes() -> str:
     """CTEs ``tok``, ``wide``, ``preds`` mirroring :func:`predictions`."""
     wide_cols = ", ".join(f"{sql_proba(m)} AS {m.name}" for m in MODELS)
     longs = " UNION ALL ".join(
-        f"SELECT doc_id, grp, '{m.name}' AS model, {m.name} AS proba FROM wide" for m in MODELS)
+        f"SELECT doc_id, grp, dataset, '{m.name}' AS model, {m.name} AS proba FROM wide" for m in MODELS)
     return f"""
-tok AS (SELECT doc_id, {GROUP_COL} AS grp, regexp_extract_all(lower(coalesce(text, '')), {WORD_SQL}) AS t FROM documents),
-wide AS (SELECT doc_id, grp, {wide_cols} FROM tok),
+tok AS (SELECT doc_id, {GROUP_COL} AS grp, source AS dataset, regexp_extract_all(lower(coalesce(text, '')), {WORD_SQL}) AS t FROM documents),
+wide AS (SELECT doc_id, grp, dataset, {wide_cols} FROM tok),
 longp AS ({longs}),
-preds AS (SELECT p.doc_id, p.grp, p.model, CAST(l.toxic AS INTEGER) AS y_true,
+preds AS (SELECT p.doc_id, p.grp, p.dataset, p.model, CAST(l.toxic AS INTEGER) AS y_true,
                  CAST(p.proba >= {THRESHOLD} AS INTEGER) AS y_pred, p.proba
           FROM longp p JOIN labels l ON p.doc_id = l.doc_id)"""
