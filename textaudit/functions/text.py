@@ -154,3 +154,11 @@ def fill_template(template: Column, fields: dict) -> Column:
 def truncate_tokens(tokens: Column, max_len: int) -> Column:
     """Keep the first ``max_len`` tokens."""
     return F.slice(tokens, 1, max_len)
+
+
+def explode_rows(arr: Column, pos: bool = False):
+    """Explode an array computed from the row without the optimizer's inferred
+    ``size(arr) > 0`` pre-filter, which would evaluate the whole array expression a second
+    time below the generator. Empty arrays yield one NULL row; drop it with
+    ``where(<element>.isNotNull())``."""
+    return F.posexplode_outer(arr) if pos else F.explode_outer(arr)

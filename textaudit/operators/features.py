@@ -52,7 +52,7 @@ def tfidf_terms(docs: DataFrame, key: str = "doc_id", text: str = "text", stop_w
     t = docs.select(key, toks.alias("_t"))
     grams = F.concat(F.col("_t"), F.transform(F.slice(F.col("_t"), 1, F.greatest(F.size("_t") - 1, F.lit(0))),
                                                lambda x, i: F.concat(x, F.lit(" "), F.col("_t")[i + 1])))
-    tf = (t.select(key, F.explode(grams).alias("term"))
+    tf = (t.select(key, TX.explode_rows(grams).alias("term")).where(F.col("term").isNotNull())
           .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
     n_docs = docs.count()
     stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf_total"))
@@ -82,7 +82,7 @@ def mean_pool(docs: DataFrame, vectors: DataFrame, key: str = "doc_id", text: st
     one row per distinct word of a document; the vector table is broadcast only below a
     checked row count, otherwise joined by shuffle (AQE splits a hot word's partition)."""
     wid = word_id if word_id is not None else (lambda c: c)
-    counts = (docs.select(key, F.explode(TX.word_tokens(text)).alias("w"))
+    counts = (docs.select(key, TX.explode_rows(TX.word_tokens(text)).alias("w")).where(F.col("w").isNotNull())
               .select(key, wid(F.col("w")).alias(vec_key))
               .groupBy(key, vec_key).agg(F.count(F.lit(1)).alias("c")))
     vec = bounded_broadcast(vectors.select(vec_key, vec_col), max_broadcast_rows)
