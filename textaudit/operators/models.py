@@ -114,22 +114,23 @@ def with_balanced_weights(df: DataFrame, label: str = "label") -> DataFrame:
     return df.join(F.broadcast(w.select(F.col("cls").alias(label), F.col("weight").alias("weight"))), label)
 
 
-def train_logreg(train: DataFrame, max_iter: int = 1000, label: str = "label", stop_words=None):
+def train_logreg(train: DataFrame, max_iter: int = 1000, label: str = "label", stop_words=None, tol: float = 1e-4):
     """Balanced logistic regression, C = 1 (regParam = 1 / n, no standardisation)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     n = train.count()
-    lr = LogisticRegression(featuresCol="features", labelCol=label, weightCol="weight", maxIter=max_iter,
+    lr = LogisticRegression(featuresCol="features", labelCol=label, weightCol="weight", maxIter=max_iter, tol=tol,
                             regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False)
     feats = text_features_pipeline(stop_words=stop_words)
     return Pipeline(stages=[*feats.getStages(), lr]).fit(with_balanced_weights(train, label))
 
 
-def train_svm(train: DataFrame, max_iter: int = 5000, label: str = "label", features: str = "features"):
+def train_svm(train: DataFrame, max_iter: int = 5000, label: str = "label", features: str = "features",
+              tol: float = 1e-4):
     """Balanced linear SVM on given feature vectors (hinge loss)."""
     from pyspark.ml.classification import LinearSVC
     n = train.count()
-    svm = LinearSVC(featuresCol=features, labelCol=label, weightCol="weight", maxIter=max_iter,
+    svm = LinearSVC(featuresCol=features, labelCol=label, weightCol="weight", maxIter=max_iter, tol=tol,
                     regParam=1.0 / max(n, 1), standardization=False)
     return svm.fit(with_balanced_weights(train, label))
 
