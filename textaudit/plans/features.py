@@ -11,6 +11,7 @@ from ..operators import features as FE
 from ..operators import metrics as M
 from ..operators import models as MD
 from ..operators import splits as SP
+from ..session import cut_lineage
 from . import setup as U
 from . import textsql as Q
 from .registry import query
@@ -80,10 +81,14 @@ def label_encoding(spark, sf):
 
 
 def _labelled(spark, sf):
+    """Labelled documents with a stratified ``split``. The split is computed on the small
+    (doc_id, label) table, then joined to the texts once; the result is checkpointed into
+    the shared checkpoint folder so the iterative fits below do not recompute it."""
     t = U.tables(spark, sf)
-    d = t.documents.select("doc_id", "text").join(
-        t.labels.select("doc_id", F.col("toxic").cast("int").alias("label")), "doc_id")
-    return SP.train_val_test(d, "doc_id", "label", 0.1, 0.1, U.SEED)
+    keys = t.labels.select("doc_id", F.col("toxic").cast("int").alias("label"))
+    splits = SP.train_val_test(keys, "doc_id", "label", 0.1, 0.1, U.SEED)
+    d = t.documents.select("doc_id", "text").join(splits, "doc_id")
+    return cut_lineage(d)
 
 
 @query("logreg_report")
@@ -106,7 +111,7 @@ def svm_report(spark, sf):
                           word_id=lambda w: FE.word_vector_id(w, VOCAB_IDS))
     vec = pooled.groupBy("doc_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("dim", "value"))), lambda x: x["value"]).alias("v"))
-    data = s.join(vec, "doc_id").withColumn("features", array_to_vector("v"))
+    data = cut_lineage(s.join(vec, "doc_id").withColumn("features", array_to_vector("v")))
     model = MD.train_svm(data.where(F.col("split") == "train"))
     preds = MD.apply_classifier(model, data.where(F.col("split") == "test"), model_name="svm")
     return M.classification_report(preds)

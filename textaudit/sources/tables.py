@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+# Tables whose rows carry whole texts: per-row CPU work (tokenising, rewriting) is large
+# compared to their bytes, so a scan with fewer splits than cores is spread out.
+TEXT_TABLES = {"documents", "conversations", "benchmark", "pages"}
 
 
 def read_table(spark: SparkSession, base_dir: str, name: str) -> DataFrame:
@@ -13,6 +16,16 @@ def read_table(spark: SparkSession, base_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan over the cluster's cores when it has fewer input splits than
+    cores (a small file is one row group, hence one task). Large inputs already have many
+    more splits than cores and are returned untouched, so no shuffle is added at scale."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 class Tables:
     """Lazy accessor: ``Tables(spark, dir).documents``."""
 
@@ -22,5 +35,6 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
-            return read_table(self.spark, self.base_dir, name)
+            df = read_table(self.spark, self.base_dir, name)
+            return spread(df) if name in TEXT_TABLES else df
         raise AttributeError(name)
