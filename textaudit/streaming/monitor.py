@@ -109,12 +109,15 @@ def stream_shadow_divergence(stream: DataFrame, primary: ValueScorer, shadow: Va
                              watermark: str = "1 day") -> DataFrame:
     """Streaming form: daily event-time windows, watermark for late events; emits a day's
     row once the watermark passes the end of the day (append mode)."""
-    s = stream.withWatermark(ts, watermark).where(hash_sample(key, percent)).select(
-        F.col(ts), (primary.proba(F.col("value")) >= threshold).cast("int").alias("a"),
+    # watermarks need an instant-typed event time; wall-clock (NTZ) times are read in the
+    # session time zone and the window start is turned back into wall-clock time
+    ev = stream.withColumn("_et", F.col(ts).cast("timestamp"))
+    s = ev.withWatermark("_et", watermark).where(hash_sample(key, percent)).select(
+        F.col("_et"), (primary.proba(F.col("value")) >= threshold).cast("int").alias("a"),
         (shadow.proba(F.col("value")) >= threshold).cast("int").alias("b"))
-    g = s.groupBy(F.window(F.col(ts), "1 day").alias("w")).agg(
+    g = s.groupBy(F.window(F.col("_et"), "1 day").alias("w")).agg(
         F.count(F.lit(1)).alias("n_sampled"), F.count_if(F.col("a") != F.col("b")).cast("long").alias("n_disagree"))
-    return g.select(F.col("w.start").alias("day"), "n_sampled", "n_disagree",
+    return g.select(F.col("w.start").cast("timestamp_ntz").alias("day"), "n_sampled", "n_disagree",
                     F.round(F.col("n_disagree") / F.col("n_sampled"), DIGITS).alias("divergence_rate"))
 
 
