@@ -80,17 +80,23 @@ def mean_pool(docs: DataFrame, vectors: DataFrame, key: str = "doc_id", text: st
 
     Words are counted per (doc, word id) first, so the join with the vector table carries
     one row per distinct word of a document; the vector table is broadcast only below a
-    checked row count, otherwise joined by shuffle (AQE splits a hot word's partition)."""
+    checked row count, otherwise joined by shuffle (AQE splits a hot word's partition).
+    The mean is a weighted vector aggregate (weights = word counts)."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
     wid = word_id if word_id is not None else (lambda c: c)
     counts = (docs.select(key, TX.explode_rows(TX.word_tokens(text)).alias("w")).where(F.col("w").isNotNull())
               .select(key, wid(F.col("w")).alias(vec_key))
-              .groupBy(key, vec_key).agg(F.count(F.lit(1)).alias("c")))
-    vec = bounded_broadcast(vectors.select(vec_key, vec_col), max_broadcast_rows)
-    known = counts.join(vec, vec_key)
-    per_dim = (known.select(key, "c", F.posexplode(vec_col).alias("dim", "v"))
-               .groupBy(key, "dim").agg((F.sum(F.col("c") * F.col("v").cast("double")) / F.sum("c")).alias("value")))
+              .groupBy(key, vec_key).agg(F.count(F.lit(1)).cast("double").alias("c")))
+    vec = bounded_broadcast(vectors.select(vec_key, array_to_vector(vec_col).alias("_v")), max_broadcast_rows)
+    # weighted vector mean per document: a vector aggregate, so rows stay one per
+    # (doc, known word) until the final per-dimension explode
+    pooled = (counts.join(vec, vec_key).groupBy(key)
+              .agg(Summarizer.mean(F.col("_v"), F.col("c")).alias("_m"))
+              .select(key, vector_to_array("_m").alias("_m")))
     if dim is None:
         dim = vectors.select(F.size(vec_col).alias("d")).first()["d"]
-    grid = docs.select(key, F.explode(F.sequence(F.lit(0), F.lit(dim - 1))).alias("dim"))
-    return (grid.join(per_dim, [key, "dim"], "left")
-            .select(key, "dim", F.round(F.coalesce(F.col("value"), F.lit(0.0)), DIGITS).alias("value")))
+    zeros = F.array_repeat(F.lit(0.0), dim)
+    full = docs.select(key).join(pooled, key, "left").select(key, F.coalesce(F.col("_m"), zeros).alias("_m"))
+    return full.select(key, F.posexplode("_m").alias("dim", "value")).select(
+        key, "dim", F.round(F.col("value"), DIGITS).alias("value"))

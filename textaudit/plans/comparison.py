@@ -89,3 +89,28 @@ def best_run(spark, sf):
 def cross_dataset(spark, sf):
     p = U.predictions(spark, sf).where(F.col("model") == U.REFERENCE)
     return M.report_wide(p, by=("dataset",))
+
+
+@query("top_models", EV._with(_MM + "\nSELECT model, f1, accuracy FROM mm ORDER BY f1 DESC, model LIMIT 2"))
+def top_models(spark, sf):
+    """Preview of the two best models by F1 (a top-k report: the limit is the feature)."""
+    mm = M.model_metrics(U.predictions(spark, sf))
+    return mm.orderBy(F.col("f1").desc(), F.col("model")).limit(2).select("model", "f1", "accuracy")
+
+
+@query("cross_dataset_all_models", EV._with(
+    EV._PER_CLASS_SQL.replace("model, cls", "model, dataset, cls").replace("GROUP BY model)", "GROUP BY model, dataset)")
+    .replace("SELECT model, y_true AS cls", "SELECT model, dataset, y_true AS cls")
+    .replace("SELECT model, y_pred AS cls", "SELECT model, dataset, y_pred AS cls")
+    .replace("av AS (SELECT model,", "av AS (SELECT model, dataset,")
+    + """
+, pw AS (SELECT model, dataset,
+       max(CASE WHEN cls = 1 THEN round(pcm.f1, 6) END) AS f1_1,
+       CAST(coalesce(max(CASE WHEN cls = 1 THEN support END), 0) AS BIGINT) AS support_1 FROM pcm GROUP BY model, dataset)
+SELECT av.model, av.dataset, av.accuracy, pw.f1_1, pw.support_1, av.macro_f1, av.weighted_f1, av.total_support
+FROM av JOIN pw ON av.model = pw.model AND av.dataset = pw.dataset"""))
+def cross_dataset_all_models(spark, sf):
+    """Every model on every dataset (models x datasets as one grouped table)."""
+    p = U.predictions(spark, sf)
+    w = M.report_wide(p, by=("model", "dataset"))
+    return w.select("model", "dataset", "accuracy", "f1_1", "support_1", "macro_f1", "weighted_f1", "total_support")

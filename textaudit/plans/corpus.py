@@ -155,3 +155,44 @@ FROM documents""")
 def display_names(spark, sf):
     d = U.tables(spark, sf).documents.select("source").distinct()
     return d.select("source", TX.sanitize_name("source").alias("sanitized"), TX.display_name("source").alias("display"))
+
+
+@query("padded_corpus", f"""
+WITH u AS (SELECT 'documents' AS source, d.doc_id, d.text, CAST(l.toxic AS DOUBLE) AS label_binary,
+                  CAST(l.quality AS DOUBLE) AS label
+           FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+           UNION ALL SELECT 'benchmark', item_id, text, NULL, NULL FROM benchmark)
+SELECT source, doc_id, CAST(NULL AS VARCHAR) AS hard_text, CAST(NULL AS VARCHAR) AS profession,
+       CAST(NULL AS VARCHAR) AS gender, CAST(NULL AS VARCHAR) AS profession_name,
+       {STRIP_SQL.format(c="coalesce(text, '')")} AS text, CAST(NULL AS DOUBLE) AS bias_score,
+       CAST(coalesce(label_binary, label) AS INTEGER) AS label_binary, CAST(NULL AS INTEGER) AS label_multiclass,
+       CAST(coalesce(label, 0) AS INTEGER) AS label FROM u""")
+def padded_corpus(spark, sf):
+    """Canonical corpus with every metadata column (absent ones as typed NULLs), the binary
+    label filled from the canonical one where missing, and the minimal typed projection."""
+    from .. import lexicons as L
+    t = U.tables(spark, sf)
+    docs = t.documents.select("doc_id", "text").join(
+        t.labels.select("doc_id", F.col("toxic").cast("double").alias("label_binary"),
+                        F.col("quality").cast("double").alias("label")), "doc_id", "left")
+    bench = t.benchmark.select(F.col("item_id").alias("doc_id"), "text")
+    u = SP.union_sources({"documents": docs, "benchmark": bench})
+    types = {"bias_score": "double", "label_binary": "double", "label_multiclass": "int"}
+    u = SC.pad_columns(u, L.CORPUS_METADATA, types)
+    u = SC.fill_from(u, "label_binary", "label")
+    u = u.withColumn("label", SC.coerce_label(F.col("label")))
+    return u.select("source", "doc_id", *[F.col(c) if c != "text" else SC.coerce_text("text").alias("text")
+                                          for c in L.CORPUS_METADATA], "label")
+
+
+@query("minimal_splits")
+def minimal_splits(spark, sf):
+    """Train / validation rows in the minimal ``(doc_id, text, label)`` projection; the test
+    split keeps every column (the split sink layout)."""
+    t = U.tables(spark, sf)
+    keys = t.labels.select("doc_id", F.col("toxic").cast("int").alias("label"))
+    s = SP.train_val_test(keys, "doc_id", "label", 0.1, 0.1, U.SEED)
+    d = t.documents.join(s, "doc_id")
+    minimal = SC.minimal_projection(d.where(F.col("split") != "test")).withColumn(
+        "split", F.lit(None).cast("string"))
+    return minimal.unionByName(d.where(F.col("split") == "test"), allowMissingColumns=True)

@@ -184,3 +184,35 @@ SELECT doc_id, male_words, female_words,
        CASE WHEN male_words > female_words THEN 'male' WHEN female_words > male_words THEN 'female' END AS grp FROM c""")
 def gender_group(spark, sf):
     return FA.gender_group(_docs(spark, sf))
+
+
+@query("conversation_gendered_turns", f"""
+WITH t AS (SELECT role, len(list_filter(regexp_extract_all(lower(coalesce(text, '')), {Q.WORD}),
+                                        lambda w: w IN {Q.in_list(sorted(SWAP))})) AS n FROM conversations)
+SELECT role, CAST(count(*) AS BIGINT) AS turns, CAST(count_if(n > 0) AS BIGINT) AS gendered_turns,
+       CAST(sum(n) AS BIGINT) AS gendered_words FROM t GROUP BY role""")
+def conversation_gendered_turns(spark, sf):
+    """Second corpus: gendered words per conversation role."""
+    c = AU.gendered_filter(U.tables(spark, sf).conversations.select("role", "text"))
+    return c.groupBy("role").agg(F.count(F.lit(1)).alias("turns"),
+                                 F.count_if("has_gendered").cast("long").alias("gendered_turns"),
+                                 F.sum("n_gendered").cast("long").alias("gendered_words"))
+
+
+@query("conversation_cda", f"""
+WITH d AS (SELECT conv_id, turn, role, {Q.strip("coalesce(text, '')")} AS text FROM conversations),
+t AS (SELECT *, regexp_extract_all(text, {Q.LOSSLESS}) AS toks FROM d),
+s AS (SELECT conv_id, turn, role, text, array_to_string({Q.swap_tokens('toks', SWAP)}, '') AS swapped FROM t)
+SELECT conv_id, turn, role, 'original' AS variant, text FROM s
+UNION ALL SELECT conv_id, turn, role, 'swapped', swapped FROM s WHERE swapped <> text""")
+def conversation_cda(spark, sf):
+    """Counterfactual augmentation of conversation turns (key: conv_id, turn)."""
+    c = U.tables(spark, sf).conversations.select("conv_id", "turn", "role", "text")
+    return AU.cda_augment(c).select("conv_id", "turn", "role", "variant", "text")
+
+
+@query("benchmark_attribution", _kw_sql("text", QUERY_WEIGHTS, L.KEYWORD_TOP_K, src="(SELECT item_id AS doc_id, text FROM benchmark)"))
+def benchmark_attribution(spark, sf):
+    """Keyword attribution of the benchmark items (a second corpus)."""
+    b = U.tables(spark, sf).benchmark.select(F.col("item_id").alias("doc_id"), "text")
+    return AT.keyword_attribution(b, weights=QUERY_WEIGHTS)
