@@ -37,12 +37,13 @@ def keyword_attribution(df: DataFrame, key: str = "doc_id", text: str = "text",
 
 def keyword_attribution_rows(df: DataFrame, weights: DataFrame, key: str = "doc_id", text: str = "text",
                              k: int = 3) -> DataFrame:
-    """Row form: explode word positions, join a weight table, ``row_number`` top-k.
-
-    The weight table is a lexicon (small by construction, it is an argument)."""
+    """Row form: explode word positions, join a weight table, ``row_number`` top-k (Spark
+    applies the limit per partition before the shuffle). The weight table is broadcast
+    only below a checked row count."""
     pos = df.select(key, TX.explode_rows(TX.word_tokens(text), pos=True).alias("pos", "word")).where(
         F.col("word").isNotNull())
-    j = pos.join(F.broadcast(weights.select("word", F.col("weight").alias("score"))), "word")
+    from ..session import bounded_broadcast
+    j = pos.join(bounded_broadcast(weights.select("word", F.col("weight").alias("score")), 1_000_000), "word")
     w = Window.partitionBy(key).orderBy(F.col("score").desc(), F.col("pos"))
     return (j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select(key, "rank", "word", "score"))

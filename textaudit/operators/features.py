@@ -72,11 +72,11 @@ def word_vector_id(word, n_ids: int):
     return F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(n_ids))
 
 
-def mean_pool(docs: DataFrame, vectors: DataFrame, key: str = "doc_id", text: str = "text",
-              word_id=None, vec_key: str = "vec_id", vec_col: str = "embedding", dim: int | None = None,
-              max_broadcast_rows: int = 2_000_000) -> DataFrame:
-    """Mean of the vectors of a document's known words, as ``(key, dim, value)`` rows; a
-    document with no known word gets zeros.
+def mean_pool_vectors(docs: DataFrame, vectors: DataFrame, key: str = "doc_id", text: str = "text",
+                      word_id=None, vec_key: str = "vec_id", vec_col: str = "embedding", dim: int | None = None,
+                      max_broadcast_rows: int = 2_000_000) -> DataFrame:
+    """``(key, vec ARRAY<DOUBLE>)``: mean of the vectors of a document's known words (each
+    occurrence counts); zeros for a document without a known word.
 
     Words are counted per (doc, word id) first, so the join with the vector table carries
     one row per distinct word of a document; the vector table is broadcast only below a
@@ -89,14 +89,19 @@ def mean_pool(docs: DataFrame, vectors: DataFrame, key: str = "doc_id", text: st
               .select(key, wid(F.col("w")).alias(vec_key))
               .groupBy(key, vec_key).agg(F.count(F.lit(1)).cast("double").alias("c")))
     vec = bounded_broadcast(vectors.select(vec_key, array_to_vector(vec_col).alias("_v")), max_broadcast_rows)
-    # weighted vector mean per document: a vector aggregate, so rows stay one per
-    # (doc, known word) until the final per-dimension explode
     pooled = (counts.join(vec, vec_key).groupBy(key)
               .agg(Summarizer.mean(F.col("_v"), F.col("c")).alias("_m"))
               .select(key, vector_to_array("_m").alias("_m")))
     if dim is None:
         dim = vectors.select(F.size(vec_col).alias("d")).first()["d"]
     zeros = F.array_repeat(F.lit(0.0), dim)
-    full = docs.select(key).join(pooled, key, "left").select(key, F.coalesce(F.col("_m"), zeros).alias("_m"))
-    return full.select(key, F.posexplode("_m").alias("dim", "value")).select(
+    return docs.select(key).join(pooled, key, "left").select(key, F.coalesce(F.col("_m"), zeros).alias("vec"))
+
+
+def mean_pool(docs: DataFrame, vectors: DataFrame, key: str = "doc_id", text: str = "text",
+              word_id=None, vec_key: str = "vec_id", vec_col: str = "embedding", dim: int | None = None,
+              max_broadcast_rows: int = 2_000_000) -> DataFrame:
+    """Mean-pooled document vectors as ``(key, dim, value)`` rows (see ``mean_pool_vectors``)."""
+    v = mean_pool_vectors(docs, vectors, key, text, word_id, vec_key, vec_col, dim, max_broadcast_rows)
+    return v.select(key, F.posexplode("vec").alias("dim", "value")).select(
         key, "dim", F.round(F.col("value"), DIGITS).alias("value"))

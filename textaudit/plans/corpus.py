@@ -20,7 +20,7 @@ def corpus(spark, sf):
     plus benchmark items (no labels), text stripped, labels coerced (missing -> 0)."""
     t = U.tables(spark, sf)
     docs = t.documents.select("doc_id", "text").join(
-        t.labels.select("doc_id", F.col("toxic").cast("string").alias("raw_label")), "doc_id", "left")
+        U.label_side(t.labels.select("doc_id", F.col("toxic").cast("string").alias("raw_label"))), "doc_id", "left")
     bench = t.benchmark.select(F.col("item_id").alias("doc_id"), "text")
     u = SP.union_sources({"documents": docs, "benchmark": bench})
     lab = SC.coerce_label("raw_label", fill=None)
@@ -173,8 +173,8 @@ def padded_corpus(spark, sf):
     from .. import lexicons as L
     t = U.tables(spark, sf)
     docs = t.documents.select("doc_id", "text").join(
-        t.labels.select("doc_id", F.col("toxic").cast("double").alias("label_binary"),
-                        F.col("quality").cast("double").alias("label")), "doc_id", "left")
+        U.label_side(t.labels.select("doc_id", F.col("toxic").cast("double").alias("label_binary"),
+                                     F.col("quality").cast("double").alias("label"))), "doc_id", "left")
     bench = t.benchmark.select(F.col("item_id").alias("doc_id"), "text")
     u = SP.union_sources({"documents": docs, "benchmark": bench})
     types = {"bias_score": "double", "label_binary": "double", "label_multiclass": "int"}

@@ -107,11 +107,9 @@ def svm_report(spark, sf):
     from pyspark.ml.functions import array_to_vector
     t = U.tables(spark, sf)
     s = _labelled(spark, sf)
-    pooled = FE.mean_pool(s.select("doc_id", "text"), t.embeddings,
-                          word_id=lambda w: FE.word_vector_id(w, VOCAB_IDS))
-    vec = pooled.groupBy("doc_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("dim", "value"))), lambda x: x["value"]).alias("v"))
-    data = cut_lineage(s.join(vec, "doc_id").withColumn("features", array_to_vector("v")))
+    vec = FE.mean_pool_vectors(s.select("doc_id", "text"), t.embeddings,
+                               word_id=lambda w: FE.word_vector_id(w, VOCAB_IDS))
+    data = cut_lineage(s.join(vec, "doc_id").withColumn("features", array_to_vector("vec")))
     model = MD.train_svm(data.where(F.col("split") == "train"))
     preds = MD.apply_classifier(model, data.where(F.col("split") == "test"), model_name="svm")
     return M.classification_report(preds)
@@ -142,8 +140,11 @@ def linear_contributions(docs, model, key: str = "doc_id", k: int = 10):
     tf = (docs.select(key, TX.explode_rows(toks).alias("term")).where(F.col("term").isNotNull())
           .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
     n = docs.count()
-    means = tf.groupBy("term").agg((F.sum("tf") / F.lit(float(max(n, 1)))).alias("mean_tf"))
-    c = (tf.join(F.broadcast(terms), "term").join(means, "term")
+    # restricted to vocabulary terms first, so the per-term means are bounded by the
+    # vocabulary size and broadcast (no shuffle join on a hot term)
+    in_vocab = tf.join(F.broadcast(terms), "term")
+    means = in_vocab.groupBy("term").agg((F.sum("tf") / F.lit(float(max(n, 1)))).alias("mean_tf"))
+    c = (in_vocab.join(F.broadcast(means), "term")
          .select(key, "term", F.round(F.col("coef") * F.col("idf") * (F.col("tf") - F.col("mean_tf")), 6).alias("score")))
     w = Window.partitionBy(key).orderBy(F.abs(F.col("score")).desc(), F.col("term"))
     return c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(

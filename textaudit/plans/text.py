@@ -48,7 +48,8 @@ UNION ALL SELECT doc_id, label, 'swapped', swapped FROM s WHERE swapped <> text"
 def cda_augment(spark, sf):
     t = U.tables(spark, sf)
     d = t.documents.select("doc_id", "text").join(
-        t.labels.select("doc_id", F.col("toxic").cast("int").alias("label")), "doc_id", "left").fillna(0, ["label"])
+        U.label_side(t.labels.select("doc_id", F.col("toxic").cast("int").alias("label"))), "doc_id",
+        "left").fillna(0, ["label"])
     return AU.cda_augment(d).select("doc_id", "label", "variant", "text")
 
 
