@@ -143,3 +143,25 @@ def test_tfidf_small(spark):
     assert terms == {"apple": 2, "banana": 2, "cherry": 2}
     norms = w.groupBy("doc_id").agg(F.sum(F.col("weight") * F.col("weight")).alias("s")).collect()
     assert all(abs(r["s"] - 1.0) < 1e-5 for r in norms)
+
+
+def test_subword_array_form_equals_rows(spark):
+    from textaudit.plans import text as PT
+    d = docs(spark, ["Unbiased text, xx yyyyyyy zzzzz a bb", "", "##", "internationalisation of words"])
+    rows = {(r["doc_id"], r["rank"], r["word"], r["score"])
+            for r in AT.filter_attributions(AT.merge_subwords(PT.pieces(d))).collect()}
+    a = AT.merge_subwords_arrays(PT.piece_arrays(d))
+    top = AT.top_attributions_array(F.col("words"))
+    arr = {(r["doc_id"], i + 1, w["word"], w["score"]) for r in a.select("doc_id", top.alias("t")).collect()
+           for i, w in enumerate(r["t"])}
+    assert rows == arr and len(rows) > 0
+
+
+def test_subword_array_fixture(spark):
+    df = spark.createDataFrame([(1, ["un", "##bias", "##ed", "text"], [.3, .6, .0, .2]),
+                                (2, ["##x", "##y", "ok"], [.5, .1, .4])],
+                               "doc_id LONG, pieces ARRAY<STRING>, scores ARRAY<DOUBLE>")
+    got = {r["doc_id"]: [(w["word"], w["score"]) for w in r["m"]]
+           for r in AT.merge_subwords_arrays(df).select("doc_id", F.col("words").alias("m")).collect()}
+    assert got[1] == [("unbiased", 0.3), ("text", 0.2)]
+    assert got[2] == [("xy", 0.3), ("ok", 0.4)]

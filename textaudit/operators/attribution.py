@@ -146,3 +146,48 @@ def attribution_cosine(a: DataFrame, b: DataFrame, key: str = "doc_id") -> DataF
     return g.select(key, F.round(F.when((F.col("na") > 0) & (F.col("nb") > 0),
                                         F.col("dot") / (F.col("na") * F.col("nb")))
                                  , DIGITS).alias("cosine"))
+
+
+def merge_subwords_arrays(df: DataFrame, pieces: str = "pieces", scores: str = "scores",
+                          out: str = "words") -> DataFrame:
+    """Array form of :func:`merge_subwords` for per-document piece arrays: adds ``out`` as
+    ``array<struct<word_pos, word, score>>`` computed inside the row (no shuffle).
+
+    Word starts are the positions of pieces without ``##`` (plus position 0 when the array
+    starts with a continuation piece); each word is the slice up to the next start, so the
+    merge is linear in the number of pieces. The start positions are materialised as a
+    column first, so the per-word lambda reads them instead of recomputing them."""
+    pc, sc = F.col(pieces), F.col(scores)
+    marks = F.filter(F.transform(pc, lambda p, i: F.when(p.startswith("##"), F.lit(-1)).otherwise(i)),
+                     lambda x: x >= 0)
+    lead = (F.size(pc) > 0) & ((F.size(marks) == 0) | (F.try_element_at(marks, F.lit(1)) > 0))
+    s1 = df.select("*", F.when(lead, F.concat(F.array(F.lit(0)), marks)).otherwise(marks).alias("_sw_starts"))
+    starts = F.col("_sw_starts")
+
+    def word(s, k):
+        end = F.coalesce(F.try_element_at(starts, k + 2), F.size(pc))
+        n = end - s
+        part = F.slice(pc, s + 1, n)
+        body = F.transform(part, lambda p, j: F.when((j == 0) & ~p.startswith("##"), p)
+                           .otherwise(F.substring(p, 3, 1 << 30)))
+        total = F.aggregate(F.slice(sc, s + 1, n), F.lit(0.0), lambda a, x: a + x)
+        return F.struct(k.alias("word_pos"), F.array_join(body, "").alias("raw"),
+                        F.round(total / n, DIGITS).alias("score"))
+
+    s2 = s1.select("*", F.filter(F.transform(starts, word), lambda w: w["raw"] != "").alias("_sw_words"))
+    clean = F.transform("_sw_words", lambda w: F.struct(
+        w["word_pos"].alias("word_pos"), F.trim(F.replace(w["raw"], F.lit("##"), F.lit(""))).alias("word"),
+        w["score"].alias("score")))
+    s3 = s2.select("*", clean.alias(out))
+    return s3.select(*[c for c in s3.columns if not c.startswith("_sw_")])
+
+
+def top_attributions_array(words: Column, k: int = L.ATTRIBUTION_TOP_K) -> Column:
+    """Array form of :func:`filter_attributions`: drop blanks, special tokens and
+    one-character words, keep the k largest |score| (text order on ties)."""
+    specials = TX.literal_array(L.SPECIAL_TOKENS)
+    kept = F.filter(words, lambda w: (F.trim(w["word"]) != "") & ~F.array_contains(specials, w["word"])
+                    & (F.length(w["word"]) > 1))
+    keyed = F.transform(kept, lambda w: F.struct((-F.abs(w["score"])).alias("k"), w["word_pos"].alias("pos"),
+                                                 w["word"].alias("word"), w["score"].alias("score")))
+    return F.slice(F.array_sort(keyed), 1, k)

@@ -59,8 +59,8 @@ def tfidf_terms(docs: DataFrame, key: str = "doc_id", text: str = "text", stop_w
     vocab = (stats.where(F.col("df") >= min_df).orderBy(F.col("tf_total").desc(), F.col("term")).limit(max_terms)
              .withColumn("idf", F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0))
     raw = tf.join(F.broadcast(vocab.select("term", "idf")), "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nrm"))
-    weights = raw.join(norm, key).select(key, "term", F.round(F.col("w") / F.col("nrm"), DIGITS).alias("weight"))
+    nrm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    weights = raw.select(key, "term", F.round(F.col("w") / nrm, DIGITS).alias("weight"))
     vocab_out = vocab.select("term", F.col("df").cast("long").alias("df"), F.col("tf_total").cast("long").alias("tf_total"),
                              F.round("idf", DIGITS).alias("idf"))
     return vocab_out, weights

@@ -83,19 +83,30 @@ def attribution_topk(spark, sf):
     return AT.keyword_attribution_rows(_docs(spark, sf), w, k=L.ATTRIBUTION_WORDS_FOR_COMPONENTS)
 
 
-def pieces(docs):
-    """Stand-in subword pieces: each word token is cut into chunks of three characters;
-    continuation chunks carry ``##``. Piece score: ((31 p + 17 j) mod 19 - 9) / 10 for the
-    j-th chunk of the p-th word."""
+def _piece_structs():
+    """Stand-in subword pieces of each document: every word token is cut into chunks of
+    three characters; continuation chunks carry ``##``. Piece score:
+    ((31 p + 17 j) mod 19 - 9) / 10 for the j-th chunk of the p-th word."""
     toks = TX.word_tokens("text")
-    chunks = F.flatten(F.transform(toks, lambda t, p: F.transform(
+    return F.flatten(F.transform(toks, lambda t, p: F.transform(
         F.sequence(F.lit(0), F.ceil(F.length(t) / PIECE_LEN).cast("int") - 1),
         lambda j: F.struct(
             F.when(j == 0, F.substring(t, 1, PIECE_LEN))
             .otherwise(F.concat(F.lit("##"), t.substr(j * PIECE_LEN + 1, F.lit(PIECE_LEN)))).alias("piece"),
             ((F.pmod(p * 31 + j * 17, F.lit(19)) - 9) / 10.0).alias("score")))))
-    return docs.select("doc_id", TX.explode_rows(chunks, pos=True).alias("pos", "s")).where(F.col("s").isNotNull()).select(
-        "doc_id", "pos", F.col("s.piece").alias("piece"), F.col("s.score").alias("score"))
+
+
+def pieces(docs):
+    """The pieces as a ``(doc_id, pos, piece, score)`` table."""
+    return docs.select("doc_id", TX.explode_rows(_piece_structs(), pos=True).alias("pos", "s")).where(
+        F.col("s").isNotNull()).select("doc_id", "pos", F.col("s.piece").alias("piece"), F.col("s.score").alias("score"))
+
+
+def piece_arrays(docs):
+    """The pieces as per-document arrays ``(doc_id, pieces, scores)``."""
+    a = docs.select("doc_id", _piece_structs().alias("_p"))
+    return a.select("doc_id", F.transform("_p", lambda s: s["piece"]).alias("pieces"),
+                    F.transform("_p", lambda s: s["score"]).alias("scores"))
 
 
 @query("subword_merge", f"""
@@ -108,8 +119,17 @@ f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY abs(score) DESC,
       WHERE length(word) > 1 AND word NOT IN {Q.in_list(L.SPECIAL_TOKENS)})
 SELECT doc_id, rank, word, score FROM f WHERE rank <= {L.ATTRIBUTION_TOP_K}""")
 def subword_merge(spark, sf):
-    merged = AT.merge_subwords(pieces(_docs(spark, sf)))
-    return AT.filter_attributions(merged)
+    """Pieces arrive per document, so merging and the top-10 run inside each row."""
+    a = AT.merge_subwords_arrays(piece_arrays(_docs(spark, sf)))
+    top = AT.top_attributions_array(F.col("words"))
+    return a.select("doc_id", TX.explode_rows(top, pos=True).alias("i", "w")).where(F.col("w").isNotNull()).select(
+        "doc_id", (F.col("i") + 1).alias("rank"), F.col("w.word").alias("word"), F.col("w.score").alias("score"))
+
+
+@query("subword_merge_rows")
+def subword_merge_rows(spark, sf):
+    """Row form of the same merge for a pieces table (window over each document)."""
+    return AT.filter_attributions(AT.merge_subwords(pieces(_docs(spark, sf))))
 
 
 @query("neutral_replace", f"SELECT doc_id, {Q.neutral_replace('text', L.NEUTRAL_REPLACEMENTS)} AS replaced FROM documents")
