@@ -157,3 +157,22 @@ def save_model(model, path: str) -> None:
 def load_pipeline(path: str):
     from pyspark.ml import PipelineModel
     return PipelineModel.load(path)
+
+
+def prediction_registry(providers: dict, on_error=None) -> DataFrame | None:
+    """Union of the prediction sets that can be produced, each tagged with its ``model``.
+
+    ``providers`` maps a model name to a callable returning its predictions (scoring a
+    model, or reading stored predictions as a fallback). A provider that fails is skipped
+    with a notice through ``on_error(name, exc)``; nothing is collected."""
+    import warnings
+    out = None
+    for name, make in providers.items():
+        try:
+            df = make().withColumn("model", F.lit(name))
+            df.schema  # resolve now, so a missing input fails here rather than later
+        except Exception as exc:  # noqa: BLE001 - a failing provider is skipped by design
+            (on_error or (lambda n, e: warnings.warn(f"skipping predictions of {n}: {e}")))(name, exc)
+            continue
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out
