@@ -113,25 +113,38 @@ def occlusion_attribution(df: DataFrame, model, key: str = "doc_id", text: str =
             .select(key, "rank", "word", F.col("c").cast("long").alias("count"), "delta"))
 
 
-def linear_attribution(model_pipeline, df: DataFrame, key: str = "doc_id", k: int = L.ATTRIBUTION_TOP_K) -> DataFrame:
-    """For a fitted text pipeline ending in a linear model: contribution of each vocabulary
-    term = coefficient * (feature value - its corpus mean); top-k by |contribution|."""
-    from pyspark.ml.functions import vector_to_array
-    stages = model_pipeline.stages
-    vocab = stages[-3].vocabulary if hasattr(stages[-3], "vocabulary") else None
+def linear_attribution(docs: DataFrame, pipeline_model, key: str = "doc_id", text: str = "text",
+                       stop_words=(), k: int = L.ATTRIBUTION_TOP_K) -> DataFrame:
+    """Word contributions of a fitted (tokens -> stop words -> counts -> IDF -> linear model)
+    pipeline: coefficient * idf * (term count - mean term count), exact for the logit;
+    top-k per document by |contribution| (ties by word).
+
+    Computed from (doc, term) counts and a vocabulary table (bounded by the vocabulary size,
+    hence broadcast) instead of dense feature vectors."""
+    stages = pipeline_model.stages
+    cv = next(st for st in stages if hasattr(st, "vocabulary"))
+    idf = next(st for st in stages if hasattr(st, "idf")).idf.toArray().tolist()
     coef = stages[-1].coefficients.toArray().tolist()
-    feats = model_pipeline.transform(df).select(key, vector_to_array("features").alias("x"))
-    n_terms = len(coef)
-    spark = df.sparkSession
-    terms = spark.createDataFrame([(i, vocab[i] if vocab else str(i), float(c)) for i, c in enumerate(coef)],
-                                  "idx INT, word STRING, coef DOUBLE")
-    ex = feats.select(key, F.posexplode("x").alias("idx", "v"))
-    means = ex.groupBy("idx").agg(F.avg("v").alias("mu"))
-    contrib = (ex.where(F.col("v") != 0).join(F.broadcast(terms), "idx").join(F.broadcast(means), "idx")
-               .select(key, "word", F.round(F.col("coef") * (F.col("v") - F.col("mu")), DIGITS).alias("score")))
-    w = Window.partitionBy(key).orderBy(F.abs(F.col("score")).desc(), F.col("word"))
-    del n_terms
-    return contrib.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(key, "rank", "word", "score")
+    spark = docs.sparkSession
+    terms = spark.createDataFrame([(w, float(coef[i]), float(idf[i])) for i, w in enumerate(cv.vocabulary)],
+                                  "term STRING, coef DOUBLE, idf DOUBLE")
+    toks = TX.word_tokens(text, min_len=2)
+    if stop_words:
+        sw = TX.literal_array(sorted(set(stop_words)))
+        toks = F.filter(toks, lambda t: ~F.array_contains(sw, t))
+    tf = (docs.select(key, TX.explode_rows(toks).alias("term")).where(F.col("term").isNotNull())
+          .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
+    n = docs.count()
+    # restricted to vocabulary terms first, so the per-term means are bounded by the
+    # vocabulary size and broadcast (no shuffle join on a hot term)
+    in_vocab = tf.join(F.broadcast(terms), "term")
+    means = in_vocab.groupBy("term").agg((F.sum("tf") / F.lit(float(max(n, 1)))).alias("mean_tf"))
+    c = (in_vocab.join(F.broadcast(means), "term")
+         .select(key, "term", F.round(F.col("coef") * F.col("idf") * (F.col("tf") - F.col("mean_tf")), DIGITS)
+                 .alias("score")))
+    w = Window.partitionBy(key).orderBy(F.abs(F.col("score")).desc(), F.col("term"))
+    return c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(
+        key, "rank", F.col("term").alias("word"), "score")
 
 
 def attribution_cosine(a: DataFrame, b: DataFrame, key: str = "doc_id") -> DataFrame:

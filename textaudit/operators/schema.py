@@ -55,7 +55,6 @@ def binary_columns(df: DataFrame) -> list[str]:
 def loose_resolve(df: DataFrame) -> tuple[str, str]:
     """Case-insensitive name match in table order; else the first non-text column with fewer
     than 50 distinct values."""
-    lower = {c.lower(): c for c in df.columns}
     text = next((c for c in df.columns if c.lower() in L.LOOSE_TEXT_NAMES), None)
     label = next((c for c in df.columns if c.lower() in L.LOOSE_LABEL_NAMES), None)
     if text is None:
@@ -69,7 +68,6 @@ def loose_resolve(df: DataFrame) -> tuple[str, str]:
                 break
     if label is None:
         raise ValueError(f"no label column among {df.columns}")
-    del lower
     return text, label
 
 

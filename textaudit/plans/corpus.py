@@ -70,16 +70,27 @@ def drop_incomplete(spark, sf):
     return report
 
 
-def _split_sql(src: str, frac: float, seed: int, key: str = "doc_id", label: str = "label") -> str:
+def _split_sql(src: str, frac: float, seed: int, key: str = "doc_id", label: str = "label", sfx: str = "") -> str:
     return f"""
-s0 AS ({src}),
-cc AS (SELECT {label} AS cls, count(*) AS n_c FROM s0 GROUP BY {label}),
-tot AS (SELECT sum(n_c) AS n, CAST(ceil(sum(n_c) * {frac!r} - 1e-12) AS BIGINT) AS k FROM cc),
-q0 AS (SELECT cls, CAST(n_c AS DOUBLE) * k / n AS ex, floor(CAST(n_c AS DOUBLE) * k / n) AS base, k FROM cc, tot),
-q AS (SELECT cls, base + CASE WHEN row_number() OVER (ORDER BY ex - base DESC, cls)
-                               <= k - sum(base) OVER () THEN 1 ELSE 0 END AS quota FROM q0),
-r AS (SELECT s0.*, row_number() OVER (PARTITION BY {label} ORDER BY md5('{seed}:' || CAST({key} AS VARCHAR)), {key}) AS rk
-      FROM s0)"""
+s0{sfx} AS ({src}),
+cc{sfx} AS (SELECT {label} AS cls, count(*) AS n_c FROM s0{sfx} GROUP BY {label}),
+tot{sfx} AS (SELECT sum(n_c) AS n, CAST(ceil(sum(n_c) * {frac!r} - 1e-12) AS BIGINT) AS k FROM cc{sfx}),
+q0{sfx} AS (SELECT cls, CAST(n_c AS DOUBLE) * k / n AS ex, floor(CAST(n_c AS DOUBLE) * k / n) AS base, k
+            FROM cc{sfx}, tot{sfx}),
+q{sfx} AS (SELECT cls, base + CASE WHEN row_number() OVER (ORDER BY ex - base DESC, cls)
+                               <= k - sum(base) OVER () THEN 1 ELSE 0 END AS quota FROM q0{sfx}),
+r{sfx} AS (SELECT s0{sfx}.*, row_number() OVER (PARTITION BY {label} ORDER BY md5('{seed}:' || CAST({key} AS VARCHAR)), {key}) AS rk
+      FROM s0{sfx})"""
+
+
+def _tvt_sql() -> str:
+    first = _split_sql("SELECT doc_id, CAST(toxic AS INTEGER) AS label FROM labels", 0.1, U.SEED)
+    second = _split_sql("SELECT doc_id, label FROM t1 WHERE NOT is_test", 0.1, U.SEED, sfx="2")
+    return ("WITH " + first + """,
+t1 AS (SELECT r.doc_id, r.label, r.rk <= q.quota AS is_test FROM r JOIN q ON r.label = q.cls),""" + second + """,
+tvt AS (SELECT doc_id, label, 'test' AS split FROM t1 WHERE is_test
+        UNION ALL SELECT r2.doc_id, r2.label, CASE WHEN r2.rk <= q2.quota THEN 'val' ELSE 'train' END
+        FROM r2 JOIN q2 ON r2.label = q2.cls)""")
 
 
 @query("stratified_split", "WITH " + _split_sql("SELECT doc_id, CAST(toxic AS INTEGER) AS label FROM labels", 0.1, U.SEED)
@@ -90,7 +101,7 @@ def stratified_split(spark, sf):
     return SP.stratified_holdout(lab, "doc_id", "label", 0.1, U.SEED)
 
 
-@query("train_val_test")
+@query("train_val_test", _tvt_sql() + "\nSELECT doc_id, label, split FROM tvt")
 def train_val_test(spark, sf):
     lab = U.tables(spark, sf).labels.select("doc_id", F.col("toxic").cast("int").alias("label"))
     return SP.train_val_test(lab, "doc_id", "label", 0.1, 0.1, U.SEED)
@@ -185,7 +196,13 @@ def padded_corpus(spark, sf):
                                           for c in L.CORPUS_METADATA], "label")
 
 
-@query("minimal_splits")
+@query("minimal_splits", _tvt_sql() + """
+SELECT d.doc_id, d.text, tvt.label, CAST(NULL AS VARCHAR) AS split, CAST(NULL AS VARCHAR) AS lang,
+       CAST(NULL AS VARCHAR) AS source, CAST(NULL AS BIGINT) AS n_chars
+FROM documents d JOIN tvt ON d.doc_id = tvt.doc_id WHERE tvt.split <> 'test'
+UNION ALL
+SELECT d.doc_id, d.text, tvt.label, tvt.split, d.lang, d.source, d.n_chars
+FROM documents d JOIN tvt ON d.doc_id = tvt.doc_id WHERE tvt.split = 'test'""")
 def minimal_splits(spark, sf):
     """Train / validation rows in the minimal ``(doc_id, text, label)`` projection; the test
     split keeps every column (the split sink layout)."""

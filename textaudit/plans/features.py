@@ -3,10 +3,9 @@ encoding, logistic regression and linear SVM reports, linear attributions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import text as TX
+from ..operators import attribution as AT
 from ..operators import features as FE
 from ..operators import metrics as M
 from ..operators import models as MD
@@ -120,32 +119,4 @@ def linear_attribution(spark, sf):
     """Per word of a document: coefficient * (tf-idf value - corpus mean), top 10 by size."""
     s = _labelled(spark, sf)
     model = MD.train_logreg(s.where(F.col("split") == "train"), stop_words=STOP_WORDS)
-    return linear_contributions(s.where(F.col("split") == "test"), model)
-
-
-def linear_contributions(docs, model, key: str = "doc_id", k: int = 10):
-    """Term contributions of a fitted (tokens -> stop words -> counts -> IDF -> linear)
-    pipeline, computed from (doc, term) counts and a vocabulary table (bounded by the
-    vocabulary size) instead of dense feature vectors."""
-    stages = model.stages
-    cv = next(st for st in stages if hasattr(st, "vocabulary"))
-    idf = next(st for st in stages if hasattr(st, "idf")).idf.toArray().tolist()
-    coef = stages[-1].coefficients.toArray().tolist()
-    spark = docs.sparkSession
-    terms = spark.createDataFrame([(w, float(coef[i]), float(idf[i])) for i, w in enumerate(cv.vocabulary)],
-                                  "term STRING, coef DOUBLE, idf DOUBLE")
-    toks = TX.word_tokens("text", min_len=2)
-    sw = TX.literal_array(sorted(set(STOP_WORDS)))
-    toks = F.filter(toks, lambda t: ~F.array_contains(sw, t))
-    tf = (docs.select(key, TX.explode_rows(toks).alias("term")).where(F.col("term").isNotNull())
-          .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
-    n = docs.count()
-    # restricted to vocabulary terms first, so the per-term means are bounded by the
-    # vocabulary size and broadcast (no shuffle join on a hot term)
-    in_vocab = tf.join(F.broadcast(terms), "term")
-    means = in_vocab.groupBy("term").agg((F.sum("tf") / F.lit(float(max(n, 1)))).alias("mean_tf"))
-    c = (in_vocab.join(F.broadcast(means), "term")
-         .select(key, "term", F.round(F.col("coef") * F.col("idf") * (F.col("tf") - F.col("mean_tf")), 6).alias("score")))
-    w = Window.partitionBy(key).orderBy(F.abs(F.col("score")).desc(), F.col("term"))
-    return c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(
-        key, "rank", F.col("term").alias("word"), "score")
+    return AT.linear_attribution(s.where(F.col("split") == "test"), model, stop_words=STOP_WORDS)

@@ -109,7 +109,7 @@ def piece_arrays(docs):
                     F.transform("_p", lambda s: s["score"]).alias("scores"))
 
 
-@query("subword_merge", f"""
+_SUBWORD_SQL = f"""
 WITH t AS (SELECT doc_id, unnest(list_transform(regexp_extract_all(lower(coalesce(text, '')), {Q.WORD}),
                                                 lambda w, i: {{'w': w, 'p': i - 1}})) AS x FROM documents),
 s AS (SELECT doc_id, x.w AS word, x.p AS p,
@@ -117,7 +117,10 @@ s AS (SELECT doc_id, x.w AS word, x.p AS p,
                     FROM range(0, CAST(ceil(len(x.w) / {PIECE_LEN}) AS BIGINT)) r(j)), 6) AS score FROM t),
 f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY abs(score) DESC, p) AS rank FROM s
       WHERE length(word) > 1 AND word NOT IN {Q.in_list(L.SPECIAL_TOKENS)})
-SELECT doc_id, rank, word, score FROM f WHERE rank <= {L.ATTRIBUTION_TOP_K}""")
+SELECT doc_id, rank, word, score FROM f WHERE rank <= {L.ATTRIBUTION_TOP_K}"""
+
+
+@query("subword_merge", _SUBWORD_SQL)
 def subword_merge(spark, sf):
     """Pieces arrive per document, so merging and the top-10 run inside each row."""
     a = AT.merge_subwords_arrays(piece_arrays(_docs(spark, sf)))
@@ -126,7 +129,7 @@ def subword_merge(spark, sf):
         "doc_id", (F.col("i") + 1).alias("rank"), F.col("w.word").alias("word"), F.col("w.score").alias("score"))
 
 
-@query("subword_merge_rows")
+@query("subword_merge_rows", _SUBWORD_SQL)
 def subword_merge_rows(spark, sf):
     """Row form of the same merge for a pieces table (window over each document)."""
     return AT.filter_attributions(AT.merge_subwords(pieces(_docs(spark, sf))))
