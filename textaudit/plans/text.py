@@ -147,7 +147,22 @@ def gender_neutralize(spark, sf):
     return _docs(spark, sf).select("doc_id", TX.clean_sentence(CF.neutralize_gender_words("text")).alias("neutral"))
 
 
-@query("counterfactuals")
+def _cf_sql(k: int = 3) -> str:
+    tmpl, extra = Q.suggestions("d.text", "coalesce(w.words, CAST([] AS VARCHAR[]))", k, L)
+    kw = _kw_sql("text", QUERY_WEIGHTS, L.ATTRIBUTION_WORDS_FOR_COMPONENTS)
+    return f"""
+WITH kw AS ({kw}),
+w AS (SELECT doc_id, list(word ORDER BY rank) AS words FROM kw GROUP BY doc_id),
+c0 AS (SELECT d.doc_id, {tmpl} AS tmpl, {extra} AS extra FROM documents d LEFT JOIN w ON d.doc_id = w.doc_id),
+c1 AS (SELECT doc_id, list_concat(tmpl, extra) AS allc FROM c0),
+c2 AS (SELECT doc_id, {Q.ordered_distinct('allc')}[1:{k}] AS base FROM c1),
+c3 AS (SELECT doc_id, list_transform(base, lambda s: {Q.clean_sentence(Q.polish('s', L))}) AS pol FROM c2),
+c4 AS (SELECT doc_id, {Q.ordered_distinct('pol')}[1:{k}] AS sugg FROM c3)
+SELECT doc_id, CAST(x.i AS INTEGER) AS rank, x.s AS suggestion
+FROM (SELECT doc_id, unnest(list_transform(sugg, lambda s, i: {{'i': i, 's': s}})) AS x FROM c4)"""
+
+
+@query("counterfactuals", _cf_sql())
 def counterfactuals(spark, sf):
     return CF.counterfactuals(_docs(spark, sf), weights=QUERY_WEIGHTS)
 

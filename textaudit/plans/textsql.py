@@ -88,3 +88,56 @@ def neutralize(text: str, words, target: str) -> str:
     toks = f"regexp_extract_all(coalesce({text}, ''), {LOSSLESS})"
     return (f"array_to_string(list_transform({toks}, lambda t: CASE WHEN {is_word('t')} AND lower(t) IN "
             f"{in_list(sorted(set(words)))} THEN {q(target)} ELSE t END), '')")
+
+
+def ordered_distinct(lst: str) -> str:
+    """Distinct list elements in first-occurrence order."""
+    return f"list_filter({lst}, lambda x, i: NOT list_contains({lst}[1:i - 1], x))"
+
+
+def contains_any(tl: str, needles) -> str:
+    return "(" + " OR ".join(f"contains({tl}, {q(n)})" for n in needles) + ")"
+
+
+def suggestions(text: str, words: str, k: int, L) -> str:
+    """SQL list of up to k rewrites (templates, neutral replacement, neutralised text,
+    fallbacks; polished), mirroring the rewrite operator from its definition."""
+    tl = f"lower(coalesce({text}, ''))"
+    d = L.COMPONENT_DEFAULTS
+    field = "(CASE " + " ".join(f"WHEN contains({tl}, {q(w)}) THEN {q(L.NEUTRAL_REPLACEMENTS.get(w, w))}"
+                                for w in L.FIELD_WORDS) + f" ELSE {q(d['field'])} END)"
+    role = "(CASE " + " ".join(f"WHEN contains({tl}, {q(w)}) THEN {q(r)}" for w, r in L.ROLE_WORDS) + \
+        f" ELSE {q(d['role'])} END)"
+    context = "(CASE " + " ".join(f"WHEN contains({tl}, {q(w)}) THEN {q(c)}" for w, c in L.CONTEXT_WORDS) + \
+        f" ELSE {q(d['context'])} END)"
+    clean_w = r"regexp_replace(lower(w), '[^\p{L}\p{N}_]', '', 'g')"
+    found = f"list_filter(list_transform({words}, lambda w: {case_map(clean_w, L.TRAIT_WORDS)}), lambda x: x IS NOT NULL)[1]"
+    first = f"{words}[1]"
+    from_first = f"coalesce({case_map(f'lower({first})', L.NEUTRAL_REPLACEMENTS)}, {first})"
+    skill = f"coalesce({found}, {from_first}, {q(d['skill'])})"
+    trait = f"coalesce({found}, {from_first}, {q(d['trait'])})"
+    routed = "[" + ", ".join(f"CASE WHEN {contains_any(tl, trig)} THEN {q(cat)} END" for cat, trig in L.ROUTING_TRIGGERS) + "]"
+    cats = f"list_filter({routed}, lambda x: x IS NOT NULL)"
+    default = "[" + ", ".join(q(c) for c in L.DEFAULT_CATEGORIES) + "]"
+    cats = f"(CASE WHEN len({cats}) = 0 THEN {default} ELSE {cats} END)"
+    tmap = "(CASE c " + " ".join(
+        f"WHEN {q(cat)} THEN [" + ", ".join(q(t) for t in ts[:L.TEMPLATES_PER_CATEGORY]) + "]"
+        for cat, ts in L.TEMPLATES.items()) + " END)"
+    fill = "t"
+    for name, val in (("field", field), ("skill", skill), ("trait", trait), ("role", role), ("context", context)):
+        fill = f"replace({fill}, '{{{name}}}', {val})"
+    tmpl = f"list_transform(flatten(list_transform({cats}, lambda c: {tmap})), lambda t: {clean_sentence(fill)})"
+    rep = neutral_replace(text, L.NEUTRAL_REPLACEMENTS)
+    gr = clean_sentence(neutralize(text, L.NEUTRALIZE_WORDS, L.NEUTRALIZE_TARGET))
+    none = "CAST([] AS VARCHAR[])"
+    fallbacks = "[" + ", ".join(q(f) for f in L.GENERIC_FALLBACKS) + "]"
+    extra = (f"list_concat(CASE WHEN {rep} <> '' THEN [{rep}] ELSE {none} END, "
+             f"CASE WHEN {gr} <> coalesce({text}, '') THEN [{gr}] ELSE {none} END, {fallbacks})")
+    return tmpl, extra
+
+
+def polish(x: str, L) -> str:
+    out = x
+    for pat, rep in L.POLISH_REPAIRS:
+        out = f"regexp_replace({out}, {q('(?i)' + pat)}, {q(rep)}, 'g')"
+    return out
