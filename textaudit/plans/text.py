@@ -167,7 +167,19 @@ def counterfactuals(spark, sf):
     return CF.counterfactuals(_docs(spark, sf), weights=QUERY_WEIGHTS)
 
 
-@query("rescored_rewrites")
+def _rescored_sql() -> str:
+    m = U.MODELS[0]
+    cf = _cf_sql()
+    toks = lambda t: f"regexp_extract_all(lower(coalesce({t}, '')), {Q.WORD})"
+    return f"""
+WITH cf AS ({cf}),
+p0 AS (SELECT doc_id, {U.sql_proba(m, toks('text'))} AS p0 FROM documents),
+r AS (SELECT cf.doc_id, cf.rank, cf.suggestion, p0.p0 AS proba_original,
+             {U.sql_proba(m, toks('cf.suggestion'))} AS proba_rewrite FROM cf JOIN p0 ON cf.doc_id = p0.doc_id)
+SELECT *, round(proba_rewrite - proba_original, 6) AS delta, round(proba_rewrite - proba_original, 6) < 0 AS lower FROM r"""
+
+
+@query("rescored_rewrites", _rescored_sql())
 def rescored_rewrites(spark, sf):
     return CF.rescore_rewrites(_docs(spark, sf), U.MODELS[0], weights=QUERY_WEIGHTS)
 

@@ -41,7 +41,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     it is only set here when it is unset (local tests), to a fresh scratch folder.
     """
     cur = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - remote session: the server side owns the folder
+        return cur
     if cur:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(cur)

@@ -20,10 +20,12 @@ def spread(df: DataFrame) -> DataFrame:
     """Round-robin a scan over the cluster's cores when it has fewer input splits than
     cores (a small file is one row group, hence one task). Large inputs already have many
     more splits than cores and are returned untouched, so no shuffle is added at scale."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): leave the plan as is
         return df
-    return df.repartition(cores)
+    return df if splits >= cores else df.repartition(cores)
 
 
 class Tables:
