@@ -76,33 +76,38 @@ def true_class_proba(y, p):
     return F.when(y == 1, p).otherwise(F.lit(1.0) - p)
 
 
-def paired_t(preds: DataFrame, reference: str, key: str = "doc_id") -> DataFrame:
-    """Paired t on true-class probability, d = B - A, pairs with a NULL probability dropped:
-    mean, sd (n-1), n, t = mean / (sd / sqrt n), Cohen's dz = mean / sd (NULL if sd = 0)."""
+def _paired_t_raw(preds: DataFrame, reference: str, key: str) -> DataFrame:
+    """Unrounded ``(baseline, mean, sd, n, t, dz)`` of d = B - A on true-class probability."""
     p = pair_with_reference(preds, reference, key)
     d = (true_class_proba(F.col("y_true"), F.col("b_proba"))
          - true_class_proba(F.col("y_true"), F.col("a_proba")))
     g = p.select("baseline", d.alias("d")).groupBy("baseline").agg(
-        F.avg("d").alias("mean_diff"), F.stddev_samp("d").alias("sd"), F.count("d").cast("long").alias("n"))
+        F.avg("d").alias("mean"), F.stddev_samp("d").alias("sd"), F.count("d").cast("long").alias("n"))
     sd_ok = F.col("sd") > 0
-    t = F.when(sd_ok, F.col("mean_diff") / (F.col("sd") / F.sqrt(F.col("n"))))
-    dz = F.when(sd_ok, F.col("mean_diff") / F.col("sd"))
-    return g.select("baseline", _r(F.col("mean_diff")).alias("mean_diff"), _r(F.col("sd")).alias("sd"), "n",
-                    _r(t).alias("t_stat"), _r(dz).alias("cohens_dz"),
-                    F.col("mean_diff").alias("_mean"), F.col("sd").alias("_sd"), t.alias("_t"))
+    return g.select("baseline", "mean", "sd", "n",
+                    F.when(sd_ok, F.col("mean") / (F.col("sd") / F.sqrt(F.col("n")))).alias("t"),
+                    F.when(sd_ok, F.col("mean") / F.col("sd")).alias("dz"))
+
+
+def paired_t(preds: DataFrame, reference: str, key: str = "doc_id") -> DataFrame:
+    """Paired t on true-class probability, d = B - A, pairs with a NULL probability dropped:
+    mean, sd (n-1), n, t = mean / (sd / sqrt n), Cohen's dz = mean / sd (NULL if sd = 0)."""
+    r = _paired_t_raw(preds, reference, key)
+    return r.select("baseline", _r(F.col("mean")).alias("mean_diff"), _r(F.col("sd")).alias("sd"), "n",
+                    _r(F.col("t")).alias("t_stat"), _r(F.col("dz")).alias("cohens_dz"))
 
 
 def paired_t_test(preds: DataFrame, reference: str, key: str = "doc_id", level: float = 0.95) -> DataFrame:
     """Paired t with two-sided p-value and the ``level`` confidence interval of the mean
     difference (NULL when n <= 1 or sd = 0)."""
-    base = paired_t(preds, reference, key)
+    r = _paired_t_raw(preds, reference, key)
     df1 = (F.col("n") - 1).cast("double")
-    q = D.t_quantile_udf(F.lit((1.0 + level) / 2.0), df1)
-    ok = (F.col("n") > 1) & (F.col("_sd") > 0)
-    se = F.col("_sd") / F.sqrt(F.col("n"))
-    with_p = base.withColumn("p_value", F.when(F.col("n") > 1, D.t_two_sided_p_udf(F.col("_t"), df1))) \
-                 .withColumn("_q", F.when(ok, q))
-    return with_p.select(
-        "baseline", "mean_diff", "sd", "n", "t_stat", "cohens_dz", _r(F.col("p_value")).alias("p_value"),
-        _r(F.when(ok, F.col("_mean") - F.col("_q") * se)).alias("ci95_low"),
-        _r(F.when(ok, F.col("_mean") + F.col("_q") * se)).alias("ci95_high"))
+    ok = (F.col("n") > 1) & (F.col("sd") > 0)
+    se = F.col("sd") / F.sqrt(F.col("n"))
+    x = (r.withColumn("p_value", F.when(F.col("n") > 1, D.t_two_sided_p_udf(F.col("t"), df1)))
+         .withColumn("q", F.when(ok, D.t_quantile_udf(F.lit((1.0 + level) / 2.0), df1))))
+    return x.select(
+        "baseline", _r(F.col("mean")).alias("mean_diff"), _r(F.col("sd")).alias("sd"), "n",
+        _r(F.col("t")).alias("t_stat"), _r(F.col("dz")).alias("cohens_dz"), F.col("p_value"),
+        _r(F.when(ok, F.col("mean") - F.col("q") * se)).alias("ci95_low"),
+        _r(F.when(ok, F.col("mean") + F.col("q") * se)).alias("ci95_high"))

@@ -201,7 +201,7 @@ _PAIRED_T_SQL = _PAIRS_SQL + """
 
 @query("paired_t", _with(_PAIRED_T_SQL + "\nSELECT * FROM pt"))
 def paired_t(spark, sf):
-    return S.paired_t(U.predictions(spark, sf), U.REFERENCE).drop("_mean", "_sd", "_t")
+    return S.paired_t(U.predictions(spark, sf), U.REFERENCE)
 
 
 @query("paired_t_test")
