@@ -93,3 +93,22 @@ def test_alignment_by_key(spark):
     df = spark.createDataFrame(rows, "doc_id LONG, model STRING, y_true INT, y_pred INT, proba DOUBLE")
     r = S.alignment_check(df, "B").first()
     assert (r["only_baseline"], r["only_reference"], r["duplicate_keys"]) == (1, 1, 0)
+
+
+def test_golden_row_through_spark(spark):
+    """Published CDA-vs-main row: b = 1059, c = 851, n = 39,619."""
+    from pyspark.sql import functions as F
+    ids = spark.range(39619).withColumnRenamed("id", "doc_id")
+    # ids < 1059: A right, B wrong; 1059..1909: A wrong, B right; the rest: both right
+    a_ok = (F.col("doc_id") < 1059) | (F.col("doc_id") >= 1910)
+    b_ok = F.col("doc_id") >= 1059
+    base = ids.select("doc_id", F.lit(1).alias("y_true"))
+    a = base.select("doc_id", F.lit("A").alias("model"), "y_true", F.when(a_ok, 1).otherwise(0).alias("y_pred"),
+                    F.lit(None).cast("double").alias("proba"))
+    b = base.select("doc_id", F.lit("B").alias("model"), "y_true", F.when(b_ok, 1).otherwise(0).alias("y_pred"),
+                    F.lit(None).cast("double").alias("proba"))
+    r = S.mcnemar_test(a.unionByName(b), "B").first()
+    assert (r["b"], r["c"], r["n"], r["exact"]) == (1059, 851, 39619, False)
+    assert abs(r["statistic"] - 22.434031) < 1e-6
+    assert math.isclose(r["p_value"], 2.1748612396400857e-06, rel_tol=1e-9)
+    assert abs(r["cohens_g"] - 0.00525) < 1e-6 and abs(r["odds_ratio"] - 1.244418) < 1e-6
