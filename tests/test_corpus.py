@@ -104,3 +104,23 @@ def test_example_bank(spark, tmp_path):
     rows = FS.read_example_bank(spark, str(p)).collect()
     assert sorted((r["bank"], r["text"]) for r in rows) == [("biased", "b1"), ("biased", "b2"), ("category", "b1"),
                                                              ("neutral", "n1")]
+
+
+def test_rank_segments_against_brute_force(spark, monkeypatch):
+    """Few buckets, so quota boundaries fall inside buckets and the window path runs."""
+    import hashlib
+    import math
+    monkeypatch.setattr(SP, "BUCKET_HEX", 1)
+    rows = [(i, 0 if i % 7 else 1) for i in range(700)]
+    d = spark.createDataFrame(rows, "doc_id LONG, label INT")
+    got = {r["doc_id"]: r["split"] for r in SP.train_val_test(d, "doc_id", "label", 0.13, 0.21, 5).collect()}
+    exp = {}
+    counts = {0: sum(1 for _, l in rows if l == 0), 1: sum(1 for _, l in rows if l == 1)}
+    q1 = SP.largest_remainder(counts, math.ceil(700 * 0.13 - 1e-12))
+    pool = {c: counts[c] - q1[c] for c in counts}
+    q2 = SP.largest_remainder(pool, math.ceil(sum(pool.values()) * 0.21 - 1e-12))
+    for c in counts:
+        ids = sorted((hashlib.md5(f"5:{i}".encode()).hexdigest(), i) for i, l in rows if l == c)
+        for rank, (_, i) in enumerate(ids, start=1):
+            exp[i] = "test" if rank <= q1[c] else ("val" if rank <= q1[c] + q2[c] else "train")
+    assert got == exp

@@ -4,10 +4,10 @@ The stratified split is exact and reproducible: each row's rank inside its class
 ``md5('<seed>:' || key)``, and the first ``quota`` rows of each class are held out. Quotas
 are the largest-remainder apportionment of ``ceil(n * frac)``.
 
-To avoid sorting a whole class in one task (a class can hold a third of all rows), the
-rank is found in two levels: rows are counted per (class, hash bucket) (65,536 buckets from
-the first 4 hex digits); bucket prefix sums locate, per class, the single boundary bucket
-where the quota ends; only the rows of that bucket are ranked with a window.
+To avoid sorting a whole class in one task (a class can hold a third of all rows), ranks
+are found in two levels: rows are counted per (class, hash bucket) (65,536 buckets from the
+first 4 hex digits); bucket prefix sums give each bucket's rank range; only the rows of the
+bucket where a quota ends are ranked with a window (see ``rank_segments``).
 """
 
 from __future__ import annotations
@@ -49,63 +49,102 @@ def largest_remainder(counts: dict, total: int) -> dict:
     exact = {c: v * total / n for c, v in counts.items()}
     base = {c: math.floor(x) for c, x in exact.items()}
     left = total - sum(base.values())
-    order = sorted(counts, key=lambda c: (-(exact[c] - base[c]), c))
+    order = sorted(counts, key=lambda c: (-(exact[c] - base[c]), c is None, c if c is not None else 0))
     for c in order[:left]:
         base[c] += 1
     return base
 
 
+_NULL_CLASS = "\u0000null"
+
+
+def _class_key(c) -> str:
+    return _NULL_CLASS if c is None else str(c)
+
+
+def rank_segments(df: DataFrame, key: str, stratum, thresholds: dict, seed: int = 42,
+                  out: str = "segment") -> DataFrame:
+    """Adds ``out`` = number of class thresholds below each row's rank, where the rank of a
+    row inside its stratum follows ``md5('<seed>:' || key)``. With cumulative thresholds
+    (t1 < t2 < ...) per stratum, segment 0 holds ranks 1..t1, segment 1 ranks t1+1..t2, ...
+
+    Exact without a stratum-wide sort: rows are counted per (stratum, hash bucket); bucket
+    prefix sums give every bucket's rank range; only the rows of buckets that straddle a
+    threshold (at most one per threshold and stratum) are ranked, by a window over that
+    single bucket. The bucket table (at most 65,536 rows per stratum) joins back by a
+    bounded broadcast, so the data itself is not shuffled."""
+    from ..session import bounded_broadcast
+    x = (df.withColumn("_h", seeded_hash(key, seed)).withColumn("_s", stratum)
+         .withColumn("_b", F.substring("_h", 1, BUCKET_HEX)))
+    w = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    tmap = F.create_map(*[z for k, ts in thresholds.items()
+                          for z in (F.lit(k), F.array(*[F.lit(int(t)) for t in ts]).cast("array<long>"))])
+    bt = (x.groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("_c"))
+          .withColumn("_cum", F.sum("_c").over(w))
+          .withColumn("_before", F.col("_cum") - F.col("_c"))
+          .withColumn("_t", F.coalesce(F.try_element_at(tmap, F.col("_s")), F.array().cast("array<long>")))
+          .withColumn("_exact", F.exists("_t", lambda t: (F.col("_before") < t) & (t < F.col("_cum")))))
+    y = x.join(bounded_broadcast(bt.select("_s", "_b", "_before", "_cum", "_t", "_exact"), 4_000_000),
+               ["_s", "_b"])
+    rk = Window.partitionBy("_s", "_b").orderBy("_h", key)
+    exact = y.where("_exact").withColumn("_rank", F.col("_before") + F.row_number().over(rk))
+    rest = y.where(~F.col("_exact")).withColumn("_rank", F.col("_cum"))
+    seg = F.size(F.filter("_t", lambda t: F.col("_rank") > t))
+    cols = df.columns
+    return exact.unionByName(rest).select(*cols, seg.alias(out))
+
+
+def _class_counts(df: DataFrame, label: str) -> dict:
+    # one row per class: the class table is tiny and apportioning happens on the driver
+    return {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+
+
 def stratified_holdout(df: DataFrame, key: str, label: str, frac: float, seed: int = 42,
                        stratify: bool = True) -> DataFrame:
-    """Adds ``held_out BOOLEAN``: ``ceil(n * frac)`` rows, classes proportional.
+    """Adds ``held_out BOOLEAN``: ``ceil(n * frac)`` rows, classes proportional (largest
+    remainder), each class's first rows in seeded-hash order.
 
     Stratification is skipped when there is a single class (or ``stratify`` is False)."""
-    h = seeded_hash(key, seed)
-    base = df.withColumn("_h", h)
-    # class counts: one row per class (tiny), needed on the driver to apportion the quota
-    counts = {r[0]: r[1] for r in base.groupBy(label).count().collect()}
+    counts = _class_counts(df, label)
     strat = stratify and len([c for c in counts if c is not None]) > 1
-    if strat:
-        stratum = F.col(label)
-        by_class = counts
-    else:
-        stratum = F.lit(0)
-        by_class = {0: sum(counts.values())}
+    by_class = counts if strat else {0: sum(counts.values())}
     n = sum(by_class.values())
-    total = math.ceil(n * frac - 1e-12)
-    quotas = largest_remainder({k: v for k, v in by_class.items()}, total)
-    x = base.withColumn("_s", stratum).withColumn("_b", F.substring("_h", 1, BUCKET_HEX))
-    bucket_counts = x.groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    q_rows = [(k, int(v)) for k, v in quotas.items()]
-    quota_map = F.create_map(*[z for k, v in q_rows for z in (F.lit(k), F.lit(v))]) if q_rows else None
-    cum = bucket_counts.withColumn("_cum", F.sum("_c").over(w)).withColumn("_q", F.try_element_at(quota_map, F.col("_s")))
-    # boundary bucket per class: the first bucket whose running count reaches the quota
-    boundary = (cum.where((F.col("_cum") >= F.col("_q")) & (F.col("_q") > 0))
-                .groupBy("_s").agg(F.min_by(F.struct("_b", (F.col("_q") - F.col("_cum") + F.col("_c")).alias("_need")),
-                                            F.col("_b")).alias("m"))
-                .select("_s", F.col("m._b").alias("_bb"), F.col("m._need").alias("_need")))
-    # one row per class: bounded by the number of classes
-    y = x.join(F.broadcast(boundary), "_s", "left")
-    inside = y.where(F.col("_b") == F.col("_bb"))
-    outside = y.where(F.col("_bb").isNull() | (F.col("_b") != F.col("_bb")))
-    rk = Window.partitionBy("_s").orderBy("_h", key)
-    inside = inside.withColumn("held_out", F.row_number().over(rk) <= F.col("_need"))
-    outside = outside.withColumn("held_out", F.coalesce(F.col("_b") < F.col("_bb"), F.lit(False)))
-    cols = df.columns + ["held_out"]
-    return inside.select(*cols).unionByName(outside.select(*cols))
+    quotas = largest_remainder(by_class, math.ceil(n * frac - 1e-12))
+    stratum = (F.coalesce(F.col(label).cast("string"), F.lit(_NULL_CLASS)) if strat else F.lit("0"))
+    thresholds = {_class_key(c): [q] for c, q in quotas.items()}
+    r = rank_segments(df, key, stratum, thresholds, seed, "_seg")
+    return r.withColumn("held_out", F.col("_seg") == 0).drop("_seg")
 
 
 def train_val_test(df: DataFrame, key: str, label: str, test_frac: float = 0.10, val_frac: float = 0.10,
                    seed: int = 42) -> DataFrame:
     """Adds ``split``: a stratified test hold-out, then a stratified validation split of the
-    remaining pool."""
-    t = stratified_holdout(df, key, label, test_frac, seed)
-    test = t.where("held_out").drop("held_out").withColumn("split", F.lit("test"))
-    pool = t.where(~F.col("held_out")).drop("held_out")
-    v = stratified_holdout(pool, key, label, val_frac, seed)
-    rest = v.withColumn("split", F.when(F.col("held_out"), "val").otherwise("train")).drop("held_out")
-    return test.unionByName(rest)
+    remaining pool (same seed).
+
+    Both splits rank rows by the same seeded hash inside a class, so the pool's order is the
+    class order without its first rows: the two splits are one pass with two cumulative
+    thresholds per class. When the pool would no longer be stratified (one class left),
+    the second split runs on the pool itself."""
+    counts = _class_counts(df, label)
+    strat = len([c for c in counts if c is not None]) > 1
+    by_class = counts if strat else {0: sum(counts.values())}
+    n = sum(by_class.values())
+    q1 = largest_remainder(by_class, math.ceil(n * test_frac - 1e-12))
+    pool = {c: by_class[c] - q1[c] for c in by_class}
+    pool_classes = [c for c, v in pool.items() if v > 0 and c is not None]
+    if strat and len(pool_classes) <= 1:
+        t = stratified_holdout(df, key, label, test_frac, seed)
+        test = t.where("held_out").drop("held_out").withColumn("split", F.lit("test"))
+        rest = stratified_holdout(t.where(~F.col("held_out")).drop("held_out"), key, label, val_frac, seed)
+        rest = rest.withColumn("split", F.when(F.col("held_out"), "val").otherwise("train")).drop("held_out")
+        return test.unionByName(rest)
+    p_n = sum(pool.values())
+    q2 = largest_remainder({c: v for c, v in pool.items() if v > 0}, math.ceil(p_n * val_frac - 1e-12))
+    thresholds = {_class_key(c): [q1[c], q1[c] + q2.get(c, 0)] for c in by_class}
+    stratum = (F.coalesce(F.col(label).cast("string"), F.lit(_NULL_CLASS)) if strat else F.lit("0"))
+    r = rank_segments(df, key, stratum, thresholds, seed, "_seg")
+    split = F.when(F.col("_seg") == 0, "test").when(F.col("_seg") == 1, "val").otherwise("train")
+    return r.withColumn("split", split).drop("_seg")
 
 
 def quantile_cuts(df: DataFrame, score: str, lo: float = 0.2, hi: float = 0.8) -> tuple[float, float]:
