@@ -51,12 +51,14 @@ def paired_summary(preds: DataFrame, reference: str, key: str = "doc_id") -> Dat
         F.col("model").alias("baseline"), *[F.col(m).alias(f"baseline_{m}") for m in METRIC_NAMES])
     ref = mm.where(F.col("model") == reference).select(
         F.col("model").alias("_ref"), *[F.col(m).alias(f"reference_{m}") for m in METRIC_NAMES])
-    mc = S.mcnemar_test(preds, reference, key).select(
+    # one pairing pass (self-join on the key) feeds both tests
+    mc_raw, pt_raw = S.paired_tests(preds, reference, key)
+    mc = mc_raw.select(
         "baseline", F.col("b").alias("mcnemar_b"), F.col("c").alias("mcnemar_c"),
         F.col("exact").alias("mcnemar_exact"), F.col("statistic").alias("mcnemar_statistic"),
         F.col("p_value").alias("mcnemar_p_value"), F.col("cohens_g").alias("mcnemar_cohens_g"),
         F.col("odds_ratio").alias("mcnemar_odds_ratio"))
-    pt = S.paired_t_test(preds, reference, key).select(
+    pt = pt_raw.select(
         "baseline", F.col("t_stat").alias("paired_t_stat"), F.col("p_value").alias("paired_t_p_value"),
         F.col("cohens_dz").alias("paired_t_cohens_dz"), F.col("mean_diff").alias("paired_t_mean_diff"),
         F.col("ci95_low").alias("paired_t_ci95_low"), F.col("ci95_high").alias("paired_t_ci95_high"),

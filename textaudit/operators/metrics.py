@@ -100,9 +100,10 @@ def per_class(df: DataFrame, by=("model",)) -> DataFrame:
                     _div0(2 * tp, sup + pred).alias("f1"))
 
 
-def averaged_metrics(df: DataFrame, by=("model",)) -> DataFrame:
-    """Macro and support-weighted P/R/F1 per group, plus accuracy."""
-    pc = per_class(df, by)
+def averaged_metrics(df: DataFrame, by=("model",), pc: DataFrame | None = None) -> DataFrame:
+    """Macro and support-weighted P/R/F1 per group, plus accuracy (from the per-class table,
+    which is computed once and can be passed in)."""
+    pc = per_class(df, by) if pc is None else pc
     s = F.col("support")
     return pc.groupBy(*by).agg(
         _r(F.avg("precision")).alias("macro_precision"),
@@ -120,7 +121,7 @@ def classification_report(df: DataFrame, by=("model",)) -> DataFrame:
     """Tidy report rows: one per class, then ``accuracy`` (in ``value``), ``macro avg``,
     ``weighted avg``. Columns: by..., label, precision, recall, f1_score, support, value."""
     pc = per_class(df, by)
-    av = averaged_metrics(df, by)
+    av = averaged_metrics(df, by, pc)
     cls_rows = pc.select(*by, F.col("cls").cast("string").alias("label"), _r(F.col("precision")).alias("precision"),
                          _r(F.col("recall")).alias("recall"), _r(F.col("f1")).alias("f1_score"),
                          F.col("support").cast("long").alias("support"), F.lit(None).cast("double").alias("value"))
@@ -138,9 +139,10 @@ def classification_report(df: DataFrame, by=("model",)) -> DataFrame:
 
 def report_wide(df: DataFrame, by=("model",), classes=(0, 1)) -> DataFrame:
     """One row per group: accuracy, F1 of class 1, per-class P/R/F1/support, macro and
-    weighted averages, total support. An absent class has NULL metrics and support 0."""
+    weighted averages, total support. An absent class has NULL metrics and support 0.
+    Everything derives from one per-class aggregate."""
     pc = per_class(df, by)
-    av = averaged_metrics(df, by)
+    av = averaged_metrics(df, by, pc)
     aggs = []
     for k in classes:
         hit = F.col("cls") == k
@@ -148,14 +150,15 @@ def report_wide(df: DataFrame, by=("model",), classes=(0, 1)) -> DataFrame:
                  F.max(F.when(hit, _r(F.col("recall")))).alias(f"recall_{k}"),
                  F.max(F.when(hit, _r(F.col("f1")))).alias(f"f1_{k}"),
                  F.coalesce(F.max(F.when(hit, F.col("support"))), F.lit(0)).cast("long").alias(f"support_{k}")]
+    # binary F1 of class 1 (0 when class 1 is absent from truth and prediction)
+    aggs.append(F.coalesce(F.max(F.when(F.col("cls") == 1, _r(F.col("f1")))), F.lit(0.0)).alias("f1_score"))
     wide = pc.groupBy(*by).agg(*aggs)
-    bm = binary_metrics(df, by).select(*by, F.col("f1").alias("f1_score"))
     cols = [*by, "accuracy", "f1_score"]
     for k in classes:
         cols += [f"precision_{k}", f"recall_{k}", f"f1_{k}", f"support_{k}"]
     cols += ["macro_precision", "macro_recall", "macro_f1", "weighted_precision", "weighted_recall",
              "weighted_f1", "total_support"]
-    return av.join(wide, list(by)).join(bm, list(by)).select(*cols)
+    return av.join(wide, list(by)).select(*cols)
 
 
 def score_histogram(df: DataFrame, by=("model",), score: str = "proba", digits: int = DIGITS) -> DataFrame:

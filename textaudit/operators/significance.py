@@ -46,15 +46,21 @@ def alignment_check(preds: DataFrame, reference: str, key: str = "doc_id") -> Da
                     F.coalesce("duplicate_keys", F.lit(0)).cast("long").alias("duplicate_keys")))
 
 
-def mcnemar_counts(preds: DataFrame, reference: str, key: str = "doc_id") -> DataFrame:
-    """b = A right and B wrong, c = A wrong and B right; exact below 25 discordant pairs;
-    statistic, Cohen's g and odds ratio (infinite when c = 0 < b, NULL when both are 0)."""
+def pair_aggregates(preds: DataFrame, reference: str, key: str = "doc_id") -> DataFrame:
+    """One pass over the pairs: McNemar counts and the moments of the true-class probability
+    difference d = B - A (pairs with a NULL probability drop out of the moments)."""
     p = pair_with_reference(preds, reference, key)
     a_ok = F.col("a_pred") == F.col("y_true")
     b_ok = F.col("b_pred") == F.col("y_true")
-    g = p.groupBy("baseline").agg(F.count_if(a_ok & ~b_ok).cast("long").alias("b"),
-                                  F.count_if(~a_ok & b_ok).cast("long").alias("c"),
-                                  F.count(F.lit(1)).cast("long").alias("n"))
+    d = (true_class_proba(F.col("y_true"), F.col("b_proba"))
+         - true_class_proba(F.col("y_true"), F.col("a_proba")))
+    return p.groupBy("baseline").agg(
+        F.count_if(a_ok & ~b_ok).cast("long").alias("b"), F.count_if(~a_ok & b_ok).cast("long").alias("c"),
+        F.count(F.lit(1)).cast("long").alias("n"),
+        F.avg(d).alias("mean"), F.stddev_samp(d).alias("sd"), F.count(d).cast("long").alias("n_d"))
+
+
+def _mcnemar_from(g: DataFrame) -> DataFrame:
     b, c, n = F.col("b"), F.col("c"), F.col("n")
     exact = (b + c) < 25
     stat = F.when(exact, F.least(b, c).cast("double")).otherwise(
@@ -66,6 +72,12 @@ def mcnemar_counts(preds: DataFrame, reference: str, key: str = "doc_id") -> Dat
                     _r(odds).alias("odds_ratio"))
 
 
+def mcnemar_counts(preds: DataFrame, reference: str, key: str = "doc_id") -> DataFrame:
+    """b = A right and B wrong, c = A wrong and B right; exact below 25 discordant pairs;
+    statistic, Cohen's g and odds ratio (infinite when c = 0 < b, NULL when both are 0)."""
+    return _mcnemar_from(pair_aggregates(preds, reference, key))
+
+
 def mcnemar_test(preds: DataFrame, reference: str, key: str = "doc_id") -> DataFrame:
     """McNemar counts with the p-value (binomial or chi-square, one row per pair)."""
     m = mcnemar_counts(preds, reference, key)
@@ -76,19 +88,18 @@ def true_class_proba(y, p):
     return F.when(y == 1, p).otherwise(F.lit(1.0) - p)
 
 
-def _paired_t_raw(preds: DataFrame, reference: str, key: str) -> DataFrame:
-    """Unrounded ``(baseline, mean, sd, n, t, dz)`` of d = B - A on true-class probability."""
-    p = pair_with_reference(preds, reference, key)
-    d = (true_class_proba(F.col("y_true"), F.col("b_proba"))
-         - true_class_proba(F.col("y_true"), F.col("a_proba")))
-    g = p.select("baseline", d.alias("d")).groupBy("baseline").agg(
-        F.avg("d").alias("mean"), F.stddev_samp("d").alias("sd"), F.count("d").cast("long").alias("n"))
+def _t_from(g: DataFrame) -> DataFrame:
     sd_ok = F.col("sd") > 0
-    return g.select("baseline", "mean", "sd", "n",
-                    F.when(sd_ok, F.col("mean") / (F.col("sd") / F.sqrt(F.col("n")))).alias("t"),
+    return g.select("baseline", "mean", "sd", F.col("n_d").alias("n"),
+                    F.when(sd_ok, F.col("mean") / (F.col("sd") / F.sqrt(F.col("n_d")))).alias("t"),
                     F.when(sd_ok, F.col("mean") / F.col("sd")).alias("dz"))
 
 
+def _paired_t_raw(preds: DataFrame, reference: str, key: str) -> DataFrame:
+    """Unrounded ``(baseline, mean, sd, n, t, dz)`` of d = B - A on true-class probability."""
+    return _t_from(pair_aggregates(preds, reference, key))
+
+
 def paired_t(preds: DataFrame, reference: str, key: str = "doc_id") -> DataFrame:
     """Paired t on true-class probability, d = B - A, pairs with a NULL probability dropped:
     mean, sd (n-1), n, t = mean / (sd / sqrt n), Cohen's dz = mean / sd (NULL if sd = 0)."""
@@ -97,10 +108,7 @@ def paired_t(preds: DataFrame, reference: str, key: str = "doc_id") -> DataFrame
                     _r(F.col("t")).alias("t_stat"), _r(F.col("dz")).alias("cohens_dz"))
 
 
-def paired_t_test(preds: DataFrame, reference: str, key: str = "doc_id", level: float = 0.95) -> DataFrame:
-    """Paired t with two-sided p-value and the ``level`` confidence interval of the mean
-    difference (NULL when n <= 1 or sd = 0)."""
-    r = _paired_t_raw(preds, reference, key)
+def _t_test_from(r: DataFrame, level: float) -> DataFrame:
     df1 = (F.col("n") - 1).cast("double")
     ok = (F.col("n") > 1) & (F.col("sd") > 0)
     se = F.col("sd") / F.sqrt(F.col("n"))
@@ -111,3 +119,16 @@ def paired_t_test(preds: DataFrame, reference: str, key: str = "doc_id", level:
         _r(F.col("t")).alias("t_stat"), _r(F.col("dz")).alias("cohens_dz"), F.col("p_value"),
         _r(F.when(ok, F.col("mean") - F.col("q") * se)).alias("ci95_low"),
         _r(F.when(ok, F.col("mean") + F.col("q") * se)).alias("ci95_high"))
+
+
+def paired_t_test(preds: DataFrame, reference: str, key: str = "doc_id", level: float = 0.95) -> DataFrame:
+    """Paired t with two-sided p-value and the ``level`` confidence interval of the mean
+    difference (NULL when n <= 1 or sd = 0)."""
+    return _t_test_from(_paired_t_raw(preds, reference, key), level)
+
+
+def paired_tests(preds: DataFrame, reference: str, key: str = "doc_id", level: float = 0.95):
+    """McNemar (with p-value) and paired-t results from a single pairing pass."""
+    g = pair_aggregates(preds, reference, key)
+    mc = _mcnemar_from(g).withColumn("p_value", D.mcnemar_p_udf(F.col("b"), F.col("c")))
+    return mc, _t_test_from(_t_from(g), level)
