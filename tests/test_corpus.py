@@ -124,3 +124,13 @@ def test_rank_segments_against_brute_force(spark, monkeypatch):
         for rank, (_, i) in enumerate(ids, start=1):
             exp[i] = "test" if rank <= q1[c] else ("val" if rank <= q1[c] + q2[c] else "train")
     assert got == exp
+
+
+def test_exact_quantiles_match_numpy(spark):
+    import numpy as np
+    vals = [float(x) for x in np.random.default_rng(3).integers(0, 50, 997)] + [1000.0, -5.0, 7.5]
+    df = spark.createDataFrame([(v,) for v in vals], "s DOUBLE")
+    probs = [0.0, 0.2, 0.5, 0.8, 0.999, 1.0]
+    got = SP.exact_quantiles(df, "s", probs, partitions=7)
+    exp = np.quantile(np.array(vals), probs)
+    assert all(abs(a - b) < 1e-9 for a, b in zip(got, exp))

@@ -147,11 +147,53 @@ def train_val_test(df: DataFrame, key: str, label: str, test_frac: float = 0.10,
     return r.withColumn("split", split).drop("_seg")
 
 
+def exact_quantiles(df: DataFrame, score: str, probs, partitions: int | None = None) -> list[float]:
+    """Exact interpolated quantiles (the ``quantile_cont`` / ``percentile`` definition)
+    without holding all values in one task.
+
+    The value histogram (one row per distinct value, map-side combined) is range-partitioned
+    and checkpointed, so partition ids are stable; per-partition totals (one row per
+    partition) give each partition's rank offset; a running sum inside each partition gives
+    every value's rank range; only the rows holding the wanted ranks reach the driver."""
+    from ..session import cut_lineage
+    spark = df.sparkSession
+    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hist = (df.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("v"))
+            .agg(F.count(F.lit(1)).alias("c")))
+    ranged = cut_lineage(hist.repartitionByRange(parts, "v").withColumn("pid", F.spark_partition_id()))
+    totals = sorted((r["pid"], r["n"]) for r in ranged.groupBy("pid").agg(F.sum("c").alias("n")).collect())
+    n = sum(t for _, t in totals)
+    if n == 0:
+        return [None for _ in probs]
+    offsets, acc = {}, 0
+    for pid, t in totals:
+        offsets[pid] = acc
+        acc += t
+    omap = F.create_map(*[z for pid, o in offsets.items() for z in (F.lit(pid), F.lit(int(o)))])
+    w = Window.partitionBy("pid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    cum = ranged.withColumn("_end", F.try_element_at(omap, F.col("pid")) + F.sum("c").over(w))
+    cum = cum.withColumn("_start", F.col("_end") - F.col("c"))
+    wanted = sorted({math.floor((n - 1) * p) for p in probs} | {math.ceil((n - 1) * p) for p in probs})
+    hit = F.lit(False)
+    for r in wanted:
+        hit = hit | ((F.col("_start") <= r) & (F.lit(r) < F.col("_end")))
+    rows = [(x["v"], x["_start"], x["_end"]) for x in cum.where(hit).select("v", "_start", "_end").collect()]
+
+    def at(rank: int) -> float:
+        return next(v for v, a, b in rows if a <= rank < b)
+
+    out = []
+    for p in probs:
+        h = (n - 1) * p
+        lo, hi = math.floor(h), math.ceil(h)
+        out.append(at(lo) + (h - lo) * (at(hi) - at(lo)))
+    return out
+
+
 def quantile_cuts(df: DataFrame, score: str, lo: float = 0.2, hi: float = 0.8) -> tuple[float, float]:
-    """Exact interpolated quantiles (``percentile``). Its buffer holds one entry per distinct
-    value, bounded for integer scores such as lengths."""
-    r = df.agg(F.percentile(F.col(score), F.array(F.lit(lo), F.lit(hi))).alias("q")).first()["q"]
-    return float(r[0]), float(r[1])
+    """The two cut points of :func:`quantile_binarize` (exact, distributed)."""
+    q_lo, q_hi = exact_quantiles(df, score, [lo, hi])
+    return float(q_lo), float(q_hi)
 
 
 def quantile_binarize(df: DataFrame, score: str, lo: float = 0.2, hi: float = 0.8) -> DataFrame:
