@@ -108,22 +108,28 @@ def add_suggestions(df: DataFrame, text: str, words: str, k: int = 3, out: str =
 
     Intermediate results are materialised as columns in successive projections and kept
     until the end, so the optimizer does not inline a whole-text expression into the
-    per-element lambdas that consume it."""
+    per-element lambdas that consume it. The whole-text rewrites are computed only for rows
+    whose earlier candidates do not already fill the ``k`` places (``CASE`` branches are
+    evaluated lazily), which leaves the result unchanged."""
     t = F.coalesce(F.col(text), F.lit(""))
-    s1 = df.select("*", route_categories(text).alias("_cf_cats"), neutral_replace(text).alias("_cf_rep"),
-                   TX.clean_sentence(neutralize_gender_words(text)).alias("_cf_gr"))
+    none = F.array().cast("array<string>")
+    s1 = df.select("*", route_categories(text).alias("_cf_cats"))
     comp = components(text, F.col(words))
     s2 = s1.select("*", *[c.alias("_cf_" + n) for n, c in comp.items()])
     comp_cols = {n: F.col("_cf_" + n) for n in comp}
     s3 = s2.select("*", render_templates(F.col("_cf_cats"), comp_cols).alias("_cf_tmpl"))
-    none = F.array().cast("array<string>")
+    need_rep = F.size(F.array_distinct("_cf_tmpl")) < k
+    s4 = s3.select("*", F.when(need_rep, neutral_replace(text)).otherwise(F.lit("")).alias("_cf_rep"))
+    so_far = F.concat(F.col("_cf_tmpl"), F.when(F.col("_cf_rep") != "", F.array("_cf_rep")).otherwise(none))
+    need_gr = F.size(F.array_distinct(so_far)) < k
+    s5 = s4.select("*", F.when(need_gr, TX.clean_sentence(neutralize_gender_words(text))).alias("_cf_gr"))
     extra = F.concat(F.when(F.col("_cf_rep") != "", F.array("_cf_rep")).otherwise(none),
-                     F.when(F.col("_cf_gr") != t, F.array("_cf_gr")).otherwise(none),
+                     F.when(F.col("_cf_gr").isNotNull() & (F.col("_cf_gr") != t), F.array("_cf_gr")).otherwise(none),
                      TX.literal_array(L.GENERIC_FALLBACKS))
-    s4 = s3.select("*", F.slice(F.array_distinct(F.concat(F.col("_cf_tmpl"), extra)), 1, k).alias("_cf_base"))
-    s5 = s4.select("*", F.slice(F.array_distinct(F.transform(F.col("_cf_base"), lambda x: TX.clean_sentence(polish(x)))),
+    s6 = s5.select("*", F.slice(F.array_distinct(F.concat(F.col("_cf_tmpl"), extra)), 1, k).alias("_cf_base"))
+    s7 = s6.select("*", F.slice(F.array_distinct(F.transform(F.col("_cf_base"), lambda x: TX.clean_sentence(polish(x)))),
                                 1, k).alias(out))
-    return s5.select(*[c for c in s5.columns if not c.startswith("_cf_")])
+    return s7.select(*[c for c in s7.columns if not c.startswith("_cf_")])
 
 
 def _with_words(df: DataFrame, text: str, weights: dict | None) -> DataFrame:
