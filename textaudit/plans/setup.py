@@ -77,3 +77,8 @@ longp AS ({longs}),
 preds AS (SELECT p.doc_id, p.grp, p.dataset, p.model, CAST(l.toxic AS INTEGER) AS y_true,
                  CAST(p.proba >= {THRESHOLD} AS INTEGER) AS y_pred, p.proba
           FROM longp p JOIN labels l ON p.doc_id = l.doc_id)"""
+
+
+def release_predictions(spark: SparkSession, sf_dir: str) -> None:
+    """Drop the persisted predictions table of ``sf_dir`` from the session."""
+    predictions(spark, sf_dir).unpersist()
