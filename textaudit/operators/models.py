@@ -114,11 +114,27 @@ def with_balanced_weights(df: DataFrame, label: str = "label") -> DataFrame:
     return df.join(F.broadcast(w.select(F.col("cls").alias(label), F.col("weight").alias("weight"))), label)
 
 
+TRAIN_ROWS_PER_PARTITION = 200_000
+
+
+def _fit_partitions(train: DataFrame, n: int) -> DataFrame:
+    """Iterative fits launch one job per iteration: a training set is coalesced (no
+    shuffle) to about ``TRAIN_ROWS_PER_PARTITION`` rows per partition, so a small set is not
+    spread over many near-empty tasks; a large one keeps its partitioning."""
+    want = max(1, -(-n // TRAIN_ROWS_PER_PARTITION))
+    try:
+        have = train.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view: leave the partitioning to the planner
+        return train
+    return train.coalesce(want) if want < have else train
+
+
 def train_logreg(train: DataFrame, max_iter: int = 1000, label: str = "label", stop_words=None, tol: float = 1e-4):
     """Balanced logistic regression, C = 1 (regParam = 1 / n, no standardisation)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     n = train.count()
+    train = _fit_partitions(train, n)
     lr = LogisticRegression(featuresCol="features", labelCol=label, weightCol="weight", maxIter=max_iter, tol=tol,
                             regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False)
     feats = text_features_pipeline(stop_words=stop_words)
@@ -130,6 +146,7 @@ def train_svm(train: DataFrame, max_iter: int = 5000, label: str = "label", feat
     """Balanced linear SVM on given feature vectors (hinge loss)."""
     from pyspark.ml.classification import LinearSVC
     n = train.count()
+    train = _fit_partitions(train, n)
     svm = LinearSVC(featuresCol=features, labelCol=label, weightCol="weight", maxIter=max_iter, tol=tol,
                     regParam=1.0 / max(n, 1), standardization=False)
     return svm.fit(with_balanced_weights(train, label))

@@ -209,7 +209,7 @@ def minimal_splits(spark, sf):
     t = U.tables(spark, sf)
     keys = t.labels.select("doc_id", F.col("toxic").cast("int").alias("label"))
     s = SP.train_val_test(keys, "doc_id", "label", 0.1, 0.1, U.SEED)
-    d = t.documents.join(s, "doc_id")
+    d = t.documents.join(U.label_side(s), "doc_id")
     minimal = SC.minimal_projection(d.where(F.col("split") != "test")).withColumn(
         "split", F.lit(None).cast("string"))
     return minimal.unionByName(d.where(F.col("split") == "test"), allowMissingColumns=True)

@@ -86,7 +86,9 @@ def _labelled(spark, sf):
     t = U.tables(spark, sf)
     keys = t.labels.select("doc_id", F.col("toxic").cast("int").alias("label"))
     splits = SP.train_val_test(keys, "doc_id", "label", 0.1, 0.1, U.SEED)
-    d = t.documents.select("doc_id", "text").join(splits, "doc_id")
+    # the key side is broadcast when its size is proven small, so the texts keep their
+    # partitioning (and parallelism) instead of being shuffled or broadcast themselves
+    d = t.documents.select("doc_id", "text").join(U.label_side(splits), "doc_id")
     return cut_lineage(d)
 
 
