@@ -124,3 +124,21 @@ def stream_shadow_divergence(stream: DataFrame, primary: ValueScorer, shadow: Va
 def stream_scored_rows(stream: DataFrame, model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Row-level scoring is stateless, so the batch operators run on a stream unchanged."""
     return stream.select(key, model.proba(TX.word_tokens(text)).alias("proba"))
+
+
+def stream_threshold_audit(stream: DataFrame, scorer: ValueScorer, truth: Column, thresholds,
+                           ts: str = "ts") -> DataFrame:
+    """Streaming form of the monthly threshold audit: a running aggregate per (month,
+    threshold), emitted in update or complete mode. The state is one row per month and
+    threshold."""
+    return threshold_audit(stream, scorer, truth, thresholds, ts)
+
+
+def stream_score_bins(stream: DataFrame, scorer: ValueScorer, n_bins: int = 10, ts: str = "ts",
+                      watermark: str = "1 day") -> DataFrame:
+    """Streaming daily score-bin counts (event-time windows with a watermark, append mode):
+    the input of the drift monitor, whose KL step compares closed days with a reference."""
+    ev = stream.withColumn("_et", F.col(ts).cast("timestamp")).withWatermark("_et", watermark)
+    g = ev.groupBy(F.window(F.col("_et"), "1 day").alias("w"),
+                   score_bins(scorer.proba(F.col("value")), n_bins).alias("bin")).agg(F.count(F.lit(1)).alias("c"))
+    return g.select(F.col("w.start").cast("timestamp_ntz").alias("day"), "bin", "c")
