@@ -71,3 +71,16 @@ def test_best_run_first_wins_tie(spark):
                                  "model STRING, epoch INT, threshold DOUBLE, f1 DOUBLE")
     r = C.best_run(runs).first()
     assert r["best_epoch"] == 2 and math.isclose(r["best_f1"], 0.7)
+
+
+def test_logit_probabilities(spark):
+    import math as m
+
+    from textaudit.functions import numeric as N
+    df = spark.createDataFrame([([0.0],), ([2.0],), ([1.0, 3.0],), ([1000.0, 1001.0],), ([],)], "l ARRAY<DOUBLE>")
+    got = [r["p"] for r in df.select(N.positive_proba(F.col("l")).alias("p")).collect()]
+    assert got[0] == 0.5 and abs(got[1] - 1 / (1 + m.exp(-2))) < 1e-12
+    assert abs(got[2] - m.exp(3) / (m.exp(1) + m.exp(3))) < 1e-12
+    assert abs(got[3] - 1 / (1 + m.exp(-1))) < 1e-12 and got[4] is None
+    txt = spark.range(1).select(N.fixed_decimals(F.lit(0.12345), 3).alias("t")).first()["t"]
+    assert txt == "0.123"
