@@ -47,3 +47,16 @@ def test_stream_threshold_audit_and_bins(spark, tmp_path):
     full = {(r["day"], r["bin"]): r["count"] for r in x.groupBy("day", "bin").count().collect()}
     # append mode emits the days the watermark has closed; each emitted day is complete
     assert streamed and all(full[k] == v for k, v in streamed.items())
+    # drift from the streamed counts equals the batch monitor on the closed days
+    kl_stream = {r["day"]: r["kl"] for r in MO.kl_from_bins(spark.table("bins_test"), PM.REF_START, PM.REF_END,
+                                                            PM.N_BINS).collect()}
+    kl_batch = {r["day"]: r["kl"] for r in MO.drift_kl(batch, PM.PRIMARY, PM.REF_START, PM.REF_END, PM.N_BINS).collect()}
+    assert kl_stream and all(kl_batch[d] == v for d, v in kl_stream.items())
+    grp = F.when(F.get_json_object("props", "$.k").cast("int") < 50, "low").otherwise("high")
+    q3 = (MO.stream_subgroup_monthly(stream, PM.PRIMARY, truth, grp)
+          .writeStream.outputMode("complete").format("memory").queryName("sub_test")
+          .option("checkpointLocation", str(tmp_path / "ck3")).trigger(availableNow=True).start())
+    q3.awaitTermination()
+    got3 = {tuple(r) for r in spark.table("sub_test").collect()}
+    exp3 = {tuple(r) for r in MO.subgroup_monthly(batch, PM.PRIMARY, truth, grp).collect()}
+    assert got3 == exp3 and got3

@@ -73,18 +73,25 @@ def score_bins(p: Column, n_bins: int) -> Column:
     return F.least(F.floor(p * n_bins), F.lit(n_bins - 1)).cast("int")
 
 
-def drift_kl(events: DataFrame, scorer: ValueScorer, ref_start: str, ref_end: str, n_bins: int = 10,
-             ts: str = "ts") -> DataFrame:
-    """Per day: KL(day || reference) of score-bin shares with add-one smoothing; the
-    reference period is [ref_start, ref_end). Bins are a fixed grid of ``n_bins``."""
-    x = events.select(F.date_trunc("day", F.col(ts)).alias("day"), F.col(ts).alias("_ts"),
+def daily_score_bins(events: DataFrame, scorer: ValueScorer, n_bins: int = 10, ts: str = "ts") -> DataFrame:
+    """``(day, bin, c)``: events per day and score bin (a partial aggregate)."""
+    x = events.select(F.date_trunc("day", F.col(ts)).alias("day"),
                       score_bins(scorer.proba(F.col("value")), n_bins).alias("bin"))
-    ref = (x.where((F.col("_ts") >= F.lit(ref_start).cast("timestamp")) & (F.col("_ts") < F.lit(ref_end).cast("timestamp")))
-           .groupBy("bin").agg(F.count(F.lit(1)).alias("rc")))
-    daily = x.groupBy("day", "bin").agg(F.count(F.lit(1)).alias("c"))
-    grid = x.select("day").distinct().select("day", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"))
+    return x.groupBy("day", "bin").agg(F.count(F.lit(1)).alias("c"))
+
+
+def kl_from_bins(bins: DataFrame, ref_start: str, ref_end: str, n_bins: int = 10) -> DataFrame:
+    """Per day: KL(day || reference) of score-bin shares with add-one smoothing, from
+    ``(day, bin, c)`` counts; the reference is the days in [ref_start, ref_end). Works on
+    batch counts and on the output table of :func:`stream_score_bins`."""
+    in_ref = (F.col("day") >= F.lit(ref_start).cast("timestamp_ntz")) & (F.col("day") < F.lit(ref_end).cast("timestamp_ntz"))
+    # fresh aliases on each side, so the self-joins below also resolve on a sink table
+    counts = bins.select(F.col("day").alias("day"), F.col("bin").alias("bin"), F.col("c").alias("c"))
+    ref = counts.where(in_ref).groupBy("bin").agg(F.sum("c").alias("rc"))
+    grid = (bins.select(F.col("day").alias("_day")).distinct()
+            .select(F.col("_day").alias("day"), F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin")))
     # the reference histogram has at most n_bins rows
-    full = (grid.join(daily, ["day", "bin"], "left").join(F.broadcast(ref), "bin", "left")
+    full = (grid.join(counts, ["day", "bin"], "left").join(F.broadcast(ref), "bin", "left")
             .fillna(0, ["c", "rc"]))
     tot = full.groupBy("day").agg(F.sum("c").alias("n"), F.sum("rc").alias("rn"))
     j = full.join(tot, "day")
@@ -94,6 +101,13 @@ def drift_kl(events: DataFrame, scorer: ValueScorer, ref_start: str, ref_end: st
                                 F.first("n").cast("long").alias("n_events"))
 
 
+def drift_kl(events: DataFrame, scorer: ValueScorer, ref_start: str, ref_end: str, n_bins: int = 10,
+             ts: str = "ts") -> DataFrame:
+    """Per day: KL(day || reference) of score-bin shares with add-one smoothing; the
+    reference period is the whole days in [ref_start, ref_end). Bins are a fixed grid."""
+    return kl_from_bins(daily_score_bins(events, scorer, n_bins, ts), ref_start, ref_end, n_bins)
+
+
 def subgroup_monthly(events: DataFrame, scorer: ValueScorer, truth: Column, group: Column,
                      ts: str = "ts", threshold: float = 0.5) -> DataFrame:
     """Group rates (count, positive rate, TPR, FPR, precision) per month."""
@@ -142,3 +156,10 @@ def stream_score_bins(stream: DataFrame, scorer: ValueScorer, n_bins: int = 10,
     g = ev.groupBy(F.window(F.col("_et"), "1 day").alias("w"),
                    score_bins(scorer.proba(F.col("value")), n_bins).alias("bin")).agg(F.count(F.lit(1)).alias("c"))
     return g.select(F.col("w.start").cast("timestamp_ntz").alias("day"), "bin", "c")
+
+
+def stream_subgroup_monthly(stream: DataFrame, scorer: ValueScorer, truth: Column, group: Column,
+                            ts: str = "ts", threshold: float = 0.5) -> DataFrame:
+    """Streaming form of the monthly subgroup checks (update or complete mode; one row of
+    state per month and group)."""
+    return subgroup_monthly(stream, scorer, truth, group, ts, threshold)
