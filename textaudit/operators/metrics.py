@@ -126,15 +126,19 @@ def classification_report(df: DataFrame, by=("model",)) -> DataFrame:
                          _r(F.col("recall")).alias("recall"), _r(F.col("f1")).alias("f1_score"),
                          F.col("support").cast("long").alias("support"), F.lit(None).cast("double").alias("value"))
     nul = F.lit(None).cast("double")
-    acc = av.select(*by, F.lit("accuracy").alias("label"), nul.alias("precision"), nul.alias("recall"),
-                    nul.alias("f1_score"), F.lit(None).cast("long").alias("support"), F.col("accuracy").alias("value"))
-    mac = av.select(*by, F.lit("macro avg").alias("label"), F.col("macro_precision").alias("precision"),
-                    F.col("macro_recall").alias("recall"), F.col("macro_f1").alias("f1_score"),
-                    F.col("total_support").alias("support"), nul.alias("value"))
-    wei = av.select(*by, F.lit("weighted avg").alias("label"), F.col("weighted_precision").alias("precision"),
-                    F.col("weighted_recall").alias("recall"), F.col("weighted_f1").alias("f1_score"),
-                    F.col("total_support").alias("support"), nul.alias("value"))
-    return cls_rows.unionByName(acc).unionByName(mac).unionByName(wei)
+
+    def row(label, p, r, f, sup, val):
+        return F.struct(F.lit(label).alias("label"), p.alias("precision"), r.alias("recall"), f.alias("f1_score"),
+                        sup.cast("long").alias("support"), val.alias("value"))
+
+    # the three summary rows of a group come from one pass over the averages
+    summary = av.select(*by, F.explode(F.array(
+        row("accuracy", nul, nul, nul, F.lit(None), F.col("accuracy")),
+        row("macro avg", F.col("macro_precision"), F.col("macro_recall"), F.col("macro_f1"),
+            F.col("total_support"), nul),
+        row("weighted avg", F.col("weighted_precision"), F.col("weighted_recall"), F.col("weighted_f1"),
+            F.col("total_support"), nul))).alias("r")).select(*by, "r.*")
+    return cls_rows.unionByName(summary)
 
 
 def report_wide(df: DataFrame, by=("model",), classes=(0, 1)) -> DataFrame:
