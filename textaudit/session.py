@@ -31,30 +31,43 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     )
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    share_package(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the folder is set by the cluster configuration and must be shared storage;
-    it is only set here when it is unset (local tests), to a fresh scratch folder.
+    On a cluster the folder is set by the cluster's configuration and must be shared storage:
+    there, an unset folder is an error. Only a session whose executors run inside the driver
+    (``local[*]``, as in tests) gets a scratch folder of its own.
     """
     cur = spark.conf.get("spark.checkpoint.dir", None)
     try:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001 - remote session: the server side owns the folder
         return cur
-    if cur:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(cur)
-        return cur
-    if sc.getCheckpointDir() is not None:
-        return sc.getCheckpointDir()
-    path = tempfile.mkdtemp(prefix="textaudit-ckpt-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", path)
-    sc.setCheckpointDir(path)
-    return path
+    cur = cur or sc.getCheckpointDir()
+    if not cur:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        cur = tempfile.mkdtemp(prefix="textaudit-local-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(cur)
+    return cur
+
+
+def share_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver did (a local session, or a
+    cluster that mounts the folder; elsewhere the package is installed or sent with the job)."""
+    try:
+        env = spark.sparkContext.environment
+    except Exception:  # noqa: BLE001 - remote session
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
