@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from .fmindex import FMIndex
 from .frames import map_text, pick
-from .words import ALNUM, Words, code_points, span_hash
+from .words import ALNUM, Words, code_points, ranges, span_hash
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 WIDTH = 10
@@ -88,12 +88,6 @@ def blocks(benchmark: DataFrame, item: str, text: str, width: int, most: int) ->
         yield block(held, width)
 
 
-def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Concatenated ``starts[i] .. starts[i] + sizes[i]``."""
-    first = np.cumsum(sizes) - sizes
-    return np.arange(int(sizes.sum())) + np.repeat(starts - first, sizes)
-
-
 def occurrences(words: Words, b: Block) -> tuple[np.ndarray, np.ndarray]:
     """Word index and window number of every occurrence of a window in the slice."""
     none = np.zeros(0, np.int64), np.zeros(0, np.int64)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
 from .frames import documents
+from .language import fold, learn, predict
+from .simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -50,3 +52,18 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(words.n_hit,
        coalesce(words.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+
+@query
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints and near-duplicate components of all documents."""
+    found = near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents by a model of those outside the held-out third."""
+    docs = documents(spark, sf_dir)
+    model = learn(docs.where(F.col("doc_id").isNotNull() & ~fold(F.col("doc_id"))))
+    return predict(docs, model, keep=["doc_id"]).select("doc_id", fold(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
