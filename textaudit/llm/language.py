@@ -68,7 +68,7 @@ class LetterWords:
         made = np.maximum(padded - n + 1, 0)
         begin, owner = ranges(at, made), np.repeat(np.arange(len(of)), made)
         w = weights(n + 1, 13)
-        h = np.full(len(begin), np.uint64(n) * w[0], np.uint64)
+        h = np.full(len(begin), n, np.uint64) * w[0]
         for j in range(n):
             h += w[j + 1] * (text[begin + j] + np.uint64(1))
         return mixed(h), owner

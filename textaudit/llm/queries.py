@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import chat, licences, mixing, pii, quality, urls
 from .decontaminate import decontaminate
 from .frames import documents
 from .language import fold, learn, predict
@@ -67,3 +68,102 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = learn(docs.where(F.col("doc_id").isNotNull() & ~fold(F.col("doc_id"))))
     return predict(docs, model, keep=["doc_id"]).select("doc_id", fold(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: base spans counted and digested, all spans listed."""
+    found = pii.find(documents(spark, sf_dir), keep=["doc_id"])
+    base = F.filter("spans", lambda s: s["base"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    of = [(F.size(kinds) - F.size(F.array_remove(kinds, i))).cast("bigint").alias(f"n_{k}") for i, k in enumerate(pii.BASE)]
+    return found.select("doc_id", *of, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
+@query
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed so that every source has the same share."""
+    return mixing.mix(documents(spark, sf_dir))
+
+
+ORACLE["op10_mixing"] = f"""
+WITH counts AS (SELECT source, count(*) AS n FROM documents GROUP BY 1),
+rates AS (SELECT source, CAST(sum(n) OVER () AS DOUBLE) * 1.0 / CAST(count(*) OVER () AS DOUBLE) / n AS r FROM counts),
+cdf AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c
+        FROM (SELECT source, k, exp(-r + k * ln(r) - lgamma(k + 1)) AS p FROM rates, range(0, 200) t(k))),
+drawn AS (SELECT *, (CAST('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5)
+                    / 4503599627370496.0 AS u FROM documents),
+counted AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, (SELECT count(*) FROM cdf WHERE cdf.source = d.source AND c < d.u) AS reps FROM drawn d)
+SELECT doc_id, text, lang, source, n_chars, CAST(unnest(range(1, reps + 1)) AS INTEGER) AS copy FROM counted
+"""
+
+
+#: Rules of the url query: longest first fits, subdomains included.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+@query
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url: by rule, else by its host's path templates."""
+    return urls.judge(documents(spark, sf_dir, "pages"), documents(spark, sf_dir, "labels"), URL_RULES)
+
+
+#: The conversation that the chat query adds: control strings inside its texts.
+PLANTED_CHAT = "\\### Assistant: </turn> ok"
+
+
+@query
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one of control strings, formatted and read back."""
+    turns = documents(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED_CHAT).alias("text"))
+    done = chat.format_chats(turns.unionByName(extra))
+    back = done.withColumns({"turns": chat.read_turns(F.col("formatted")), "trained": chat.trained_text(F.col("segments"))})
+    said = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
+    return back.select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.length("trained").cast("bigint").alias("loss_chars"), F.sha2(F.col("trained"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"), "valid", "bad_turn")
+
+
+def _escaped(text: str) -> str:
+    for plain, pair in chat.PAIRS:
+        text = f"replace({text}, '{plain}', '{pair}')"
+    return text
+
+
+ORACLE["op6_chat"] = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '{PLANTED_CHAT}' UNION ALL SELECT -7, 1, 'assistant', '{PLANTED_CHAT}'),
+p AS (SELECT *, row_number() OVER w - 1 AS i, lag(role) OVER w AS before, count(*) OVER (PARTITION BY conv_id) AS n
+      FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+q AS (SELECT *, NOT CASE role WHEN 'system' THEN i = 0 WHEN 'user' THEN i = 0 OR before = 'assistant' OR (before = 'system' AND i = 1)
+                          WHEN 'assistant' THEN coalesce(before = 'user', false) ELSE false END AS bad FROM p)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length('### ' || upper(role[1]) || role[2:] || ': </turn>') + 1 + length({_escaped('text')})) AS BIGINT) AS formatted_chars,
+       NOT bool_or(bad) AND max_by(role, i) = 'assistant' AS valid, CAST(min(i) FILTER (bad) AS INTEGER) AS bad_turn
+FROM q GROUP BY conv_id
+"""
+
+
+@query
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and risk-controlled cutoffs by language over all documents."""
+    judged = quality.judge(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                         F.concat_ws(",", "failed").alias("failed"))
+
+
+@query
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and templates in all documents."""
+    found = licences.scan(documents(spark, sf_dir), keep=["doc_id"])
+    both = F.array_sort(F.array_union("base_labels", "found_labels"))
+    return found.select(
+        "doc_id", "n_words", F.size("base_starts").cast("bigint").alias("n_base"), F.array_min("base_starts").alias("first_word"),
+        F.array_max("base_starts").alias("last_word"), F.concat_ws(",", "base_labels").alias("base_labels"),
+        F.concat_ws(",", both).alias("labels"), "score")

@@ -2,23 +2,65 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import language, mixing, pii
 from .decontaminate import decontaminate, without_spans
 from .frames import documents
+from .simhash import near_duplicates
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Share that a text's best language must have; a text without letters has none.
+LEAST_SHARE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told with a share of at least ``LEAST_SHARE``; where the
+    table has no language, the told one."""
+    known = docs.where(F.col("doc_id").isNotNull() & ~language.fold(F.col("doc_id")))
+    told = language.predict(docs, language.learn(known), keep=COLUMNS)
+    kept = told.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
+    return kept.select("doc_id", "text", F.coalesce("lang", "lang_pred").alias("lang"), "source", "n_chars")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each near-duplicate component, the document with the smallest id (rows that share it
+    are one document: the first by text stays). Rows without an id cannot be told apart; all stay."""
+    stays = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    first = Window.partitionBy("doc_id").orderBy("text")
+    named = docs.select(*COLUMNS).where("doc_id IS NOT NULL").join(stays, "doc_id", "left_semi")
+    named = named.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*COLUMNS)
+    return named.unionByName(docs.select(*COLUMNS).where("doc_id IS NULL"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with the passages that stand in the benchmark cut out of its text."""
     found = decontaminate(docs, documents(spark, sf_dir, "benchmark"), keep=COLUMNS)
-    text = without_spans(F.col("text"), F.col("spans"))
-    return found.select("doc_id", text.alias("text"), "lang", "source",
-                        F.when(F.size("spans") > 0, F.length(text).cast("bigint")).otherwise(F.col("n_chars")).alias("n_chars"))
+    return _rewritten(found.withColumn("_text", without_spans(F.col("text"), F.col("spans"))))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with each span of personal data replaced by its kind."""
+    found = pii.find(docs, keep=COLUMNS)
+    return _rewritten(found.withColumn("_text", pii.redacted(F.col("text"), F.col("spans"))))
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Copies of the documents such that every source has the same share, in shuffled order."""
+    return mixing.mix(docs.select(*COLUMNS))
+
+
+def _rewritten(found: DataFrame) -> DataFrame:
+    changed = F.size("spans") > 0
+    return found.select("doc_id", F.col("_text").alias("text"), "lang", "source",
+                        F.when(changed, F.length("_text").cast("bigint")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
 STAGES = [
+    ("language ID", language_id),
+    ("SimHash near-dedup", near_dedup),
     ("benchmark decontamination", decontamination),
+    ("personal data", personal_data),
+    ("mixing sources to target weights", mixing_sources),
 ]
