@@ -10,7 +10,6 @@ from which the bound stays within the rule's share of ``risk``, so that with pro
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +52,7 @@ def _by_row(values: np.ndarray, at: np.ndarray, offsets: np.ndarray) -> np.ndarr
     return whole[edge[1:]] - whole[edge[:-1]]
 
 
-def _counting():
+def counting():
     flags = np.zeros(256, bool)
     flags[list(SYMBOLS)] = True
 
@@ -95,7 +94,7 @@ def _counting():
 
 def counts(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The ``keep`` columns and the counts of each text (null: all zero)."""
-    return map_text(docs, text, keep, [T.StructField(c, T.LongType()) for c in COUNTS], _counting)
+    return map_text(docs, text, keep, [T.StructField(c, T.LongType()) for c in COUNTS], counting)
 
 
 def base_failed() -> Column:

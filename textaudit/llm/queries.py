@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licences, mixing, pii, quality, urls
+from . import chat, licences, mixing, pii, quality, urls, weaklabels
 from .decontaminate import decontaminate
 from .frames import documents
 from .language import fold, learn, predict
@@ -124,7 +124,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(
         "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
         F.length("trained").cast("bigint").alias("loss_chars"), F.sha2(F.col("trained"), 256).alias("loss_sha256"),
-        F.length("formatted").cast("bigint").alias("formatted_chars"), "valid", "bad_turn")
+        F.length("formatted").cast("bigint").alias("formatted_chars"), "valid", F.coalesce("bad_turn", F.lit(-1)).alias("bad_turn"))
 
 
 def _escaped(text: str) -> str:
@@ -145,7 +145,7 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(length('### ' || upper(role[1]) || role[2:] || ': </turn>') + 1 + length({_escaped('text')})) AS BIGINT) AS formatted_chars,
-       NOT bool_or(bad) AND max_by(role, i) = 'assistant' AS valid, CAST(min(i) FILTER (bad) AS INTEGER) AS bad_turn
+       NOT bool_or(bad) AND max_by(role, i) = 'assistant' AS valid, CAST(coalesce(min(i) FILTER (bad), -1) AS INTEGER) AS bad_turn
 FROM q GROUP BY conv_id
 """
 
@@ -167,3 +167,9 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", F.size("base_starts").cast("bigint").alias("n_base"), F.array_min("base_starts").alias("first_word"),
         F.array_max("base_starts").alias("last_word"), F.concat_ws(",", "base_labels").alias("base_labels"),
         F.concat_ws(",", both).alias("labels"), "score")
+
+
+@query
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weak-label quality classifier, fitted on and applied to all documents."""
+    return weaklabels.classify(documents(spark, sf_dir), keep=["doc_id"]).select("doc_id", "n_words", "votes", "posterior", "score", "kept")
