@@ -131,6 +131,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE, segments: int = SEGMENT
     """``distinct(fp)`` -> ``(a, b)``: links that connect exactly the fingerprints at
     ``distance`` or fewer differing bits."""
     exact, chains, budgets = ring(distance, segments)
+    bucket = max(bucket, 1 << distance)  # with so few free bits, splitting ends
 
     def keyed(df: DataFrame, choices: F.Column) -> DataFrame:
         return df.select("fp", F.explode(choices).alias("k")).select("fp", "k.turn", "k.mask", F.col("fp").bitwiseAND(F.col("k.mask")).alias("key"))
@@ -169,8 +170,8 @@ def links(distinct: DataFrame, distance: int = DISTANCE, segments: int = SEGMENT
         if not crowded:
             return out
         split = F.create_map(*[x for r, m in at for x in (F.lit(f"{r} {_signed(m)}"), F.array(*[choice(r, c) for c in finer(m, distance)]))])
-        rows = keyed(rows.join(heavy, ["turn", "mask", "key"], "left_semi"), split[F.concat_ws(" ", "turn", "mask")])
-        at = [(r, c) for r, m in at for c in finer(m, distance)]
+        rows = keyed(rows.join(heavy, ["turn", "mask", "key"], "left_semi"), split[F.concat_ws(" ", "turn", "mask")]).distinct()
+        at = list(dict.fromkeys((r, c) for r, m in at for c in finer(m, distance)))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE,
