@@ -7,7 +7,7 @@ regex engines. Whitespace is ``[\\s\\p{Z}]`` (ASCII controls plus Unicode separa
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD_CLASS = r"[\p{L}\p{N}_]"
@@ -162,3 +162,20 @@ def explode_rows(arr: Column, pos: bool = False):
     time below the generator. Empty arrays yield one NULL row; drop it with
     ``where(<element>.isNotNull())``."""
     return F.posexplode_outer(arr) if pos else F.explode_outer(arr)
+
+
+def with_counts(df: DataFrame, tokens: Column, out: str = "counts") -> DataFrame:
+    """Adds ``out``: ``array<struct<word, c>>``, the distinct tokens of the row, sorted, with
+    their counts. Computed inside the row (sort, then the lengths of the runs), so counting the
+    words of documents shuffles nothing. The steps are columns of their own, as an array used
+    inside a lambda must be computed once a row, not once an element."""
+    own = [f"_{out}_{x}" for x in ("sorted", "runs")]
+    a = df.withColumn(own[0], F.sort_array(tokens))
+    t = F.col(own[0])
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))))
+    marks = F.transform(F.zip_with(t, before, lambda x, y: F.when(x.isNotNull() & ~x.eqNullSafe(y), x)), lambda w, i: F.struct(w.alias("word"), i.alias("at")))
+    b = a.withColumn(own[1], F.filter(marks, lambda m: m["word"].isNotNull()))
+    r = F.col(own[1])
+    ends = F.concat(F.slice(F.transform(r, lambda m: m["at"]), 2, F.greatest(F.size(r), F.lit(1))), F.array(F.size(t)))
+    counts = F.zip_with(r, F.slice(ends, 1, F.greatest(F.size(r), F.lit(0))), lambda m, e: F.struct(m["word"].alias("word"), (e - m["at"]).cast("long").alias("c")))
+    return b.withColumn(out, counts).drop(*own)

@@ -38,12 +38,11 @@ def keyword_attribution(df: DataFrame, key: str = "doc_id", text: str = "text",
 def keyword_attribution_rows(df: DataFrame, weights: DataFrame, key: str = "doc_id", text: str = "text",
                              k: int = 3) -> DataFrame:
     """Row form: explode word positions, join a weight table, ``row_number`` top-k (Spark
-    applies the limit per partition before the shuffle). The weight table is broadcast
-    only below a checked row count."""
+    applies the limit per partition before the shuffle). Whether the weight table is broadcast
+    is left to the planner's size threshold; a hot word's partition is split by AQE."""
     pos = df.select(key, TX.explode_rows(TX.word_tokens(text), pos=True).alias("pos", "word")).where(
         F.col("word").isNotNull())
-    from ..session import bounded_broadcast
-    j = pos.join(bounded_broadcast(weights.select("word", F.col("weight").alias("score")), 1_000_000), "word")
+    j = pos.join(weights.select("word", F.col("weight").alias("score")), "word")
     w = Window.partitionBy(key).orderBy(F.col("score").desc(), F.col("pos"))
     return (j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select(key, "rank", "word", "score"))
@@ -89,22 +88,19 @@ def occlusion_attribution(df: DataFrame, model, key: str = "doc_id", text: str =
     (ties by word).
 
     The scorer depends on (hits, n_tokens) only, so removing word w gives
-    (hits - c_w * [w in lexicon], n - c_w) exactly: one aggregate per (doc, word) replaces
-    one rescoring pass per variant text."""
+    (hits - c_w * [w in lexicon], n - c_w) exactly, from the word counts of the row: no
+    rescoring pass per variant text, and no shuffle but the top-k's, limited per partition."""
     toks = TX.word_tokens(text)
-    lex = TX.literal_array(list(model.words))
-    # document totals are computed once per row, before the explode (an expression next to
-    # a generator would be evaluated once per generated row)
-    per_doc = df.select(key, toks.alias("_t")).select(
-        key, F.size("_t").alias("n"), F.size(F.filter("_t", lambda t: F.array_contains(lex, t))).alias("hits"), "_t")
-    base = per_doc.select(key, "n", "hits", TX.explode_rows(F.col("_t")).alias("word")).where(F.col("word").isNotNull())
-    counts = base.groupBy(key, "n", "hits", "word").agg(F.count(F.lit(1)).alias("c"))
+    per_doc = df.select(key, toks.alias("_t"))
+    per_doc = TX.with_counts(per_doc.select(key, "_t", F.size("_t").alias("n"), model.hits(F.col("_t")).alias("hits")), F.col("_t"))
+    counts = per_doc.select(key, "n", "hits", TX.explode_rows(F.col("counts")).alias("t")).where(F.col("t").isNotNull()).select(
+        key, "n", "hits", F.col("t.word").alias("word"), F.col("t.c").alias("c"))
 
     def prob(h, n):
         x = F.lit(model.intercept) + F.lit(model.slope) * h / F.greatest(n, F.lit(1))
         return F.round(TX.sigmoid(x), DIGITS)
 
-    inlex = F.array_contains(lex, F.col("word")).cast("int")
+    inlex = F.col("word").isin(*model.words).cast("int")
     p0 = prob(F.col("hits"), F.col("n"))
     p1 = prob(F.col("hits") - F.col("c") * inlex, F.col("n") - F.col("c"))
     d = counts.select(key, "word", "c", F.round(p0 - p1, DIGITS).alias("delta"))
@@ -115,50 +111,45 @@ def occlusion_attribution(df: DataFrame, model, key: str = "doc_id", text: str =
 
 def linear_attribution(docs: DataFrame, pipeline_model, key: str = "doc_id", text: str = "text",
                        stop_words=(), k: int = L.ATTRIBUTION_TOP_K) -> DataFrame:
-    """Word contributions of a fitted (tokens -> stop words -> counts -> IDF -> linear model)
-    pipeline: coefficient * idf * (term count - mean term count), exact for the logit;
-    top-k per document by |contribution| (ties by word).
+    """Word contributions of a fitted (TF-IDF -> linear model) pipeline: coefficient * (weight -
+    mean weight over ``docs``), exact for the logit; top-k per document by |contribution| (ties
+    by term), of the terms that the document has.
 
-    Computed from (doc, term) counts and a vocabulary table (bounded by the vocabulary size,
-    hence broadcast) instead of dense feature vectors."""
+    Computed from the row's term counts and the vocabulary table (bounded by its size, hence
+    broadcast) instead of dense feature vectors."""
+    from . import features as FE
     stages = pipeline_model.stages
-    cv = next(st for st in stages if hasattr(st, "vocabulary"))
-    idf = next(st for st in stages if hasattr(st, "idf")).idf.toArray().tolist()
+    vocabulary = next(st for st in stages if hasattr(st, "vocabulary")).vocabulary
+    idf = next(st for st in stages if hasattr(st, "getScalingVec")).getScalingVec().toArray().tolist()
     coef = stages[-1].coefficients.toArray().tolist()
-    spark = docs.sparkSession
-    terms = spark.createDataFrame([(w, float(coef[i]), float(idf[i])) for i, w in enumerate(cv.vocabulary)],
-                                  "term STRING, coef DOUBLE, idf DOUBLE")
-    toks = TX.word_tokens(text, min_len=2)
-    if stop_words:
-        sw = TX.literal_array(sorted(set(stop_words)))
-        toks = F.filter(toks, lambda t: ~F.array_contains(sw, t))
-    tf = (docs.select(key, TX.explode_rows(toks).alias("term")).where(F.col("term").isNotNull())
-          .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
+    terms = docs.sparkSession.createDataFrame([(w, float(coef[i]), float(idf[i])) for i, w in enumerate(vocabulary)],
+                                              "term STRING, coef DOUBLE, idf DOUBLE")
     n = docs.count()
-    # restricted to vocabulary terms first, so the per-term means are bounded by the
-    # vocabulary size and broadcast (no shuffle join on a hot term)
-    in_vocab = tf.join(F.broadcast(terms), "term")
-    means = in_vocab.groupBy("term").agg((F.sum("tf") / F.lit(float(max(n, 1)))).alias("mean_tf"))
-    c = (in_vocab.join(F.broadcast(means), "term")
-         .select(key, "term", F.round(F.col("coef") * F.col("idf") * (F.col("tf") - F.col("mean_tf")), DIGITS)
-                 .alias("score")))
+    weights = FE.tfidf_apply(FE.counted_terms(docs, key, text, stop_words), terms, key, keep=("coef",))
+    means = weights.groupBy("term").agg((F.sum("weight") / F.lit(float(max(n, 1)))).alias("mean"))
+    score = F.round(F.col("coef") * (F.col("weight") - F.col("mean")), DIGITS)
+    c = weights.join(F.broadcast(means), "term").select(key, "term", score.alias("score"))
     w = Window.partitionBy(key).orderBy(F.abs(F.col("score")).desc(), F.col("term"))
     return c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(
         key, "rank", F.col("term").alias("word"), "score")
 
 
-def attribution_cosine(a: DataFrame, b: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Cosine of two attributions as word -> summed score vectors (full outer join on
-    (key, word)); NULL when either vector is zero."""
-    va = a.groupBy(key, "word").agg(F.sum("score").alias("sa"))
-    vb = b.groupBy(key, "word").agg(F.sum("score").alias("sb"))
-    j = va.join(vb, [key, "word"], "full").fillna(0.0, ["sa", "sb"])
-    g = j.groupBy(key).agg(F.sum(F.col("sa") * F.col("sb")).alias("dot"),
-                           F.sqrt(F.sum(F.col("sa") * F.col("sa"))).alias("na"),
-                           F.sqrt(F.sum(F.col("sb") * F.col("sb"))).alias("nb"))
-    return g.select(key, F.round(F.when((F.col("na") > 0) & (F.col("nb") > 0),
-                                        F.col("dot") / (F.col("na") * F.col("nb")))
-                                 , DIGITS).alias("cosine"))
+def _as_sums(top: Column, words: Column) -> Column:
+    """Summed scores of a top-k array for each of ``words``."""
+    return F.transform(words, lambda w: F.aggregate(F.filter(top, lambda s: s["word"] == w), F.lit(0.0), lambda acc, s: acc - s["neg"]))
+
+
+def attribution_cosine(df: DataFrame, a: Column, b: Column, key: str = "doc_id") -> DataFrame:
+    """``(key, cosine)`` of two keyword attributions of the same row (arrays of
+    :func:`keyword_scores_array`), as word -> summed score vectors; NULL when either is zero.
+    Rows where neither has a word are left out. The arrays hold top-k words, so all of it is
+    computed inside the row."""
+    both = df.select(key, a.alias("_a"), b.alias("_b"))
+    words = both.select(key, "_a", "_b", F.array_distinct(F.concat(F.transform("_a", lambda s: s["word"]), F.transform("_b", lambda s: s["word"]))).alias("_w"))
+    sums = words.where(F.size("_w") > 0).select(key, _as_sums(F.col("_a"), F.col("_w")).alias("_a"), _as_sums(F.col("_b"), F.col("_w")).alias("_b"))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
+    sums = sums.select(key, dot("_a", "_b").alias("dot"), F.sqrt(dot("_a", "_a")).alias("na"), F.sqrt(dot("_b", "_b")).alias("nb"))
+    return sums.select(key, F.round(F.when((F.col("na") > 0) & (F.col("nb") > 0), F.col("dot") / (F.col("na") * F.col("nb"))), DIGITS).alias("cosine"))
 
 
 def merge_subwords_arrays(df: DataFrame, pieces: str = "pieces", scores: str = "scores",

@@ -153,9 +153,10 @@ def rescore_rewrites(df: DataFrame, model, key: str = "doc_id", text: str = "tex
     ex = s.select(key, "p0", TX.explode_rows(F.col("suggestions"), pos=True).alias("i", "suggestion")).where(
         F.col("suggestion").isNotNull())
     p1 = model.proba(TX.word_tokens("suggestion"))
-    return ex.select(key, (F.col("i") + 1).alias("rank"), "suggestion", F.col("p0").alias("proba_original"),
-                     p1.alias("proba_rewrite")).withColumn(
-        "delta", F.round(F.col("proba_rewrite") - F.col("proba_original"), 6)).withColumn("lower", F.col("delta") < 0)
+    scored = ex.select(key, (F.col("i") + 1).alias("rank"), "suggestion", "p0", p1.alias("p1"))
+    delta = F.round(F.col("p1") - F.col("p0"), 6)
+    return scored.select(key, "rank", "suggestion", F.round("p0", 6).alias("proba_original"), F.round("p1", 6).alias("proba_rewrite"),
+                         delta.alias("delta"), (delta < 0).alias("lower"))
 
 
 def full_audit(df: DataFrame, model, key: str = "doc_id", text: str = "text", weights: dict | None = None,
@@ -172,7 +173,7 @@ def full_audit(df: DataFrame, model, key: str = "doc_id", text: str = "text", we
     d = add_suggestions(c, text, "_words", k)
     p = F.col("proba")
     return d.select(
-        key, "proba", F.when(p > threshold, "BIASED").otherwise("NEUTRAL").alias("bias_class"),
+        key, F.round("proba", 6).alias("proba"), F.when(p > threshold, "BIASED").otherwise("NEUTRAL").alias("bias_class"),
         F.round(F.greatest(p, 1 - p), 6).alias("confidence"),
         F.transform("_top", lambda s: F.struct(s["word"].alias("word"), (-s["neg"]).alias("score"))).alias("top_words"),
         "suggestions")

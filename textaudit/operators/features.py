@@ -7,17 +7,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
-from ..session import bounded_broadcast
 from .metrics import DIGITS
 
 
+MAX_CLASS = 100_000
+
+
 def class_weights(df: DataFrame, label: str = "label", mode: str = "sum_count") -> DataFrame:
-    """``(cls, count, weight)`` for classes 0..max label; an absent class counts as 1.
+    """``(cls, count, weight)`` for classes 0..max label; an absent class counts as 1. A
+    largest label beyond ``MAX_CLASS`` is an error: such a column holds ids, not classes.
 
     ``sum_count``: total / count; ``balanced``: total / (k * count)."""
     counts = df.groupBy(F.col(label).cast("int").alias("cls")).agg(F.count(F.lit(1)).alias("c"))
     # class ids 0..max label: one row per class
-    mx = counts.agg(F.max("cls").alias("m"))
+    mx = counts.agg(F.max("cls").alias("m")).select(
+        F.when(F.col("m") > MAX_CLASS, F.raise_error(F.lit(f"label above {MAX_CLASS}: not a class column")).cast("int"))
+        .otherwise(F.col("m")).alias("m"))
     ids = mx.select(F.explode(F.sequence(F.lit(0), F.greatest(F.col("m"), F.lit(0)))).alias("cls"))
     full = ids.join(counts, "cls", "left").select("cls", F.coalesce(F.col("c"), F.lit(1)).cast("long").alias("count"))
     w = Window.partitionBy(F.lit(0))  # over the class table only (one row per class)
@@ -34,33 +39,44 @@ def label_index(df: DataFrame, label: str):
                          handleInvalid="error").fit(df)
 
 
-def tfidf_terms(docs: DataFrame, key: str = "doc_id", text: str = "text", stop_words=(),
-                min_df: int = 2, max_terms: int = 10000) -> tuple[DataFrame, DataFrame]:
-    """Uni- and bigram TF-IDF.
-
-    Tokens: lower-cased runs of 2+ word characters, stop words removed before bigrams.
-    Vocabulary: terms in >= ``min_df`` documents, the ``max_terms`` most frequent (ties by
-    term). idf = ln((1 + n) / (1 + df)) + 1; weights tf * idf, L2-normalised per document.
-
-    Returns (vocabulary ``(term, df, tf_total, idf)``, weights ``(key, term, weight)``).
-    Counting is ``groupBy`` with map-side combine (hot terms are pre-aggregated per
-    partition); the vocabulary is capped at ``max_terms`` rows, which bounds its broadcast."""
+def counted_terms(docs: DataFrame, key: str = "doc_id", text: str = "text", stop_words=()) -> DataFrame:
+    """``(key, counts array<struct<word, c>>)``: uni- and bigrams of lower-cased runs of 2+ word
+    characters, stop words removed before bigrams; counted inside the row."""
     toks = TX.word_tokens(text, lower=True, min_len=2)
     if stop_words:
-        sw = TX.literal_array(sorted(set(stop_words)))
-        toks = F.filter(toks, lambda t: ~F.array_contains(sw, t))
+        toks = F.filter(toks, lambda t: ~t.isin(*sorted(set(stop_words))))
     t = docs.select(key, toks.alias("_t"))
-    grams = F.concat(F.col("_t"), F.transform(F.slice(F.col("_t"), 1, F.greatest(F.size("_t") - 1, F.lit(0))),
-                                               lambda x, i: F.concat(x, F.lit(" "), F.col("_t")[i + 1])))
-    tf = (t.select(key, TX.explode_rows(grams).alias("term")).where(F.col("term").isNotNull())
-          .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
-    n_docs = docs.count()
-    stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf_total"))
-    vocab = (stats.where(F.col("df") >= min_df).orderBy(F.col("tf_total").desc(), F.col("term")).limit(max_terms)
-             .withColumn("idf", F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0))
-    raw = tf.join(F.broadcast(vocab.select("term", "idf")), "term").withColumn("w", F.col("tf") * F.col("idf"))
-    nrm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    weights = raw.select(key, "term", F.round(F.col("w") / nrm, DIGITS).alias("weight"))
+    pairs = F.zip_with(F.slice("_t", 1, F.greatest(F.size("_t") - 1, F.lit(0))), F.slice("_t", 2, F.greatest(F.size("_t") - 1, F.lit(0))),
+                       lambda x, y: F.concat_ws(" ", x, y))
+    return TX.with_counts(t, F.concat("_t", pairs)).select(key, "counts")
+
+
+def tfidf_vocabulary(counted: DataFrame, n_docs: int, min_df: int = 2, max_terms: int = 10000) -> DataFrame:
+    """``(term, df, tf_total, idf)``: terms in >= ``min_df`` documents, the ``max_terms`` most
+    frequent (ties by term); idf = ln((1 + n) / (1 + df)) + 1. One shuffle, by term."""
+    each = counted.select(TX.explode_rows(F.col("counts")).alias("t")).where(F.col("t").isNotNull())
+    stats = each.groupBy(F.col("t.word").alias("term")).agg(F.count(F.lit(1)).alias("df"), F.sum("t.c").alias("tf_total"))
+    return (stats.where(F.col("df") >= min_df).orderBy(F.col("tf_total").desc(), F.col("term")).limit(max_terms)
+            .withColumn("idf", F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0))
+
+
+def tfidf_apply(counted: DataFrame, vocab: DataFrame, key: str = "doc_id", keep=()) -> DataFrame:
+    """``(key, term, keep..., weight)``: tf * idf by a vocabulary of at most ``max_terms`` rows
+    (hence broadcast), L2-normalised per document (the only shuffle, by key)."""
+    each = counted.select(key, TX.explode_rows(F.col("counts")).alias("t")).where(F.col("t").isNotNull())
+    raw = each.select(key, F.col("t.word").alias("term"), F.col("t.c").alias("tf")).join(
+        F.broadcast(vocab.select("term", "idf", *keep)), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return raw.select(key, "term", *keep, (F.col("w") / norm).alias("weight"))
+
+
+def tfidf_terms(docs: DataFrame, key: str = "doc_id", text: str = "text", stop_words=(),
+                min_df: int = 2, max_terms: int = 10000) -> tuple[DataFrame, DataFrame]:
+    """Uni- and bigram TF-IDF: (vocabulary ``(term, df, tf_total, idf)``, weights ``(key, term,
+    weight)``), rounded for output."""
+    counted = counted_terms(docs, key, text, stop_words)
+    vocab = tfidf_vocabulary(counted, docs.count(), min_df, max_terms)
+    weights = tfidf_apply(counted, vocab, key).withColumn("weight", F.round("weight", DIGITS))
     vocab_out = vocab.select("term", F.col("df").cast("long").alias("df"), F.col("tf_total").cast("long").alias("tf_total"),
                              F.round("idf", DIGITS).alias("idf"))
     return vocab_out, weights
@@ -74,34 +90,32 @@ def word_vector_id(word, n_ids: int):
 
 def mean_pool_vectors(docs: DataFrame, vectors: DataFrame, key: str = "doc_id", text: str = "text",
                       word_id=None, vec_key: str = "vec_id", vec_col: str = "embedding", dim: int | None = None,
-                      max_broadcast_rows: int = 2_000_000) -> DataFrame:
+                      tokens=TX.whitespace_split) -> DataFrame:
     """``(key, vec ARRAY<DOUBLE>)``: mean of the vectors of a document's known words (each
-    occurrence counts); zeros for a document without a known word.
+    occurrence counts, other words drop out); zeros for a document without a known word.
 
-    Words are counted per (doc, word id) first, so the join with the vector table carries
-    one row per distinct word of a document; the vector table is broadcast only below a
-    checked row count, otherwise joined by shuffle (AQE splits a hot word's partition).
-    The mean is a weighted vector aggregate (weights = word counts)."""
+    ``tokens`` makes words of a text; by default whitespace-separated pieces, case and
+    punctuation kept. Words are counted inside the row, so the join carries a row per distinct
+    word and the vectors' weighted mean is combined on the map side. The planner decides by its
+    size threshold whether the vector table is broadcast; else AQE splits a hot word."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
     wid = word_id if word_id is not None else (lambda c: c)
-    counts = (docs.select(key, TX.explode_rows(TX.word_tokens(text)).alias("w")).where(F.col("w").isNotNull())
-              .select(key, wid(F.col("w")).alias(vec_key))
-              .groupBy(key, vec_key).agg(F.count(F.lit(1)).cast("double").alias("c")))
-    vec = bounded_broadcast(vectors.select(vec_key, array_to_vector(vec_col).alias("_v")), max_broadcast_rows)
-    pooled = (counts.join(vec, vec_key).groupBy(key)
+    counted = TX.with_counts(docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text")), tokens("_text"))
+    each = counted.select(key, TX.explode_rows(F.col("counts")).alias("t")).where(F.col("t").isNotNull())
+    each = each.select(key, wid(F.col("t.word")).alias(vec_key), F.col("t.c").cast("double").alias("c"))
+    vec = vectors.select(vec_key, array_to_vector(vec_col).alias("_v"))
+    pooled = (each.join(vec, vec_key).groupBy(key)
               .agg(Summarizer.mean(F.col("_v"), F.col("c")).alias("_m"))
               .select(key, vector_to_array("_m").alias("_m")))
     if dim is None:
-        dim = vectors.select(F.size(vec_col).alias("d")).first()["d"]
+        dim = (vectors.select(F.size(vec_col).alias("d")).first() or {"d": 0})["d"]
     zeros = F.array_repeat(F.lit(0.0), dim)
     return docs.select(key).join(pooled, key, "left").select(key, F.coalesce(F.col("_m"), zeros).alias("vec"))
 
 
-def mean_pool(docs: DataFrame, vectors: DataFrame, key: str = "doc_id", text: str = "text",
-              word_id=None, vec_key: str = "vec_id", vec_col: str = "embedding", dim: int | None = None,
-              max_broadcast_rows: int = 2_000_000) -> DataFrame:
+def mean_pool(docs: DataFrame, vectors: DataFrame, key: str = "doc_id", **how) -> DataFrame:
     """Mean-pooled document vectors as ``(key, dim, value)`` rows (see ``mean_pool_vectors``)."""
-    v = mean_pool_vectors(docs, vectors, key, text, word_id, vec_key, vec_col, dim, max_broadcast_rows)
+    v = mean_pool_vectors(docs, vectors, key, **how)
     return v.select(key, F.posexplode("vec").alias("dim", "value")).select(
         key, "dim", F.round(F.col("value"), DIGITS).alias("value"))

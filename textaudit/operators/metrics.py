@@ -165,26 +165,43 @@ def report_wide(df: DataFrame, by=("model",), classes=(0, 1)) -> DataFrame:
     return av.join(wide, list(by)).select(*cols)
 
 
-def score_histogram(df: DataFrame, by=("model",), score: str = "proba", digits: int = DIGITS) -> DataFrame:
-    """(group, score, pos, neg) with the score rounded to ``digits``.
+SCORE_RANGES = 64
 
-    Rounding bounds the histogram to 10**digits + 1 rows per group whatever the number of
-    documents, so the per-group prefix sums that follow work on a bounded partition."""
-    s = F.round(F.col(score), digits)
+
+def score_histogram(df: DataFrame, by=("model",), score: str = "proba") -> DataFrame:
+    """(group, score, pos, neg): counts per distinct score, exactly as scored."""
     return (df.where(F.col(score).isNotNull() & F.col("y_true").isNotNull())
-            .groupBy(*by, s.alias("score"))
+            .groupBy(*by, F.col(score).alias("score"))
             .agg(F.sum((F.col("y_true") == 1).cast("long")).alias("pos"),
                  F.sum((F.col("y_true") != 1).cast("long")).alias("neg")))
 
 
+def ranked_scores(df: DataFrame, by=("model",), score: str = "proba", ranges: int = SCORE_RANGES) -> DataFrame:
+    """The histogram with ``pos_above`` and ``neg_above``, the counts at strictly higher scores.
+
+    A group can have as many distinct scores as rows, so the prefix sums take two levels:
+    each group's scores are cut at approximate quantiles into ``ranges`` ranges, the sums of
+    whole ranges are a small table, and only inside a range are single scores ordered."""
+    h = score_histogram(df, by, score)
+    at = [(i + 1) / ranges for i in range(ranges - 1)]
+    cuts = h.groupBy(*by).agg(F.percentile_approx("score", at, 10_000).alias("_cuts"))
+    h = h.join(cuts, list(by)).withColumn("_range", F.size(F.filter("_cuts", lambda c: F.col("score") > c))).drop("_cuts")
+    higher = Window.partitionBy(*by).orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    whole = (h.groupBy(*by, "_range").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+             .select(*by, "_range", F.coalesce(F.sum("_p").over(higher), F.lit(0)).alias("_p"),
+                     F.coalesce(F.sum("_n").over(higher), F.lit(0)).alias("_n")))
+    above = Window.partitionBy(*by, "_range").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    return (h.join(whole, [*by, "_range"])
+            .withColumn("pos_above", F.col("_p") + F.coalesce(F.sum("pos").over(above), F.lit(0)))
+            .withColumn("neg_above", F.col("_n") + F.coalesce(F.sum("neg").over(above), F.lit(0)))
+            .select(*by, "score", "pos", "neg", "pos_above", "neg_above"))
+
+
 def roc_auc(df: DataFrame, by=("model",), score: str = "proba") -> DataFrame:
     """Rank-statistic AUC (ties get half credit); NULL when a class is absent.
 
     AUC = sum(neg_i * (pos strictly above_i + pos_i / 2)) / (P * N) over the histogram."""
-    h = score_histogram(df, by, score)
-    w = Window.partitionBy(*by).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    h = h.withColumn("pos_above", F.coalesce(F.sum("pos").over(w), F.lit(0)))
-    agg = h.groupBy(*by).agg(
+    agg = ranked_scores(df, by, score).groupBy(*by).agg(
         F.sum(F.col("neg") * (F.col("pos_above") + F.col("pos") / 2.0)).alias("u"),
         F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     return agg.select(*by, _r(F.when((F.col("P") > 0) & (F.col("N") > 0),
@@ -194,13 +211,12 @@ def roc_auc(df: DataFrame, by=("model",), score: str = "proba") -> DataFrame:
 
 def curve_points(df: DataFrame, by=("model",), score: str = "proba") -> DataFrame:
     """ROC and precision-recall points, one per distinct threshold (predict 1 if score >= t)."""
-    h = score_histogram(df, by, score)
-    w = Window.partitionBy(*by).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    tot = Window.partitionBy(*by)
-    h = (h.withColumn("tp", F.sum("pos").over(w)).withColumn("fp", F.sum("neg").over(w))
-         .withColumn("P", F.sum("pos").over(tot)).withColumn("N", F.sum("neg").over(tot)))
+    h = ranked_scores(df, by, score).withColumns({"tp": F.col("pos_above") + F.col("pos"), "fp": F.col("neg_above") + F.col("neg")})
+    # the group's totals are those of its lowest threshold: no second pass over the scores
+    total = h.groupBy(*by).agg(F.max("tp").alias("P"), F.max("fp").alias("N"))
+    h = h.join(total, list(by))
     return h.select(
-        *by, F.col("score").alias("threshold"), F.col("tp").cast("long").alias("tp"), F.col("fp").cast("long").alias("fp"),
+        *by, _r(F.col("score")).alias("threshold"), F.col("tp").cast("long").alias("tp"), F.col("fp").cast("long").alias("fp"),
         _r(F.try_divide(F.col("tp").cast("double"), F.col("P"))).alias("tpr"),
         _r(F.try_divide(F.col("fp").cast("double"), F.col("N"))).alias("fpr"),
         _r(F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fp"))).alias("precision"),

@@ -13,14 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
-from .metrics import DIGITS
-
-INLINE_LEXICON_MAX = 256  # larger lexicons go through a join instead of a literal array
-
 
 @dataclass(frozen=True)
 class RuleModel:
-    """proba = sigmoid(intercept + slope * hits / max(n_tokens, 1)), rounded to 6 digits;
+    """proba = sigmoid(intercept + slope * hits / max(n_tokens, 1)), unrounded;
     hits = tokens found in ``words``."""
     name: str
     words: tuple
@@ -29,25 +25,21 @@ class RuleModel:
     meta: dict = field(default_factory=dict, compare=False, hash=False)
 
     def hits(self, tokens: Column) -> Column:
-        if len(self.words) > INLINE_LEXICON_MAX:
-            raise ValueError("lexicon too large to inline; use lexicon_hits() with a join")
-        lex = TX.literal_array(list(self.words))
-        return F.size(F.filter(tokens, lambda t: F.array_contains(lex, t)))
+        # a membership test, which the optimizer turns into a hash set: any lexicon size
+        return F.size(F.filter(tokens, lambda t: t.isin(*self.words)))
 
     def proba(self, tokens: Column) -> Column:
         x = F.lit(self.intercept) + F.lit(self.slope) * self.hits(tokens) / F.greatest(F.size(tokens), F.lit(1))
-        return F.round(TX.sigmoid(x), DIGITS)
+        return TX.sigmoid(x)
 
 
 def lexicon_hits(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Hits per document for a lexicon too large to inline: tokens are counted per
-    (doc, word) first (map-side combine), then joined to the lexicon; the lexicon side is
-    broadcast only below a checked size."""
-    from ..session import bounded_broadcast
+    """Hits per document for a lexicon that is a table: tokens are counted per (doc, word)
+    first (map-side combine), then joined to the lexicon (broadcast if the planner measures it
+    below its threshold, else shuffled, with a hot word's partition split by AQE)."""
     counts = (docs.select(key, F.explode(TX.word_tokens(text)).alias("word"))
               .groupBy(key, "word").agg(F.count(F.lit(1)).alias("c")))
-    lex = bounded_broadcast(lexicon.select("word").distinct(), 1_000_000)
-    hits = counts.join(lex, "word").groupBy(key).agg(F.sum("c").cast("long").alias("hits"))
+    hits = counts.join(lexicon.select("word").distinct(), "word").groupBy(key).agg(F.sum("c").cast("long").alias("hits"))
     return docs.select(key).join(hits, key, "left").fillna(0, ["hits"])
 
 
@@ -82,7 +74,8 @@ def python_scorer(docs: DataFrame, fn, key: str = "doc_id", text: str = "text")
         import pandas as pd
         for pdf in batches:
             yield pd.DataFrame({key: pdf[key], "proba": list(fn(pdf[text].fillna("").tolist()))})
-    return docs.select(key, text).mapInPandas(run, schema=f"{key} long, proba double")
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, text).mapInPandas(run, schema=f"`{key}` {kind}, proba double")
 
 
 def sigmoid_of_margin(margin: Column) -> Column:
@@ -92,19 +85,25 @@ def sigmoid_of_margin(margin: Column) -> Column:
 
 # --- Spark ML pipelines ----------------------------------------------------------------
 
-def text_features_pipeline(vocab_size: int = 10000, min_df: float = 2.0, stop_words=None):
-    """Word tokens (2+ word characters, lower case) -> stop words removed -> counts."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import CountVectorizer, IDF, RegexTokenizer, StopWordsRemover
-    tok = RegexTokenizer(inputCol="text", outputCol="words", gaps=False, pattern=TX.WORD2_RE, toLowercase=True)
-    stages = [tok]
-    col = "words"
-    if stop_words:
-        stages.append(StopWordsRemover(inputCol="words", outputCol="words_sw", stopWords=list(stop_words)))
-        col = "words_sw"
-    stages += [CountVectorizer(inputCol=col, outputCol="tf", vocabSize=vocab_size, minDF=min_df),
-               IDF(inputCol="tf", outputCol="features")]
-    return Pipeline(stages=stages)
+def text_features(train: DataFrame, vocab_size: int = 10000, min_df: int = 2, stop_words=(), key: str = "doc_id") -> list:
+    """Fitted stages ``text`` -> ``features``: uni- and bigram counts of the training set's
+    vocabulary, times ln((1 + n) / (1 + df)) + 1, L2-normalised - the weights of
+    :func:`features.tfidf_terms`, as vectors. The vocabulary (at most ``vocab_size`` terms) comes
+    from the same operator, so both break ties alike."""
+    from pyspark.ml.feature import (CountVectorizerModel, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer,
+                                    StopWordsRemover)
+    from pyspark.ml.linalg import Vectors
+    from . import features as FE
+    vocab = FE.tfidf_vocabulary(FE.counted_terms(train, key, "text", stop_words), train.count(), min_df, vocab_size).collect()
+    vocab = sorted(vocab, key=lambda r: (-r["tf_total"], r["term"]))
+    filled = SQLTransformer(statement="SELECT *, coalesce(text, '') AS text_filled FROM __THIS__")
+    words = RegexTokenizer(inputCol="text_filled", outputCol="words", gaps=False, pattern=TX.WORD2_RE, toLowercase=True)
+    kept = StopWordsRemover(inputCol="words", outputCol="kept", stopWords=sorted(set(stop_words)) or [""], caseSensitive=True)
+    pairs = NGram(inputCol="kept", outputCol="pairs", n=2)
+    grams = SQLTransformer(statement="SELECT *, concat(kept, pairs) AS grams FROM __THIS__")
+    counts = CountVectorizerModel.from_vocabulary([r["term"] for r in vocab] or [" "], inputCol="grams", outputCol="tf")
+    idf = ElementwiseProduct(inputCol="tf", outputCol="tfidf", scalingVec=Vectors.dense([r["idf"] for r in vocab] or [1.0]))
+    return [filled, words, kept, pairs, grams, counts, idf, Normalizer(inputCol="tfidf", outputCol="features", p=2.0)]
 
 
 def with_balanced_weights(df: DataFrame, label: str = "label") -> DataFrame:
@@ -114,31 +113,17 @@ def with_balanced_weights(df: DataFrame, label: str = "label") -> DataFrame:
     return df.join(F.broadcast(w.select(F.col("cls").alias(label), F.col("weight").alias("weight"))), label)
 
 
-TRAIN_ROWS_PER_PARTITION = 200_000
-
-
-def _fit_partitions(train: DataFrame, n: int) -> DataFrame:
-    """Iterative fits launch one job per iteration: a training set is coalesced (no
-    shuffle) to about ``TRAIN_ROWS_PER_PARTITION`` rows per partition, so a small set is not
-    spread over many near-empty tasks; a large one keeps its partitioning."""
-    want = max(1, -(-n // TRAIN_ROWS_PER_PARTITION))
-    try:
-        have = train.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view: leave the partitioning to the planner
-        return train
-    return train.coalesce(want) if want < have else train
-
-
-def train_logreg(train: DataFrame, max_iter: int = 1000, label: str = "label", stop_words=None, tol: float = 1e-4):
-    """Balanced logistic regression, C = 1 (regParam = 1 / n, no standardisation)."""
-    from pyspark.ml import Pipeline
+def train_logreg(train: DataFrame, max_iter: int = 1000, label: str = "label", stop_words=(), tol: float = 1e-4):
+    """Balanced logistic regression on TF-IDF features, C = 1 (regParam = 1 / n, no
+    standardisation). Features are computed once; the fit keeps them and reads no text."""
+    from pyspark.ml import PipelineModel
     from pyspark.ml.classification import LogisticRegression
     n = train.count()
-    train = _fit_partitions(train, n)
     lr = LogisticRegression(featuresCol="features", labelCol=label, weightCol="weight", maxIter=max_iter, tol=tol,
                             regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False)
-    feats = text_features_pipeline(stop_words=stop_words)
-    return Pipeline(stages=[*feats.getStages(), lr]).fit(with_balanced_weights(train, label))
+    feats = PipelineModel(text_features(train, stop_words=stop_words))
+    data = with_balanced_weights(feats.transform(train).select(label, "features"), label)
+    return PipelineModel([*feats.stages, lr.fit(data)])
 
 
 def train_svm(train: DataFrame, max_iter: int = 5000, label: str = "label", features: str = "features",
@@ -146,7 +131,6 @@ def train_svm(train: DataFrame, max_iter: int = 5000, label: str = "label", feat
     """Balanced linear SVM on given feature vectors (hinge loss)."""
     from pyspark.ml.classification import LinearSVC
     n = train.count()
-    train = _fit_partitions(train, n)
     svm = LinearSVC(featuresCol=features, labelCol=label, weightCol="weight", maxIter=max_iter, tol=tol,
                     regParam=1.0 / max(n, 1), standardization=False)
     return svm.fit(with_balanced_weights(train, label))
@@ -163,8 +147,7 @@ def apply_classifier(model, df: DataFrame, key: str = "doc_id", label: str = "la
     else:
         proba = sigmoid_of_margin(vector_to_array("rawPrediction")[1])
     return out.select(key, F.lit(model_name).alias("model"), F.col(label).cast("int").alias("y_true"),
-                      (F.round(proba, DIGITS) >= threshold).cast("int").alias("y_pred"),
-                      F.round(proba, DIGITS).alias("proba"))
+                      (proba >= threshold).cast("int").alias("y_pred"), proba.alias("proba"))
 
 
 def save_model(model, path: str) -> None:

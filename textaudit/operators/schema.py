@@ -25,47 +25,47 @@ def require_columns(df: DataFrame, required) -> None:
         raise ValueError(f"missing required columns: {missing}; available: {df.columns}")
 
 
-def column_profile(df: DataFrame, columns=None, near: int = 100) -> DataFrame:
-    """Per column: exact distinct count when the column is small (approx < ``near``), else
-    NULL; and whether its non-null values are all 0/1. One aggregate pass for the sketch,
-    one for the exact counts of low-cardinality columns."""
+def is_binary_value(c):
+    """Whether a non-null value reads as 0 or 1: numbers, booleans, and their text forms (as a
+    file without a schema has them). NULL for NULL."""
+    text = F.lower(F.trim(c.cast("string")))
+    return text.isin("true", "false") | F.coalesce(text.try_cast("double").isin(0.0, 1.0), F.lit(False))
+
+
+def _all_binary(c: str):
+    return F.coalesce(F.bool_and(is_binary_value(F.col(f"`{c}`"))), F.lit(True))
+
+
+def column_profile(df: DataFrame, columns=None) -> DataFrame:
+    """Per column: exact number of distinct values, and whether all non-null values are 0/1.
+    One grouped pass; every column is counted, whatever its cardinality."""
     columns = list(columns or df.columns)
-    approx = df.agg(*[F.approx_count_distinct(F.col(c)).alias(c) for c in columns]).first()
-    small = [c for c in columns if approx[c] < near]
-    exact_exprs = [F.countDistinct(F.col(c)).alias("d_" + c) for c in small]
-    bin_exprs = [F.bool_and(F.coalesce(F.col(c).cast("string").isin("0", "1"), F.lit(True))).alias("b_" + c)
-                 for c in columns]
-    row = df.agg(*(exact_exprs + bin_exprs))
-    parts = []
-    for i, c in enumerate(columns):
-        nd = F.col("d_" + c).cast("long") if c in small else F.lit(None).cast("long")
-        parts.append(F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("column_name"),
-                              nd.alias("n_distinct"), F.col("b_" + c).alias("is_binary")))
+    row = df.agg(*[F.countDistinct(F.col(f"`{c}`")).cast("long").alias(f"d_{i}") for i, c in enumerate(columns)],
+                 *[_all_binary(c).alias(f"b_{i}") for i, c in enumerate(columns)])
+    parts = [F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("column_name"), F.col(f"d_{i}").alias("n_distinct"),
+                      F.col(f"b_{i}").alias("is_binary")) for i, c in enumerate(columns)]
     return row.select(F.explode(F.array(*parts)).alias("p")).select("p.*")
 
 
 def binary_columns(df: DataFrame) -> list[str]:
-    """Columns whose non-null values are all 0/1 (one aggregate)."""
-    exprs = [F.bool_and(F.coalesce(F.col(c).cast("string").isin("0", "1", "0.0", "1.0"), F.lit(True))).alias(c)
-             for c in df.columns]
-    row = df.agg(*exprs).first()
-    return [c for c in df.columns if row[c]]
+    """Columns whose non-null values are all 0/1 (one aggregate; the probe of
+    :func:`column_profile`)."""
+    row = df.agg(*[_all_binary(c).alias(f"b_{i}") for i, c in enumerate(df.columns)]).first()
+    return [c for i, c in enumerate(df.columns) if row[i]]
 
 
 def loose_resolve(df: DataFrame) -> tuple[str, str]:
-    """Case-insensitive name match in table order; else the first non-text column with fewer
-    than 50 distinct values."""
+    """Case-insensitive name match in table order, then the last-resort name as spelled; else
+    the first non-text column with fewer than 50 distinct values."""
     text = next((c for c in df.columns if c.lower() in L.LOOSE_TEXT_NAMES), None)
     label = next((c for c in df.columns if c.lower() in L.LOOSE_LABEL_NAMES), None)
     if text is None:
         raise ValueError(f"no text column among {df.columns}")
+    if label is None and L.LOOSE_LABEL_LAST in df.columns:
+        label = L.LOOSE_LABEL_LAST
     if label is None:
-        others = [c for c in df.columns if c != text]
-        prof = column_profile(df, others, near=L.LOOSE_MAX_DISTINCT * 2).collect()
-        for r in sorted(prof, key=lambda r: r["ordinal"]):
-            if r["n_distinct"] is not None and r["n_distinct"] < L.LOOSE_MAX_DISTINCT:
-                label = r["column_name"]
-                break
+        prof = column_profile(df, [c for c in df.columns if c != text]).collect()
+        label = next((r["column_name"] for r in sorted(prof, key=lambda r: r["ordinal"]) if r["n_distinct"] < L.LOOSE_MAX_DISTINCT), None)
     if label is None:
         raise ValueError(f"no label column among {df.columns}")
     return text, label

@@ -1,14 +1,14 @@
 """Paired comparisons of models: McNemar counts and test, paired t-test on true-class
 probabilities, effect sizes and confidence intervals.
 
-Pairs are formed by key (``doc_id``), never by position: the reference model's rows are
-joined to every other model's rows on the key (one shuffle of the predictions on doc_id).
+Pairs are formed by key (``doc_id``), never by position: one grouping of the predictions by
+key brings a document's rows of all models together (one shuffle).
 The statistics are aggregates; distribution functions run on the final one row per pair.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dist as D
@@ -20,30 +20,34 @@ def _r(c):
 
 
 def pair_with_reference(preds: DataFrame, reference: str, key: str = "doc_id") -> DataFrame:
-    """``(baseline, key, y_true, a_pred, a_proba, b_pred, b_proba)``: A = baseline, B = reference."""
-    a = preds.where(F.col("model") != reference).select(
-        F.col("model").alias("baseline"), key, "y_true",
-        F.col("y_pred").alias("a_pred"), F.col("proba").alias("a_proba"))
-    b = preds.where(F.col("model") == reference).select(
-        key, F.col("y_pred").alias("b_pred"), F.col("proba").alias("b_proba"))
-    return a.join(b, key, "inner")
+    """``(baseline, key, y_true, a_pred, a_proba, b_pred, b_proba)``: A = baseline, B = reference.
+
+    One grouping by key gathers a document's rows of all models (as many as there are models)
+    and pairs them inside the row: a single shuffle, no self-join."""
+    row = F.struct("model", "y_true", "y_pred", "proba")
+    by = preds.where(F.col(key).isNotNull()).groupBy(key).agg(F.collect_list(row).alias("rows"))
+    sides = by.select(key, F.filter("rows", lambda r: r["model"] != reference).alias("a"),
+                      F.filter("rows", lambda r: r["model"] == reference).alias("b"))
+    pairs = sides.select(key, F.explode("a").alias("a"), "b").select(key, "a", F.explode("b").alias("b"))
+    return pairs.select(F.col("a.model").alias("baseline"), key, F.col("a.y_true").alias("y_true"), F.col("a.y_pred").alias("a_pred"),
+                        F.col("a.proba").alias("a_proba"), F.col("b.y_pred").alias("b_pred"), F.col("b.proba").alias("b_proba"))
 
 
 def alignment_check(preds: DataFrame, reference: str, key: str = "doc_id") -> DataFrame:
-    """Per baseline: keys only on the baseline side, keys only on the reference side, and
-    duplicate keys. Pairing is valid when all three are 0."""
-    a = preds.where(F.col("model") != reference).select(F.col("model").alias("baseline"), key)
-    b = preds.where(F.col("model") == reference).select(key)
-    n_ref = b.count()
-    per = a.join(b.withColumn("_m", F.lit(1)), key, "left").groupBy("baseline").agg(
-        F.count_if(F.col("_m").isNull()).cast("long").alias("only_baseline"),
-        F.count("_m").cast("long").alias("matched"))
-    dup = (preds.groupBy("model", key).count().where(F.col("count") > 1)
-           .groupBy(F.col("model").alias("baseline")).agg(F.count(F.lit(1)).cast("long").alias("duplicate_keys")))
-    return (per.join(dup, "baseline", "left")
-            .select("baseline", "only_baseline",
-                    (F.lit(n_ref) - F.col("matched")).cast("long").alias("only_reference"),
-                    F.coalesce("duplicate_keys", F.lit(0)).cast("long").alias("duplicate_keys")))
+    """Per baseline: rows whose key the reference lacks, reference rows whose key it lacks, and
+    keys it has more than once. Pairing is valid when all three are 0. One grouping by key; what
+    follows is one row per model."""
+    by = preds.groupBy(key).agg(F.collect_list("model").alias("ms"))
+    n_of = lambda m: F.size("ms") - F.size(F.array_remove("ms", m))
+    each = by.select(n_of(F.lit(reference)).alias("in_ref"), "ms", F.explode(F.array_distinct("ms")).alias("baseline"))
+    each = each.select("baseline", "in_ref", n_of(F.col("baseline")).alias("n"))
+    per = each.groupBy("baseline").agg(
+        F.sum(F.when(F.col("in_ref") == 0, F.col("n")).otherwise(0)).cast("long").alias("only_baseline"),
+        F.sum(F.col("in_ref")).cast("long").alias("met"), F.count_if(F.col("n") > 1).cast("long").alias("duplicate_keys"))
+    whole = Window.partitionBy(F.lit(0))  # one row per model
+    per = per.withColumn("all_ref", F.max(F.when(F.col("baseline") == reference, F.col("met"))).over(whole))
+    return per.where(F.col("baseline") != reference).select(
+        "baseline", "only_baseline", (F.coalesce("all_ref", F.lit(0)) - F.col("met")).cast("long").alias("only_reference"), "duplicate_keys")
 
 
 def pair_aggregates(preds: DataFrame, reference: str, key: str = "doc_id") -> DataFrame:

@@ -42,14 +42,15 @@ def seeded_shuffle(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
 
 def largest_remainder(counts: dict, total: int) -> dict:
     """Apportion ``total`` over classes proportionally; remainders go to the largest
-    fractional parts, ties to the smaller class value."""
+    fractional parts, ties to the class that comes first in ``counts``."""
     n = sum(counts.values())
     if n == 0:
         return {c: 0 for c in counts}
     exact = {c: v * total / n for c, v in counts.items()}
     base = {c: math.floor(x) for c, x in exact.items()}
     left = total - sum(base.values())
-    order = sorted(counts, key=lambda c: (-(exact[c] - base[c]), c is None, c if c is not None else 0))
+    place = {c: i for i, c in enumerate(counts)}
+    order = sorted(counts, key=lambda c: (-(exact[c] - base[c]), place[c]))
     for c in order[:left]:
         base[c] += 1
     return base
@@ -58,8 +59,9 @@ def largest_remainder(counts: dict, total: int) -> dict:
 _NULL_CLASS = "\u0000null"
 
 
-def _class_key(c) -> str:
-    return _NULL_CLASS if c is None else str(c)
+def _stratum(label: str):
+    """A class as a string; the same expression keys rows and thresholds, whatever its type."""
+    return F.coalesce(F.col(label).cast("string"), F.lit(_NULL_CLASS))
 
 
 def rank_segments(df: DataFrame, key: str, stratum, thresholds: dict, seed: int = 42,
@@ -71,9 +73,8 @@ def rank_segments(df: DataFrame, key: str, stratum, thresholds: dict, seed: int
     Exact without a stratum-wide sort: rows are counted per (stratum, hash bucket); bucket
     prefix sums give every bucket's rank range; only the rows of buckets that straddle a
     threshold (at most one per threshold and stratum) are ranked, by a window over that
-    single bucket. The bucket table (at most 65,536 rows per stratum) joins back by a
-    bounded broadcast, so the data itself is not shuffled."""
-    from ..session import bounded_broadcast
+    single bucket. The bucket table (at most 65,536 rows per stratum) joins back; its measured
+    size lets AQE broadcast it, and beyond the threshold hash buckets spread the join evenly."""
     x = (df.withColumn("_h", seeded_hash(key, seed)).withColumn("_s", stratum)
          .withColumn("_b", F.substring("_h", 1, BUCKET_HEX)))
     w = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
@@ -82,10 +83,10 @@ def rank_segments(df: DataFrame, key: str, stratum, thresholds: dict, seed: int
     bt = (x.groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("_c"))
           .withColumn("_cum", F.sum("_c").over(w))
           .withColumn("_before", F.col("_cum") - F.col("_c"))
-          .withColumn("_t", F.coalesce(F.try_element_at(tmap, F.col("_s")), F.array().cast("array<long>")))
+          .withColumn("_t", F.coalesce(F.try_element_at(tmap, F.col("_s")),
+                                       F.raise_error(F.concat(F.lit("class without a quota: "), F.col("_s"))).cast("array<long>")))
           .withColumn("_exact", F.exists("_t", lambda t: (F.col("_before") < t) & (t < F.col("_cum")))))
-    y = x.join(bounded_broadcast(bt.select("_s", "_b", "_before", "_cum", "_t", "_exact"), 4_000_000),
-               ["_s", "_b"])
+    y = x.join(bt.select("_s", "_b", "_before", "_cum", "_t", "_exact"), ["_s", "_b"])
     rk = Window.partitionBy("_s", "_b").orderBy("_h", key)
     exact = y.where("_exact").withColumn("_rank", F.col("_before") + F.row_number().over(rk))
     rest = y.where(~F.col("_exact")).withColumn("_rank", F.col("_cum"))
@@ -94,9 +95,17 @@ def rank_segments(df: DataFrame, key: str, stratum, thresholds: dict, seed: int
     return exact.unionByName(rest).select(*cols, seg.alias(out))
 
 
+MAX_CLASSES = 100_000
+
+
 def _class_counts(df: DataFrame, label: str) -> dict:
-    # one row per class: the class table is tiny and apportioning happens on the driver
-    return {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+    """Rows by class (as :func:`_stratum` names it). Apportioning happens on the driver, so a
+    column of more than ``MAX_CLASSES`` values is refused: it holds ids, not classes."""
+    rows = df.groupBy(_stratum(label).alias("c")).agg(F.count(F.lit(1)).alias("n"), F.first(label).alias("value")).limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"{label} has more than {MAX_CLASSES} distinct values; not a class column")
+    order = sorted(rows, key=lambda r: (r["value"] is None, r["value"] if r["value"] is not None else 0))
+    return {r["c"]: r["n"] for r in order}
 
 
 def stratified_holdout(df: DataFrame, key: str, label: str, frac: float, seed: int = 42,
@@ -106,12 +115,12 @@ def stratified_holdout(df: DataFrame, key: str, label: str, frac: float, seed: i
 
     Stratification is skipped when there is a single class (or ``stratify`` is False)."""
     counts = _class_counts(df, label)
-    strat = stratify and len([c for c in counts if c is not None]) > 1
-    by_class = counts if strat else {0: sum(counts.values())}
+    strat = stratify and len([c for c in counts if c != _NULL_CLASS]) > 1
+    by_class = counts if strat else {"0": sum(counts.values())}
     n = sum(by_class.values())
     quotas = largest_remainder(by_class, math.ceil(n * frac - 1e-12))
-    stratum = (F.coalesce(F.col(label).cast("string"), F.lit(_NULL_CLASS)) if strat else F.lit("0"))
-    thresholds = {_class_key(c): [q] for c, q in quotas.items()}
+    stratum = _stratum(label) if strat else F.lit("0")
+    thresholds = {c: [q] for c, q in quotas.items()}
     r = rank_segments(df, key, stratum, thresholds, seed, "_seg")
     return r.withColumn("held_out", F.col("_seg") == 0).drop("_seg")
 
@@ -126,12 +135,12 @@ def train_val_test(df: DataFrame, key: str, label: str, test_frac: float = 0.10,
     thresholds per class. When the pool would no longer be stratified (one class left),
     the second split runs on the pool itself."""
     counts = _class_counts(df, label)
-    strat = len([c for c in counts if c is not None]) > 1
-    by_class = counts if strat else {0: sum(counts.values())}
+    strat = len([c for c in counts if c != _NULL_CLASS]) > 1
+    by_class = counts if strat else {"0": sum(counts.values())}
     n = sum(by_class.values())
     q1 = largest_remainder(by_class, math.ceil(n * test_frac - 1e-12))
     pool = {c: by_class[c] - q1[c] for c in by_class}
-    pool_classes = [c for c, v in pool.items() if v > 0 and c is not None]
+    pool_classes = [c for c, v in pool.items() if v > 0 and c != _NULL_CLASS]
     if strat and len(pool_classes) <= 1:
         t = stratified_holdout(df, key, label, test_frac, seed)
         test = t.where("held_out").drop("held_out").withColumn("split", F.lit("test"))
@@ -140,8 +149,8 @@ def train_val_test(df: DataFrame, key: str, label: str, test_frac: float = 0.10,
         return test.unionByName(rest)
     p_n = sum(pool.values())
     q2 = largest_remainder({c: v for c, v in pool.items() if v > 0}, math.ceil(p_n * val_frac - 1e-12))
-    thresholds = {_class_key(c): [q1[c], q1[c] + q2.get(c, 0)] for c in by_class}
-    stratum = (F.coalesce(F.col(label).cast("string"), F.lit(_NULL_CLASS)) if strat else F.lit("0"))
+    thresholds = {c: [q1[c], q1[c] + q2.get(c, 0)] for c in by_class}
+    stratum = _stratum(label) if strat else F.lit("0")
     r = rank_segments(df, key, stratum, thresholds, seed, "_seg")
     split = F.when(F.col("_seg") == 0, "test").when(F.col("_seg") == 1, "val").otherwise("train")
     return r.withColumn("split", split).drop("_seg")

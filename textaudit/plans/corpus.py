@@ -20,7 +20,7 @@ def corpus(spark, sf):
     plus benchmark items (no labels), text stripped, labels coerced (missing -> 0)."""
     t = U.tables(spark, sf)
     docs = t.documents.select("doc_id", "text").join(
-        U.label_side(t.labels.select("doc_id", F.col("toxic").cast("string").alias("raw_label"))), "doc_id", "left")
+        t.labels.select("doc_id", F.col("toxic").cast("string").alias("raw_label")), "doc_id", "left")
     bench = t.benchmark.select(F.col("item_id").alias("doc_id"), "text")
     u = SP.union_sources({"documents": docs, "benchmark": bench})
     lab = SC.coerce_label("raw_label", fill=None)
@@ -129,8 +129,8 @@ def _profile_sql(table: str, cols) -> str:
     parts = []
     for i, c in enumerate(cols):
         parts.append(f"""SELECT {i} AS ordinal, '{c}' AS column_name,
-       CASE WHEN count(DISTINCT {c}) < 100 THEN CAST(count(DISTINCT {c}) AS BIGINT) END AS n_distinct,
-       coalesce(bool_and(coalesce(CAST({c} AS VARCHAR) IN ('0', '1'), true)), true) AS is_binary FROM {table}""")
+       CAST(count(DISTINCT {c}) AS BIGINT) AS n_distinct,
+       coalesce(bool_and(coalesce(TRY_CAST({c} AS DOUBLE) IN (0, 1), {c} IS NULL)), true) AS is_binary FROM {table}""")
     return "\nUNION ALL ".join(parts)
 
 
@@ -184,8 +184,8 @@ def padded_corpus(spark, sf):
     from .. import lexicons as L
     t = U.tables(spark, sf)
     docs = t.documents.select("doc_id", "text").join(
-        U.label_side(t.labels.select("doc_id", F.col("toxic").cast("double").alias("label_binary"),
-                                     F.col("quality").cast("double").alias("label"))), "doc_id", "left")
+        t.labels.select("doc_id", F.col("toxic").cast("double").alias("label_binary"),
+                                     F.col("quality").cast("double").alias("label")), "doc_id", "left")
     bench = t.benchmark.select(F.col("item_id").alias("doc_id"), "text")
     u = SP.union_sources({"documents": docs, "benchmark": bench})
     types = {"bias_score": "double", "label_binary": "double", "label_multiclass": "int"}
@@ -209,7 +209,7 @@ def minimal_splits(spark, sf):
     t = U.tables(spark, sf)
     keys = t.labels.select("doc_id", F.col("toxic").cast("int").alias("label"))
     s = SP.train_val_test(keys, "doc_id", "label", 0.1, 0.1, U.SEED)
-    d = t.documents.join(U.label_side(s), "doc_id")
+    d = t.documents.join(s, "doc_id")
     minimal = SC.minimal_projection(d.where(F.col("split") != "test")).withColumn(
         "split", F.lit(None).cast("string"))
     return minimal.unionByName(d.where(F.col("split") == "test"), allowMissingColumns=True)

@@ -20,14 +20,14 @@ def _with(body: str) -> str:
 
 
 @query("score_rules", _with("""
-SELECT doc_id, grp, model, y_true, y_pred, proba,
+SELECT doc_id, grp, model, y_true, y_pred, round(proba, 6) AS proba,
        CASE WHEN proba > 0.5 THEN 'BIASED' ELSE 'NEUTRAL' END AS bias_class,
        round(greatest(proba, 1 - proba), 6) AS confidence
 FROM preds"""), headline=True)
 def score_rules(spark, sf):
     p = U.predictions(spark, sf)
     cls, conf = threshold_class("proba", U.THRESHOLD)
-    return p.select("doc_id", "grp", "model", "y_true", "y_pred", "proba", cls.alias("bias_class"),
+    return p.select("doc_id", "grp", "model", "y_true", "y_pred", F.round("proba", 6).alias("proba"), cls.alias("bias_class"),
                     F.round(conf, 6).alias("confidence"))
 
 
@@ -129,9 +129,9 @@ def report_wide(spark, sf):
 
 
 _HIST_SQL = """
-, h AS (SELECT model, round(proba, 6) AS score, CAST(sum(CASE WHEN y_true = 1 THEN 1 ELSE 0 END) AS BIGINT) AS pos,
+, h AS (SELECT model, proba AS score, CAST(sum(CASE WHEN y_true = 1 THEN 1 ELSE 0 END) AS BIGINT) AS pos,
                CAST(sum(CASE WHEN y_true <> 1 THEN 1 ELSE 0 END) AS BIGINT) AS neg
-        FROM preds WHERE proba IS NOT NULL AND y_true IS NOT NULL GROUP BY model, round(proba, 6))"""
+        FROM preds WHERE proba IS NOT NULL AND y_true IS NOT NULL GROUP BY model, proba)"""
 
 _AUC_SQL = _HIST_SQL + """
 , ha AS (SELECT *, coalesce(sum(pos) OVER (PARTITION BY model ORDER BY score DESC
@@ -150,7 +150,7 @@ def roc_auc(spark, sf):
 , hc AS (SELECT *, sum(pos) OVER (PARTITION BY model ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp,
                 sum(neg) OVER (PARTITION BY model ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fp,
                 sum(pos) OVER (PARTITION BY model) AS P, sum(neg) OVER (PARTITION BY model) AS N FROM h)
-SELECT model, score AS threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp,
+SELECT model, round(score, 6) AS threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp,
        round({divn('tp', 'P')}, 6) AS tpr, round({divn('fp', 'N')}, 6) AS fpr,
        round({divn('tp', 'tp + fp')}, 6) AS precision, round({divn('tp', 'P')}, 6) AS recall FROM hc"""))
 def curve_points(spark, sf):
@@ -214,8 +214,10 @@ def paired_t_test(spark, sf):
 , b AS (SELECT doc_id FROM preds WHERE model = '{U.REFERENCE}')
 SELECT baseline, CAST(count_if(b.doc_id IS NULL) AS BIGINT) AS only_baseline,
        CAST((SELECT count(*) FROM b) - count(b.doc_id) AS BIGINT) AS only_reference,
-       CAST(0 AS BIGINT) AS duplicate_keys
-FROM a LEFT JOIN b ON a.doc_id = b.doc_id GROUP BY baseline"""))
+       CAST(coalesce(max(dup.n), 0) AS BIGINT) AS duplicate_keys
+FROM a LEFT JOIN b ON a.doc_id = b.doc_id
+LEFT JOIN (SELECT model, count(*) AS n FROM (SELECT model, doc_id FROM preds GROUP BY ALL HAVING count(*) > 1) GROUP BY model) dup
+  ON a.baseline = dup.model GROUP BY baseline"""))
 def alignment_check(spark, sf):
     return S.alignment_check(U.predictions(spark, sf), U.REFERENCE)
 

@@ -3,6 +3,8 @@ encoding, logistic regression and linear SVM reports, linear attributions."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import attribution as AT
@@ -10,7 +12,8 @@ from ..operators import features as FE
 from ..operators import metrics as M
 from ..operators import models as MD
 from ..operators import splits as SP
-from ..session import cut_lineage
+from ..operators import significance as SG
+from ..session import ensure_checkpoint_dir
 from . import setup as U
 from . import textsql as Q
 from .registry import query
@@ -21,7 +24,6 @@ STOP_WORDS = ["the", "of", "and", "to", "in", "a", "is", "that", "it", "for", "o
               "die", "und", "el", "en", "que"]
 MIN_DF = 2
 MAX_TERMS = 10000
-VOCAB_IDS = 1000  # stand-in vocabulary: words hash to 1000 ids; ids without a vector are OOV
 WORD2 = r"'[\p{L}\p{N}_]{2,}'"
 
 
@@ -55,9 +57,20 @@ def tfidf_weights(spark, sf):
     return _tfidf(spark, sf)[1]
 
 
-@query("mean_pool", f"""
-WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), {Q.WORD})) AS w FROM documents),
-c AS (SELECT doc_id, CAST(('0x' || substr(md5(w), 1, 8)) AS BIGINT) % {VOCAB_IDS} AS vec_id, count(*) AS c FROM t GROUP BY ALL),
+# Stand-in for a word-keyed vector table: words hash to the table's ids and a tenth more, so
+# that every vector can be met and some words have none.
+_IDS_SQL = "(SELECT CAST(floor(max(vec_id) * 1.1) AS BIGINT) + 1 FROM embeddings)"
+
+
+def _word_id(embeddings):
+    n = embeddings.agg(F.max("vec_id")).first()[0]
+    ids = int((n or 0) * 1.1) + 1
+    return lambda w: FE.word_vector_id(w, ids)
+
+
+@query("mean_pool", rf"""
+WITH t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(coalesce(text, ''), '[\s\p{{Z}}]+'), lambda x: x <> '')) AS w FROM documents),
+c AS (SELECT doc_id, CAST(('0x' || substr(md5(w), 1, 8)) AS BIGINT) % {_IDS_SQL} AS vec_id, count(*) AS c FROM t GROUP BY ALL),
 k AS (SELECT c.doc_id, c.c, unnest(list_transform(e.embedding, lambda v, i: {{'d': i - 1, 'v': v}})) AS x
       FROM c JOIN embeddings e ON c.vec_id = e.vec_id),
 pd AS (SELECT doc_id, x.d AS dim, sum(c * CAST(x.v AS DOUBLE)) / sum(c) AS value FROM k GROUP BY doc_id, x.d),
@@ -66,8 +79,7 @@ SELECT grid.doc_id, CAST(grid.dim AS INTEGER) AS dim, round(coalesce(pd.value, 0
 FROM grid LEFT JOIN pd ON grid.doc_id = pd.doc_id AND grid.dim = pd.dim""", headline=True)
 def mean_pool(spark, sf):
     t = U.tables(spark, sf)
-    return FE.mean_pool(t.documents.select("doc_id", "text"), t.embeddings,
-                        word_id=lambda w: FE.word_vector_id(w, VOCAB_IDS)).select(
+    return FE.mean_pool(t.documents.select("doc_id", "text"), t.embeddings, word_id=_word_id(t.embeddings)).select(
         "doc_id", F.col("dim").cast("int").alias("dim"), "value")
 
 
@@ -80,45 +92,102 @@ def label_encoding(spark, sf):
 
 
 def _labelled(spark, sf):
-    """Labelled documents with a stratified ``split``. The split is computed on the small
-    (doc_id, label) table, then joined to the texts once; the result is checkpointed into
-    the shared checkpoint folder so the iterative fits below do not recompute it."""
+    """Labelled documents with a stratified ``split``, which is computed on the small
+    (doc_id, label) table and then joined to the texts."""
     t = U.tables(spark, sf)
     keys = t.labels.select("doc_id", F.col("toxic").cast("int").alias("label"))
-    splits = SP.train_val_test(keys, "doc_id", "label", 0.1, 0.1, U.SEED)
-    # the key side is broadcast when its size is proven small, so the texts keep their
-    # partitioning (and parallelism) instead of being shuffled or broadcast themselves
-    d = t.documents.select("doc_id", "text").join(U.label_side(splits), "doc_id")
-    return cut_lineage(d)
+    return t.documents.select("doc_id", "text").join(SP.train_val_test(keys, "doc_id", "label", 0.1, 0.1, U.SEED), "doc_id")
+
+
+_FITTED: dict[tuple, str] = {}
+
+
+def fitted(spark, sf, name: str, fit):
+    """The model ``fit()`` makes, fitted once a session and corpus: saved in the shared
+    checkpoint folder, and loaded from there by every query that uses it."""
+    from pyspark.ml import PipelineModel
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _FITTED:
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/model-{name}-{uuid.uuid4().hex}"
+        MD.save_model(fit(), path)
+        _FITTED[key] = path
+    return PipelineModel.load(_FITTED[key])
+
+
+def logreg(spark, sf):
+    """Balanced logistic regression on the TF-IDF features of the train split."""
+    return fitted(spark, sf, "logreg", lambda: MD.train_logreg(
+        _labelled(spark, sf).where(F.col("split") == "train"), stop_words=STOP_WORDS))
+
+
+def _pooled(spark, sf, s):
+    """``s`` with ``features``, the documents' mean word vectors."""
+    from pyspark.ml.functions import array_to_vector
+    e = U.tables(spark, sf).embeddings
+    vec = FE.mean_pool_vectors(s.select("doc_id", "text"), e, word_id=_word_id(e))
+    return s.drop("text").join(vec, "doc_id").withColumn("features", array_to_vector("vec")).drop("vec")
+
+
+def svm(spark, sf):
+    """Balanced linear SVM on the mean word vectors of the train split."""
+    from pyspark.ml import PipelineModel
+    return fitted(spark, sf, "svm", lambda: PipelineModel([MD.train_svm(
+        _pooled(spark, sf, _labelled(spark, sf).where(F.col("split") == "train")))]))
+
+
+def trained_predictions(spark, sf):
+    """Long predictions of the fitted models on the test split (as of the rules': one row per
+    document and model)."""
+    test = _labelled(spark, sf).where(F.col("split") == "test")
+    a = MD.apply_classifier(logreg(spark, sf), test, model_name="logreg")
+    b = MD.apply_classifier(svm(spark, sf), _pooled(spark, sf, test), model_name="svm")
+    return a.unionByName(b)
 
 
 @query("logreg_report")
 def logreg_report(spark, sf):
-    """Balanced logistic regression on TF-IDF features: train on the train split, report on
-    the held-out split."""
-    s = _labelled(spark, sf)
-    model = MD.train_logreg(s.where(F.col("split") == "train"), stop_words=STOP_WORDS)
-    preds = MD.apply_classifier(model, s.where(F.col("split") == "test"), model_name="logreg")
-    return M.classification_report(preds)
+    """Balanced logistic regression on TF-IDF features: report on the held-out split."""
+    test = _labelled(spark, sf).where(F.col("split") == "test")
+    return M.classification_report(MD.apply_classifier(logreg(spark, sf), test, model_name="logreg"))
 
 
 @query("svm_report")
 def svm_report(spark, sf):
     """Balanced linear SVM on mean-pooled word vectors; probability = sigmoid(margin)."""
-    from pyspark.ml.functions import array_to_vector
-    t = U.tables(spark, sf)
-    s = _labelled(spark, sf)
-    vec = FE.mean_pool_vectors(s.select("doc_id", "text"), t.embeddings,
-                               word_id=lambda w: FE.word_vector_id(w, VOCAB_IDS))
-    data = cut_lineage(s.join(vec, "doc_id").withColumn("features", array_to_vector("vec")))
-    model = MD.train_svm(data.where(F.col("split") == "train"))
-    preds = MD.apply_classifier(model, data.where(F.col("split") == "test"), model_name="svm")
-    return M.classification_report(preds)
+    test = _pooled(spark, sf, _labelled(spark, sf).where(F.col("split") == "test"))
+    return M.classification_report(MD.apply_classifier(svm(spark, sf), test, model_name="svm"))
 
 
 @query("linear_attribution")
 def linear_attribution(spark, sf):
-    """Per word of a document: coefficient * (tf-idf value - corpus mean), top 10 by size."""
-    s = _labelled(spark, sf)
-    model = MD.train_logreg(s.where(F.col("split") == "train"), stop_words=STOP_WORDS)
-    return AT.linear_attribution(s.where(F.col("split") == "test"), model, stop_words=STOP_WORDS)
+    """Per word of a held-out document: coefficient * (tf-idf weight - mean weight), top 10."""
+    test = _labelled(spark, sf).where(F.col("split") == "test")
+    return AT.linear_attribution(test, logreg(spark, sf), stop_words=STOP_WORDS)
+
+
+@query("trained_model_metrics")
+def trained_model_metrics(spark, sf):
+    """Summary rows of the rule scorers and of both fitted models on the same held-out split."""
+    test = _labelled(spark, sf).where(F.col("split") == "test").select("doc_id")
+    rules = U.predictions(spark, sf).select("doc_id", "model", "y_true", "y_pred", "proba").join(test, "doc_id", "left_semi")
+    return M.model_metrics(rules.unionByName(trained_predictions(spark, sf)))
+
+
+@query("trained_paired_tests")
+def trained_paired_tests(spark, sf):
+    """McNemar counts of the SVM against the logistic regression on the held-out split."""
+    return SG.mcnemar_counts(trained_predictions(spark, sf), "logreg")
+
+
+@query("trained_cross_dataset")
+def trained_cross_dataset(spark, sf):
+    """The fitted logistic regression on its own held-out split and on a second labelled set:
+    the page texts (tags stripped), labelled by page id."""
+    t = U.tables(spark, sf)
+    own = _labelled(spark, sf).where(F.col("split") == "test").select("doc_id", "text", "label")
+    text = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>", " "), "<[^>]*>", " ")
+    pages = t.pages.select(F.col("page_id").alias("doc_id"), text.alias("text")).join(
+        t.labels.select("doc_id", F.col("toxic").cast("int").alias("label")), "doc_id")
+    model = logreg(spark, sf)
+    scored = [MD.apply_classifier(model, d, model_name="logreg").withColumn("dataset", F.lit(n)) for n, d in (("documents", own), ("pages", pages))]
+    return M.report_wide(scored[0].unionByName(scored[1]), by=("dataset",))

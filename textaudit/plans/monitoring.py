@@ -21,7 +21,7 @@ def _events(spark, sf):
 
 
 def _p(s: MO.ValueScorer, v: str = "value") -> str:
-    return f"round(1.0 / (1.0 + exp(-(({v} - CAST({s.center!r} AS DOUBLE)) / CAST({s.scale!r} AS DOUBLE)))), 6)"
+    return f"(1.0 / (1.0 + exp(-(({v} - CAST({s.center!r} AS DOUBLE)) / CAST({s.scale!r} AS DOUBLE)))))"
 
 
 _SAMPLE = f"(CAST(('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8)) AS BIGINT) % 100) < {SAMPLE_PERCENT}"

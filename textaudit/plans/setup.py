@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.models import RuleModel, build_predictions
-from ..session import bounded_broadcast
 from ..sources.tables import Tables
 
 # Scorers of the audit queries: each is a column expression over the word tokens.
@@ -28,15 +27,6 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(spark, sf_dir)
 
 
-LABELS_BROADCAST_MAX_ROWS = 5_000_000
-
-
-def label_side(labels: DataFrame) -> DataFrame:
-    """The labels side of a join with whole texts: broadcast when its row count is proven
-    small, so the texts are not shuffled; beyond the bound both sides shuffle on doc_id."""
-    return bounded_broadcast(labels, LABELS_BROADCAST_MAX_ROWS)
-
-
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, grp, dataset, model, y_true, y_pred, proba)``; truth = ``labels.toxic``,
     group = ``documents.lang``, dataset = ``documents.source``."""
@@ -62,7 +52,7 @@ def sql_list(words) -> str:
 def sql_proba(m: RuleModel, toks: str = "t") -> str:
     hits = f"len(list_filter({toks}, lambda w: w IN {sql_list(m.words)}))"
     x = f"(CAST({m.intercept!r} AS DOUBLE) + CAST({m.slope!r} AS DOUBLE) * {hits} / greatest(len({toks}), 1))"
-    return f"round(1.0 / (1.0 + exp(-{x})), 6)"
+    return f"(1.0 / (1.0 + exp(-{x})))"
 
 
 def sql_predictions_ctes() -> str:

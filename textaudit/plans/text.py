@@ -48,7 +48,7 @@ UNION ALL SELECT doc_id, label, 'swapped', swapped FROM s WHERE swapped <> text"
 def cda_augment(spark, sf):
     t = U.tables(spark, sf)
     d = t.documents.select("doc_id", "text").join(
-        U.label_side(t.labels.select("doc_id", F.col("toxic").cast("int").alias("label"))), "doc_id",
+        t.labels.select("doc_id", F.col("toxic").cast("int").alias("label")), "doc_id",
         "left").fillna(0, ["label"])
     return AU.cda_augment(d).select("doc_id", "label", "variant", "text")
 
@@ -174,9 +174,10 @@ def _rescored_sql() -> str:
     return f"""
 WITH cf AS ({cf}),
 p0 AS (SELECT doc_id, {U.sql_proba(m, toks('text'))} AS p0 FROM documents),
-r AS (SELECT cf.doc_id, cf.rank, cf.suggestion, p0.p0 AS proba_original,
-             {U.sql_proba(m, toks('cf.suggestion'))} AS proba_rewrite FROM cf JOIN p0 ON cf.doc_id = p0.doc_id)
-SELECT *, round(proba_rewrite - proba_original, 6) AS delta, round(proba_rewrite - proba_original, 6) < 0 AS lower FROM r"""
+r AS (SELECT cf.doc_id, cf.rank, cf.suggestion, p0.p0 AS a,
+             {U.sql_proba(m, toks('cf.suggestion'))} AS b FROM cf JOIN p0 ON cf.doc_id = p0.doc_id)
+SELECT doc_id, rank, suggestion, round(a, 6) AS proba_original, round(b, 6) AS proba_rewrite,
+       round(b - a, 6) AS delta, round(b - a, 6) < 0 AS lower FROM r"""
 
 
 @query("rescored_rewrites", _rescored_sql())
@@ -200,10 +201,9 @@ g AS (SELECT doc_id, sum(sa * sb) AS dot, sqrt(sum(sa * sa)) AS na, sqrt(sum(sb
 SELECT doc_id, round(CASE WHEN na > 0 AND nb > 0 THEN dot / (na * nb) END, 6) AS cosine FROM g""")
 def explanation_stability(spark, sf):
     d = _docs(spark, sf).select("doc_id", "text")
-    a = AT.keyword_attribution(d, weights=QUERY_WEIGHTS)
-    s = AU.gender_swap(d).select("doc_id", F.col("swapped").alias("text"))
-    b = AT.keyword_attribution(s, weights=QUERY_WEIGHTS)
-    return AT.attribution_cosine(a, b)
+    s = AU.gender_swap(d)
+    top = lambda c: AT.keyword_scores_array(TX.word_tokens(c), QUERY_WEIGHTS, L.KEYWORD_TOP_K)
+    return AT.attribution_cosine(s, top("text"), top("swapped"))
 
 
 def _p_sql(m, h: str, n: str) -> str:

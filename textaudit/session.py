@@ -1,4 +1,4 @@
-"""Session helpers: a tuned builder for local runs, lineage cuts, bounded broadcasts."""
+"""Session helpers: a tuned builder for local runs, shared checkpoint folder, lineage cuts."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -81,13 +80,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     out = kept.checkpoint(eager=True)
     kept.unpersist()
     return out
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only when its row count is proven to be at most ``max_rows``.
-
-    Beyond the bound the frame is returned unhinted, so the planner shuffles both sides
-    (and AQE may still switch to a broadcast or split skewed partitions at runtime).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df

@@ -6,31 +6,37 @@ data path. Column checks look only at ``df.columns`` (no action).
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import lexicons as L
 from ..operators import schema as S
+from .sinks import CSV_OPTIONS
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """Headered CSV with quoted multi-line fields. Without a schema every column is a string
-    (cast later with the coercion operators) instead of an inference pass over the data."""
-    r = (spark.read.option("header", True).option("multiLine", True)
-         .option("escape", '"').option("quote", '"'))
+    (cast later with the coercion operators) instead of an inference pass over the data. A
+    multi-line file is one task, so a table comes as many files; convert it to Parquet once."""
+    r = spark.read.options(**{**CSV_OPTIONS, "emptyValue": ""})
     if schema is not None:
         r = r.schema(schema)
     return r.csv(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in the file system that its scheme names (not only a local one)."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)
+
+
 def read_splits(spark: SparkSession, base: str, names=("train", "val", "test"),
                 pattern: str = "{base}/{name}.csv", reader=None) -> dict[str, DataFrame]:
     """Three-split scan; fails naming every missing split before any read."""
     paths = {n: pattern.format(base=base.rstrip("/"), name=n) for n in names}
-    missing = [p for p in paths.values() if not os.path.exists(p)]
+    missing = [p for p in paths.values() if not exists(spark, p)]
     if missing:
         raise FileNotFoundError(f"missing split files: {missing}")
     reader = reader or (lambda p: read_csv(spark, p))
@@ -57,7 +63,8 @@ def read_predictions(spark: SparkSession, path: str, key: str | None = None) ->
 
     The prediction column is the first candidate name present; else the only column whose
     non-null values are all 0/1 (one aggregate over the file). The probability column is
-    optional."""
+    optional. A prediction that is no number is an error when the rows are read, as it would
+    silently leave the confusion counts; a probability that is none is NULL."""
     df = read_csv(spark, path)
     pred = S.first_match(df.columns, L.PREDICTION_CANDIDATES)
     if pred is None:
@@ -66,7 +73,10 @@ def read_predictions(spark: SparkSession, path: str, key: str | None = None) ->
             raise ValueError(f"cannot identify the prediction column; binary columns: {binary}")
         pred = binary[0]
     proba = S.first_match(df.columns, L.PROBA_CANDIDATES)
-    cols = [F.expr(f"try_cast(`{pred}` as double)").cast("int").alias("y_pred"),
+    value = F.expr(f"try_cast(`{pred}` as double)")
+    told = F.when(F.lower(F.col(f"`{pred}`")) == "true", 1.0).when(F.lower(F.col(f"`{pred}`")) == "false", 0.0)
+    wrong = F.raise_error(F.concat(F.lit("not a prediction: "), F.coalesce(F.col(f"`{pred}`"), F.lit("empty")))).cast("double")
+    cols = [F.coalesce(value, told, wrong).cast("int").alias("y_pred"),
             (F.expr(f"try_cast(`{proba}` as double)") if proba else F.lit(None).cast("double")).alias("proba")]
     if key:
         cols = [F.col(key)] + cols
@@ -97,6 +107,6 @@ def read_example_bank(spark: SparkSession, path: str) -> DataFrame:
 def read_embeddings(spark: SparkSession, candidates: list[str]) -> DataFrame:
     """First available embedding table ``(word STRING, vec ARRAY<FLOAT>)`` among candidates."""
     for p in candidates:
-        if os.path.exists(p):
+        if exists(spark, p):
             return spark.read.parquet(p)
     raise FileNotFoundError(f"no embedding table among {candidates}")

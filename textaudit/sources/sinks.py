@@ -9,22 +9,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Options of CSV files here: what these sinks write, ``read_csv`` reads back unchanged (quotes
+#: doubled, line breaks inside quotes, empty text told from NULL).
+CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true", "nullValue": "", "emptyValue": '""',
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
+def _writer(df: DataFrame, fmt: str):
+    w = df.write.mode("overwrite").format(fmt)
+    if fmt != "csv":
+        return w
+    # on writing, an empty string is quoted and NULL is not
+    return w.options(**{k: v for k, v in CSV_OPTIONS.items() if k != "multiLine"})
+
+
 def write_splits(train: DataFrame, val: DataFrame, test: DataFrame, path: str,
                  fmt: str = "parquet", minimal_cols=("text", "label")) -> None:
-    """Held-out keeps every column; train/val keep the minimal projection. One table
-    partitioned by ``split`` so readers prune to the split they need."""
+    """Held-out keeps every column; train/val keep the minimal projection. Parquet: one table
+    partitioned by ``split``, so readers prune to the split they need. CSV: a file set for each
+    split (``train.csv``, ``val.csv``, ``test.csv``, with headers), as :func:`read_splits` reads."""
     cols = list(minimal_cols)
+    if fmt == "csv":
+        for name, df in (("train", train.select(*cols)), ("val", val.select(*cols)), ("test", test)):
+            _writer(df, fmt).save(f"{path.rstrip('/')}/{name}.csv")
+        return
     parts = (train.select(*cols).withColumn("split", F.lit("train"))
              .unionByName(val.select(*cols).withColumn("split", F.lit("val")))
              .unionByName(test.withColumn("split", F.lit("test")), allowMissingColumns=True))
     parts.write.mode("overwrite").partitionBy("split").format(fmt).save(path)
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "parquet", header: bool = True) -> None:
-    w = df.write.mode("overwrite").format(fmt)
-    if fmt == "csv":
-        w = w.option("header", header)
-    w.save(path)
+def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+    _writer(df, fmt).save(path)
 
 
 def write_predictions(preds: DataFrame, path: str, fmt: str = "parquet") -> None:

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
@@ -24,13 +24,13 @@ from ..operators.metrics import DIGITS
 
 @dataclass(frozen=True)
 class ValueScorer:
-    """proba = sigmoid((value - center) / scale), rounded to 6 digits."""
+    """proba = sigmoid((value - center) / scale), unrounded."""
     name: str
     center: float
     scale: float
 
     def proba(self, value: Column) -> Column:
-        return F.round(TX.sigmoid((value - F.lit(self.center)) / F.lit(self.scale)), DIGITS)
+        return TX.sigmoid((value - F.lit(self.center)) / F.lit(self.scale))
 
 
 def hash_sample(key, percent: int) -> Column:
@@ -85,20 +85,18 @@ def kl_from_bins(bins: DataFrame, ref_start: str, ref_end: str, n_bins: int = 10
     ``(day, bin, c)`` counts; the reference is the days in [ref_start, ref_end). Works on
     batch counts and on the output table of :func:`stream_score_bins`."""
     in_ref = (F.col("day") >= F.lit(ref_start).cast("timestamp_ntz")) & (F.col("day") < F.lit(ref_end).cast("timestamp_ntz"))
-    # fresh aliases on each side, so the self-joins below also resolve on a sink table
-    counts = bins.select(F.col("day").alias("day"), F.col("bin").alias("bin"), F.col("c").alias("c"))
-    ref = counts.where(in_ref).groupBy("bin").agg(F.sum("c").alias("rc"))
-    grid = (bins.select(F.col("day").alias("_day")).distinct()
-            .select(F.col("_day").alias("day"), F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin")))
-    # the reference histogram has at most n_bins rows
-    full = (grid.join(counts, ["day", "bin"], "left").join(F.broadcast(ref), "bin", "left")
-            .fillna(0, ["c", "rc"]))
-    tot = full.groupBy("day").agg(F.sum("c").alias("n"), F.sum("rc").alias("rn"))
-    j = full.join(tot, "day")
-    p = (F.col("c") + 1.0) / (F.col("n") + n_bins)
-    q = (F.col("rc") + 1.0) / (F.col("rn") + n_bins)
-    return j.groupBy("day").agg(F.round(F.sum(p * F.log(p / q)), DIGITS).alias("kl"),
-                                F.first("n").cast("long").alias("n_events"))
+    # One row a day with its counts by bin; the reference is the sum of its days' rows, over the
+    # table of days (one row a day, whatever the events).
+    days = bins.groupBy("day").agg(*[F.sum(F.when(F.col("bin") == i, F.col("c")).otherwise(0)).alias(f"c{i}") for i in range(n_bins)])
+    whole = Window.partitionBy(F.lit(0))
+    days = days.select("day", F.array(*[F.col(f"c{i}") for i in range(n_bins)]).alias("c"),
+                       F.array(*[F.coalesce(F.sum(F.when(in_ref, F.col(f"c{i}"))).over(whole), F.lit(0)) for i in range(n_bins)]).alias("rc"))
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda acc, x: acc + x)
+    days = days.withColumns({"n": total("c"), "rn": total("rc")})
+    p = F.transform("c", lambda c: (c + 1.0) / (F.col("n") + n_bins))
+    q = F.transform("rc", lambda c: (c + 1.0) / (F.col("rn") + n_bins))
+    kl = F.aggregate(F.zip_with(p, q, lambda x, y: x * F.log(x / y)), F.lit(0.0), lambda acc, x: acc + x)
+    return days.select("day", F.round(kl, DIGITS).alias("kl"), F.col("n").cast("long").alias("n_events"))
 
 
 def drift_kl(events: DataFrame, scorer: ValueScorer, ref_start: str, ref_end: str, n_bins: int = 10,
