@@ -45,26 +45,23 @@ def margin_vs_second(long: DataFrame) -> DataFrame:
 
 
 def paired_summary(preds: DataFrame, reference: str, key: str = "doc_id") -> DataFrame:
-    """One row per baseline: its metrics, the reference's metrics, McNemar and paired-t."""
+    """One row per baseline: its metrics, the reference's metrics, McNemar and paired-t. One
+    metrics pass for all models (the reference's row is attached over the table of models) and
+    one pairing pass for both tests."""
+    whole = Window.partitionBy(F.lit(0))
     mm = M.model_metrics(preds)
-    base = mm.where(F.col("model") != reference).select(
-        F.col("model").alias("baseline"), *[F.col(m).alias(f"baseline_{m}") for m in METRIC_NAMES])
-    ref = mm.where(F.col("model") == reference).select(
-        F.col("model").alias("_ref"), *[F.col(m).alias(f"reference_{m}") for m in METRIC_NAMES])
-    # one pairing pass (self-join on the key) feeds both tests
-    mc_raw, pt_raw = S.paired_tests(preds, reference, key)
-    mc = mc_raw.select(
-        "baseline", F.col("b").alias("mcnemar_b"), F.col("c").alias("mcnemar_c"),
-        F.col("exact").alias("mcnemar_exact"), F.col("statistic").alias("mcnemar_statistic"),
-        F.col("p_value").alias("mcnemar_p_value"), F.col("cohens_g").alias("mcnemar_cohens_g"),
-        F.col("odds_ratio").alias("mcnemar_odds_ratio"))
-    pt = pt_raw.select(
-        "baseline", F.col("t_stat").alias("paired_t_stat"), F.col("p_value").alias("paired_t_p_value"),
+    ref = [F.max(F.when(F.col("model") == reference, F.col(m))).over(whole).alias(f"reference_{m}") for m in METRIC_NAMES]
+    base = mm.select("model", *[F.col(m).alias(f"baseline_{m}") for m in METRIC_NAMES], *ref).where(F.col("model") != reference)
+    tests = S.paired_tests(preds, reference, key).select(
+        F.col("baseline").alias("model"), F.col("b").alias("mcnemar_b"), F.col("c").alias("mcnemar_c"),
+        F.col("m_exact").alias("mcnemar_exact"), F.col("m_statistic").alias("mcnemar_statistic"),
+        F.col("m_mcnemar_p").alias("mcnemar_p_value"), F.col("m_cohens_g").alias("mcnemar_cohens_g"),
+        F.col("m_odds_ratio").alias("mcnemar_odds_ratio"),
+        F.col("t_stat").alias("paired_t_stat"), F.col("p_value").alias("paired_t_p_value"),
         F.col("cohens_dz").alias("paired_t_cohens_dz"), F.col("mean_diff").alias("paired_t_mean_diff"),
         F.col("ci95_low").alias("paired_t_ci95_low"), F.col("ci95_high").alias("paired_t_ci95_high"),
         F.col("n").alias("paired_t_n"))
-    return (base.withColumn("_ref", F.lit(reference)).join(ref, "_ref").drop("_ref")
-            .join(mc, "baseline", "left").join(pt, "baseline", "left"))
+    return base.join(tests, "model", "left").withColumnRenamed("model", "baseline")
 
 
 def mean_diff_bars(paired: DataFrame) -> DataFrame:

@@ -64,16 +64,18 @@ def pair_aggregates(preds: DataFrame, reference: str, key: str = "doc_id") -> Da
         F.avg(d).alias("mean"), F.stddev_samp(d).alias("sd"), F.count(d).cast("long").alias("n_d"))
 
 
-def _mcnemar_from(g: DataFrame) -> DataFrame:
+def _mcnemar_columns() -> dict:
     b, c, n = F.col("b"), F.col("c"), F.col("n")
     exact = (b + c) < 25
     stat = F.when(exact, F.least(b, c).cast("double")).otherwise(
         F.pow(F.abs(b - c) - 1.0, 2) / (b + c))
     odds = (F.when(c > 0, b / c.cast("double"))
             .when(b > 0, F.lit(float("inf"))).otherwise(F.lit(None).cast("double")))
-    return g.select("baseline", "b", "c", "n", exact.alias("exact"), _r(stat).alias("statistic"),
-                    _r(F.try_divide(F.abs(b - c).cast("double"), n)).alias("cohens_g"),
-                    _r(odds).alias("odds_ratio"))
+    return {"exact": exact, "statistic": _r(stat), "cohens_g": _r(F.try_divide(F.abs(b - c).cast("double"), n)), "odds_ratio": _r(odds)}
+
+
+def _mcnemar_from(g: DataFrame) -> DataFrame:
+    return g.select("baseline", "b", "c", "n", *[v.alias(k) for k, v in _mcnemar_columns().items()])
 
 
 def mcnemar_counts(preds: DataFrame, reference: str, key: str = "doc_id") -> DataFrame:
@@ -92,9 +94,9 @@ def true_class_proba(y, p):
     return F.when(y == 1, p).otherwise(F.lit(1.0) - p)
 
 
-def _t_from(g: DataFrame) -> DataFrame:
+def _t_from(g: DataFrame, keep=()) -> DataFrame:
     sd_ok = F.col("sd") > 0
-    return g.select("baseline", "mean", "sd", F.col("n_d").alias("n"),
+    return g.select("baseline", *keep, "mean", "sd", F.col("n_d").alias("n"),
                     F.when(sd_ok, F.col("mean") / (F.col("sd") / F.sqrt(F.col("n_d")))).alias("t"),
                     F.when(sd_ok, F.col("mean") / F.col("sd")).alias("dz"))
 
@@ -112,14 +114,14 @@ def paired_t(preds: DataFrame, reference: str, key: str = "doc_id") -> DataFrame
                     _r(F.col("t")).alias("t_stat"), _r(F.col("dz")).alias("cohens_dz"))
 
 
-def _t_test_from(r: DataFrame, level: float) -> DataFrame:
+def _t_test_from(r: DataFrame, level: float, keep=()) -> DataFrame:
     df1 = (F.col("n") - 1).cast("double")
     ok = (F.col("n") > 1) & (F.col("sd") > 0)
     se = F.col("sd") / F.sqrt(F.col("n"))
     x = (r.withColumn("p_value", F.when(F.col("n") > 1, D.t_two_sided_p_udf(F.col("t"), df1)))
          .withColumn("q", F.when(ok, D.t_quantile_udf(F.lit((1.0 + level) / 2.0), df1))))
     return x.select(
-        "baseline", _r(F.col("mean")).alias("mean_diff"), _r(F.col("sd")).alias("sd"), "n",
+        "baseline", *keep, _r(F.col("mean")).alias("mean_diff"), _r(F.col("sd")).alias("sd"), "n",
         _r(F.col("t")).alias("t_stat"), _r(F.col("dz")).alias("cohens_dz"), F.col("p_value"),
         _r(F.when(ok, F.col("mean") - F.col("q") * se)).alias("ci95_low"),
         _r(F.when(ok, F.col("mean") + F.col("q") * se)).alias("ci95_high"))
@@ -131,8 +133,10 @@ def paired_t_test(preds: DataFrame, reference: str, key: str = "doc_id", level:
     return _t_test_from(_paired_t_raw(preds, reference, key), level)
 
 
-def paired_tests(preds: DataFrame, reference: str, key: str = "doc_id", level: float = 0.95):
-    """McNemar (with p-value) and paired-t results from a single pairing pass."""
+def paired_tests(preds: DataFrame, reference: str, key: str = "doc_id", level: float = 0.95) -> DataFrame:
+    """McNemar and paired-t results of every baseline in one row, from a single pairing pass."""
     g = pair_aggregates(preds, reference, key)
-    mc = _mcnemar_from(g).withColumn("p_value", D.mcnemar_p_udf(F.col("b"), F.col("c")))
-    return mc, _t_test_from(_t_from(g), level)
+    both = _mcnemar_columns() | {"mcnemar_p": D.mcnemar_p_udf(F.col("b"), F.col("c"))}
+    g = g.select("baseline", "mean", "sd", "n_d", "b", "c", *[v.alias(f"m_{k}") for k, v in both.items()])
+    extra = ["b", "c", *[f"m_{k}" for k in both]]
+    return _t_test_from(_t_from(g, extra), level, extra)

@@ -46,12 +46,25 @@ def margin_vs_second(spark, sf):
     return C.margin_vs_second(C.metrics_long(M.model_metrics(U.predictions(spark, sf))))
 
 
-@query("paired_summary", headline=True)
+_SIDES = ", ".join(f"x.{m} AS baseline_{m}, r.{m} AS reference_{m}" for m in C.METRIC_NAMES)
+
+
+@query("paired_summary", EV._with(_MM + EV._MCNEMAR_SQL + EV._MCNEMAR_P_SQL + EV._PAIRED_P_SQL.replace(EV._PAIRS_SQL, "") + f"""
+SELECT x.model AS baseline, {_SIDES}, mcp.b AS mcnemar_b, mcp.c AS mcnemar_c, mcp.exact AS mcnemar_exact,
+       mcp.statistic AS mcnemar_statistic, mcp.p_value AS mcnemar_p_value, mcp.cohens_g AS mcnemar_cohens_g,
+       mcp.odds_ratio AS mcnemar_odds_ratio, t_stat AS paired_t_stat, ptp.p_value AS paired_t_p_value,
+       cohens_dz AS paired_t_cohens_dz, mean_diff AS paired_t_mean_diff, ci95_low AS paired_t_ci95_low,
+       ci95_high AS paired_t_ci95_high, ptp.n AS paired_t_n
+FROM mm x JOIN mm r ON r.model = '{U.REFERENCE}' AND x.model <> '{U.REFERENCE}'
+LEFT JOIN mcp ON mcp.baseline = x.model LEFT JOIN ptp ON ptp.baseline = x.model"""), headline=True)
 def paired_summary(spark, sf):
-    return C.paired_summary(U.predictions(spark, sf), U.REFERENCE)
+    s = C.paired_summary(U.predictions(spark, sf), U.REFERENCE)
+    return s.withColumns({c: F.round(c, EV.P_DIGITS) for c in ("mcnemar_p_value", "paired_t_p_value")})
 
 
-@query("mean_diff_bars")
+@query("mean_diff_bars", EV._with(EV._PAIRED_P_SQL + """
+SELECT baseline, mean_diff, round(coalesce(mean_diff - ci95_low, 0.0), 6) AS err_low, round(coalesce(ci95_high - mean_diff, 0.0), 6) AS err_high,
+       CASE WHEN mean_diff > 0 THEN 'positive' WHEN mean_diff < 0 THEN 'negative' ELSE 'zero' END AS sign FROM ptp"""))
 def mean_diff_bars(spark, sf):
     return C.mean_diff_bars(S.paired_t_test(U.predictions(spark, sf), U.REFERENCE))
 

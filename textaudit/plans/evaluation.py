@@ -185,9 +185,29 @@ def mcnemar_counts(spark, sf):
     return S.mcnemar_counts(U.predictions(spark, sf), U.REFERENCE)
 
 
-@query("mcnemar_test")
+P_DIGITS = 9  # of p-values in query results, as the SQL statements integrate numerically
+
+
+def _simpson(f: str, lo: str, hi: str, steps: int = 20_000) -> str:
+    """SQL: the integral of ``f`` (of ``x``) from ``lo`` to ``hi``."""
+    h = f"(({hi}) - ({lo})) / {steps}.0"
+    weight = f"CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return f"(list_sum(list_transform(range(0, {steps + 1}), lambda i: ({weight}) * {f.replace('$x', f'(({lo}) + i * {h})')})) * {h} / 3.0)"
+
+
+_MCNEMAR_P_SQL = f"""
+, mcp AS (SELECT *, round(CASE
+    WHEN b + c = 0 THEN 1.0
+    WHEN exact THEN least(1.0, 2 * list_sum(list_transform(range(0, least(b, c) + 1),
+        lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2)))))
+    ELSE 2 / sqrt(pi()) * {_simpson('exp(-$x * $x)', 'z', 'z + 8')} END, {P_DIGITS}) AS p_value
+  FROM (SELECT *, sqrt(power(abs(b - c) - 1.0, 2) / nullif(b + c, 0) / 2) AS z FROM mcs))"""
+
+
+@query("mcnemar_test", _with(_MCNEMAR_SQL + _MCNEMAR_P_SQL + """
+SELECT baseline, b, c, n, exact, statistic, cohens_g, odds_ratio, p_value FROM mcp"""))
 def mcnemar_test(spark, sf):
-    return S.mcnemar_test(U.predictions(spark, sf), U.REFERENCE)
+    return S.mcnemar_test(U.predictions(spark, sf), U.REFERENCE).withColumn("p_value", F.round("p_value", P_DIGITS))
 
 
 _PAIRED_T_SQL = _PAIRS_SQL + """
@@ -204,9 +224,25 @@ def paired_t(spark, sf):
     return S.paired_t(U.predictions(spark, sf), U.REFERENCE)
 
 
-@query("paired_t_test")
+_Z = "CAST(1.959963984540054 AS DOUBLE)"
+# The 0.975 quantile of Student's t by its expansion in 1 / v around the normal one.
+_T975 = f"""({_Z} + (power({_Z}, 3) + {_Z}) / (4 * v) + (5 * power({_Z}, 5) + 16 * power({_Z}, 3) + 3 * {_Z}) / (96 * v * v)
+  + (3 * power({_Z}, 7) + 19 * power({_Z}, 5) + 17 * power({_Z}, 3) - 15 * {_Z}) / (384 * power(v, 3))
+  + (79 * power({_Z}, 9) + 776 * power({_Z}, 7) + 1482 * power({_Z}, 5) - 1920 * power({_Z}, 3) - 945 * {_Z}) / (92160 * power(v, 4)))"""
+
+_PAIRED_P_SQL = _PAIRED_T_SQL + f"""
+, tv AS (SELECT *, n - 1.0 AS v, CASE WHEN sd > 0 THEN m / (sd / sqrt(n)) END AS t FROM ts)
+, ptp AS (SELECT baseline, round(m, 6) AS mean_diff, round(sd, 6) AS sd, n, round(t, 6) AS t_stat,
+    round(CASE WHEN sd > 0 THEN m / sd END, 6) AS cohens_dz,
+    round(CASE WHEN n > 1 THEN greatest(0.0, 1 - 2 * exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(v * pi())
+      * {_simpson('power(1 + $x * $x / v, -(v + 1) / 2)', 'CAST(0 AS DOUBLE)', 'abs(t)')}) END, {P_DIGITS}) AS p_value,
+    round(CASE WHEN n > 1 AND sd > 0 THEN m - {_T975} * sd / sqrt(n) END, 6) AS ci95_low,
+    round(CASE WHEN n > 1 AND sd > 0 THEN m + {_T975} * sd / sqrt(n) END, 6) AS ci95_high FROM tv)"""
+
+
+@query("paired_t_test", _with(_PAIRED_P_SQL + "\nSELECT * FROM ptp"))
 def paired_t_test(spark, sf):
-    return S.paired_t_test(U.predictions(spark, sf), U.REFERENCE)
+    return S.paired_t_test(U.predictions(spark, sf), U.REFERENCE).withColumn("p_value", F.round("p_value", P_DIGITS))
 
 
 @query("alignment_check", _with(f"""

@@ -185,9 +185,24 @@ def rescored_rewrites(spark, sf):
     return CF.rescore_rewrites(_docs(spark, sf), U.MODELS[0], weights=QUERY_WEIGHTS)
 
 
-@query("full_audit")
+@query("full_audit", f"""
+WITH kw AS ({_kw_sql('text', QUERY_WEIGHTS, L.KEYWORD_TOP_K)}),
+cf AS ({_cf_sql()}),
+p AS (SELECT doc_id, {U.sql_proba(U.MODELS[0], f"regexp_extract_all(lower(coalesce(text, '')), {Q.WORD})")} AS p FROM documents),
+parts AS (SELECT doc_id, 'word' AS part, CAST(rank AS INTEGER) AS rank, word AS item, score FROM kw
+          UNION ALL SELECT doc_id, 'suggestion', rank, suggestion, NULL FROM cf)
+SELECT p.doc_id, round(p.p, 6) AS proba, CASE WHEN p.p > 0.5 THEN 'BIASED' ELSE 'NEUTRAL' END AS bias_class,
+       round(greatest(p.p, 1 - p.p), 6) AS confidence, part, rank, item, score FROM p JOIN parts ON p.doc_id = parts.doc_id""")
 def full_audit(spark, sf):
-    return CF.full_audit(_docs(spark, sf), U.MODELS[0], weights=QUERY_WEIGHTS)
+    """The audit record of every document, a row for each of its words and suggestions."""
+    a = CF.full_audit(_docs(spark, sf), U.MODELS[0], weights=QUERY_WEIGHTS)
+    nothing = F.lit(None).cast("double")
+    words = F.transform("top_words", lambda w, i: F.struct(
+        F.lit("word").alias("part"), (i + 1).alias("rank"), w["word"].alias("item"), w["score"].alias("score")))
+    texts = F.transform("suggestions", lambda s, i: F.struct(
+        F.lit("suggestion").alias("part"), (i + 1).alias("rank"), s.alias("item"), nothing.alias("score")))
+    return a.select("doc_id", "proba", "bias_class", "confidence", F.explode(F.concat(words, texts)).alias("x")).select(
+        "doc_id", "proba", "bias_class", "confidence", "x.*")
 
 
 @query("explanation_stability", "WITH " + _SWAP_CTE + f"""
