@@ -11,16 +11,18 @@ from .frames import documents
 from .simhash import near_duplicates
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Share that a text's best language must have; a text without letters has none.
-LEAST_SHARE = 0.5
+#: Lift of a text's best language over equal shares. A text that no language tells apart, as
+#: in an unlearned script, has none; short texts of a known language pass.
+LEAST_LIFT = 1.1
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told with a share of at least ``LEAST_SHARE``; where the
+    """Documents with letters whose best language stands out from equal shares; where the
     table has no language, the told one."""
-    known = docs.where(F.col("doc_id").isNotNull() & ~language.fold(F.col("doc_id")))
-    told = language.predict(docs, language.learn(known), keep=COLUMNS)
-    kept = told.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
+    model = language.learn(docs.where(F.col("doc_id").isNotNull() & ~language.fold(F.col("doc_id"))))
+    told = language.predict(docs, model, keep=COLUMNS)
+    least = min(1.0, LEAST_LIFT / max(1, len(model.langs)))
+    kept = told.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= least))
     return kept.select("doc_id", "text", F.coalesce("lang", "lang_pred").alias("lang"), "source", "n_chars")
 
 
