@@ -34,12 +34,12 @@ class RuleModel:
 
 
 def lexicon_hits(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Hits per document for a lexicon that is a table: tokens are counted per (doc, word)
-    first (map-side combine), then joined to the lexicon (broadcast if the planner measures it
-    below its threshold, else shuffled, with a hot word's partition split by AQE)."""
-    counts = (docs.select(key, F.explode(TX.word_tokens(text)).alias("word"))
-              .groupBy(key, "word").agg(F.count(F.lit(1)).alias("c")))
-    hits = counts.join(lexicon.select("word").distinct(), "word").groupBy(key).agg(F.sum("c").cast("long").alias("hits"))
+    """Hits per document for a lexicon that is a table: words are counted inside the row, then
+    joined to the lexicon (broadcast if the planner measures it below its threshold, else
+    shuffled, with a hot word's partition split by AQE) and summed on the map side first."""
+    counts = TX.with_counts(docs.select(key, text), TX.word_tokens(text)).select(key, TX.explode_rows(F.col("counts")).alias("t"))
+    hits = (counts.where(F.col("t").isNotNull()).select(key, F.col("t.word").alias("word"), F.col("t.c").alias("c"))
+            .join(lexicon.select("word").distinct(), "word").groupBy(key).agg(F.sum("c").cast("long").alias("hits")))
     return docs.select(key).join(hits, key, "left").fillna(0, ["hits"])
 
 

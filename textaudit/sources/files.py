@@ -12,14 +12,14 @@ from pyspark.sql import types as T
 
 from .. import lexicons as L
 from ..operators import schema as S
-from .sinks import CSV_OPTIONS
+from .sinks import CSV_READ
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """Headered CSV with quoted multi-line fields. Without a schema every column is a string
     (cast later with the coercion operators) instead of an inference pass over the data. A
     multi-line file is one task, so a table comes as many files; convert it to Parquet once."""
-    r = spark.read.options(**{**CSV_OPTIONS, "emptyValue": ""})
+    r = spark.read.options(**CSV_READ)
     if schema is not None:
         r = r.schema(schema)
     return r.csv(path)

@@ -10,17 +10,16 @@ from pyspark.sql import functions as F
 
 
 #: Options of CSV files here: what these sinks write, ``read_csv`` reads back unchanged (quotes
-#: doubled, line breaks inside quotes, empty text told from NULL).
-CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true", "nullValue": "", "emptyValue": '""',
-               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+#: doubled, line breaks inside quotes, NULL an empty field, empty text a quoted one).
+CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+CSV_WRITE = CSV_OPTIONS | {"nullValue": "", "emptyValue": '""'}
+#: A reader turns empty fields into its ``nullValue``, and that into NULL; no text equals this one.
+CSV_READ = CSV_OPTIONS | {"multiLine": "true", "nullValue": "\u0000", "emptyValue": ""}
 
 
 def _writer(df: DataFrame, fmt: str):
     w = df.write.mode("overwrite").format(fmt)
-    if fmt != "csv":
-        return w
-    # on writing, an empty string is quoted and NULL is not
-    return w.options(**{k: v for k, v in CSV_OPTIONS.items() if k != "multiLine"})
+    return w.options(**CSV_WRITE) if fmt == "csv" else w
 
 
 def write_splits(train: DataFrame, val: DataFrame, test: DataFrame, path: str,
