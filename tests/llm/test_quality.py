@@ -48,9 +48,9 @@ def test_binomial_bound_is_exact(k, n, delta):
 
 
 def test_cutoffs_reject_the_tail_and_guard_the_stratum(table):
-    rows = [(i, "en" if i % 2 else "de", f"w{i} " * 30 + ("# " * 200 if i % 400 == 1 else "") + " ".join(f"v{i}x{j}" for j in range(300))) for i in range(4000)]
-    bad = [(10_000 + i, "en", "# " * 500 + " ".join(f"u{j}" for j in range(100))) for i in range(20)]
-    lone = [(20_000, "xx", "# " * 500 + " ".join(f"u{j}" for j in range(100))), (20_001, None, None)]
+    rows = [(i, "en" if i % 2 else "de", " ".join(f"v{i}x{j}" + "#" * (i % 2000 == 1) for j in range(100))) for i in range(4000)]
+    bad = [(10_000 + i, "en", " ".join(f"u{j}##" for j in range(100))) for i in range(20)]
+    lone = [(20_000, "xx", bad[0][2]), (20_001, None, None)]
     docs = table(rows + bad + lone, "doc_id long, lang string, text string")
     got = {r["doc_id"]: r for r in quality.judge(docs, table([(i, 1) for i in range(4000)] + [(10_000, 0), (5, None)], "doc_id long, quality int")).collect()}
     assert len(got) == len(rows + bad + lone)
@@ -81,8 +81,8 @@ def test_classifier_against_labels(spark):
 
 
 def test_classifier_edges(table):
-    clean = "The house of the man was in the town, and it is by the sea.\n"
-    rows = [(i, clean * 2 + f"This is number {i} of the list.") for i in range(60)] + [(100, None), (101, ""), (102, "$$$ ### " * 40), (103, clean * 3000), (104, clean), (104, clean)]
+    say = lambda i: f"The house {i} of the man was in the town, and it is by the sea.\nThis is number {i} of the list, which was long.\nThe end of it is in the other part {i}."
+    rows = [(i, say(i)) for i in range(60)] + [(100, None), (101, ""), (102, "$$$ ### " * 40), (103, "\n".join(say(i) for i in range(3000))), (104, say(1)), (104, say(1))]
     got = {}
     for r in weaklabels.classify(table(rows, "doc_id long, text string").withColumnRenamed("doc_id", "doc_id"), ["doc_id"]).collect():
         assert 0 <= r["score"] <= 1
