@@ -35,47 +35,23 @@ def binom_two_sided_half(k: int, n: int) -> float:
     return min(1.0, 2.0 * cdf)
 
 
-def _betacf(a: float, b: float, x: float) -> float:
-    """Continued fraction for the regularised incomplete beta function (Lentz)."""
-    tiny = 1e-300
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = tiny if abs(d) < tiny else d
-    d = 1.0 / d
-    h = d
-    for m in range(1, 10000):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = tiny if abs(d) < tiny else d
-        c = 1.0 + aa / c
-        c = tiny if abs(c) < tiny else c
-        d = 1.0 / d
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = tiny if abs(d) < tiny else d
-        c = 1.0 + aa / c
-        c = tiny if abs(c) < tiny else c
-        d = 1.0 / d
-        delta = d * c
-        h *= delta
-        if abs(delta - 1.0) < 1e-15:
-            break
-    return h
-
-
 def betainc(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta I_x(a, b)."""
+    """Regularised incomplete beta I_x(a, b), by its hypergeometric series
+    x^a (1-x)^b / (a B(a, b)) * sum_n x^n (a+b)_n / (a+1)_n, all of whose terms are positive;
+    beyond the mean of the distribution by symmetry, where the series is the shorter one."""
     if x <= 0.0:
         return 0.0
     if x >= 1.0:
         return 1.0
-    lbt = (math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-           + a * math.log(x) + b * math.log1p(-x))
-    if x < (a + 1.0) / (a + b + 2.0):
-        return math.exp(lbt) * _betacf(a, b, x) / a
-    return 1.0 - math.exp(lbt) * _betacf(b, a, 1.0 - x) / b
+    if x * (a + b + 2.0) > a + 1.0:
+        return 1.0 - betainc(b, a, 1.0 - x)
+    log_front = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x) - math.log(a)
+    total, term, n = 0.0, 1.0, 0
+    while term > total * 1e-17:
+        total += term
+        term *= x * (a + b + n) / (a + 1.0 + n)
+        n += 1
+    return math.exp(log_front) * total
 
 
 def t_sf(t: float, df: float) -> float:

@@ -75,7 +75,8 @@ def mean_diff_bars(paired: DataFrame) -> DataFrame:
 
 
 def threshold_runs(preds: DataFrame, thresholds) -> DataFrame:
-    """A run history: F1 of each model at each threshold; run ``epoch`` numbers 1, 2, ..."""
+    """A stand-in for a training history, which no table here has: F1 of each model at each
+    threshold as run ``epoch`` 1, 2, ... (the selection of the best run is the operator)."""
     runs = F.array(*[F.struct(F.lit(i + 1).alias("epoch"), F.lit(float(t)).alias("threshold"))
                      for i, t in enumerate(thresholds)])
     x = preds.select("model", "y_true", "proba", F.explode(runs).alias("r")).select(

@@ -17,12 +17,14 @@ def read_table(spark: SparkSession, base_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan over the cluster's cores when it has fewer input splits than
-    cores (a small file is one row group, hence one task). Large inputs already have many
-    more splits than cores and are returned untouched, so no shuffle is added at scale."""
+    """In a local session, round-robin a scan over the cores when it has fewer input splits
+    (a test file is one row group, hence one task). On a cluster nothing is shuffled: there the
+    split size of the scan (``spark.sql.files.maxPartitionBytes``) sets the parallelism."""
     try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
+        sc = df.sparkSession.sparkContext
+        if not sc.master.startswith("local["):
+            return df
+        cores, splits = sc.defaultParallelism, df.rdd.getNumPartitions()
     except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): leave the plan as is
         return df
     return df if splits >= cores else df.repartition(cores)
