@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import map_text, pick, save
+from .frames import map_text, pick
 from .quality import COUNTS, RULES, counting
 from .words import ALNUM, Words, mixed, span_hash, utf8
 
@@ -91,18 +91,25 @@ LABELLERS = {
 }
 
 
+FIELDS = [T.StructField(c, T.LongType()) for c in COUNTS] + [T.StructField(c, T.DoubleType()) for c in SHARES]
+
+
+def votes() -> F.Column:
+    """A digit for each labeller, from a row's counts and shares."""
+    return F.concat_ws("", *[v().cast("string") for v in LABELLERS.values()])
+
+
 def measured(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """The ``keep`` columns, counts, shares and ``votes`` (a digit a labeller) of each row."""
-    fields = [T.StructField(c, T.LongType()) for c in COUNTS] + [T.StructField(c, T.DoubleType()) for c in SHARES]
-    rows = map_text(docs, text, [k for k in keep if k.lower() != "votes"], fields, _shares)
-    return rows.withColumn("votes", F.concat_ws("", *[v().cast("string") for v in LABELLERS.values()]))
+    """The ``keep`` columns, counts, shares and ``votes`` of each row."""
+    return map_text(docs, text, [k for k in keep if k.lower() != "votes"], FIELDS, _shares).withColumn("votes", votes())
 
 
 @dataclass
 class Accuracies:
-    """Share of good documents, each labeller's accuracy on good and on bad ones, and the
-    probability of good by vote combination."""
+    """Documents, share of good ones, each labeller's accuracy on good and on bad ones, and
+    the probability of good by vote combination."""
 
+    documents: int
     prior: float
     right: list[tuple[float, float]]
     posterior: dict[str, float]
@@ -134,7 +141,7 @@ def accuracies(rows: DataFrame, rounds: int = 100) -> Accuracies:
             hit = (sum(p * n for p, v, n in own if v) + 8) / (sum(p * n for p, _, n in own) + 10)
             miss = (sum((1 - p) * n for p, v, n in own if not v) + 7) / (sum((1 - p) * n for p, _, n in own) + 10)
             right.append((hit, max(miss, 1 - hit)))
-    return Accuracies(prior, right, {v: good(v) for v, _ in seen})
+    return Accuracies(sum(n for _, n in seen), prior, right, {v: good(v) for v, _ in seen})
 
 
 def _buckets(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,11 +162,15 @@ def _dense(counts: list[np.ndarray]) -> np.ndarray:
                      np.log1p(c["n_words"]) / 5, np.minimum(c["word_chars"] / n, 30) / 10, c["function"], c["finished"], c["letters"], c["capitals"]], axis=1)
 
 
-def train(rows: DataFrame, text: str, model: Accuracies, sample: int = SAMPLE, epochs: int = 30, rate: float = 0.3, ridge: float = 1e-5) -> np.ndarray:
-    """Weights of the hashed linear scorer, by stochastic gradient steps on about ``sample``
-    documents (all of a smaller table), weighed by their posterior."""
-    n = rows.count()
-    part = rows if n <= sample else rows.where(F.pmod(F.xxhash64("votes", text), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
+def sampled(docs: DataFrame, n: int, sample: int) -> DataFrame:
+    """About ``sample`` of ``n`` rows (all of a smaller table), by a hash of all their columns."""
+    share = min(1.0, sample / max(1, n))
+    return docs if share == 1 else docs.where(F.pmod(F.xxhash64(*docs.columns), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
+def train(rows: DataFrame, text: str, model: Accuracies, epochs: int = 30, rate: float = 0.3, ridge: float = 1e-5) -> np.ndarray:
+    """Weights of the hashed linear scorer, by stochastic gradient steps on a sample (``text``
+    and ``votes``) that fits the driver; targets are the posteriors of the votes."""
     fields = [T.StructField("buckets", T.ArrayType(T.LongType())), T.StructField("values", T.ArrayType(T.DoubleType()))]
 
     def start():
@@ -176,7 +187,7 @@ def train(rows: DataFrame, text: str, model: Accuracies, sample: int = SAMPLE, e
 
         return make
 
-    got = map_text(part, text, ["votes"], fields, start).toArrow()
+    got = map_text(rows, text, ["votes"], fields, start).toArrow()
     weights = np.zeros(BUCKETS + len(_dense([np.zeros(1)] * (len(COUNTS) + len(SHARES)))[0]) + 1)
     where = [np.asarray(x) for x in got["buckets"].to_pylist()]
     value = [np.asarray(x) for x in got["values"].to_pylist()]
@@ -197,7 +208,7 @@ def hash_of(i: int) -> int:
 
 
 def score(docs: DataFrame, weights: np.ndarray, keep: list[str], text: str = "text") -> DataFrame:
-    """The ``keep`` columns and ``score``, the probability of good quality, of each row."""
+    """The ``keep`` columns, counts, shares and ``score``, the probability of good quality."""
 
     def start():
         shares = _shares()
@@ -205,27 +216,29 @@ def score(docs: DataFrame, weights: np.ndarray, keep: list[str], text: str = "te
         def make(column: pa.Array) -> list:
             words = Words(column, ALNUM, lower=True)
             row, bucket, value = _buckets(words)
-            z = np.bincount(row, weights[bucket] * value, len(words.counts)) + _dense(shares(column)) @ weights[BUCKETS:-1] + weights[-1]
-            return [1 / (1 + np.exp(-np.clip(z, -30, 30)))]
+            counts = shares(column)
+            z = np.bincount(row, weights[bucket] * value, len(words.counts)) + _dense(counts) @ weights[BUCKETS:-1] + weights[-1]
+            return [*counts, 1 / (1 + np.exp(-np.clip(z, -30, 30)))]
 
         return make
 
-    return map_text(docs, text, keep, [T.StructField("score", T.DoubleType())], start)
+    return map_text(docs, text, keep, [*FIELDS, T.StructField("score", T.DoubleType())], start)
 
 
 def classify(docs: DataFrame, keep: list[str], text: str = "text", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """The ``keep`` columns, ``n_words``, ``votes``, ``posterior`` (of the votes), ``score`` (of
     the scorer) and ``kept`` (``score`` at least ``threshold``) of every row. Null and empty
     texts have no words: the length and letter labellers speak against them. An empty table
-    gives no rows; equal texts get equal scores."""
+    gives no rows; equal texts get equal scores. All texts are read twice, once for the vote
+    counts and once for the scores; only the sample is read in between."""
     made = ["votes", "posterior", "score", "kept", *COUNTS, *SHARES]
     keep = [k for k in keep if k.lower() not in made]
-    whole = pick(docs, **{f"k{i}": k for i, k in enumerate(keep)}, text=text)
-    rows = measured(whole, [*[f"k{i}" for i in range(len(keep))], "text"])
-    model = accuracies(rows)
-    weights = train(rows.select("votes", "text"), "text", model, sample)
-    scored = score(rows, weights, [*[f"k{i}" for i in range(len(keep))], "n_words", "votes"])
+    own = [f"k{i}" for i in range(len(keep))]
+    whole = pick(docs, **dict(zip(own, keep)), text=text)
+    model = accuracies(measured(whole, []))
+    weights = train(measured(sampled(whole, model.documents, sample), ["text"]), "text", model)
+    scored = score(whole, weights, own).withColumn("votes", votes())
     table = F.create_map(*[F.lit(x) for v, p in sorted(model.posterior.items()) for x in (v, float(p))]) if model.posterior else None
     posterior = F.try_element_at(table, F.col("votes")) if table is not None else F.lit(0.0)
-    return scored.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keep)], "n_words", "votes", posterior.alias("posterior"),
+    return scored.select(*[F.col(o).alias(k) for o, k in zip(own, keep)], "n_words", "votes", posterior.alias("posterior"),
                          "score", (F.col("score") >= threshold).alias("kept"))
