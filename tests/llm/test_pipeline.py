@@ -85,6 +85,15 @@ def test_run_and_registry(spark):
     assert got.columns == [*stages.COLUMNS, "copy"] and got.agg(F.count("*")).first()[0] > 0
 
 
+def test_clashing_and_extra_columns_and_nulls(spark):
+    rows = [(i, f"the of and to in a is that for it number {i}", "en", "s", 9, "x", 1, "y") for i in range(8)] + [(None,) * 8, (8, "the", None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA + ", c5 string, c6 int, c7 string").toDF(*stages.COLUMNS, "TEXT", "Spans", "Score")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == stages.COLUMNS and out.count() >= 8
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).columns == [*stages.COLUMNS, "copy"]
+
+
 def test_empty_documents(spark):
     docs = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:

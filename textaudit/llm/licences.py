@@ -188,7 +188,7 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text", templates=TEMPLAT
                 lo, hi = int(words.first[d]), int(words.first[d + 1])
                 for t, place in index.alignments(code, part):
                     end = place + len(index.texts[t]) + SLACK
-                    if ((keys[t] >= max(lo, place - SLACK)) & (keys[t] < min(hi, end))).any():
+                    if keys[t] is None or ((keys[t] >= max(lo, place - SLACK)) & (keys[t] < min(hi, end))).any():
                         s = index.score(t, place, code, lo, hi)
                         if s >= LEAST_SCORE:
                             found[d].add(index.labels[t])

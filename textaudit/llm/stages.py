@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import language, mixing, pii
 from .decontaminate import decontaminate, without_spans
-from .frames import documents
+from .frames import documents, pick
 from .simhash import near_duplicates
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -16,9 +16,15 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_LIFT = 1.1
 
 
+def _own(docs: DataFrame) -> DataFrame:
+    """The columns of documents, of whatever columns there are."""
+    return pick(docs, **{c: c for c in COLUMNS})
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters whose best language stands out from equal shares; where the
     table has no language, the told one."""
+    docs = _own(docs)
     model = language.learn(docs.where(F.col("doc_id").isNotNull() & ~language.fold(F.col("doc_id"))))
     told = language.predict(docs, model, keep=COLUMNS)
     least = min(1.0, LEAST_LIFT / max(1, len(model.langs)))
@@ -29,28 +35,29 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate component, the document with the smallest id (rows that share it
     are one document: the first by text stays). Rows without an id cannot be told apart; all stay."""
+    docs = _own(docs)
     stays = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
     first = Window.partitionBy("doc_id").orderBy("text")
-    named = docs.select(*COLUMNS).where("doc_id IS NOT NULL").join(stays, "doc_id", "left_semi")
+    named = docs.where("doc_id IS NOT NULL").join(stays, "doc_id", "left_semi")
     named = named.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*COLUMNS)
-    return named.unionByName(docs.select(*COLUMNS).where("doc_id IS NULL"))
+    return named.unionByName(docs.where("doc_id IS NULL"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with the passages that stand in the benchmark cut out of its text."""
-    found = decontaminate(docs, documents(spark, sf_dir, "benchmark"), keep=COLUMNS)
+    found = decontaminate(_own(docs), documents(spark, sf_dir, "benchmark"), keep=COLUMNS)
     return _rewritten(found.withColumn("_text", without_spans(F.col("text"), F.col("spans"))))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with each span of personal data replaced by its kind."""
-    found = pii.find(docs, keep=COLUMNS)
+    found = pii.find(_own(docs), keep=COLUMNS)
     return _rewritten(found.withColumn("_text", pii.redacted(F.col("text"), F.col("spans"))))
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Copies of the documents such that every source has the same share, in shuffled order."""
-    return mixing.mix(docs.select(*COLUMNS))
+    return mixing.mix(_own(docs))
 
 
 def _rewritten(found: DataFrame) -> DataFrame:
