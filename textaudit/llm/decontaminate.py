@@ -30,6 +30,8 @@ WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 WIDTH = 10
 #: Words of one broadcast block of benchmark items (about 100 bytes each as windows).
 BLOCK_WORDS = 400_000
+#: Text bytes of a shard (a longer document is a shard of its own): its index takes a few times that.
+SHARD_BYTES = 2 << 20
 SPANS = T.ArrayType(T.StructType([T.StructField(x, T.LongType()) for x in ("first", "last", "start", "end")]))
 
 
@@ -192,7 +194,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str], text:
     while b is not None:
         following = next(made, None)
         carry = keep if following is None else dict.fromkeys([*keep, text])
-        frame = map_text(frame, text, [*carry, *before], added, _pass(b))
+        frame = map_text(frame, text, [*carry, *before], added, _pass(b), SHARD_BYTES)
         if following is not None or before:
             i = len(before)
             frame = frame.withColumnsRenamed({"items": f"_items{i}", "spans": f"_spans{i}"})

@@ -17,7 +17,7 @@ from ..session import ensure_checkpoint_dir
 from ..sources.tables import read_table
 
 # Text bytes that one step of a row-wise mapper holds at once; a longer text is a step of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:

@@ -27,8 +27,8 @@ EDGE, UNKNOWN = 32, "und"
 
 @cache
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    chars = [chr(c) for c in range(0x110000)]
-    return np.array([c.isalpha() for c in chars]), np.array([ord(c.lower()[0]) for c in chars], np.uint32)
+    n = 0x110000
+    return np.fromiter((chr(c).isalpha() for c in range(n)), bool, n), np.fromiter((ord(chr(c).lower()[0]) for c in range(n)), np.uint32, n)
 
 
 class LetterWords:
