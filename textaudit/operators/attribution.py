@@ -146,10 +146,13 @@ def attribution_cosine(df: DataFrame, a: Column, b: Column, key: str = "doc_id")
     computed inside the row."""
     both = df.select(key, a.alias("_a"), b.alias("_b"))
     words = both.select(key, "_a", "_b", F.array_distinct(F.concat(F.transform("_a", lambda s: s["word"]), F.transform("_b", lambda s: s["word"]))).alias("_w"))
-    sums = words.where(F.size("_w") > 0).select(key, _as_sums(F.col("_a"), F.col("_w")).alias("_a"), _as_sums(F.col("_b"), F.col("_w")).alias("_b"))
+    sums = words.select(key, F.size("_w").alias("n"), _as_sums(F.col("_a"), F.col("_w")).alias("_a"), _as_sums(F.col("_b"), F.col("_w")).alias("_b"))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
-    sums = sums.select(key, dot("_a", "_b").alias("dot"), F.sqrt(dot("_a", "_a")).alias("na"), F.sqrt(dot("_b", "_b")).alias("nb"))
-    return sums.select(key, F.round(F.when((F.col("na") > 0) & (F.col("nb") > 0), F.col("dot") / (F.col("na") * F.col("nb"))), DIGITS).alias("cosine"))
+    sums = sums.select(key, "n", dot("_a", "_b").alias("dot"), F.sqrt(dot("_a", "_a")).alias("na"), F.sqrt(dot("_b", "_b")).alias("nb"))
+    cosine = F.round(F.when((F.col("na") > 0) & (F.col("nb") > 0), F.col("dot") / (F.col("na") * F.col("nb"))), DIGITS)
+    # a filter on the words would be pushed down and evaluate both attributions once more
+    kept = sums.select(key, F.when(F.col("n") > 0, F.array(F.struct(cosine.alias("cosine")))).alias("_x"))
+    return kept.select(key, TX.explode_rows(F.col("_x")).alias("s")).where(F.col("s").isNotNull()).select(key, "s.cosine")
 
 
 def merge_subwords_arrays(df: DataFrame, pieces: str = "pieces", scores: str = "scores",

@@ -109,8 +109,11 @@ def text_features(train: DataFrame, vocab_size: int = 10000, min_df: int = 2, st
 def with_balanced_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """Per-row weight n / (k * count(class)) (scikit-learn's ``balanced``)."""
     from .features import class_weights
+    columns = df.columns
     w = class_weights(df, label, mode="balanced")
-    return df.join(F.broadcast(w.select(F.col("cls").alias(label), F.col("weight").alias("weight"))), label)
+    joined = df.join(F.broadcast(w.select(F.col("cls").alias(label), F.col("weight").alias("weight"))), label)
+    # every optimiser step is a job over these rows: partitions of the advisory size, few or many
+    return joined.select(*columns, "weight").hint("rebalance")
 
 
 def train_logreg(train: DataFrame, max_iter: int = 1000, label: str = "label", stop_words=(), tol: float = 1e-4):
@@ -133,7 +136,7 @@ def train_svm(train: DataFrame, max_iter: int = 5000, label: str = "label", feat
     n = train.count()
     svm = LinearSVC(featuresCol=features, labelCol=label, weightCol="weight", maxIter=max_iter, tol=tol,
                     regParam=1.0 / max(n, 1), standardization=False)
-    return svm.fit(with_balanced_weights(train, label))
+    return svm.fit(with_balanced_weights(train.select(label, features), label))
 
 
 def apply_classifier(model, df: DataFrame, key: str = "doc_id", label: str = "label",
