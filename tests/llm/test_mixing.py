@@ -52,3 +52,21 @@ def test_joined_instead_of_broadcast(table, monkeypatch):
     whole = sorted(mixing.mix(table(rows, SCHEMA)).collect())
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
     assert sorted(mixing.mix(table(rows, SCHEMA)).collect()) == whole
+
+
+def test_rows_without_an_id_are_drawn_one_by_one(table):
+    rows = [(None, f"t{i}", "hot", 1) for i in range(4000)] + [(None, "same", "hot", 1)] * 3000 + [(i, "t", f"s{i % 9}", 1) for i in range(900)]
+    got = mixing.mix(table(rows, SCHEMA), total=20_000).collect()
+    hot = [r for r in got if r["source"] == "hot"]  # rate 2000 / 7000: one common number, 0.53, would drop them all
+    assert abs(len(hot) - 2000) < 200 and abs(sum(r["text"] == "same" for r in hot) - 2000 * 3 / 7) < 150
+    assert sorted(got, key=str) == sorted(mixing.mix(table(rows[::-1], SCHEMA), total=20_000).collect(), key=str)
+
+
+def test_one_id_for_many_rows_is_shuffled(table):
+    rows = [(7, "same", "a", 1)] * 6000 + [(7, f"t{i}", "a", 1) for i in range(2000)]
+    mixed = mixing.mix(table(rows, SCHEMA), {}, total=24_000)
+    sizes = [r["count"] for r in mixed.repartition(1).groupBy("text").count().collect()]
+    assert sum(sizes) % 8000 == 0 and len(set(sizes) - {6000 * sum(sizes) // 8000}) == 1  # equal ids, equal numbers
+    texts = [r["text"] for r in mixed.collect()]
+    runs = sum(a != b for a, b in zip(texts, texts[1:])) / len(texts)
+    assert runs > 0.3  # 7/16 when shuffled, 2000/8000 when equal rows are side by side

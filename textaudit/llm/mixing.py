@@ -2,7 +2,9 @@
 
 A source of weight ``w`` and ``n`` documents has the rate ``total * w / sum(w) / n``. Each
 document inverts the Poisson distribution of that mean at a number in (0, 1) that its hash
-gives, is repeated that often, and all copies are shuffled by a hash of document and copy."""
+gives, is repeated that often, and all copies are shuffled by a hash of document and copy.
+Documents without an id, which are different documents, are told apart by their other columns,
+identical ones by a running number."""
 
 from __future__ import annotations
 
@@ -15,6 +17,9 @@ from .frames import dropping, position, save
 
 #: Sources whose rates and distributions (about 50 numbers each) are broadcast; more are joined.
 BROADCAST_SOURCES = 20_000
+#: Ids of more than ``rows / FREQUENT`` rows (and more than ``BLOCK``) are spread like missing ids;
+#: identical rows are numbered ``BLOCK`` at a time.
+FREQUENT, BLOCK = 10_000, 1_000
 SEED = "mix-1"
 
 
@@ -35,8 +40,8 @@ def distribution(rate: Column) -> Column:
         F.concat(acc["out"], F.array(F.element_at(acc["out"], -1) + F.exp(acc["p"] + log - F.log(k.cast("double"))))).alias("out")))["out"]
 
 
-def rates(docs: DataFrame, weights: Mapping[str, float] | None, source: str, default: float, total: float | None) -> tuple[DataFrame, int]:
-    """``(_source, _rate, _cdf)`` of each source, and how many there are."""
+def rates(docs: DataFrame, weights: Mapping[str, float] | None, source: str, default: float, total: float | None) -> tuple[DataFrame, int, int]:
+    """``(_source, _rate, _cdf)`` of each source, how many there are, and the number of rows."""
     counts = docs.groupBy(source).agg(F.count("*").alias("n"))
     weight = F.lit(float(default))
     if weights:
@@ -46,7 +51,24 @@ def rates(docs: DataFrame, weights: Mapping[str, float] | None, source: str, def
     n, rows, mass = counts.agg(F.count("*"), F.sum("n"), F.sum("w")).first()
     wanted = float(rows or 0 if total is None else total)
     rate = F.lit(wanted) * F.col("w") / F.lit(float(mass or 1)) / F.col("n")
-    return counts.select("_source", rate.alias("_rate")).withColumn("_cdf", distribution(F.col("_rate"))), n
+    return counts.select("_source", rate.alias("_rate")).withColumn("_cdf", distribution(F.col("_rate"))), n, rows or 0
+
+
+def numbered(rows: DataFrame, doc_id: str, columns: list[str], total: int) -> DataFrame:
+    """``columns``, ``_h`` (hash of the row) and ``_same``: 0, but for rows without an id or with
+    a very frequent one a number from 1 that tells identical rows apart. Those are counted first
+    and repeated block by block, so that no task holds all of them."""
+    ids = rows.groupBy(F.col(doc_id).alias("_id")).agg(F.count("*").alias("_n"))
+    ids = save(ids.where(F.col("_id").isNull() | (F.col("_n") > max(BLOCK, total / FREQUENT))).select("_id"), "frequent-ids")
+    rows = rows.select(*columns, F.xxhash64(*[c for c in columns if "map<" not in rows.schema[c].dataType.simpleString()]).alias("_h"))
+    if ids.isEmpty():
+        return rows.withColumn("_same", F.lit(0).cast("bigint"))
+    fits = F.col(doc_id).eqNullSafe(F.col("_id"))
+    named = rows.join(F.broadcast(ids), fits, "left_anti").withColumn("_same", F.lit(0).cast("bigint"))
+    counts = rows.join(F.broadcast(ids), fits, "left_semi").groupBy(*columns, "_h").agg(F.count("*").alias("_n"))
+    blocks = counts.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(_n - 1) div {BLOCK}"))))
+    numbers = F.sequence(F.col("_block") * BLOCK + 1, F.least("_n", (F.col("_block") + 1) * BLOCK))
+    return named.unionByName(blocks.repartition("_h", "_block").withColumn("_same", F.explode(numbers)).drop("_n", "_block"))
 
 
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, doc_id: str = "doc_id", source: str = "source",
@@ -55,17 +77,20 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, doc_id: str
 
     ``weights`` by source; one that is not listed has ``default`` (so by default every source
     gets the same share); ``total`` is the size aimed at (default: the rows there are). A null
-    source is a source (listed under the empty string). Rows with the same id, or none, get the
-    same number; an empty table stays empty. A column named ``copy`` is replaced."""
+    source is a source (listed under the empty string). Rows with the same id get the same
+    number; rows without an id get one each, by their columns and, if those are equal, by a
+    running number; an empty table stays empty. A column named ``copy`` is replaced."""
     columns = dropping(docs, ["copy"])
     plain = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
     where = {c: f"_c{position(docs, c)}" for c in {*columns, doc_id, source}}
-    table, n = rates(plain, weights, where[source], default, total)
+    table, n, rows = rates(plain, weights, where[source], default, total)
     table = F.broadcast(table) if n <= BROADCAST_SOURCES else table
-    drawn = plain.join(table, F.col(where[source]).eqNullSafe(F.col("_source")))
-    u = unit(F.lit(seed), F.col(where[doc_id]))
+    told = numbered(plain, where[doc_id], sorted(set(where.values())), rows)
+    drawn = told.join(table, F.col(where[source]).eqNullSafe(F.col("_source")))
+    own = F.col(where[doc_id])
+    u = F.when(own.isNull(), unit(F.lit(seed), own, F.col("_h"), F.col("_same"))).otherwise(unit(F.lit(seed), own))
     drawn = drawn.withColumn("_k", F.size(F.filter("_cdf", lambda p: p < u))).where("_k > 0")
-    copies = drawn.select(*[F.col(where[c]).alias(f"_o{i}") for i, c in enumerate(columns)], F.explode(F.sequence(F.lit(1), F.col("_k"))).alias("copy"))
-    place = unit(F.lit(seed), F.lit("order"), F.col(f"_o{columns.index(doc_id)}") if doc_id in columns else F.lit(""), F.col("copy"))
-    mixed = copies.withColumn("_at", place)
+    place = unit(F.lit(seed), F.lit("order"), F.col("_id"), F.col("_h"), F.col("_same"), F.col("copy"))
+    copies = drawn.select(*[F.col(where[c]).alias(f"_o{i}") for i, c in enumerate(columns)], own.alias("_id"), "_h", "_same", F.explode(F.sequence(F.lit(1), F.col("_k"))).alias("copy"))
+    mixed = copies.withColumn("_at", place).drop("_id", "_h", "_same")
     return mixed.repartition("_at").sortWithinPartitions("_at").select(*[F.col(f"_o{i}").alias(c) for i, c in enumerate(columns)], F.col("copy"))
