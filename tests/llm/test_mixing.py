@@ -70,3 +70,24 @@ def test_one_id_for_many_rows_is_shuffled(table):
     texts = [r["text"] for r in mixed.collect()]
     runs = sum(a != b for a, b in zip(texts, texts[1:])) / len(texts)
     assert runs > 0.3  # 7/16 when shuffled, 2000/8000 when equal rows are side by side
+
+
+def test_large_rates_are_searched_from_the_mode(table):
+    rates = (64.5, 200.0, 5_000.0, 500_000.25, 5e7)
+    us = (1e-9, 0.01, 0.4, 0.5, 0.6, 0.99, 1 - 1e-9)
+    frame = table([(r, u) for r in rates for u in us], "r double, u double").withColumn("top", mixing.at_mode(F.col("r")))
+    for row in frame.select("r", "u", mixing.searched(F.col("u"), F.col("r"), F.col("top")).alias("k")).collect():
+        r, u, k = row
+        p = math.exp(-r + k * math.log(r) - math.lgamma(k + 1))
+        c, j = 0.0, k
+        while j >= 0 and p > 1e-18:
+            c, p, j = c + p, p * j / r, j - 1
+        assert c >= u - 1e-6 and c - math.exp(-r + k * math.log(r) - math.lgamma(k + 1)) < u + 1e-6
+
+
+def test_a_stray_source_has_no_table(table):
+    rows = [(i, "t", "big", 1) for i in range(100)] + [(1000, "t", "stray", 1)]
+    got = mixing.mix(table(rows, SCHEMA), total=200_000).groupBy("source").count().collect()
+    assert all(abs(r["count"] - 100_000) < 2_500 for r in got) and len(got) == 2
+    sources, _, _ = mixing.rates(table(rows, SCHEMA), None, "source", 1.0, 1e10)
+    assert sources.agg(F.max(F.coalesce(F.size("_cdf"), F.lit(0)))).first()[0] <= 200

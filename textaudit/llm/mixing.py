@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from .frames import dropping, position, save
 
-#: Sources whose rates and distributions (about 50 numbers each) are broadcast; more are joined.
+#: Sources whose rates and distributions (at most 200 numbers each) are broadcast; more are joined.
 BROADCAST_SOURCES = 20_000
+#: Up to this rate a source has its whole distribution; beyond, each document searches from the mode.
+LARGE = 64.0
 #: Ids of more than ``rows / FREQUENT`` rows (and more than ``BLOCK``) are spread like missing ids;
 #: identical rows are numbered ``BLOCK`` at a time.
 FREQUENT, BLOCK = 10_000, 1_000
@@ -40,8 +42,44 @@ def distribution(rate: Column) -> Column:
         F.concat(acc["out"], F.array(F.element_at(acc["out"], -1) + F.exp(acc["p"] + log - F.log(k.cast("double"))))).alias("out")))["out"]
 
 
+def reach(rate: Column) -> Column:
+    """Steps from the mode that hold all of a Poisson distribution but a negligible tail."""
+    return F.ceil(12 * F.sqrt(rate) + 30).cast("int")
+
+
+def at_mode(rate: Column) -> Column:
+    """``(mode, p, c)``: the mode of a Poisson distribution of a rate above ``LARGE``, its
+    probability (saddle point and Stirling's series) and the cumulative probability up to it."""
+    mode = F.floor(rate).cast("double")
+    x = (rate - mode) / mode
+    series = 1 / (12 * mode) - 1 / (360 * F.pow(mode, F.lit(3))) + 1 / (1260 * F.pow(mode, F.lit(5)))
+    p = F.exp(-series - mode * (x - F.log1p(x))) / F.sqrt(2 * F.pi() * mode)
+    summed = F.aggregate(F.sequence(F.lit(0), reach(rate)), F.struct(p.alias("p"), F.lit(0.0).alias("c")), lambda acc, j: F.struct(
+        (acc["p"] * F.greatest(mode - j, F.lit(0.0)) / rate).alias("p"), (acc["c"] + acc["p"]).alias("c")))["c"]
+    return F.struct(mode.alias("mode"), p.alias("p"), summed.alias("c"))
+
+
+def searched(u: Column, rate: Column, top: Column) -> Column:
+    """The Poisson count at ``u``, found step by step from the mode (``top`` of ``at_mode``): no
+    table, and fewer steps than copies are made."""
+    begun = F.struct(top["mode"].alias("k"), top["p"].alias("p"), top["c"].alias("c"), u.alias("u"))
+    steps = F.sequence(F.lit(0), reach(rate))
+    kept = lambda acc: F.struct(acc["k"].alias("k"), acc["p"].alias("p"), acc["c"].alias("c"), acc["u"].alias("u"))
+
+    def up(acc: Column, _: Column) -> Column:
+        p = acc["p"] * rate / (acc["k"] + 1)
+        return F.when(acc["c"] < acc["u"], F.struct((acc["k"] + 1).alias("k"), p.alias("p"), (acc["c"] + p).alias("c"), acc["u"].alias("u"))).otherwise(kept(acc))
+
+    def down(acc: Column, _: Column) -> Column:
+        left = F.struct((acc["k"] - 1).alias("k"), (acc["p"] * acc["k"] / rate).alias("p"), (acc["c"] - acc["p"]).alias("c"), acc["u"].alias("u"))
+        return F.when((acc["k"] > 0) & (acc["c"] - acc["p"] >= acc["u"]), left).otherwise(kept(acc))
+
+    return F.when(u > top["c"], F.aggregate(steps, begun, up)["k"]).otherwise(F.aggregate(steps, begun, down)["k"]).cast("int")
+
+
 def rates(docs: DataFrame, weights: Mapping[str, float] | None, source: str, default: float, total: float | None) -> tuple[DataFrame, int, int]:
-    """``(_source, _rate, _cdf)`` of each source, how many there are, and the number of rows."""
+    """``(_source, _rate, _cdf, _top)`` of each source (``_cdf`` for rates up to ``LARGE``, else
+    ``_top``), how many there are, and the number of rows."""
     counts = docs.groupBy(source).agg(F.count("*").alias("n"))
     weight = F.lit(float(default))
     if weights:
@@ -51,7 +89,9 @@ def rates(docs: DataFrame, weights: Mapping[str, float] | None, source: str, def
     n, rows, mass = counts.agg(F.count("*"), F.sum("n"), F.sum("w")).first()
     wanted = float(rows or 0 if total is None else total)
     rate = F.lit(wanted) * F.col("w") / F.lit(float(mass or 1)) / F.col("n")
-    return counts.select("_source", rate.alias("_rate")).withColumn("_cdf", distribution(F.col("_rate"))), n, rows or 0
+    table = counts.select("_source", rate.alias("_rate"))
+    return table.withColumns({"_cdf": F.when(F.col("_rate") <= LARGE, distribution(F.least("_rate", F.lit(LARGE)))),
+                              "_top": F.when(F.col("_rate") > LARGE, at_mode(F.col("_rate")))}), n, rows or 0
 
 
 def numbered(rows: DataFrame, doc_id: str, columns: list[str], total: int) -> DataFrame:
@@ -89,7 +129,8 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, doc_id: str
     drawn = told.join(table, F.col(where[source]).eqNullSafe(F.col("_source")))
     own = F.col(where[doc_id])
     u = F.when(own.isNull(), unit(F.lit(seed), own, F.col("_h"), F.col("_same"))).otherwise(unit(F.lit(seed), own))
-    drawn = drawn.withColumn("_k", F.size(F.filter("_cdf", lambda p: p < u))).where("_k > 0")
+    often = F.when(F.col("_rate") <= LARGE, F.size(F.filter("_cdf", lambda p: p < u))).otherwise(searched(u, F.col("_rate"), F.col("_top")))
+    drawn = drawn.withColumn("_k", often).where("_k > 0")
     place = unit(F.lit(seed), F.lit("order"), F.col("_id"), F.col("_h"), F.col("_same"), F.col("copy"))
     copies = drawn.select(*[F.col(where[c]).alias(f"_o{i}") for i, c in enumerate(columns)], own.alias("_id"), "_h", "_same", F.explode(F.sequence(F.lit(1), F.col("_k"))).alias("copy"))
     mixed = copies.withColumn("_at", place).drop("_id", "_h", "_same")
