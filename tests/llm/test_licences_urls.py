@@ -106,3 +106,16 @@ def test_similar_siblings_share_a_branch(table):
 def test_no_pages(table):
     none = table([], "page_id long, url string")
     assert urls.judge(none, table([(1, 1, 0)], "doc_id long, quality int, toxic int"), URL_RULES).collect() == []
+
+
+def test_frequent_sections_of_a_wide_node_stay(table):
+    pages = [(i, f"http://wide.org/s{chr(97 + i % 25)}x/page-{i}-y.html") for i in range(2500)]  # 25 sections
+    pages += [(5000 + i, f"http://wide.org/once-{i}-z/page.html") for i in range(300)]
+    deep = "/".join("abcdefgh")
+    pages += [(6000 + i, f"http://deep.org/{deep}/{('good', 'spam')[i % 2]}/page-{i}-y.html") for i in range(200)]
+    labels = [(i, int(i % 25 != 3), 0) for i in range(2500)] + [(6000 + i, 1 - i % 2, 0) for i in range(200)]
+    got = urls.judge(table(pages, "page_id long, url string"), table(labels, "doc_id long, quality int, toxic int"), []).collect()
+    assert len({r["template"] for r in got if r["path"].startswith("/s")}) == 25
+    assert {r["template"] for r in got if "/once-" in r["path"]} == {"/*/page.html"}
+    for r in got:
+        assert r["verdict"] == ("block" if "/sdx/" in r["path"] or "/spam/" in r["path"] else "allow")

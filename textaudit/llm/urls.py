@@ -1,9 +1,9 @@
 """URL filter: block and allow rules, and for the rest a path-template tree per host.
 
 Paths become segment lists whose lexically variable segments (numbers, hashes, dates) are
-placeholders. Level by level, a node of the tree whose children are too many or mostly seen
-once takes a wildcard instead. Leaf templates under one parent whose labelled purity does not
-differ significantly are merged. A template is rejected if its purity, smoothed towards that of
+placeholders. Level by level, a node of the tree whose thinly labelled children are too many or
+mostly seen once takes a wildcard instead of those; a child with labels enough to be judged stays.
+Leaf templates under one parent whose labelled purity does not differ significantly are merged. A template is rejected if its purity, smoothed towards that of
 all labelled pages, is too low. The tree lives in grouped tables keyed by host and prefix, built
 from counts of distinct shapes; nothing of a host is gathered in one place."""
 
@@ -16,6 +16,8 @@ from .frames import pick, save
 
 DEPTH, MOST_CHILDREN, ONCE_SHARE = 8, 20, 0.5
 SMOOTHING, LEAST_PURITY, SIGNIFICANT = 10.0, 0.5, 1.96
+#: Labelled pages from which a child is judged by itself: those that outweigh the smoothing.
+FREQUENT = 10
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -46,25 +48,33 @@ def shape(path: Column) -> Column:
         r"^(?=[0-9a-fA-F-]*[0-9])[0-9a-fA-F-]{8,}(?=$|\.)", "<hash>"))
 
 
-def templates(shapes: DataFrame, depth: int = DEPTH, most: int = MOST_CHILDREN, once: float = ONCE_SHARE) -> DataFrame:
+def templates(shapes: DataFrame, depth: int = DEPTH, most: int = MOST_CHILDREN, once: float = ONCE_SHARE, frequent: int = FREQUENT) -> DataFrame:
     """``shapes(host, segments, n, good, labelled)``, a row each, with ``parent`` and
-    ``template`` (its last segment included). What lies below ``depth`` is one wildcard."""
-    at = shapes.withColumns({"parent": F.lit(""), "template": F.lit("")})
-    levels = min(depth, shapes.agg(F.max(F.size("segments"))).first()[0] or 0)
-    for level in range(levels):
-        here = at.where(F.size("segments") > level)
-        child = F.col("segments")[level]
-        children = here.groupBy("host", "template", child.alias("child")).agg(F.sum("n").alias("n"))
-        nodes = children.groupBy("host", "template").agg(F.count("*").alias("k"), F.sum("n").alias("seen"), F.sum((F.col("n") == 1).cast("int")).alias("single"))
-        wide = nodes.select("host", "template", ((F.col("k") > most) | ((F.col("k") > 4) & (F.col("single") > once * F.col("k")))).alias("wide"))
-        step = F.when(F.size("segments") > level, F.concat(F.lit("/"), F.when(F.coalesce("wide", F.lit(False)), F.lit("*")).otherwise(F.get("segments", F.lit(level)))))
-        at = at.join(wide, ["host", "template"], "left").withColumns({
-            "parent": F.when(F.size("segments") > level, F.col("template")).otherwise(F.col("parent")),
-            "template": F.concat("template", F.coalesce(step, F.lit("")))}).drop("wide")
+    ``template`` (its last segment included). A wildcard stands
+    for the children with fewer than ``frequent`` labelled pages, if they are more than ``most``
+    or mostly seen once. Below ``depth``, nodes with fewer labelled pages than that end in one
+    wildcard; the others go on to their leaves."""
+    levels = shapes.agg(F.max(F.size("segments"))).first()[0]
+    at = shapes.withColumns({"parent": F.lit(""), "template": F.lit(""), "ended": F.lit(False)})
+    for level in range(levels or 0):
+        going = ~F.col("ended") & (F.size("segments") > level)
+        here = at.where(going).withColumn("child", F.get("segments", F.lit(level)))
+        children = save(here.groupBy("host", "template", "child").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled")), "children")
+        rare = F.col("labelled") < frequent
+        nodes = children.groupBy("host", "template").agg(
+            F.count_if(rare).alias("k"), F.count_if(rare & (F.col("n") == 1)).alias("single"), F.sum("labelled").alias("known"))
+        nodes = nodes.select("host", "template", ((F.col("k") > most) | ((F.col("k") > 4) & (F.col("single") > once * F.col("k")))).alias("wide"),
+                             (F.lit(level >= depth) & (F.col("known") < frequent)).alias("thin"))
+        kept = children.where(~rare).select("host", "template", "child", F.lit(True).alias("kept"))
+        at = at.withColumn("child", F.when(going, F.get("segments", F.lit(level)))).join(nodes, ["host", "template"], "left").join(kept, ["host", "template", "child"], "left")
+        step = F.when(F.col("thin"), F.lit("/**")).when(F.col("wide") & F.col("kept").isNull(), F.lit("/*")).otherwise(F.concat(F.lit("/"), "child"))
+        at = at.withColumns({"parent": F.when(going, F.col("template")).otherwise(F.col("parent")),
+                             "template": F.when(going, F.concat("template", step)).otherwise(F.col("template")),
+                             "ended": F.col("ended") | (going & F.col("thin"))}).drop("child", "wide", "thin", "kept")
         at = save(at, "templates")
-    below = F.size("segments") > levels
-    return at.withColumns({"parent": F.when(below, F.col("template")).otherwise(F.col("parent")),
-                           "template": F.when(below, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))})
+        if at.where(~F.col("ended") & (F.size("segments") > level + 1)).isEmpty():
+            break
+    return at.drop("ended")
 
 
 def purities(leaves: DataFrame, prior: float, smoothing: float = SMOOTHING, significant: float = SIGNIFICANT) -> DataFrame:
@@ -73,7 +83,6 @@ def purities(leaves: DataFrame, prior: float, smoothing: float = SMOOTHING, sign
     smooth = lambda good, labelled: (good + smoothing * prior) / (labelled + smoothing)
     rows = leaves.groupBy("host", "parent", "template").agg(F.sum("good").alias("good"), F.sum("labelled").alias("labelled"))
     rows = rows.withColumn("p", smooth(F.col("good"), F.col("labelled")))
-    # A parent has at most MOST_CHILDREN children and their placeholders, or one wildcard.
     order = Window.partitionBy("host", "parent").orderBy("p", "template")
     n0, n1 = F.lag("labelled").over(order) + smoothing, F.col("labelled") + smoothing
     p0, p1 = F.lag("p").over(order), F.col("p")
