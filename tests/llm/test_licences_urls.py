@@ -119,3 +119,17 @@ def test_frequent_sections_of_a_wide_node_stay(table):
     assert {r["template"] for r in got if "/once-" in r["path"]} == {"/*/page.html"}
     for r in got:
         assert r["verdict"] == ("block" if "/sdx/" in r["path"] or "/spam/" in r["path"] else "allow")
+
+
+def test_small_steps_do_not_chain(table):
+    leaves = table([("h", "", f"/{i}", 4 * i, 40) for i in range(10)], "host string, parent string, template string, good long, labelled long")
+    got = {r["template"]: (r["branch"], r["purity"]) for r in urls.purities(leaves, 0.45).collect()}
+    assert got["/0"][1] < 0.2 and got["/9"][1] > 0.6 and 2 < len(set(got.values())) < 10
+    assert [got[f"/{i}"][0] for i in range(10)] == sorted(got[f"/{i}"][0] for i in range(10))
+
+
+def test_similar_inner_siblings_share_a_branch(table):
+    shapes = [("h", [s, f"p{j}"], 12, good, 12) for s, good in (("a", 12), ("b", 12), ("c", 0)) for j in range(3)]
+    got = urls.templates(table(shapes, "host string, segments array<string>, n long, good long, labelled long")).collect()
+    parent = {r["template"]: r["parent"] for r in got}
+    assert parent["/a/p0"] == parent["/b/p1"] != parent["/c/p0"] and len(set(parent.values())) == 2

@@ -3,7 +3,8 @@
 Paths become segment lists whose lexically variable segments (numbers, hashes, dates) are
 placeholders. Level by level, a node of the tree whose thinly labelled children are too many or
 mostly seen once takes a wildcard instead of those; a child with labels enough to be judged stays.
-Leaf templates under one parent whose labelled purity does not differ significantly are merged. A template is rejected if its purity, smoothed towards that of
+Siblings, inner nodes and leaf templates alike, whose labelled purity does not differ
+significantly from that of the branch so far join that branch. A template is rejected if its purity, smoothed towards that of
 all labelled pages, is too low. The tree lives in grouped tables keyed by host and prefix, built
 from counts of distinct shapes; nothing of a host is gathered in one place."""
 
@@ -18,6 +19,8 @@ DEPTH, MOST_CHILDREN, ONCE_SHARE = 8, 20, 0.5
 SMOOTHING, LEAST_PURITY, SIGNIFICANT = 10.0, 0.5, 1.96
 #: Labelled pages from which a child is judged by itself: those that outweigh the smoothing.
 FREQUENT = 10
+#: Steps of purity in which siblings are sorted for merging (one edge lies at LEAST_PURITY).
+BINS = 1000
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -48,14 +51,16 @@ def shape(path: Column) -> Column:
         r"^(?=[0-9a-fA-F-]*[0-9])[0-9a-fA-F-]{8,}(?=$|\.)", "<hash>"))
 
 
-def templates(shapes: DataFrame, depth: int = DEPTH, most: int = MOST_CHILDREN, once: float = ONCE_SHARE, frequent: int = FREQUENT) -> DataFrame:
-    """``shapes(host, segments, n, good, labelled)``, a row each, with ``parent`` and
-    ``template`` (its last segment included). A wildcard stands
+def templates(shapes: DataFrame, depth: int = DEPTH, most: int = MOST_CHILDREN, once: float = ONCE_SHARE, frequent: int = FREQUENT,
+              prior: float | None = None) -> DataFrame:
+    """``shapes(host, segments, n, good, labelled)``, a row each, with ``template`` (its last
+    segment included) and ``parent``, the branch of inner nodes it hangs from. A wildcard stands
     for the children with fewer than ``frequent`` labelled pages, if they are more than ``most``
     or mostly seen once. Below ``depth``, nodes with fewer labelled pages than that end in one
     wildcard; the others go on to their leaves."""
-    levels = shapes.agg(F.max(F.size("segments"))).first()[0]
-    at = shapes.withColumns({"parent": F.lit(""), "template": F.lit(""), "ended": F.lit(False)})
+    levels, good, labelled = shapes.agg(F.max(F.size("segments")), F.sum("good"), F.sum("labelled")).first()
+    prior = prior if prior is not None else good / labelled if labelled else 1.0
+    at = shapes.withColumns({"parent": F.lit(""), "template": F.lit(""), "branch": F.lit(""), "ended": F.lit(False)})
     for level in range(levels or 0):
         going = ~F.col("ended") & (F.size("segments") > level)
         here = at.where(going).withColumn("child", F.get("segments", F.lit(level)))
@@ -68,30 +73,50 @@ def templates(shapes: DataFrame, depth: int = DEPTH, most: int = MOST_CHILDREN,
         kept = children.where(~rare).select("host", "template", "child", F.lit(True).alias("kept"))
         at = at.withColumn("child", F.when(going, F.get("segments", F.lit(level)))).join(nodes, ["host", "template"], "left").join(kept, ["host", "template", "child"], "left")
         step = F.when(F.col("thin"), F.lit("/**")).when(F.col("wide") & F.col("kept").isNull(), F.lit("/*")).otherwise(F.concat(F.lit("/"), "child"))
-        at = at.withColumns({"parent": F.when(going, F.col("template")).otherwise(F.col("parent")),
+        at = at.withColumns({"parent": F.when(going, F.col("branch")).otherwise(F.col("parent")),
                              "template": F.when(going, F.concat("template", step)).otherwise(F.col("template")),
                              "ended": F.col("ended") | (going & F.col("thin"))}).drop("child", "wide", "thin", "kept")
         at = save(at, "templates")
-        if at.where(~F.col("ended") & (F.size("segments") > level + 1)).isEmpty():
+        inner = ~F.col("ended") & (F.size("segments") > level + 1)
+        more = at.where(inner)
+        if more.isEmpty():
             break
-    return at.drop("ended")
+        joined = branches(more, prior).select("host", "parent", "template", F.col("branch").alias("joined"))
+        at = at.join(joined, ["host", "parent", "template"], "left").withColumn(
+            "branch", F.when(inner, F.concat("branch", F.lit("/"), "joined")).otherwise(F.col("branch"))).drop("joined")
+    return at.drop("branch", "ended")
 
 
-def purities(leaves: DataFrame, prior: float, smoothing: float = SMOOTHING, significant: float = SIGNIFICANT) -> DataFrame:
-    """``(host, parent, template, branch, purity)``: templates of one parent, in order of
-    purity, join the branch before them unless a two-proportion test tells them apart."""
+def branches(nodes: DataFrame, prior: float, smoothing: float = SMOOTHING, significant: float = SIGNIFICANT) -> DataFrame:
+    """``(host, parent, template, branch, purity)``: siblings, in order of purity, join the branch
+    before them unless a two-proportion test tells them from all that is in it. Sorted are not
+    the siblings but their at most ``BINS`` steps of purity."""
     smooth = lambda good, labelled: (good + smoothing * prior) / (labelled + smoothing)
-    rows = leaves.groupBy("host", "parent", "template").agg(F.sum("good").alias("good"), F.sum("labelled").alias("labelled"))
-    rows = rows.withColumn("p", smooth(F.col("good"), F.col("labelled")))
-    order = Window.partitionBy("host", "parent").orderBy("p", "template")
-    n0, n1 = F.lag("labelled").over(order) + smoothing, F.col("labelled") + smoothing
-    p0, p1 = F.lag("p").over(order), F.col("p")
-    pooled = (p0 * n0 + p1 * n1) / (n0 + n1)
-    z = F.abs(p1 - p0) / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-12)) * (1 / n0 + 1 / n1))
-    rows = rows.withColumn("new", F.coalesce((z > significant).cast("int"), F.lit(0)))
-    rows = rows.withColumn("branch", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = nodes.groupBy("host", "parent", "template").agg(F.sum("good").alias("good"), F.sum("labelled").alias("labelled"))
+    rows = rows.withColumn("bin", F.floor(smooth(F.col("good"), F.col("labelled")) * BINS))
+    bins = rows.groupBy("host", "parent", "bin").agg(F.sum("good").alias("good"), F.sum("labelled").alias("labelled"))
+    lists = bins.groupBy("host", "parent").agg(F.array_sort(F.collect_list(F.struct("bin", "good", "labelled"))).alias("bins"))
+
+    def join(acc: Column, x: Column) -> Column:
+        n0, n1 = acc["labelled"] + smoothing, x["labelled"] + smoothing
+        p0, p1 = smooth(acc["good"], acc["labelled"]), smooth(x["good"], x["labelled"])
+        pooled = (p0 * n0 + p1 * n1) / (n0 + n1)
+        new = (acc["branch"] < 0) | (F.abs(p1 - p0) / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-12)) * (1 / n0 + 1 / n1)) > significant)
+        branch = acc["branch"] + F.when(new, 1).otherwise(0)
+        return F.struct((F.when(new, F.lit(0)).otherwise(acc["good"]) + x["good"]).alias("good"), (F.when(new, F.lit(0)).otherwise(acc["labelled"]) + x["labelled"]).alias("labelled"),
+                        branch.alias("branch"), F.concat(acc["out"], F.array(F.struct(x["bin"].alias("bin"), x["good"].alias("good"), x["labelled"].alias("labelled"), branch.alias("branch")))).alias("out"))
+
+    none = F.struct(F.lit(0).cast("bigint").alias("good"), F.lit(0).cast("bigint").alias("labelled"), F.lit(-1).alias("branch"),
+                    F.expr("cast(array() as array<struct<bin:bigint,good:bigint,labelled:bigint,branch:int>>)").alias("out"))
+    folded = lists.select("host", "parent", F.explode(F.aggregate("bins", none, join)["out"]).alias("b")).select("host", "parent", "b.*")
     whole = Window.partitionBy("host", "parent", "branch")
-    return rows.select("host", "parent", "template", "branch", smooth(F.sum("good").over(whole), F.sum("labelled").over(whole)).alias("purity"))
+    folded = folded.select("host", "parent", "bin", "branch", smooth(F.sum("good").over(whole), F.sum("labelled").over(whole)).alias("purity"))
+    return rows.join(folded, ["host", "parent", "bin"]).select("host", "parent", "template", "branch", "purity")
+
+
+def purities(leaves: DataFrame, prior: float, smoothing: float = SMOOTHING, significant: float = SIGNIFICANT) -> DataFrame:
+    """``(host, parent, template, branch, purity)`` of the leaf templates."""
+    return branches(leaves, prior, smoothing, significant)
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], page_id: str = "page_id", url: str = "url",
@@ -112,7 +137,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], pag
     seen = save(seen, "shapes")
     good, labelled = seen.agg(F.sum("good"), F.sum("labelled")).first()
     prior = good / labelled if labelled else 1.0
-    leaves = save(templates(seen), "leaves")
+    leaves = save(templates(seen, prior=prior), "leaves")
     judged = purities(leaves, prior)
     by_shape = leaves.select("host", "segments", "parent", "template").join(judged, ["host", "parent", "template"]).select("host", "segments", "template", "purity")
     out = rows.join(by_shape, ["host", "segments"]).withColumn("r", rule(F.col("host"), F.col("path"), rules))
