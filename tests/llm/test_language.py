@@ -55,3 +55,18 @@ def test_entries_are_bounded(table):
     rows = [("aa", " ".join("w" + chr(97 + i // 26) + chr(97 + i % 26) for i in range(400)) + " wab wab wac"), ("bb", "zz zz y")]
     model = language.learn(table(rows, "lang string, text string"), per_table=50)
     assert all(len(h) <= 100 for h in model.hashes) and len(model.hashes[0]) == 2 + 2
+
+
+@pytest.mark.parametrize("most", [8_000_000, 0])
+def test_what_is_not_broadcast_still_counts(table, monkeypatch, most):
+    monkeypatch.setattr(language, "BROADCAST_SCORES", most)
+    spell = lambda i: "w" + chr(97 + i // 26) + chr(97 + i % 26)
+    rows = [("aa", " ".join(spell(i) for i in range(300)) + " wab wab wac"), ("aa", "waa common " * 5), ("bb", "common zz zz y " + " ".join("q" + spell(i) for i in range(200)))]
+    texts = ["common", "wdd wde", "qwcc", "wab qwzz", "wxyzzy foo", "", None, "12", "жук", "qwaa " * 50 + "wjj", "wdd wde", "y zz wkl"]
+    docs, train = table(list(enumerate(texts)), "doc_id long, text string"), table(rows, "lang string, text string")
+    whole = language.predict(docs, language.learn(train), ["doc_id"]).collect()
+    cut = language.learn(train, per_table=5)
+    assert len(cut.hashes[0]) <= 10 and cut.rest is not None
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.predict(docs, cut, ["doc_id"]).collect()}
+    for r in whole:
+        assert got[r["doc_id"]][0] == r["lang_pred"] and got[r["doc_id"]][1] == pytest.approx(r["score"], rel=1e-4)
