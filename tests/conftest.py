@@ -12,7 +12,3 @@ def spark():
     s = build_session(master="local[4]", shuffle_partitions=4, app="textaudit-tests")
     yield s
     s.stop()
-
-
-SF_SMALL = "/root/testdata/sf0.001"
-SF_MID = "/root/testdata/sf0.01"

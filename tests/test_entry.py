@@ -1,6 +1,6 @@
 import __spark_entry__ as E
 
-from conftest import SF_SMALL
+from locations import SF_SMALL
 
 
 def test_entry_runs(spark):

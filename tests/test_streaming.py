@@ -3,7 +3,7 @@ import shutil
 from textaudit.plans import monitoring as PM
 from textaudit.streaming import monitor as MO
 
-from conftest import SF_SMALL
+from locations import SF_SMALL
 
 
 def test_stream_equals_batch(spark, tmp_path):
