@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licences, mixing, pii, quality, urls, weaklabels
+from . import chat, licences, merkle, mixing, pii, quality, urls, weaklabels
 from .decontaminate import decontaminate
 from .frames import documents
 from .language import fold, learn, predict
@@ -173,3 +173,60 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weak-label quality classifier, fitted on and applied to all documents."""
     return weaklabels.classify(documents(spark, sf_dir), keep=["doc_id"]).select("doc_id", "n_words", "votes", "posterior", "score", "kept")
+
+
+def seventh(doc_id):
+    """Ids whose claims are tampered with: the crc32 of the decimal id is a multiple of 7."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 0, F.lit(False))
+
+
+@query
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle manifest of all documents by language, and the check of a claim about each."""
+    proved = merkle.prove(documents(spark, sf_dir), seventh(F.col("doc_id")))
+    return proved.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"),
+                         "folded_root", "verified")
+
+
+def _encoded(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR) END"
+
+
+def _levels(name: str, start: str) -> str:
+    """Nodes of all levels of trees: ``m`` is the number of nodes of the level."""
+    return f"""{name} AS ({start} UNION ALL
+SELECT tree, lvl + 1, idx // 2, sha256(string_agg(node, '' ORDER BY idx)), (any_value(m) + 1) // 2 FROM {name} WHERE m > 1 GROUP BY tree, lvl, idx // 2)"""
+
+
+def _steps(leaves: str, nodes: str, ends: str) -> str:
+    return f"""SELECT r.rid, {ends} AS step, (r.idx >> v.lvl) & 1 AS odd, s.node AS sib FROM {leaves} r
+JOIN (SELECT DISTINCT tree, lvl FROM {nodes} WHERE m > 1) v ON v.tree = r.tree
+LEFT JOIN {nodes} s ON s.tree = r.tree AND s.lvl = v.lvl AND s.idx = xor(r.idx >> v.lvl, 1)"""
+
+
+ORACLE["op13_merkle"] = f"""
+WITH RECURSIVE d AS (
+  SELECT *, coalesce('=' || lang, '') AS tree, coalesce(xor(4294967295, list_reduce(
+    flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: [ascii(ch)::BIGINT, 0, 0, 0, 0, 0, 0, 0])),
+    lambda c, b: xor(xor(c, b) >> 1, (xor(c, b) & 1) * 3988292384), 4294967295::BIGINT)) % 7 = 0, false) AS tampered FROM documents),
+l AS (SELECT *, {" || ".join(_encoded(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))} AS plain,
+             {" || ".join(_encoded(c) for c in ("doc_id", "source", "lang", "(n_chars + CASE WHEN tampered THEN 1 ELSE 0 END)", "text"))} AS said FROM d),
+r AS MATERIALIZED (SELECT doc_id, tree, sha256(plain) AS leaf, sha256(said) AS claim, count(*) OVER (PARTITION BY tree) AS n,
+             row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, sha256(plain)) - 1 AS idx, row_number() OVER () AS rid FROM l),
+{_levels("t", "SELECT tree, 0 AS lvl, idx, leaf AS node, n AS m FROM r")},
+g AS MATERIALIZED (SELECT '' AS tree, tree AS name, node AS leaf, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n, row_number() OVER () AS rid
+      FROM t WHERE m = 1),
+{_levels("u", "SELECT tree, 0 AS lvl, idx, leaf AS node, n AS m FROM g")},
+up AS ({_steps("g", "u", "v.lvl")}),
+high AS (SELECT tree, max(lvl) AS h FROM t GROUP BY 1),
+p AS MATERIALIZED ({_steps("r", "t", "v.lvl")} UNION ALL
+      SELECT r.rid, high.h + up.step, up.odd, up.sib FROM r JOIN high USING (tree) JOIN g ON g.name = r.tree JOIN up ON up.rid = g.rid),
+f(rid, step, here) AS (SELECT rid, 0, claim FROM r UNION ALL
+      SELECT f.rid, f.step + 1, sha256(CASE WHEN p.sib IS NULL THEN f.here WHEN p.odd = 1 THEN p.sib || f.here ELSE f.here || p.sib END)
+      FROM f JOIN p ON p.rid = f.rid AND p.step = f.step),
+e AS (SELECT rid, arg_max(here, step) AS folded_root FROM f GROUP BY 1),
+q AS (SELECT rid, string_agg(sib, '' ORDER BY step) AS sibs FROM p WHERE sib IS NOT NULL GROUP BY 1)
+SELECT r.doc_id, r.leaf, g.leaf AS subroot, (SELECT node FROM u WHERE m = 1) AS root, sha256(coalesce(q.sibs, '')) AS proof_sha256,
+       e.folded_root, e.folded_root = (SELECT node FROM u WHERE m = 1) AS verified
+FROM r JOIN g ON g.name = r.tree JOIN e ON e.rid = r.rid LEFT JOIN q ON q.rid = r.rid
+"""
