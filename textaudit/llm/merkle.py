@@ -119,79 +119,77 @@ def ranked(rows: DataFrame, tree: str, order: list[str]) -> DataFrame:
 _STEP = T.StructType([T.StructField("side", T.IntegerType()), T.StructField("node", T.BinaryType())])
 
 
-def _built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            one = batch.slice(i, 1)
-            rows = one.column("rows")[0].values
-            levels = min(LEVELS, height(one.column("n")[0].as_py()))
-            log = append_log(rows.field("node").to_pylist(), levels)
-            yield pa.RecordBatch.from_arrays([one.column("tree"), one.column("n"), one.column("block"), one.column("rows"),
-                                              pa.array([log], pa.list_(pa.binary()))], names=["tree", "n", "block", "rows", "log"])
-
-
-def builders(items: DataFrame) -> DataFrame:
+def builders(items: DataFrame, levels: int) -> DataFrame:
     """``items(tree, n, idx, node, ...)`` -> a row for each builder: ``(tree, n, block, rows, log)``,
     its items in order and the log of its subtree, written to the shared folder."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                nodes = one.column("rows")[0].values.field("node").to_pylist()
+                log = append_log(nodes, min(levels, height(one.column("n")[0].as_py())))
+                yield pa.RecordBatch.from_arrays([one.column("tree"), one.column("n"), one.column("block"), one.column("rows"),
+                                                  pa.array([log], pa.list_(pa.binary()))], names=["tree", "n", "block", "rows", "log"])
+
     rest = [c for c in items.columns if c not in ("tree", "n")]
-    block = F.expr(f"idx div {1 << LEVELS}").alias("block")
+    block = F.expr(f"idx div {1 << levels}").alias("block")
     runs = items.groupBy("tree", "n", block).agg(F.array_sort(F.collect_list(F.struct("idx", *[c for c in rest if c != "idx"]))).alias("rows"))
     schema = T.StructType([*runs.schema.fields, T.StructField("log", T.ArrayType(T.BinaryType()))])
-    return save(runs.mapInArrow(_built, schema), "manifest-log")
+    return save(runs.mapInArrow(run, schema), "manifest-log")
 
 
-def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("side", pa.int32()), ("node", pa.binary())]))
-    for batch in batches:
-        for i in range(batch.num_rows):
-            one = batch.slice(i, 1)
-            rows, log, above = (one.column(c)[0].values for c in ("rows", "log", "above"))
-            levels, log, above = min(LEVELS, height(one.column("n")[0].as_py())), log.to_pylist(), above.to_pylist()
-            made = [[{"side": s, "node": x} for s, x in path(log, len(rows), levels, j)] + above for j in range(len(rows))]
-            own = [rows.field(f.name) for f in rows.type]
-            root = pa.array([one.column("root")[0].as_py()] * len(rows), pa.binary())
-            sub = pa.array([one.column("subroot")[0].as_py()] * len(rows), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([one.column("tree")[0].as_py()] * len(rows), pa.string()), *own, pa.array(made, kind), sub, root],
-                                             names=["tree", *[f.name for f in rows.type], "path", "subroot", "root"])
-
-
-def _proofs(built: DataFrame) -> DataFrame:
+def _proofs(built: DataFrame, levels: int) -> DataFrame:
     """Builders with ``(above, subroot, root)``: the steps above them and the roots they lead to
     -> ``(tree, idx, node, ..., path, subroot, root)`` of each item."""
+    kind = pa.list_(pa.struct([("side", pa.int32()), ("node", pa.binary())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                rows, log, above = (one.column(c)[0].values for c in ("rows", "log", "above"))
+                n, log, above = len(rows), log.to_pylist(), above.to_pylist()
+                up = min(levels, height(one.column("n")[0].as_py()))
+                made = [[{"side": s, "node": x} for s, x in path(log, n, up, j)] + above for j in range(n)]
+                same = [pa.array([one.column(c)[0].as_py()] * n, t) for c, t in (("tree", pa.string()), ("subroot", pa.binary()), ("root", pa.binary()))]
+                own = [rows.field(f.name) for f in rows.type]
+                yield pa.RecordBatch.from_arrays([same[0], *own, pa.array(made, kind), *same[1:]],
+                                                 names=["tree", *[f.name for f in rows.type], "path", "subroot", "root"])
+
     own = built.schema["rows"].dataType.elementType.fields
     schema = T.StructType([built.schema["tree"], *own, T.StructField("path", T.ArrayType(_STEP)),
                            T.StructField("subroot", T.BinaryType()), T.StructField("root", T.BinaryType())])
-    return built.mapInArrow(_paths, schema)
+    return built.mapInArrow(run, schema)
 
 
-def trees(items: DataFrame) -> DataFrame:
+def trees(items: DataFrame, levels: int = LEVELS) -> DataFrame:
     """Builders of ``items(tree, n, idx, node, ...)`` with ``above``, the steps from a builder's
     root to its tree's root, and ``root``. ``n`` is the tree's number of items."""
-    built = builders(items)
+    built = builders(items, levels)
     most = built.agg(F.max("n")).first()[0] or 0
     top = F.element_at("log", -1)
-    if most <= 1 << LEVELS:
+    if most <= 1 << levels:
         return built.withColumn("above", F.array().cast(T.ArrayType(_STEP))).withColumn("root", top)
-    nodes = built.select("tree", F.expr(f"(n + {(1 << LEVELS) - 1}) div {1 << LEVELS}").alias("n"), F.col("block").alias("idx"), top.alias("node"))
-    upper = _proofs(trees(nodes).withColumn("subroot", F.col("root")))
+    nodes = built.select("tree", F.expr(f"(n + {(1 << levels) - 1}) div {1 << levels}").alias("n"), F.col("block").alias("idx"), top.alias("node"))
+    upper = _proofs(trees(nodes, levels).withColumn("subroot", F.col("root")), levels)
     return built.join(upper.select("tree", F.col("idx").alias("block"), F.col("path").alias("above"), "root"), ["tree", "block"])
 
 
-def manifest(rows: DataFrame, order: list[str]) -> DataFrame:
+def manifest(rows: DataFrame, order: list[str], levels: int = LEVELS) -> DataFrame:
     """``rows(tree, node, ...)`` -> the same with ``path`` (steps from the leaf to the root of all),
     ``subroot`` (its tree's) and ``root``; trees stand in the order of their names, the leaves of
     a tree by ``order``, then by ``node``. Identical rows are leaves of their own. No rows, no
     manifest."""
     rows = save(rows.withColumn("_row", F.monotonically_increasing_id()), "manifest-leaves")
-    built = trees(ranked(rows, "tree", [*order, "node", "_row"]).drop("_row"))
+    built = trees(ranked(rows, "tree", [*order, "node", "_row"]).drop("_row"), levels)
     groups = built.where("block = 0").select(F.lit("").alias("tree"), F.col("tree").alias("name"), F.col("root").alias("node"))
-    top = _proofs(trees(ranked(groups, "tree", ["name"])).withColumn("subroot", F.col("root")))
+    top = _proofs(trees(ranked(groups, "tree", ["name"]), levels).withColumn("subroot", F.col("root")), levels)
     top = top.select(F.col("name").alias("tree"), F.col("path").alias("_over"), F.col("root").alias("_all"))
     whole = built.join(top, "tree").withColumn("above", F.concat("above", "_over"))
-    return _proofs(whole.withColumn("subroot", F.col("root")).withColumn("root", F.col("_all")).drop("_over", "_all"))
+    return _proofs(whole.withColumn("subroot", F.col("root")).withColumn("root", F.col("_all")).drop("_over", "_all"), levels)
 
 
-def prove(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
+def prove(docs: DataFrame, tampered: Column | None = None, levels: int = LEVELS) -> DataFrame:
     """Manifest of documents by language, and the check of a claim about each.
 
     Result: ``doc_id, leaf, subroot, root`` (hexadecimal), ``path``, ``claimed`` (the leaf of the
@@ -208,7 +206,7 @@ def prove(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
     # a claim that changes nothing is not hashed again
     other = F.when(F.coalesce(tampered, F.lit(False)) & F.col("n_chars").isNotNull(), F.unhex(row_digest(claim))) if tampered is not None else F.lit(None).cast("binary")
     rows = own.select(F.coalesce(F.concat(F.lit("="), F.col("lang").cast("string")), F.lit("")).alias("tree"), leaf.alias("node"), "doc_id", other.alias("claim"))
-    found = manifest(rows, ["doc_id"])
+    found = manifest(rows, ["doc_id"], levels)
     low = lambda c: F.lower(F.hex(c))
     done = found.select("doc_id", low("node").alias("leaf"), low("subroot").alias("subroot"), low("root").alias("root"), "path",
                         low(F.coalesce("claim", "node")).alias("claimed"))

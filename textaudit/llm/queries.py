@@ -5,14 +5,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, licences, merkle, mixing, pii, quality, urls, weaklabels
+from .align import align
 from .decontaminate import decontaminate
 from .frames import documents
 from .language import fold, learn, predict
 from .simhash import near_duplicates
+from .tokencount import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -230,3 +233,15 @@ SELECT r.doc_id, r.leaf, g.leaf AS subroot, (SELECT node FROM u WHERE m = 1) AS
        e.folded_root, e.folded_root = (SELECT node FROM u WHERE m = 1) AS verified
 FROM r JOIN g ON g.name = r.tree JOIN e ON e.rid = r.rid LEFT JOIN q ON q.rid = r.rid
 """
+
+
+@query
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents under the word-end vocabulary."""
+    return count_tokens(documents(spark, sf_dir), ["doc_id"], public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents by two tokenizers, aligned by the groups they share."""
+    return align(documents(spark, sf_dir), ["doc_id"], public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
