@@ -210,3 +210,48 @@ def test_checkpoint_folder_must_be_shared_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.ensure_checkpoint_dir(Session())
+
+
+@pytest.mark.parametrize("range_rows", [50, 1_000_000])
+def test_ranges_follow_the_data_also_where_scores_crowd(spark, range_rows):
+    import random
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(5)
+    rows = [(i, "big" if i % 10 else None, r.randint(0, 1), 0, 0.5 + r.random() ** 40 * (1e-9 if i % 3 else 0.4)) for i in range(2000)]
+    df = spark.createDataFrame(rows, PREDS)
+    got = M.ranked_scores(df, range_rows=range_rows).collect()
+    assert len(got) == len({(t[1], t[4]) for t in rows})
+    for x in got[::37]:
+        own = [t for t in rows if t[1] == x["model"]]
+        assert x["pos_above"] == sum(t[2] == 1 for t in own if t[4] > x["score"])
+    dealt = M.score_histogram(df).repartitionByRange(40, "model", F.col("score").desc()).withColumn("p", F.spark_partition_id())
+    assert dealt.groupBy("p").count().agg(F.max("count")).first()[0] <= 3 * 50
+
+
+def test_few_valued_columns_stop_counting(spark):
+    df = spark.createDataFrame([(i, i % 3, str(i % 49), str(i % 50), None, "x" * 100 + str(i % 2)) for i in range(3000)],
+                               "a int, b int, c string, d string, e string, f string").repartition(5)
+    assert SC.few_valued(df, df.columns, 50) == {"a": None, "b": 3, "c": 49, "d": None, "e": 0, "f": 2}
+    assert SC.few_valued(df.limit(0), ["a"], 50) == {"a": 0}
+    assert SC.loose_resolve(df.withColumnRenamed("a", "text").select("text", "d", "b")) == ("text", "b")
+
+
+def test_confusion_matrix_refuses_ids(spark):
+    df = spark.createDataFrame([(i, "m", i, i, 0.5) for i in range(M.MAX_LABELS + 1)], PREDS)
+    with pytest.raises(ValueError):
+        M.confusion_matrix(df)
+    assert M.confusion_matrix(df.limit(3)).count() == 9
+
+
+def test_example_lines_round_trip(spark, tmp_path):
+    from textaudit.sources import files as FS
+
+    rows = [("biased", None, f"t{i}", i) for i in range(2500)] + [("category", "c1", None, 1), ("category", "c1", "same", 2), ("category", "c1", "same", 2), ("category", "c2", "é\n", 5)]
+    df = spark.createDataFrame(rows, "bank string, category string, text string, n int")
+    SK.write_example_lines(df.drop("x"), str(tmp_path / "b"), ["n"])
+    got = FS.read_example_lines(spark, str(tmp_path / "b")).collect()
+    assert sorted((r["ord"], r["text"]) for r in got if r["bank"] == "biased") == [(i, f"t{i}") for i in range(2500)]
+    assert sorted((r["ord"], r["text"]) for r in got if r["category"] == "c1") == [(0, None), (1, "same"), (2, "same")]
+    assert [tuple(r) for r in got if r["category"] == "c2"] == [("category", "c2", 0, "é\n")]

@@ -11,7 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import RANGE_ROWS, range_prefix
+
 DIGITS = 6
+#: Labels of a confusion matrix, whose grid is their square.
+MAX_LABELS = 1_000
 
 
 def _r(c):
@@ -49,13 +53,14 @@ def confusion_matrix(df: DataFrame, by=("model",), labels=None) -> DataFrame:
     (missing cells are 0). Labels default to those seen in truth or prediction."""
     counts = df.groupBy(*by, "y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
     if labels is None:
-        # the class set is tiny (one value per class); gathering it bounds the grid below
+        # one value per class; a column of ids is refused
         seen = (df.select(F.col("y_true").alias("c")).union(df.select(F.col("y_pred").alias("c")))
-                .where(F.col("c").isNotNull()).distinct().collect())
+                .where(F.col("c").isNotNull()).distinct().limit(MAX_LABELS + 1).collect())
+        if len(seen) > MAX_LABELS:
+            raise ValueError(f"more than {MAX_LABELS} labels: not a class column")
         labels = sorted(int(r["c"]) for r in seen)
-    pairs = F.array(*[F.struct(F.lit(int(a)).alias("y_true"), F.lit(int(b)).alias("y_pred"))
-                      for a in labels for b in labels])
-    grid = df.select(*by).distinct().select(*by, F.explode(pairs).alias("cell")).select(*by, "cell.*")
+    each = lambda name: F.explode(F.array(*[F.lit(int(a)) for a in labels]).cast("array<int>")).alias(name)
+    grid = df.select(*by).distinct().select(*by, each("y_true")).select("*", each("y_pred"))
     return (grid.join(counts, [*by, "y_true", "y_pred"], "left")
             .select(*by, "y_true", "y_pred", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
 
@@ -165,9 +170,6 @@ def report_wide(df: DataFrame, by=("model",), classes=(0, 1)) -> DataFrame:
     return av.join(wide, list(by)).select(*cols)
 
 
-SCORE_RANGES = 64
-
-
 def score_histogram(df: DataFrame, by=("model",), score: str = "proba") -> DataFrame:
     """(group, score, pos, neg): counts per distinct score, exactly as scored."""
     return (df.where(F.col(score).isNotNull() & F.col("y_true").isNotNull())
@@ -176,25 +178,13 @@ def score_histogram(df: DataFrame, by=("model",), score: str = "proba") -> DataF
                  F.sum((F.col("y_true") != 1).cast("long")).alias("neg")))
 
 
-def ranked_scores(df: DataFrame, by=("model",), score: str = "proba", ranges: int = SCORE_RANGES) -> DataFrame:
+def ranked_scores(df: DataFrame, by=("model",), score: str = "proba", ranges: int | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
     """The histogram with ``pos_above`` and ``neg_above``, the counts at strictly higher scores.
 
-    A group can have as many distinct scores as rows, so the prefix sums take two levels:
-    each group's scores are cut at approximate quantiles into ``ranges`` ranges, the sums of
-    whole ranges are a small table, and only inside a range are single scores ordered."""
-    h = score_histogram(df, by, score)
-    at = [(i + 1) / ranges for i in range(ranges - 1)]
-    cuts = h.groupBy(*by).agg(F.percentile_approx("score", at, 10_000).alias("_cuts"))
-    h = h.join(cuts, list(by)).withColumn("_range", F.size(F.filter("_cuts", lambda c: F.col("score") > c))).drop("_cuts")
-    higher = Window.partitionBy(*by).orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    whole = (h.groupBy(*by, "_range").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-             .select(*by, "_range", F.coalesce(F.sum("_p").over(higher), F.lit(0)).alias("_p"),
-                     F.coalesce(F.sum("_n").over(higher), F.lit(0)).alias("_n")))
-    above = Window.partitionBy(*by, "_range").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    return (h.join(whole, [*by, "_range"])
-            .withColumn("pos_above", F.col("_p") + F.coalesce(F.sum("pos").over(above), F.lit(0)))
-            .withColumn("neg_above", F.col("_n") + F.coalesce(F.sum("neg").over(above), F.lit(0)))
-            .select(*by, "score", "pos", "neg", "pos_above", "neg_above"))
+    A group can have as many distinct scores as rows, so the sums are taken by ranges of the
+    counted scores, of about ``range_rows`` scores at any size and for any shape of scores."""
+    return range_prefix(score_histogram(df, by, score), by, [F.col("score").desc()], {"pos_above": F.col("pos"), "neg_above": F.col("neg")},
+                        range_rows, ranges)
 
 
 def roc_auc(df: DataFrame, by=("model",), score: str = "proba") -> DataFrame:

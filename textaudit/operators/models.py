@@ -7,12 +7,17 @@ JVM-side; an arbitrary Python scorer runs batch-wise through ``mapInPandas`` (Ar
 
 from __future__ import annotations
 
+import uuid
+from collections import Counter
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as TX
+from . import newton as NW
+
 
 @dataclass(frozen=True)
 class RuleModel:
@@ -78,6 +83,56 @@ def python_scorer(docs: DataFrame, fn, key: str = "doc_id", text: str = "text")
     return docs.select(key, text).mapInPandas(run, schema=f"`{key}` {kind}, proba double")
 
 
+@dataclass(frozen=True)
+class LinearText:
+    """A linear model over term weights as a plain batch function, so that it can be sent to
+    tasks: ``terms`` -> (idf, coefficient); uni- and bigrams of lower-cased runs of 2+ word
+    characters without ``stop_words``, counts times idf, length 1 a text, then the sigmoid."""
+    terms: dict
+    intercept: float = 0.0
+    stop_words: tuple = ()
+
+    def __call__(self, texts) -> list[float]:
+        import math
+
+        import regex
+        word, stops, out = regex.compile(TX.WORD2_RE), set(self.stop_words), []
+        for text in texts:
+            tokens = [t for t in word.findall((text or "").lower()) if t not in stops]
+            counts = Counter(t for t in (*tokens, *map(" ".join, zip(tokens, tokens[1:]))) if t in self.terms)
+            weights = {t: n * self.terms[t][0] for t, n in counts.items()}
+            norm = math.sqrt(sum(w * w for w in weights.values())) or 1.0
+            z = self.intercept + sum(w * self.terms[t][1] for t, w in weights.items()) / norm
+            out.append(1 / (1 + math.exp(-z)) if z > -700 else 0.0)
+        return out
+
+
+def linear_text(pipeline_model, stop_words=()) -> LinearText:
+    """The scorer of a fitted (TF-IDF -> linear model) pipeline; its vocabulary is capped by the fit."""
+    stages = pipeline_model.stages
+    vocabulary = next(st for st in stages if hasattr(st, "vocabulary")).vocabulary
+    idf = next(st for st in stages if hasattr(st, "getScalingVec")).getScalingVec().toArray().tolist()
+    coef = stages[-1].coefficients.toArray().tolist()
+    return LinearText(dict(zip(vocabulary, zip(idf, coef))), float(stages[-1].intercept), tuple(sorted(set(stop_words))))
+
+
+def batch_scorer(docs: DataFrame, load, batch_size: int = 32, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(key, proba)`` by a model that every worker process loads once: ``load()`` returns
+    ``score(list of texts) -> numbers``, which is given ``batch_size`` texts at a time (null: empty).
+
+    What ``load`` reads must be reachable for every executor: values it carries, a broadcast
+    (``docs.sparkSession.sparkContext.broadcast``), or an installed package."""
+    from pyspark.ml.functions import predict_batch_udf
+
+    def make():
+        import numpy as np
+        score = load()
+        return lambda texts: np.asarray(score([str(t) for t in texts]), dtype=np.float64)
+
+    predict = predict_batch_udf(make, return_type=T.DoubleType(), batch_size=batch_size)
+    return docs.select(key, predict(F.coalesce(F.col(text), F.lit(""))).alias("proba"))
+
+
 def sigmoid_of_margin(margin: Column) -> Column:
     """Probability from a decision value."""
     return TX.sigmoid(margin)
@@ -116,27 +171,36 @@ def with_balanced_weights(df: DataFrame, label: str = "label") -> DataFrame:
     return joined.select(*columns, "weight").hint("rebalance")
 
 
-def train_logreg(train: DataFrame, max_iter: int = 1000, label: str = "label", stop_words=(), tol: float = 1e-4):
-    """Balanced logistic regression on TF-IDF features, C = 1 (regParam = 1 / n, no
-    standardisation). Features are computed once; the fit keeps them and reads no text."""
+def as_spark_model(kind: str, fit):
+    """A Spark ML model (``logistic`` or ``squared_hinge``) of fitted coefficients, for pipelines,
+    saving and loading."""
+    from pyspark.ml.classification import LinearSVCModel, LogisticRegressionModel
+    from pyspark.ml.common import _py2java
+    from pyspark.ml.linalg import Vectors
+    from pyspark.sql import SparkSession
+    sc = SparkSession.active().sparkContext
+    wrapper, name = (LogisticRegressionModel, "LogisticRegressionModel") if kind == "logistic" else (LinearSVCModel, "LinearSVCModel")
+    made = getattr(sc._jvm.org.apache.spark.ml.classification, name)
+    return wrapper(made(f"{kind}_{uuid.uuid4().hex[:12]}", _py2java(sc, Vectors.dense(fit.coefficients)), float(fit.intercept)))
+
+
+def train_logreg(train: DataFrame, max_iter: int = NW.MOST_PASSES, label: str = "label", stop_words=(), tol: float = 1e-5):
+    """Balanced logistic regression on TF-IDF features, C = 1, intercept not regularised, by
+    Newton steps (at most ``max_iter`` passes). Features are computed once; the fit keeps them
+    and reads no text."""
     from pyspark.ml import PipelineModel
-    from pyspark.ml.classification import LogisticRegression
-    n = train.count()
-    lr = LogisticRegression(featuresCol="features", labelCol=label, weightCol="weight", maxIter=max_iter, tol=tol,
-                            regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False)
     feats = PipelineModel(text_features(train, stop_words=stop_words))
-    data = with_balanced_weights(feats.transform(train).select(label, "features"), label)
-    return PipelineModel([*feats.stages, lr.fit(data)])
-
-
-def train_svm(train: DataFrame, max_iter: int = 5000, label: str = "label", features: str = "features",
-              tol: float = 1e-4):
-    """Balanced linear SVM on given feature vectors (hinge loss)."""
-    from pyspark.ml.classification import LinearSVC
-    n = train.count()
-    svm = LinearSVC(featuresCol=features, labelCol=label, weightCol="weight", maxIter=max_iter, tol=tol,
-                    regParam=1.0 / max(n, 1), standardization=False)
-    return svm.fit(with_balanced_weights(train.select(label, features), label))
+    data = with_balanced_weights(feats.transform(train).select("doc_id", label, "features"), label)
+    fit = NW.fit_linear(data, "logistic", label, weight="weight", key="doc_id", tol=tol, most=max_iter)
+    return PipelineModel([*feats.stages, as_spark_model("logistic", fit)])
+
+
+def train_svm(train: DataFrame, max_iter: int = NW.MOST_PASSES, label: str = "label", features: str = "features",
+              tol: float = 1e-6):
+    """Balanced linear SVM on given feature vectors: squared hinge loss, C = 1, the intercept
+    regularised as the weight of a constant feature; by Newton steps."""
+    data = with_balanced_weights(train.select(label, features), label)
+    return as_spark_model("squared_hinge", NW.fit_linear(data, "squared_hinge", label, features, "weight", regularise_intercept=True, tol=tol, most=max_iter))
 
 
 def apply_classifier(model, df: DataFrame, key: str = "doc_id", label: str = "label",

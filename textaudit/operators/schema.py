@@ -47,6 +47,32 @@ def column_profile(df: DataFrame, columns=None) -> DataFrame:
     return row.select(F.explode(F.array(*parts)).alias("p")).select("p.*")
 
 
+def few_valued(df: DataFrame, columns, most: int) -> dict[str, int | None]:
+    """Distinct non-null values of each column, or None where there are ``most`` or more.
+
+    A task keeps a set of at most ``most`` values a column and stops there, so that at most that
+    many a column and task are shuffled (values as text, long ones by a digest), not all values."""
+    columns = list(columns)
+    own = df.select(*[F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(columns)])
+
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+        seen = [set() for _ in columns]
+        for batch in batches:
+            for i, s in enumerate(seen):
+                if len(s) < most:
+                    for v in batch.column(i).unique().to_pylist():
+                        if v is not None and len(s) < most:
+                            s.add(v if len(v) <= 64 else hashlib.sha256(v.encode()).hexdigest() + str(len(v)))
+        pairs = [(i, v) for i, s in enumerate(seen) for v in s]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in pairs], pa.int32()), pa.array([v for _, v in pairs], pa.string())], names=["i", "v"])
+
+    counts = {r["i"]: r["n"] for r in own.mapInArrow(run, "i int, v string").groupBy("i").agg(F.countDistinct("v").alias("n")).collect()}
+    return {c: n if (n := counts.get(i, 0)) < most else None for i, c in enumerate(columns)}
+
+
 def binary_columns(df: DataFrame) -> list[str]:
     """Columns whose non-null values are all 0/1 (one aggregate; the probe of
     :func:`column_profile`)."""
@@ -64,8 +90,8 @@ def loose_resolve(df: DataFrame) -> tuple[str, str]:
     if label is None and L.LOOSE_LABEL_LAST in df.columns:
         label = L.LOOSE_LABEL_LAST
     if label is None:
-        prof = column_profile(df, [c for c in df.columns if c != text]).collect()
-        label = next((r["column_name"] for r in sorted(prof, key=lambda r: r["ordinal"]) if r["n_distinct"] < L.LOOSE_MAX_DISTINCT), None)
+        few = few_valued(df, [c for c in df.columns if c != text], L.LOOSE_MAX_DISTINCT)
+        label = next((c for c, n in few.items() if n is not None), None)
     if label is None:
         raise ValueError(f"no label column among {df.columns}")
     return text, label

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import comparison, corpus, evaluation, features, io, monitoring, text  # noqa: F401
+from . import comparison, corpus, evaluation, features, io, monitoring, scorers, text  # noqa: F401
 from .registry import HEADLINE, ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE", "HEADLINE"]

@@ -121,17 +121,13 @@ UNION ALL SELECT 'category', 'c' || (item_id % 3), CAST(row_number() OVER (PARTI
 
 
 def _bank(spark, sf):
-    """The benchmark items as one JSON example bank (a bank is one small object by design)."""
+    """The benchmark items as an example bank in lines, written and read back."""
     b = U.tables(spark, sf).benchmark
-
-    def texts(cond):
-        return F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("item_id", "text")))), lambda s: s["text"])
-
-    cats = F.create_map(*[x for k in range(3) for x in (F.lit(f"c{k}"), texts(F.col("item_id") % 3 == k))])
+    flat = b.select(F.when(F.col("item_id") % 2 == 0, "biased").otherwise("neutral").alias("bank"), F.lit(None).cast("string").alias("category"), "item_id", "text")
+    cats = b.select(F.lit("category").alias("bank"), F.concat(F.lit("c"), F.col("item_id") % 3).alias("category"), "item_id", "text")
     path = scratch(spark, "bank")
-    b.agg(texts(F.col("item_id") % 2 == 0).alias("biased_examples"), texts(F.col("item_id") % 2 == 1).alias("neutral_examples"),
-          cats.alias("stereotype_categories")).write.json(path)
-    return FS.read_example_bank(spark, path)
+    SK.write_example_lines(flat.unionByName(cats), path, order=["item_id"])
+    return FS.read_example_lines(spark, path)
 
 
 @query("example_bank", _BANK_SQL)

@@ -104,6 +104,14 @@ def read_example_bank(spark: SparkSession, path: str) -> DataFrame:
     return flat.unionByName(cats)
 
 
+def read_example_lines(spark: SparkSession, path: str) -> DataFrame:
+    """An example bank in lines (``write_example_lines``) -> ``(bank, category, ord, text)`` rows.
+    Each line holds some consecutive texts of a list, so any number of tasks read it."""
+    lines = spark.read.schema("bank STRING, category STRING, first BIGINT, texts ARRAY<STRING>").json(path)
+    each = lines.select("bank", "category", "first", F.posexplode("texts").alias("i", "text"))
+    return each.select("bank", "category", (F.col("first") + F.col("i")).cast("int").alias("ord"), "text")
+
+
 def read_embeddings(spark: SparkSession, candidates: list[str]) -> DataFrame:
     """First available embedding table ``(word STRING, vec ARRAY<FLOAT>)`` among candidates."""
     for p in candidates:

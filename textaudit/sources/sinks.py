@@ -56,3 +56,15 @@ def write_label_map(labels: list[str], spark, path: str) -> None:
     """Index -> class-name table (small by construction: one row per class)."""
     spark.createDataFrame(list(enumerate(labels)), "index INT, label STRING") \
         .write.mode("overwrite").parquet(path)
+
+
+def write_example_lines(rows: DataFrame, path: str, order, per_line: int = 1000) -> None:
+    """Examples ``(bank, category, text)`` as JSON lines: each holds up to ``per_line`` consecutive
+    texts of a list and the number of the first. Texts stand by ``order`` (then by text), ranked
+    by ranges, so neither a list nor the bank is gathered anywhere."""
+    from ..operators.ranks import range_rank
+    told = rows.withColumn("_row", F.monotonically_increasing_id())
+    ranked = range_rank(told, ["bank", "category"], [*[F.col(c) for c in order], F.col("text"), F.col("_row")], "ord")
+    lines = ranked.groupBy("bank", "category", F.expr(f"ord div {per_line}").alias("line")).agg(
+        F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("own"))
+    lines.select("bank", "category", F.col("own")[0]["ord"].alias("first"), F.transform("own", lambda x: x["text"]).alias("texts")).write.mode("overwrite").json(path)

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import text as TX
 from ..operators import fairness as FA
 from ..operators.metrics import DIGITS
+from ..session import saved_table
 
 
 @dataclass(frozen=True)
@@ -106,6 +107,33 @@ def drift_kl(events: DataFrame, scorer: ValueScorer, ref_start: str, ref_end: st
     return kl_from_bins(daily_score_bins(events, scorer, n_bins, ts), ref_start, ref_end, n_bins)
 
 
+def token_drift(docs: DataFrame, reference, group: str = "source", text: str = "text", tokens=TX.word_tokens) -> DataFrame:
+    """``(group, kl, n_tokens, n_distinct)``: KL(group || reference) of token shares with add-one
+    smoothing over the tokens of all groups; ``reference`` is the value of ``group`` to compare with.
+
+    Tokens are counted exactly, in two partial aggregates (by text, then by token and group). A
+    group's sum runs over the tokens it has; all others have the same smoothed share, so their
+    part follows from sums of the reference's logarithms, and no grid of groups and tokens is made."""
+    counted = TX.with_counts(docs.select(F.col(group).alias("grp"), text), tokens(text))
+    each = counted.select("grp", TX.explode_rows(F.col("counts")).alias("t")).where(F.col("t").isNotNull())
+    c = saved_table(each.groupBy("grp", F.col("t.word").alias("token")).agg(F.sum("t.c").alias("c")), "tokens")
+    is_ref = F.col("grp").eqNullSafe(F.lit(reference))
+    by_token = c.groupBy("token").agg(F.coalesce(F.sum(F.when(is_ref, F.col("c"))), F.lit(0)).alias("rc"))
+    v, rn = by_token.agg(F.count("*"), F.coalesce(F.sum("rc"), F.lit(0))).first()
+    q = (F.col("rc") + 1.0) / F.lit(float(rn + v))
+    all_log_q = by_token.agg(F.coalesce(F.sum(F.log(q)), F.lit(0.0))).first()[0]
+    totals = c.groupBy("grp").agg(F.sum("c").alias("n"), F.count("*").alias("k"))
+    rows = c.join(by_token, "token").groupBy("grp").agg(
+        F.sum((F.col("c") + 1.0) * F.log(F.col("c") + 1.0)).alias("cl"), F.sum((F.col("c") + 1.0) * F.log(q)).alias("cq"), F.sum(F.log(q)).alias("lq"))
+    same = rows.withColumnRenamed("grp", "g")
+    g = totals.join(same, F.col("grp").eqNullSafe(F.col("g")))
+    whole = F.col("n") + F.lit(float(v))
+    # sum of (c + 1) / whole * (ln(c + 1) - ln whole - ln q) over the group's tokens, then over the others
+    own = (F.col("cl") - F.log(whole) * (F.col("n") + F.col("k")) - F.col("cq")) / whole
+    others = (-F.log(whole) * (F.lit(v) - F.col("k")) - (F.lit(all_log_q) - F.col("lq"))) / whole
+    return g.select(F.col("grp").alias(group), F.round(own + others, DIGITS).alias("kl"), F.col("n").alias("n_tokens"), F.col("k").alias("n_distinct"))
+
+
 def subgroup_monthly(events: DataFrame, scorer: ValueScorer, truth: Column, group: Column,
                      ts: str = "ts", threshold: float = 0.5) -> DataFrame:
     """Group rates (count, positive rate, TPR, FPR, precision) per month."""
@@ -161,3 +189,16 @@ def stream_subgroup_monthly(stream: DataFrame, scorer: ValueScorer, truth: Colum
     """Streaming form of the monthly subgroup checks (update or complete mode; one row of
     state per month and group)."""
     return subgroup_monthly(stream, scorer, truth, group, ts, threshold)
+
+
+def drain(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what is available, then end; its result as a table. ``append`` adds the
+    rows that are final; ``complete`` replaces the table by the whole state after each batch. The
+    stream's progress and state are kept beside the table, so a later call goes on from there."""
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-progress").trigger(availableNow=True)
+    if mode == "append":
+        running = writer.format("parquet").start(path)
+    else:
+        running = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).start()
+    running.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
