@@ -51,22 +51,89 @@ def test_backoff_and_edges(table):
     assert [tuple(r) for r in language.predict(table([(1, "der")], "doc_id long, text string"), none, ["doc_id"]).collect()] == [(1, "und", 0.0)]
 
 
-def test_entries_are_bounded(table):
-    rows = [("aa", " ".join("w" + chr(97 + i // 26) + chr(97 + i % 26) for i in range(400)) + " wab wab wac"), ("bb", "zz zz y")]
-    model = language.learn(table(rows, "lang string, text string"), per_table=50)
-    assert all(len(h) <= 100 for h in model.hashes) and len(model.hashes[0]) == 2 + 2
-
-
-@pytest.mark.parametrize("most", [8_000_000, 0])
-def test_what_is_not_broadcast_still_counts(table, monkeypatch, most):
-    monkeypatch.setattr(language, "BROADCAST_SCORES", most)
-    spell = lambda i: "w" + chr(97 + i // 26) + chr(97 + i % 26)
-    rows = [("aa", " ".join(spell(i) for i in range(300)) + " wab wab wac"), ("aa", "waa common " * 5), ("bb", "common zz zz y " + " ".join("q" + spell(i) for i in range(200)))]
-    texts = ["common", "wdd wde", "qwcc", "wab qwzz", "wxyzzy foo", "", None, "12", "жук", "qwaa " * 50 + "wjj", "wdd wde", "y zz wkl"]
-    docs, train = table(list(enumerate(texts)), "doc_id long, text string"), table(rows, "lang string, text string")
-    whole = language.predict(docs, language.learn(train), ["doc_id"]).collect()
-    cut = language.learn(train, per_table=5)
-    assert len(cut.hashes[0]) <= 10 and cut.rest is not None
-    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.predict(docs, cut, ["doc_id"]).collect()}
-    for r in whole:
-        assert got[r["doc_id"]][0] == r["lang_pred"] and got[r["doc_id"]][1] == pytest.approx(r["score"], rel=1e-4)
+def plain(train, texts, order=4):
+    """Word-first backoff by dictionaries: the best language (ties: the first) and its share."""
+    def words(text):
+        out = [""]
+        for c in text or "":
+            out = out[:-1] + [out[-1] + c.lower()[0]] if c.isalpha() else out + [""]
+        return [w for w in out if w]
+
+    def grams(w, n):
+        w = f" {w} " if n > 1 else w
+        return [w[i:i + n] for i in range(len(w) - n + 1)]
+
+    langs = sorted({a for a, _ in train})
+    counts = [{a: Counter() for a in langs} for _ in range(order + 1)]
+    for a, text in set(train):
+        for w in words(text):
+            counts[0][a][w] += 1
+            for n in range(1, order + 1):
+                counts[n][a].update(grams(w, n))
+    share = [{a: {x: m / sum(c.values()) for x, m in c.items()} for a, c in kind.items()} for kind in counts]
+    floor = [math.log(min(x for c in kind.values() for x in c.values()) / 2) for kind in share]
+
+    def score(w, kind, a):
+        got = share[kind][a].get(w)
+        return math.log(got) if got else floor[kind]
+
+    def known(x, kind):
+        return any(x in share[kind][a] for a in langs)
+
+    def word(w, a):
+        if known(w, 0):
+            return score(w, 0, a)
+        for n in range(order, 0, -1):
+            found = [g for g in grams(w, n) if known(g, n)]
+            if found:
+                return sum(score(g, n, a) for g in found) / len(found)
+        return min(floor)
+
+    out = []
+    for text in texts:
+        ws = words(text)
+        if not ws:
+            out.append(("und", 0.0))
+            continue
+        sums = [sum(word(w, a) for w in ws) * min(len(ws), language.EVIDENCE) / len(ws) for a in langs]
+        best = max(range(len(langs)), key=lambda i: (sums[i], -i))
+        out.append((langs[best], 1 / sum(math.exp(s - sums[best]) for s in sums)))
+    return out
+
+
+def test_equals_plain_dictionaries(spark, table):
+    rows = [(r["lang"], r["text"]) for r in documents(spark, "/root/testdata/sf0.001").where("length(text) < 2000").limit(120).collect()]
+    train, texts = rows[:70], [t for _, t in rows[70:]] + ["xqzzt vrkk", "жук", "der жук", "", None, "12", "a", "é " * 40]
+    model = language.learn(table(train, "lang string, text string"))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.predict(table(list(enumerate(texts)), "doc_id long, text string"), model, ["doc_id"]).collect()}
+    for i, (lang, score) in enumerate(plain(train, texts)):
+        assert got[i][1] == pytest.approx(score, rel=1e-4), (texts[i], got[i], lang)
+        assert got[i][0] == lang or score < 0.5 + 1e-4
+
+
+def test_tied_languages_give_the_first(table):
+    model = language.learn(table([("bb", "one two"), ("aa", "one two"), ("cc", "one two")], "lang string, text string"))
+    got = language.predict(table([(1, "one"), (2, "one two"), (3, "zzz")], "doc_id long, text string"), model, ["doc_id"]).collect()
+    assert [(r["lang_pred"], round(r["score"], 6)) for r in got] == [("aa", round(1 / 3, 6))] * 3
+
+
+def test_sample_is_bounded_and_of_distinct_texts(spark, table):
+    spell = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    texts = [("aa", f"{spell(i)} text of some length") for i in range(3000)] + [("aa", "the same copy")] * 3000 + [("bb", "lone text")]
+    rows = table(texts, "lang string, text string")
+    got = language.sampled(rows, 2, {"aa": sum(len(t) for a, t in texts if a == "aa"), "bb": 9}, 20_000).collect()
+    size = sum(len(r["text"]) for r in got if r["lang"] == "aa")
+    assert 8_000 < size <= 10_000 + 40 and len({r["text"] for r in got}) == len(got)
+    assert [r["text"] for r in got if r["lang"] == "bb"] == ["lone text"]
+    long = table([("aa", "word " * 5000), ("bb", "x")], "lang string, text string")
+    assert language.learn(long, sample_bytes=10).langs == ["aa", "bb"]
+    with pytest.raises(ValueError):
+        language.learn(table([(f"l{i}", "x") for i in range(language.MOST_LANGS + 1)], "lang string, text string"))
+
+
+def test_clashing_columns_and_repeated_rows(table):
+    model = language.learn(table(ROWS, "lang string, text string"))
+    df = table([(1, "der hund", "x", 5), (1, "der hund", "x", 5), (None, "the dog", "y", 6)], "doc_id long, text string, TEXT string, Score int")
+    got = language.predict(df, model, ["doc_id", "TEXT", "Score"])
+    assert got.columns == ["doc_id", "TEXT", "lang_pred", "score"]
+    assert sorted((str(r["doc_id"]), r["lang_pred"]) for r in got.collect()) == [("1", "aa"), ("1", "aa"), ("None", "bb")]

@@ -2,32 +2,32 @@
 
 A known word scores its log frequency in each language; a word that no language knows falls
 back to its character n-grams, the longest order of which any is known (boundaries count as
-characters). A text's score in a language is the mean over its words. Counts come from all
-training rows; what is broadcast is the most frequent words and n-grams of each language, at
-most ``entries`` in all (about 50 bytes each), with their counts in every language. The rest stays
-a table: the distinct words that the broadcast part does not know are looked up in it by joins.
-Their scores join the broadcast part if they are few, else the words of the texts by a shuffle."""
+characters). A text's score in a language is the mean over its words.
+
+The model is fitted on a bounded sample of the labelled texts, the same number of bytes in each
+language, and broadcast: at every size a prediction is one pass over the texts, whole, without a
+shuffle."""
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import map_text, pick, save, text_slices
+from .frames import map_text, pick, text_slices
 from .words import code_points, mixed, ranges, run_bounds, utf8, weights
 
-ORDER, ENTRIES, PER_TABLE, EVIDENCE = 4, 1_000_000, 40_000, 32
+ORDER, EVIDENCE = 4, 32
+#: Bytes of labelled text that the model is fitted on, shared alike by the languages, whatever the
+#: corpus; and how many languages there may be (a word has a score in each).
+SAMPLE_BYTES, MOST_LANGS = 32 << 20, 200
 EDGE, UNKNOWN = 32, "und"
-#: Scores of looked-up words (words times languages) that are broadcast; more are joined.
-BROADCAST_SCORES = 8_000_000
 
 
 @cache
@@ -105,68 +105,52 @@ def _counting(order: int):
 @dataclass
 class Model:
     """Languages, sorted; by kind (0: words, n: n-grams) the sorted hashes and their log
-    frequencies by language; the score of what a language does not know; and the entries left
-    out, ``(kind, h, v)`` with the log frequencies by language (none: nothing is left out)."""
+    frequencies by language; and the score of what a language does not know."""
 
     langs: list[str]
     hashes: list[np.ndarray]
     scores: list[np.ndarray]
     floor: list[float]
-    rest: DataFrame | None = None
 
 
-def learn(docs: DataFrame, lang: str = "lang", text: str = "text", order: int = ORDER, entries: int = ENTRIES,
-          per_table: int = PER_TABLE) -> Model:
-    """Model of all rows with a language and a text. Of each language and kind, the entries of
-    at least that count are broadcast which leaves at most ``per_table``, and ``entries`` in all;
-    the others are its ``rest``."""
+def sampled(rows: DataFrame, langs: int, total: dict[str, int], sample_bytes: int) -> DataFrame:
+    """Of ``rows(lang, text)`` distinct texts in the order of their hash, of each language up to the
+    one with which they reach its share of ``sample_bytes``. Only texts whose hash is below twice
+    the share wanted are looked at, so no task orders more than about that."""
+    share = sample_bytes / max(1, langs)
+    below = F.create_map(*[x for a, n in total.items() for x in (F.lit(a), F.lit(min(1.0, 2 * share / max(1, n))))])
+    place = F.shiftrightunsigned(F.xxhash64("text"), 11).cast("double") / float(1 << 53)
+    near = rows.withColumn("_at", place).where(F.col("_at") <= F.element_at(below, F.col("lang")))
+    once = near.groupBy("lang", "_at").agg(F.first("text").alias("text"))
+    before = F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
+    return once.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < share).select("lang", "text")
+
+
+def learn(docs: DataFrame, lang: str = "lang", text: str = "text", order: int = ORDER, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Model of a sample of the rows with a language and a text, ``sample_bytes`` in all (all rows
+    where there are fewer). More than ``MOST_LANGS`` languages are refused."""
     rows = pick(docs, lang=lang, text=text).where("lang IS NOT NULL AND text IS NOT NULL")
-    run, schema = _counting(order)
-    counts = save(rows.mapInArrow(run, schema).groupBy("lang", "kind", "h").agg(F.sum("n").alias("n")), "language-counts")
-    # Counts in steps of a tenth of their size, so that the histogram is short at any scale.
-    level = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.1)))
-    levels = counts.groupBy("lang", "kind", level.alias("level")).agg(F.count("*").alias("m"), F.min("n").alias("least"), F.sum("n").alias("total")).collect()
-    langs = sorted({r["lang"] for r in levels})
-    most = min(per_table, entries // max(1, len(langs) * (order + 1)))
-    least, total = {}, {}
-    for r in levels:
-        total[r["lang"], r["kind"]] = total.get((r["lang"], r["kind"]), 0) + r["total"]
-    for key in total:
-        held, least[key] = 0, None
-        for r in sorted((r for r in levels if (r["lang"], r["kind"]) == key), key=lambda r: -r["level"]):
-            held += r["m"]
-            if held > most:
-                break
-            least[key] = r["least"]
-    kept = [(a, k, n) for (a, k), n in sorted(least.items()) if n]
+    sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).limit(MOST_LANGS + 1).collect()
+    if len(sizes) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
+    langs = sorted(r["lang"] for r in sizes)
     model = Model(langs, [np.zeros(0, np.uint64)] * (order + 1), [np.zeros((0, len(langs)), np.float32)] * (order + 1), [0.0] * (order + 1))
     if not langs:
         return model
-    smallest = {}
-    for r in levels:
-        smallest[r["kind"]] = min(smallest.get(r["kind"], 1.0), r["least"] / total[r["lang"], r["kind"]])
-    model.floor = [float(np.log(smallest.get(k, 1.0) / 2)) for k in range(order + 1)]
-    # one filter for each language and kind, all over the one saved table
-    spark = counts.sparkSession
-    cut = spark.createDataFrame(kept, "lang string, kind int, least bigint")
-    chosen = counts.join(F.broadcast(cut), ["lang", "kind"]).where("n >= least").select("kind", "h").distinct()
-    if sum(r["m"] for r in levels) > sum(r["m"] for r in levels if r["least"] >= (least[r["lang"], r["kind"]] or np.inf)):
-        chosen = save(chosen, "language-broadcast")
-        sums = spark.createDataFrame([(a, k, float(n)) for (a, k), n in total.items()], "lang string, kind int, total double")
-        left = counts.join(chosen, ["kind", "h"], "left_anti").join(F.broadcast(sums), ["lang", "kind"])
-        by_lang = left.groupBy("kind", "h").agg(F.map_from_entries(F.collect_list(F.struct("lang", F.log(F.col("n") / F.col("total"))))).alias("v"))
-        unseen = F.element_at(F.array(*[F.lit(x) for x in model.floor]), F.col("kind") + 1)
-        model.rest = save(by_lang.select("kind", "h", F.transform(F.array(*[F.lit(x) for x in langs]), lambda x: F.coalesce(F.try_element_at("v", x), unseen)).alias("v")), "language-rest")
-    table = counts.join(chosen, ["kind", "h"], "left_semi").select("lang", "kind", "h", "n").toArrow()
+    run, schema = _counting(order)
+    chosen = sampled(rows, len(langs), {r["lang"]: r["n"] for r in sizes}, sample_bytes)
+    table = chosen.mapInArrow(run, schema).groupBy("lang", "kind", "h").agg(F.sum("n").alias("n")).toArrow()
     place = {a: i for i, a in enumerate(langs)}
     who = np.array([place[a] for a in table["lang"].to_pylist()], np.int64)
     kind, h, n = table["kind"].to_numpy(), table["h"].to_numpy().view(np.uint64), table["n"].to_numpy().astype(np.float64)
     for k in range(order + 1):
         own = kind == k
-        whole = np.array([total.get((a, k), 1) for a in langs], np.float64)
+        whole = np.maximum(np.bincount(who[own], n[own], len(langs)), 1.0)
+        share = n[own] / whole[who[own]]
+        model.floor[k] = float(np.log(share.min() / 2)) if len(share) else 0.0
         keys, inverse = np.unique(h[own], return_inverse=True)
         scores = np.full((len(keys), len(langs)), model.floor[k], np.float32)
-        scores[inverse, who[own]] = np.log(n[own] / whole[who[own]])
+        scores[inverse, who[own]] = np.log(share)
         model.hashes[k], model.scores[k] = keys, scores
     return model
 
@@ -199,127 +183,10 @@ def word_scores(model: Model, words: LetterWords) -> np.ndarray:
     return out
 
 
-def _digest(column: pa.Array) -> list:
-    return [None if x is None else hashlib.md5(x.encode()).digest() for x in column.to_pylist()]
-
-
-def _unknown(shared, by_text: bool):
-    """Mapper from ``text`` to the words that the broadcast part does not know: ``(w, word)``, as
-    code points, or by the digest of the text, ``(t, w, times)``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = shared.value
-        for batch in batches:
-            for part in text_slices(batch, 0):
-                words = LetterWords(part.column(0), np.arange(part.num_rows) if by_text else None)
-                h = words.hash[words.sample]
-                left = np.flatnonzero(~_found(m.hashes[0], h)[1])
-                at, w = words.sample[left], pa.array(h[left].view(np.int64))
-                if by_text:
-                    digests = _digest(part.column(0))
-                    yield pa.RecordBatch.from_arrays([pa.array([digests[i] for i in words.group[at].tolist()], pa.binary()), w, pa.array(words.times[left].astype(np.int64))], names=["t", "w", "times"])
-                else:
-                    spans = zip(words.start[at].tolist(), words.size[at].tolist())
-                    yield pa.RecordBatch.from_arrays([w, pa.array([words.points[i:i + n].astype("<u4").tobytes() for i, n in spans], pa.binary())], names=["w", "word"])
-
-    return run
-
-
-def _spelled(shared):
-    """Mapper from ``(w, word)`` to the n-grams to be looked up for each word, ``(w, kind, h)``,
-    and the sums over its ``m`` n-grams that the broadcast part knows, ``(w, kind, v, m)``; orders
-    below one of which any is known are left out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = shared.value
-        for batch in batches:
-            for part in text_slices(batch, 1):
-                w, raw = part.column(0).to_numpy(), part.column(1).to_pylist()
-                words = LetterWords.__new__(LetterWords)
-                words.points = np.frombuffer(b"".join(raw), "<u4").astype(np.uint64)
-                words.size = np.array([len(x) // 4 for x in raw], np.int64)
-                words.start, words.sample = np.cumsum(words.size) - words.size, np.arange(len(raw))
-                left = words.sample
-                for n in range(len(m.hashes) - 1, 0, -1):
-                    if not len(left):
-                        break
-                    h, owner = words.grams(left, n)
-                    at, known = _found(m.hashes[n], h)
-                    some, first, times = np.unique(owner[known], return_index=True, return_counts=True)
-                    sums = np.add.reduceat(m.scores[n][at[known]].astype(np.float64), first, axis=0) if len(some) else np.zeros((0, len(m.langs)))
-                    a, b = int((~known).sum()), len(some)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.concatenate([w[left[owner[~known]]], w[left[some]]])), pa.array(np.full(a + b, n, np.int32)),
-                        pa.array([*h[~known].view(np.int64).tolist(), *[None] * b], pa.int64()),
-                        pa.array([*[None] * a, *sums.tolist()], pa.list_(pa.float64())),
-                        pa.array([*[None] * a, *times.tolist()], pa.int64())], names=["w", "kind", "h", "v", "m"])
-                    left = np.delete(left, some)
-
-    return run
-
-
-def _looked_up(docs: DataFrame, model: Model, shared) -> DataFrame:
-    """``(w, v)``: scores by language of the distinct words of ``docs(text)`` that the broadcast
-    part does not know and of which anything is known."""
-    words = save(docs.mapInArrow(_unknown(shared, False), "w bigint, word binary").distinct(), "language-words")
-    own = model.rest.where("kind = 0").select(F.col("h").alias("w"), "v")
-    asked = save(words.join(own, "w", "left_anti").mapInArrow(_spelled(shared), "w bigint, kind int, h bigint, v array<double>, m bigint"), "language-asked")
-    found = asked.where("h IS NOT NULL").select("w", "kind", "h").join(model.rest, ["kind", "h"]).select("w", "kind", "v", F.lit(1).cast("bigint").alias("m"))
-    parts = found.unionByName(asked.where("v IS NOT NULL").select("w", "kind", "v", "m"))
-    means = parts.groupBy("w", "kind").agg(F.array(*[F.sum(F.col("v")[j]) / F.sum("m") for j in range(len(model.langs))]).alias("v"))
-    return save(words.join(own, "w").select("w", "v").unionByName(means.groupBy("w").agg(F.max_by("v", "kind").alias("v"))), "language-scores")
-
-
-def _predict_whole(docs: DataFrame, model: Model, keep: list[str], text: str) -> DataFrame:
-    """``predict`` by the broadcast part and, for the words it does not know, the ``rest``."""
-    small = replace(model, rest=None)
-    shared = docs.sparkSession.sparkContext.broadcast(small)
-    texts = pick(docs, text=text).where("text IS NOT NULL")
-    scores = _looked_up(texts, model, shared)
-    if scores.count() * len(model.langs) <= BROADCAST_SCORES:
-        table = scores.toArrow()
-        w, v = table["w"].to_numpy().view(np.uint64), table["v"].combine_chunks().flatten().to_numpy().astype(np.float32).reshape(-1, len(model.langs))
-        h = np.concatenate([model.hashes[0], w])
-        order = np.argsort(h)
-        return predict(docs, replace(small, hashes=[h[order], *model.hashes[1:]], scores=[np.concatenate([model.scores[0], v])[order], *model.scores[1:]]), keep, text)
-    # A word of which nothing is known scores alike in all languages and is left out of the sums.
-    tail = texts.mapInArrow(_unknown(shared, True), "t binary, w bigint, times bigint").distinct().join(scores, "w")
-    summed = tail.groupBy(F.col("t").alias("_u")).agg(F.array(*[F.sum(F.col("v")[j] * F.col("times")) for j in range(len(model.langs))]).alias("_v"))
-
-    def start():
-        m: Model = shared.value
-
-        def make(column: pa.Array) -> list:
-            words = LetterWords(column)
-            some = words.counts > 0
-            sums = np.zeros((len(words.counts), len(m.langs)))
-            if some.any():
-                at, known = _found(m.hashes[0], words.hash[words.sample])
-                by_word = np.zeros((len(known), len(m.langs)))
-                by_word[known] = m.scores[0][at[known]]
-                for j in range(len(m.langs)):
-                    sums[some, j] = np.add.reduceat(by_word[words.word, j], words.first[:-1][some])
-            return [_digest(column), sums.tolist(), words.counts.astype(np.int64)]
-
-        return make
-
-    own = [k for k in keep if k.lower() not in ("lang_pred", "score")]
-    fields = [T.StructField("_t", T.BinaryType()), T.StructField("_sums", T.ArrayType(T.DoubleType())), T.StructField("_n", T.LongType())]
-    done = map_text(docs, text, own, fields, start).join(summed, F.col("_t") == F.col("_u"), "left")
-    scale = F.least(F.col("_n"), F.lit(EVIDENCE)) / F.col("_n")
-    done = done.withColumn("_s", F.when(F.col("_n") > 0, F.transform(F.when(F.col("_v").isNull(), F.col("_sums")).otherwise(F.zip_with("_sums", "_v", lambda a, b: a + b)), lambda x: x * scale)))
-    done = done.withColumn("_top", F.array_max("_s"))
-    share = 1 / F.aggregate("_s", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("_top")))
-    lang = F.element_at(F.array(*[F.lit(x) for x in model.langs]), F.array_position("_s", F.col("_top")).cast("int"))
-    return done.select(*own, F.when(F.col("_n") > 0, lang).otherwise(UNKNOWN).alias("lang_pred"), F.when(F.col("_n") > 0, share).otherwise(0.0).alias("score"))
-
-
 def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """The ``keep`` columns, ``lang_pred`` (one of the model's languages; ``und`` if the text
     is null or has no letter, or the model has no language) and ``score`` (0 to 1: share of the
     best language in the scores of as many words as are counted as evidence)."""
-    if model.rest is not None:
-        return _predict_whole(docs, model, keep, text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def start():
