@@ -99,3 +99,22 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.save(stage(spark, docs, SF), "test")
         assert docs.count() == 0
+
+
+def test_clashing_ids_are_judged_row_by_row(spark):
+    say = lambda w: " ".join(f"{w}{i} the of and" for i in range(60))
+    rows = [(3, say("alpha"), "en", "a", 1), (7, say("alpha"), "en", "b", 1), (7, say("beta"), "en", "c", 1), (9, say("gamma"), "en", "d", 1),
+            (9, say("delta"), "en", "e", 1), (None, say("alpha"), "en", "f", 1), (None, say("omega"), "en", "g", 1), (3, say("alpha"), "en", "a", 1)]
+    got = stages.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), SF).collect()
+    assert sorted((str(r["doc_id"]), r["text"].split("0")[0]) for r in got) == sorted(
+        [("3", "alpha"), ("7", "beta"), ("9", "gamma"), ("9", "delta"), ("None", "omega")])
+
+
+def test_run_leaves_only_its_result(spark):
+    import os
+
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:").rsplit("/", 1)[0]
+    before = {f for f in os.listdir(folder) if f.startswith("llm-")}
+    got = corpus_pipeline.run(spark, SF)
+    after = {f for f in os.listdir(folder) if f.startswith("llm-")} - before
+    assert len(after) == 1 and got.count() > 0

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import save
+from .frames import release, save
 
 
 def _signature(links: DataFrame) -> tuple:
@@ -19,7 +19,7 @@ def components(links: DataFrame) -> DataFrame:
     at = save(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     before = None
     while (now := _signature(at)) != before:
-        before = now
+        before, last = now, at
         both = at.unionByName(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -27,4 +27,5 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")),
                                                                 F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         at = save(small.select("e.*").where("u != v").distinct(), "links")
+        release(last)
     return at.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -58,7 +60,41 @@ def save(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    if (made := _SCRATCH.get()) is not None:
+        made.append(out)
+    return out
+
+
+_SCRATCH: ContextVar[list | None] = ContextVar("scratch", default=None)
+
+
+def release(*frames: DataFrame) -> None:
+    """Remove the tables behind frames that ``save`` gave, once everything that reads them is
+    written itself."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.saved_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables saved inside are removed at the end, but for those taken out by ``lasting``."""
+    made: list[DataFrame] = []
+    token = _SCRATCH.set(made)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        release(*made)
+
+
+def lasting(df: DataFrame) -> DataFrame:
+    """``df``, which stays when the ``scratch`` around it ends."""
+    if (made := _SCRATCH.get()) is not None:
+        made[:] = [x for x in made if x is not df]
+    return df
 
 
 def text_slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,7 @@ go on under that many finer keys. Distinct fingerprints equal in all but ``r`` b
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -175,17 +175,19 @@ def links(distinct: DataFrame, distance: int = DISTANCE, segments: int = SEGMENT
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE,
-                    distance: int = DISTANCE, segments: int = SEGMENTS, bucket: int = BUCKET) -> DataFrame:
-    """``(doc_id, fp, component_id)`` for every row: its fingerprint and the smallest id of the
-    fingerprints linked to it, directly or by way of others.
+                    distance: int = DISTANCE, segments: int = SEGMENTS, bucket: int = BUCKET, keep: Sequence[str] = ()) -> DataFrame:
+    """``(doc_id, keep..., fp, component_id, root)`` for every row: its fingerprint, and of the
+    fingerprints linked to it, directly or by way of others, the smallest id and the smallest
+    fingerprint (``root``, one a component also where ids clash).
 
     Null, empty and wordless texts have fingerprint zero and are linked like any other;
     repeated rows and ids each get a row; a null id is nobody's ``component_id`` unless a
     component has no other. An empty table gives no rows."""
-    rows = save(fingerprints(pick(docs, doc_id=doc_id, text=text), ["doc_id"], "text", width), "fingerprints")
+    own = pick(docs, doc_id=doc_id, text=text, **{k: k for k in keep})
+    rows = save(fingerprints(own, ["doc_id", *keep], "text", width), "fingerprints")
     distinct = save(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     found = components(links(distinct.select("fp"), distance, segments, bucket))
     rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    by_print = rooted.join(least, "root").select("fp", "component_id", "root")
+    return rows.join(by_print, "fp").select("doc_id", *keep, "fp", "component_id", "root")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language, mixing, pii
 from .decontaminate import decontaminate, without_spans
-from .frames import documents, pick
+from .frames import documents, pick, save
 from .simhash import near_duplicates
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -33,14 +33,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate component, the document with the smallest id (rows that share it
-    are one document: the first by text stays). Rows without an id cannot be told apart; all stay."""
-    docs = _own(docs)
-    stays = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy("text")
-    named = docs.where("doc_id IS NOT NULL").join(stays, "doc_id", "left_semi")
-    named = named.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*COLUMNS)
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    """Of each near-duplicate component one row: the smallest id's (a row without an id comes
+    last), of rows that share it the first by a hash of their texts. Rows are told apart by
+    numbers of their own, so different texts under one id are judged each by itself."""
+    rows = save(_own(docs).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows.withColumn("_hash", F.xxhash64("text")), keep=["_row", "_hash"])
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash", "_row")
+    stays = found.groupBy("root").agg(F.min(place).alias("first")).select(F.col("first._row").alias("_row"))
+    return rows.join(stays, "_row", "left_semi").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
