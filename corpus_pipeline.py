@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textaudit.llm.frames import documents, save
+from textaudit.llm.frames import documents, lasting, release, save, scratch
 from textaudit.llm.stages import STAGES
 
 #: The stages fit models and cut texts in ways that SQL cannot state; tests compare with brute force.
@@ -16,7 +16,12 @@ __all__ = ["STAGES", "ORACLE_SQL", "run"]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """The last stage's table. A stage's own tables and its input go when its result is written."""
+    docs, last = documents(spark, sf_dir), None
     for i, (_, stage) in enumerate(STAGES):
-        docs = save(stage(spark, docs, sf_dir), f"stage{i + 1}")
+        with scratch():
+            docs = lasting(save(stage(spark, docs, sf_dir), f"stage{i + 1}"))
+        if last is not None:
+            release(last)
+        last = docs
     return docs
