@@ -133,3 +133,73 @@ def test_similar_inner_siblings_share_a_branch(table):
     got = urls.templates(table(shapes, "host string, segments array<string>, n long, good long, labelled long")).collect()
     parent = {r["template"]: r["parent"] for r in got}
     assert parent["/a/p0"] == parent["/b/p1"] != parent["/c/p0"] and len(set(parent.values())) == 2
+
+
+def plain_tree(shapes, smoothing=10.0, variable=0.5):
+    """Templates by walking one node after the other: ``{segments: template}`` of a host."""
+    from math import log
+
+    out = {}
+
+    def walk(rows, template):  # rows: (segments, rest, n, labelled)
+        rows = [r for r in rows if r[1] or out.update({r[0]: template})]
+        if not rows:
+            return
+        k = 0
+        while all(len(r[1]) > k and r[1][k] == rows[0][1][k] for r in rows):
+            k += 1
+        template += "".join("/" + x for x in rows[0][1][:k])
+        rests = {r[1] for r in rows}
+        if len(rests) == 1 or not sum(r[3] for r in rows):
+            out.update({r[0]: template + ("" if len(rests) == 1 else "/**") for r in rows})
+            return
+        groups = {}
+        for s, rest, n, lab in rows:
+            if len(rest) == k:
+                out[s] = template
+            else:
+                groups.setdefault(rest[k], []).append((s, rest[k + 1:], n, lab))
+        thin = {c for c, g in groups.items() if sum(r[3] for r in g) < smoothing}
+        sizes = [sum(r[2] for r in groups[c]) for c in thin]
+        total = sum(sizes)
+        wide = total > 1 and log(total) - sum(n * log(n) for n in sizes) / total >= variable * log(total) - 1e-9
+        merged = {}
+        for c, g in groups.items():
+            merged.setdefault("*" if c in thin and wide else c, []).extend(g)
+        for c, g in merged.items():
+            walk(g, f"{template}/{c}")
+
+    walk([(s, s, n, lab) for s, n, lab in shapes], "")
+    return out
+
+
+def test_tree_equals_a_plain_walk(table):
+    import random
+
+    r = random.Random(4)
+    hosts = {}
+    for h in range(12):
+        words = [[f"{chr(97 + i)}{d}" for i in range(r.choice([1, 2, 3, 9]))] for d in range(6)]
+        for _ in range(r.choice([1, 5, 40, 120])):
+            segments = tuple(r.choice(words[d]) if r.random() < .8 else f"v{r.randint(0, 10**6)}" for d in range(r.randint(0, 6)))
+            n = r.randint(1, 30)
+            hosts.setdefault(f"h{h}", {}).setdefault(segments, (n, r.choice([0, 0, r.randint(0, n)]) if h % 3 else 0))
+    rows = [(h, list(s), n, lab, lab) for h, shapes in hosts.items() for s, (n, lab) in shapes.items()]
+    got = {(x["host"], tuple(x["segments"])): x["template"] for x in urls.templates(table(rows, "host string, segments array<string>, n long, good long, labelled long")).collect()}
+    assert len(got) == len(rows)
+    for h, shapes in hosts.items():
+        want = plain_tree([(s, n, lab) for s, (n, lab) in shapes.items()])
+        assert {s: got[h, s] for s in shapes} == want, h
+
+
+def test_an_even_growth_keeps_the_tree_and_deep_paths_take_few_rounds(table, monkeypatch):
+    schema = "host string, segments array<string>, n long, good long, labelled long"
+    deep = [f"d{i}" for i in range(300)]
+    rows = [("h", ["news", f"x{i}q"], 1, 0, 0) for i in range(40)] + [("h", [f"s{i}e", "p"], 50, 5, 5) for i in range(30)] + [("d", deep + [x], 5, 2, 4) for x in "ab"]
+    rounds = []
+    monkeypatch.setattr(urls, "save", lambda df, name, save=urls.save: rounds.append(name) or save(df, name))
+    tree = lambda rows: {(x["host"], *x["segments"]): x["template"] for x in urls.templates(table(rows, schema)).collect()}
+    one = tree(rows)
+    assert rounds.count("templates") <= 4
+    assert one == tree([(h, s, 7 * n, g, lab) for h, s, n, g, lab in rows if s[0] != "news"] + [r for r in rows if r[1][0] == "news"])
+    assert one["h", "s3e", "p"] == "/s3e/p" and one[("d", *deep, "a")].endswith("/d299/a") or one[("d", *deep, "a")].endswith("/*")

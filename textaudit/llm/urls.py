@@ -1,24 +1,27 @@
 """URL filter: block and allow rules, and for the rest a path-template tree per host.
 
 Paths become segment lists whose lexically variable segments (numbers, hashes, dates) are
-placeholders. Level by level, a node of the tree whose thinly labelled children are too many or
-mostly seen once takes a wildcard instead of those; a child with labels enough to be judged stays.
-Siblings, inner nodes and leaf templates alike, whose labelled purity does not differ
-significantly from that of the branch so far join that branch. A template is rejected if its purity, smoothed towards that of
-all labelled pages, is too low. The tree lives in grouped tables keyed by host and prefix, built
-from counts of distinct shapes; nothing of a host is gathered in one place."""
+placeholders. Node by node of the tree, the segments that all paths below have in common are one
+step; then the thinly labelled children (too few labels to outweigh the prior) take a wildcard
+instead if their segment is variable: if its entropy is a large part of what it were if every page
+had a segment of its own. A child with labels enough to be judged stays. Both tests look at shares,
+so a crawl that grows evenly keeps its tree. Siblings, inner nodes and leaf templates alike, whose
+labelled purity does not differ significantly from that of the branch so far join that branch. A
+template is rejected if its purity, smoothed towards that of all labelled pages, is too low. The
+tree lives in grouped tables keyed by host and prefix, built from counts of distinct shapes;
+nothing of a host is gathered in one place."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import pick, save
+from .frames import pick, release, save
 
-DEPTH, MOST_CHILDREN, ONCE_SHARE = 8, 20, 0.5
+#: Weight of the prior purity in labelled pages; a child with fewer is thin.
 SMOOTHING, LEAST_PURITY, SIGNIFICANT = 10.0, 0.5, 1.96
-#: Labelled pages from which a child is judged by itself: those that outweigh the smoothing.
-FREQUENT = 10
+#: Entropy of the thin children's segment, of what it is at most, from which it is variable.
+VARIABLE = 0.5
 #: Steps of purity in which siblings are sorted for merging (one edge lies at LEAST_PURITY).
 BINS = 1000
 
@@ -51,40 +54,51 @@ def shape(path: Column) -> Column:
         r"^(?=[0-9a-fA-F-]*[0-9])[0-9a-fA-F-]{8,}(?=$|\.)", "<hash>"))
 
 
-def templates(shapes: DataFrame, depth: int = DEPTH, most: int = MOST_CHILDREN, once: float = ONCE_SHARE, frequent: int = FREQUENT,
-              prior: float | None = None) -> DataFrame:
+def common(lo: Column, hi: Column) -> Column:
+    """How many segments the least and the greatest of some lists begin with in common; all lists
+    between begin with them too."""
+    return F.when(lo == hi, F.size(lo)).otherwise(F.array_position(F.zip_with(lo, hi, lambda x, y: x.eqNullSafe(y)), False).cast("int") - 1)
+
+
+def templates(shapes: DataFrame, smoothing: float = SMOOTHING, variable: float = VARIABLE, prior: float | None = None) -> DataFrame:
     """``shapes(host, segments, n, good, labelled)``, a row each, with ``template`` (its last
-    segment included) and ``parent``, the branch of inner nodes it hangs from. A wildcard stands
-    for the children with fewer than ``frequent`` labelled pages, if they are more than ``most``
-    or mostly seen once. Below ``depth``, nodes with fewer labelled pages than that end in one
-    wildcard; the others go on to their leaves."""
-    levels, good, labelled = shapes.agg(F.max(F.size("segments")), F.sum("good"), F.sum("labelled")).first()
+    segment included) and ``parent``, the branch of inner nodes it hangs from. Nodes without any
+    label below end in one wildcard (``/**``), unless all that is below is the same. A round takes
+    every node one fork further, so rounds follow nested forks above labelled pages."""
+    good, labelled = shapes.agg(F.sum("good"), F.sum("labelled")).first()
     prior = prior if prior is not None else good / labelled if labelled else 1.0
-    at = shapes.withColumns({"parent": F.lit(""), "template": F.lit(""), "branch": F.lit(""), "ended": F.lit(False)})
-    for level in range(levels or 0):
-        going = ~F.col("ended") & (F.size("segments") > level)
-        here = at.where(going).withColumn("child", F.get("segments", F.lit(level)))
-        children = save(here.groupBy("host", "template", "child").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled")), "children")
-        rare = F.col("labelled") < frequent
-        nodes = children.groupBy("host", "template").agg(
-            F.count_if(rare).alias("k"), F.count_if(rare & (F.col("n") == 1)).alias("single"), F.sum("labelled").alias("known"))
-        nodes = nodes.select("host", "template", ((F.col("k") > most) | ((F.col("k") > 4) & (F.col("single") > once * F.col("k")))).alias("wide"),
-                             (F.lit(level >= depth) & (F.col("known") < frequent)).alias("thin"))
-        kept = children.where(~rare).select("host", "template", "child", F.lit(True).alias("kept"))
-        at = at.withColumn("child", F.when(going, F.get("segments", F.lit(level)))).join(nodes, ["host", "template"], "left").join(kept, ["host", "template", "child"], "left")
-        step = F.when(F.col("thin"), F.lit("/**")).when(F.col("wide") & F.col("kept").isNull(), F.lit("/*")).otherwise(F.concat(F.lit("/"), "child"))
-        at = at.withColumns({"parent": F.when(going, F.col("branch")).otherwise(F.col("parent")),
-                             "template": F.when(going, F.concat("template", step)).otherwise(F.col("template")),
-                             "ended": F.col("ended") | (going & F.col("thin"))}).drop("child", "wide", "thin", "kept")
+    at, node = shapes.withColumns({"parent": F.lit(""), "template": F.lit(""), "branch": F.lit(""), "rest": F.col("segments")}), ["host", "template"]
+    last = None
+    while True:
+        going = F.size("rest") > 0
+        lists = at.where(going).groupBy(*node).agg(F.min("rest").alias("lo"), F.max("rest").alias("hi"), F.sum("labelled").alias("known"))
+        lists = lists.select(*node, common(F.col("lo"), F.col("hi")).alias("k"), (F.col("lo") == F.col("hi")).alias("same"), (F.col("known") == 0).alias("blank"))
+        shared = F.slice("rest", 1, F.col("k"))
+        here = at.join(lists, node, "left")
+        here = here.withColumns({
+            "parent": F.when(going, F.col("branch")).otherwise(F.col("parent")),
+            "template": F.concat("template", F.when(going & (F.col("k") > 0), F.concat(F.lit("/"), F.array_join(shared, "/"))).otherwise(""),
+                                 F.when(going & F.col("blank") & ~F.col("same"), F.lit("/**")).otherwise("")),
+            "rest": F.when(going & ~F.col("same") & ~F.col("blank"), F.slice("rest", F.col("k") + 1, F.size("rest"))).otherwise(F.array().cast("array<string>"))})
+        here = save(here.drop("k", "same", "blank").withColumn("child", F.get("rest", F.lit(0))), "forks")
+        children = here.where("child IS NOT NULL").groupBy(*node, "child").agg(F.sum("n").alias("n"), (F.sum("labelled") < smoothing).alias("thin"))
+        spread = children.where("thin").groupBy(*node).agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.log("n")).alias("own"))
+        whole = F.log("all")
+        spread = spread.select(*node, ((F.col("all") > 1) & (whole - F.col("own") / F.col("all") >= variable * whole - 1e-9)).alias("wide"))
+        step = children.join(spread, node, "left").select(*node, "child", F.concat(F.lit("/"), F.when(F.col("thin") & F.col("wide"), F.lit("*")).otherwise(F.col("child"))).alias("step"))
+        at = here.join(step, [*node, "child"], "left").withColumns({
+            "template": F.concat("template", F.coalesce("step", F.lit(""))),
+            "rest": F.when(F.col("child").isNotNull(), F.slice("rest", 2, F.size("rest"))).otherwise(F.col("rest"))}).drop("child", "step")
         at = save(at, "templates")
-        inner = ~F.col("ended") & (F.size("segments") > level + 1)
+        release(here, *([last] if last is not None else []))
+        last = at
+        inner = F.size("rest") > 0
         more = at.where(inner)
         if more.isEmpty():
-            break
+            return at.drop("branch", "rest")
         joined = branches(more, prior).select("host", "parent", "template", F.col("branch").alias("joined"))
         at = at.join(joined, ["host", "parent", "template"], "left").withColumn(
             "branch", F.when(inner, F.concat("branch", F.lit("/"), "joined")).otherwise(F.col("branch"))).drop("joined")
-    return at.drop("branch", "ended")
 
 
 def branches(nodes: DataFrame, prior: float, smoothing: float = SMOOTHING, significant: float = SIGNIFICANT) -> DataFrame:
