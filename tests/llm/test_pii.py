@@ -69,3 +69,44 @@ def test_empty_table_and_clashing_columns(table):
     wide = table([(1, "a@b.c", "x", "y")], "doc_id long, text string, Spans string, base string").toDF("doc_id", "text", "Spans", "TEXT")
     got = pii.find(wide, ["doc_id", "text", "Spans"])
     assert got.columns == ["doc_id", "text", "spans"] and len(got.first()["spans"]) == 1
+
+
+def test_a_text_of_very_many_matches_is_linear(table):
+    import time
+
+    numbers = ", ".join(str(10 + i % 90) for i in range(250_000)) + " a@b.c"
+    mails = " ".join(f"u{i}@example.com" for i in range(20_000))
+    began = time.time()
+    found = pii.find(table([(1, numbers), (2, mails)], "doc_id long, text string"), ["doc_id", "text"])
+    out = found.select("doc_id", F.size("spans").alias("n"), pii.redacted(F.col("text"), F.col("spans")).alias("t")).collect()
+    told = {r["doc_id"]: r for r in out}
+    assert told[1]["n"] == 1 and told[1]["t"] == numbers[:-5] + "<EMAIL>"
+    assert told[2]["n"] == 20_000 and told[2]["t"] == " ".join(["<EMAIL>"] * 20_000)
+    assert time.time() - began < 90  # some 30 s here; the quadratic form took 52 s for 32,000 numbers alone
+
+
+def test_loose_candidates_against_plain_overlaps(table):
+    """What scans of sorted bounds keep equals comparing every two candidates."""
+    r = random.Random(7)
+    pieces = ["james Smith ", "Dr. Anna Maria ", "call 555-123-4567 ", "+1 (516) 555-2642", "password=abc12345 ", "4111111111111111", "a@b.c", "jo [at] x [dot] com ", "1.2.3.4", "300.1.1.1 ", " ", "x "]
+    texts = ["".join(r.choice(pieces) for _ in range(r.randint(0, 30))) for _ in range(120)]
+    rows = pii.candidates(table(list(enumerate(texts)), "doc_id long, text string"), ["doc_id"]).collect()
+    for row in rows:
+        firm = [c for c in row["candidates"] if c["base"]]
+        loose = [c for c in row["candidates"] if not c["base"]]
+        over = lambda a, b: a["start"] < b["end"] and b["start"] < a["end"]
+        assert not any(over(c, b) for c in loose for b in firm)
+        assert not any(over(a, b) for i, a in enumerate(loose) for b in loose[i + 1:])
+        order = [(c["start"], c["kind"], c["end"]) for c in row["candidates"]]
+        assert order == sorted(order)
+
+
+def test_clean_documents_are_left_alone(spark):
+    """Of documents without a base span, under 1 % have an added one that is no planted secret."""
+    from textaudit.llm.frames import documents
+
+    docs = documents(spark, "/root/testdata/sf0.01")
+    found = pii.find(docs, ["doc_id", "text"]).collect()
+    clean = [r for r in found if not brute(r["text"]) and not re.search("(?i)password|token|secret|key", r["text"] or "")]
+    touched = [r["doc_id"] for r in clean if r["spans"]]
+    assert len(clean) > 300 and len(touched) < 0.01 * len(clean), (len(clean), touched[:5])

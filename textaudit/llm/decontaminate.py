@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .arrays import replaced
 from .fmindex import FMIndex
 from .frames import map_text, pick
 from .words import ALNUM, Words, code_points, ranges, span_hash
@@ -209,10 +210,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str], text:
 
 def without_spans(text: F.Column, spans: F.Column) -> F.Column:
     """``text`` with the code points of ``spans`` cut out."""
-    kept = F.aggregate(
-        F.concat(spans, F.array(F.struct(F.lit(0).cast("bigint").alias("first"), F.lit(0).cast("bigint").alias("last"),
-                                         F.length(text).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("end")))),
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(s["end"].alias("at"), F.concat(
-            acc["out"], text.substr((acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))).alias("out")))
-    return F.when(F.size(spans) > 0, kept["out"]).otherwise(text)
+    return replaced(text, spans, lambda _: F.lit(""))

@@ -17,6 +17,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import between, bound, pieces, replaced, scanned
 from .frames import dropping, pick, save
 
 # --- fixed values: patterns and word lists -------------------------------------------------
@@ -58,21 +59,23 @@ AGAINST = r"version|isbn|chapter|page|figure|section|order|item|example"
 # --------------------------------------------------------------------------------------------
 
 LABELERS, ABSTAIN, BEFORE, THRESHOLD = 5, 2, 24, 0.5
-SPAN = "array<struct<start:int,end:int,hit:string>>"
+CANDIDATE = "struct<start:int,kind:int,end:int,base:boolean,votes:array<int>,active:array<int>>"
 
 
-def matches(text: Column, pattern: str, needs: Column) -> Column:
-    """Leftmost non-overlapping matches with their code point bounds. The pieces between the
-    matches give the positions, as patterns themselves report none."""
+def pairs(text: Column, pattern: str, needs: Column) -> Column:
+    """Leftmost non-overlapping matches, each with the length of the piece in front of it and its
+    own, as patterns themselves report no positions."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    pairs = F.zip_with(F.slice(gaps, 1, F.greatest(F.size(gaps) - 1, F.lit(0))), hits,
-                       lambda g, h: F.struct(F.length(g).alias("g"), F.length(h).alias("n"), h.alias("h")))
-    empty = F.array().cast(SPAN)
-    placed = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), lambda acc, x: F.struct(
-        (acc["at"] + x["g"] + x["n"]).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("start"), (acc["at"] + x["g"] + x["n"]).alias("end"), x["h"].alias("hit")))).alias("out")))
-    return F.when(needs, placed["out"]).otherwise(empty)
+    made = F.zip_with(F.slice(gaps, 1, F.greatest(F.size(gaps) - 1, F.lit(0))), hits,
+                      lambda g, h: F.struct(F.length(g).alias("g"), F.length(h).alias("n"), h.alias("h")))
+    return F.when(needs, made).otherwise(F.array().cast("array<struct<g:int,n:int,h:string>>"))
+
+
+def placed(found: Column) -> Column:
+    """``pairs`` with code point bounds."""
+    return scanned(found, F.lit(0), lambda at, x: (at + x["g"] + x["n"], F.array(F.struct(
+        (at + x["g"]).alias("start"), (at + x["g"] + x["n"]).alias("end"), x["h"].alias("hit")))), "struct<start:int,end:int,hit:string>")
 
 
 def digits(hit: Column) -> Column:
@@ -113,50 +116,77 @@ def _votes(kind: str, hit: Column, base: Column, before: Column) -> list[Column]
     return [pattern, checksum, gazetteer, context, shape]
 
 
-def _judged(kind: str, span: Column, text: Column, base: Column) -> Column:
+def _judged(kind: str, span: Column, parts: Column, base: Column) -> Column:
     """A candidate: its span, its votes and the numbers of its active features."""
-    before = F.lower(text.substr(F.greatest(span["start"] - BEFORE, F.lit(0)) + 1, F.least(span["start"], F.lit(BEFORE))))
+    return bound(F.lower(between(parts, F.greatest(span["start"] - BEFORE, F.lit(0)), span["start"])), lambda before: _seen(kind, span, before, base))
+
+
+def _seen(kind: str, span: Column, before: Column, base: Column) -> Column:
     votes = _votes(kind, span["hit"], base, before)
     size, k = span["end"] - span["start"], KINDS.index(kind)
     own = [F.lit(k), len(KINDS) + F.least(F.floor(size / 8), F.lit(3)).cast("int"),
            len(KINDS) + 4 + F.when(before.rlike(r"[=:]\s*\"?$"), 1).otherwise(0) + 2 * F.when(before.rlike(r"(?:^|\n)$"), 1).otherwise(0)]
     own += [F.lit(len(KINDS) + 8 + 3 * j) + v for j, v in enumerate(votes)]
-    return F.struct(F.lit(k).alias("kind"), span["start"].alias("start"), span["end"].alias("end"), base.alias("base"),
+    return F.struct(span["start"].alias("start"), F.lit(k).alias("kind"), span["end"].alias("end"), base.alias("base"),
                     F.array(*votes).alias("votes"), F.array(*own).alias("active"))
 
 
 FEATURES = len(KINDS) + 8 + 3 * LABELERS
 
 
-def _overlaps(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+def _apart(loose: Column, firm: Column) -> Column:
+    """Of ``loose`` (by start) the candidates that overlap none of ``firm``: in the order of all
+    starts, the firm span in front ends by then, and the next one begins later."""
+    events = F.array_sort(F.concat(
+        F.transform(firm, lambda b: F.struct(b["start"].alias("at"), F.lit(False).alias("loose"), F.lit(0).alias("i"), b["end"].alias("end"))),
+        F.transform(loose, lambda c, i: F.struct(c["start"].alias("at"), F.lit(True).alias("loose"), i.alias("i"), c["end"].alias("end")))))
+    none, far = F.array().cast("array<int>"), 2**31 - 1
+
+    def reach(at: Column, e: Column) -> tuple[Column, Column]:
+        return F.when(e["loose"], at).otherwise(F.greatest(at, e["end"])), F.when(e["loose"], F.array(at)).otherwise(none)
+
+    def following(at: Column, e: Column) -> tuple[Column, Column]:
+        return F.when(e["loose"], at).otherwise(e["at"]), F.when(e["loose"], F.array(at)).otherwise(none)
+
+    def alone(es: Column) -> Column:
+        ends, starts = scanned(es, F.lit(0), reach, "int"), F.reverse(scanned(F.reverse(es), F.lit(far), following, "int"))
+        told = F.arrays_zip(loose.alias("c"), ends.alias("end"), starts.alias("start"))
+        free = F.filter(told, lambda x: (x["end"] <= x["c"]["start"]) & (x["start"] >= x["c"]["end"]))
+        return F.transform(free, lambda x: x["c"])
+
+    return F.when((F.size(loose) > 0) & (F.size(firm) > 0), bound(events, alone)).otherwise(loose)
 
 
 def candidates(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The ``keep`` columns and ``candidates``: base spans, and looser ones that overlap none
-    of them (of those that overlap each other the leftmost, then the longest)."""
+    of them (of those that overlap each other the leftmost, then the longest). The work is linear
+    in the text and n log n in its matches."""
     keep = [k for k in keep if k.lower() != "candidates"]
     frame = pick(docs, **{f"k{i}": k for i, k in enumerate(keep)}, text=text).withColumn("text", F.coalesce("text", F.lit("")))
     t = F.col("text")
-    frame = frame.withColumns({f"b_{k}": matches(t, p, NEEDS[k](t)) for k, p in BASE.items()}
-                              | {f"l_{k}": matches(t, p, LOOSE_NEEDS[k](t)) for k, p in LOOSE.items()})
+    frame = frame.withColumns({f"b_{k}": pairs(t, p, NEEDS[k](t)) for k, p in BASE.items()}
+                              | {f"l_{k}": pairs(t, p, LOOSE_NEEDS[k](t)) for k, p in LOOSE.items()})
+    found = [c for c in frame.columns if c[:2] in ("b_", "l_")]
+    some = F.lit(False)
+    for c in found:
+        some = some | (F.size(c) > 0)
+    frame = frame.withColumns({c: placed(F.col(c)) for c in found} | {"parts": F.when(some, pieces(t)).otherwise(F.array().cast("array<string>"))})
 
     def judged(column: str, kind: str, base: bool, which=lambda hit: F.length(hit) > 0) -> Column:
-        return F.transform(F.filter(column, lambda s: which(s["hit"])), lambda s: _judged(kind, s, t, F.lit(base)))
+        return F.transform(F.filter(column, lambda s: which(s["hit"])), lambda s: _judged(kind, s, F.col("parts"), F.lit(base)))
 
     firm = F.concat(*[judged(f"b_{k}", k, True, partial(valid, k)) for k in BASE])
     doubtful = [judged(f"l_{k}", k, False) for k in LOOSE]
     doubtful.append(judged("b_ip", "ip", False, lambda h: ~valid("ip", h)))
     doubtful.append(judged("b_card", "card", False, lambda h: F.length(digits(h)).between(12, 19) & ~valid("card", h)))
     frame = frame.withColumn("firm", firm).withColumn("loose", F.concat(*doubtful))
-    apart = F.filter("loose", lambda c: ~F.exists("firm", lambda b: _overlaps(b, c)))
-    order = F.array_sort(apart, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(
-        F.when(a["end"] != b["end"], b["end"] - a["end"]).otherwise(a["kind"] - b["kind"])))
-    frame = frame.withColumn("loose", F.when(F.size("loose") > 0, order).otherwise(F.col("loose")))
-    leftmost = F.aggregate("loose", F.slice("loose", 1, 0), lambda acc, c: F.when(
-        F.exists(acc, lambda b: _overlaps(b, c)), acc).otherwise(F.concat(acc, F.array(c))))
-    both = F.array_sort(F.concat("firm", leftmost), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(
-        F.when(a["kind"] != b["kind"], a["kind"] - b["kind"]).otherwise(a["end"] - b["end"])))
+    longest = F.array_sort(F.transform("loose", lambda c: F.struct(c["start"].alias("start"), (-c["end"]).alias("end"), c["kind"].alias("kind"), c.alias("c"))))
+    frame = frame.withColumn("loose", F.when(F.size("loose") > 0, F.transform(longest, lambda x: x["c"])).otherwise(F.col("loose")))
+    frame = frame.withColumn("loose", _apart(F.col("loose"), F.col("firm")))
+    none = F.array().cast(f"array<{CANDIDATE}>")
+    leftmost = scanned(F.col("loose"), F.lit(0), lambda at, c: (F.when(c["start"] >= at, c["end"]).otherwise(at),
+                                                               F.when(c["start"] >= at, F.array(c)).otherwise(none)), CANDIDATE)
+    both = F.array_sort(F.concat("firm", leftmost))
     return frame.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keep)], both.alias("candidates"))
 
 
@@ -248,8 +278,4 @@ def redacted(text: Column, spans: Column) -> Column:
     """``text`` with each span replaced by its kind in capitals; overlapping spans count as one
     of the first one's kind."""
     tags = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), lambda acc, s: F.struct(
-        F.greatest(acc["at"], s["end"]).alias("at"),
-        F.when(s["start"] < acc["at"], acc["out"]).otherwise(
-            F.concat(acc["out"], text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.get(tags, s["kind"]))).alias("out")))
-    return F.when(F.size(spans) > 0, F.concat(done["out"], text.substr(done["at"] + 1, F.length(text)))).otherwise(text)
+    return replaced(text, spans, lambda s: F.get(tags, s["kind"]))
