@@ -89,5 +89,35 @@ def test_a_stray_source_has_no_table(table):
     rows = [(i, "t", "big", 1) for i in range(100)] + [(1000, "t", "stray", 1)]
     got = mixing.mix(table(rows, SCHEMA), total=200_000).groupBy("source").count().collect()
     assert all(abs(r["count"] - 100_000) < 2_500 for r in got) and len(got) == 2
-    sources, _, _ = mixing.rates(table(rows, SCHEMA), None, "source", 1.0, 1e10)
+    sources, *_ = mixing.rates(table(rows, SCHEMA), None, "source", 1.0, 1e10)
     assert sources.agg(F.max(F.coalesce(F.size("_cdf"), F.lit(0)))).first()[0] <= 200
+
+
+def test_copies_of_one_document_are_dealt_in_blocks(spark, table):
+    from textaudit.llm.frames import save
+
+    rows = [(i, "t", "big", 1) for i in range(50)] + [(1000, "stray text", "stray", 1), (None, "other", None, 1)]
+    mixed = mixing.mix(table(rows, SCHEMA), total=150_000)
+    n = {r["source"]: (r["n"], r["low"], r["high"], r["d"]) for r in mixed.groupBy("source").agg(
+        F.count("*").alias("n"), F.min("copy").alias("low"), F.max("copy").alias("high"), F.countDistinct("copy").alias("d")).collect()}
+    assert all(abs(n[s][0] - 50_000) < 1500 for s in ("big", "stray", None))
+    for s in ("stray", None):  # every copy once
+        assert n[s] == (n[s][0], 1, n[s][0], n[s][0])
+    drawn = table([(7, 40_000, 40_000.0)], "_h long, _k int, _rate double").withColumn("_same", F.lit(0))
+    spread = save(mixing.repeated(drawn.repartition(1), 40_000.0).withColumn("task", F.spark_partition_id()), "test")
+    assert spread.count() == 40_000 and spread.select("task").distinct().count() > 1
+
+
+def test_statement_follows_rates_and_null_sources(table, tmp_path):
+    import duckdb
+
+    from textaudit.llm.queries import ORACLE
+
+    rows = [(i, f"t{i}", "en", "big", 3) for i in range(3000)] + [(5000, "x", "en", "rare", 1), (5001, "y", None, None, None)]
+    df = table(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/d/*.parquet')")
+    want = con.execute(ORACLE["op10_mixing"]).fetchall()
+    got = [tuple(r) for r in mixing.mix(df).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and max(r[-1] for r in got) > 200

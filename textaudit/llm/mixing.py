@@ -77,21 +77,37 @@ def searched(u: Column, rate: Column, top: Column) -> Column:
     return F.when(u > top["c"], F.aggregate(steps, begun, up)["k"]).otherwise(F.aggregate(steps, begun, down)["k"]).cast("int")
 
 
-def rates(docs: DataFrame, weights: Mapping[str, float] | None, source: str, default: float, total: float | None) -> tuple[DataFrame, int, int]:
+def rates(docs: DataFrame, weights: Mapping[str, float] | None, source: str, default: float, total: float | None) -> tuple[DataFrame, int, int, float]:
     """``(_source, _rate, _cdf, _top)`` of each source (``_cdf`` for rates up to ``LARGE``, else
-    ``_top``), how many there are, and the number of rows."""
+    ``_top``), how many there are, the number of rows, and the highest rate."""
     counts = docs.groupBy(source).agg(F.count("*").alias("n"))
     weight = F.lit(float(default))
     if weights:
         weight = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, w in weights.items() for x in (k, float(w))]),
                                              F.coalesce(F.col(source).cast("string"), F.lit(""))), weight)
     counts = save(counts.select(F.col(source).alias("_source"), "n", weight.alias("w")), "sources")
-    n, rows, mass = counts.agg(F.count("*"), F.sum("n"), F.sum("w")).first()
+    n, rows, mass, steep = counts.agg(F.count("*"), F.sum("n"), F.sum("w"), F.max(F.col("w") / F.col("n"))).first()
     wanted = float(rows or 0 if total is None else total)
     rate = F.lit(wanted) * F.col("w") / F.lit(float(mass or 1)) / F.col("n")
     table = counts.select("_source", rate.alias("_rate"))
     return table.withColumns({"_cdf": F.when(F.col("_rate") <= LARGE, distribution(F.least("_rate", F.lit(LARGE)))),
-                              "_top": F.when(F.col("_rate") > LARGE, at_mode(F.col("_rate")))}), n, rows or 0
+                              "_top": F.when(F.col("_rate") > LARGE, at_mode(F.col("_rate")))}), n, rows or 0, wanted * (steep or 0) / float(mass or 1)
+
+
+def repeated(drawn: DataFrame, most: float) -> DataFrame:
+    """``drawn`` with ``copy``, from 1 to ``_k``, a row each. Where a source's rate (at most
+    ``most``) can give a document more than ``BLOCK`` copies, its documents are dealt out in blocks
+    of that many copies first, so that no task makes all copies of one document."""
+    numbers = lambda first, last: F.explode(F.sequence(first, last)).alias("copy")
+    rest = [c for c in drawn.columns if c not in ("_k", "_rate")]
+    many = F.col("_rate") + reach(F.col("_rate")) > BLOCK
+    if most + 12 * most ** 0.5 + 31 <= BLOCK:
+        return drawn.select(*rest, numbers(F.lit(1), F.col("_k")))
+    blocks = drawn.where(many).select(*rest, "_k", F.explode(F.sequence(F.lit(0), F.expr(f"(_k - 1) div {BLOCK}").cast("int"))).alias("_block"))
+    dealt = blocks.repartition("_h", "_same", "_block")
+    begin = F.col("_block") * BLOCK
+    return drawn.where(~many).select(*rest, numbers(F.lit(1), F.col("_k"))).unionByName(
+        dealt.select(*rest, numbers(begin + 1, F.least("_k", begin + BLOCK))))
 
 
 def numbered(rows: DataFrame, doc_id: str, columns: list[str], total: int) -> DataFrame:
@@ -123,7 +139,7 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, doc_id: str
     columns = dropping(docs, ["copy"])
     plain = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
     where = {c: f"_c{position(docs, c)}" for c in {*columns, doc_id, source}}
-    table, n, rows = rates(plain, weights, where[source], default, total)
+    table, n, rows, most = rates(plain, weights, where[source], default, total)
     table = F.broadcast(table) if n <= BROADCAST_SOURCES else table
     told = numbered(plain, where[doc_id], sorted(set(where.values())), rows)
     drawn = told.join(table, F.col(where[source]).eqNullSafe(F.col("_source")))
@@ -132,6 +148,7 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, doc_id: str
     often = F.when(F.col("_rate") <= LARGE, F.size(F.filter("_cdf", lambda p: p < u))).otherwise(searched(u, F.col("_rate"), F.col("_top")))
     drawn = drawn.withColumn("_k", often).where("_k > 0")
     place = unit(F.lit(seed), F.lit("order"), F.col("_id"), F.col("_h"), F.col("_same"), F.col("copy"))
-    copies = drawn.select(*[F.col(where[c]).alias(f"_o{i}") for i, c in enumerate(columns)], own.alias("_id"), "_h", "_same", F.explode(F.sequence(F.lit(1), F.col("_k"))).alias("copy"))
+    drawn = drawn.select(*[F.col(where[c]).alias(f"_o{i}") for i, c in enumerate(columns)], own.alias("_id"), "_h", "_same", "_k", "_rate")
+    copies = repeated(drawn, most)
     mixed = copies.withColumn("_at", place).drop("_id", "_h", "_same")
     return mixed.repartition("_at").sortWithinPartitions("_at").select(*[F.col(f"_o{i}").alias(c) for i, c in enumerate(columns)], F.col("copy"))

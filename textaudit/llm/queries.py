@@ -93,10 +93,11 @@ ORACLE["op10_mixing"] = f"""
 WITH counts AS (SELECT source, count(*) AS n FROM documents GROUP BY 1),
 rates AS (SELECT source, CAST(sum(n) OVER () AS DOUBLE) * 1.0 / CAST(count(*) OVER () AS DOUBLE) / n AS r FROM counts),
 cdf AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c
-        FROM (SELECT source, k, exp(-r + k * ln(r) - lgamma(k + 1)) AS p FROM rates, range(0, 200) t(k))),
+        FROM (SELECT source, k, exp(-r + k * ln(r) - lgamma(k + 1)) AS p
+              FROM (SELECT source, r, unnest(range(0, CAST(ceil(r + 12 * sqrt(r) + 30) AS BIGINT) + 1)) AS k FROM rates))),
 drawn AS (SELECT *, (CAST('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5)
                     / 4503599627370496.0 AS u FROM documents),
-counted AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, (SELECT count(*) FROM cdf WHERE cdf.source = d.source AND c < d.u) AS reps FROM drawn d)
+counted AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, (SELECT count(*) FROM cdf WHERE cdf.source IS NOT DISTINCT FROM d.source AND c < d.u) AS reps FROM drawn d)
 SELECT doc_id, text, lang, source, n_chars, CAST(unnest(range(1, reps + 1)) AS INTEGER) AS copy FROM counted
 """
 
