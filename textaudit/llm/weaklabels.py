@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,8 +29,9 @@ der die das und in den von zu mit sich auf ist im dem nicht ein eine als
 el los las del y que se por con para una su al lo como es no""".split()
 # --------------------------------------------------------------------------------------------
 
-#: Documents of the training sample (expected; chosen by hash), and hashed features.
-SAMPLE, BUCKETS, THRESHOLD = 6_000, 1 << 13, 0.5
+#: Documents of the training sample (expected; chosen by hash), the features that all of them may
+#: have together (12 bytes each on the driver), and hashed features.
+SAMPLE, MOST_FEATURES, BUCKETS, THRESHOLD = 6_000, 8 << 20, 1 << 13, 0.5
 ABSTAIN, FIRST = 2, 0.3
 SHARES = ["function", "finished", "letters", "capitals"]
 
@@ -78,16 +79,21 @@ def _band(measure: F.Column, bad: float, good: float) -> F.Column:
     return F.when(measure <= good, 1).when(measure > bad, 0).otherwise(ABSTAIN)
 
 
+def _worded(vote: F.Column) -> F.Column:
+    """``vote``, but no opinion of a text without words."""
+    return F.when(F.col("n_words") == 0, ABSTAIN).otherwise(vote)
+
+
 #: The labellers, over the counts and shares of a document.
 LABELLERS = {
-    "symbols": lambda: _band(RULES["symbols"](), 0.2, 0.03),
-    "repeats": lambda: _band(RULES["repeats"](), 0.3, 0.1),
+    "symbols": lambda: _worded(_band(RULES["symbols"](), 0.2, 0.03)),
+    "repeats": lambda: _worded(_band(RULES["repeats"](), 0.3, 0.1)),
     "dup_lines": lambda: F.when(F.col("n_lines") < 3, ABSTAIN).otherwise(_band(RULES["dup_lines"](), 0.3, 0.1)),
     "length": lambda: F.when(F.col("n_words") >= 40, 1).when(F.col("n_words") < 10, 0).otherwise(ABSTAIN),
     "function": lambda: F.when(F.col("n_words") < 10, ABSTAIN).otherwise(_band(1 - F.col("function"), 0.97, 0.85)),
     "finished": lambda: _band(1 - F.col("finished"), 0.8, 0.4),
     "letters": lambda: _band(1 - F.col("letters"), 0.3, 0.15),
-    "capitals": lambda: _band(F.col("capitals"), 0.3, 0.15),
+    "capitals": lambda: _worded(_band(F.col("capitals"), 0.3, 0.15)),
 }
 
 
@@ -163,15 +169,20 @@ def _dense(counts: list[np.ndarray]) -> np.ndarray:
 
 
 def sampled(docs: DataFrame, n: int, sample: int) -> DataFrame:
-    """About ``sample`` of ``n`` rows (all of a smaller table), by a hash of all their columns."""
+    """About ``sample`` of ``n`` rows (all of a smaller table) by a hash of their texts, each text
+    once, with the hash as ``place``."""
     share = min(1.0, sample / max(1, n))
-    return docs if share == 1 else docs.where(F.pmod(F.xxhash64(*docs.columns), F.lit(1 << 30)) < int(share * (1 << 30)))
+    near = docs.withColumn("place", F.xxhash64("text"))
+    near = near if share == 1 else near.where(F.pmod("place", F.lit(1 << 30)) < int(share * (1 << 30)))
+    return near.groupBy("place").agg(F.first("text").alias("text"))
 
 
-def train(rows: DataFrame, text: str, model: Accuracies, epochs: int = 30, rate: float = 0.3, ridge: float = 1e-5) -> np.ndarray:
-    """Weights of the hashed linear scorer, by stochastic gradient steps on a sample (``text``
-    and ``votes``) that fits the driver; targets are the posteriors of the votes."""
-    fields = [T.StructField("buckets", T.ArrayType(T.LongType())), T.StructField("values", T.ArrayType(T.DoubleType()))]
+def train(rows: DataFrame, text: str, model: Accuracies, epochs: int = 30, rate: float = 0.3, ridge: float = 1e-5,
+          most: int = MOST_FEATURES) -> np.ndarray:
+    """Weights of the hashed linear scorer, by stochastic gradient steps on a sample (``text``,
+    ``votes`` and ``place``); targets are the posteriors of the votes. In the order of ``place``,
+    rows are taken while they have at most ``most`` features together, so the driver holds no more."""
+    fields = [T.StructField("buckets", T.ArrayType(T.IntegerType())), T.StructField("values", T.ArrayType(T.DoubleType()))]
 
     def start():
         shares = _shares()
@@ -187,10 +198,15 @@ def train(rows: DataFrame, text: str, model: Accuracies, epochs: int = 30, rate:
 
         return make
 
-    got = map_text(rows, text, ["votes"], fields, start).toArrow()
+    told = map_text(rows, text, ["place", "votes"], fields, start)
+    so_far = F.sum(F.size("buckets")).over(Window.orderBy("place", "votes"))
+    got = told.withColumn("_m", so_far).where(F.col("_m") <= most).drop("_m", "place").toArrow().combine_chunks()
     weights = np.zeros(BUCKETS + len(_dense([np.zeros(1)] * (len(COUNTS) + len(SHARES)))[0]) + 1)
-    where = [np.asarray(x) for x in got["buckets"].to_pylist()]
-    value = [np.asarray(x) for x in got["values"].to_pylist()]
+    if not got.num_rows:
+        return weights
+    lists, numbers = (got[c].combine_chunks() for c in ("buckets", "values"))
+    cuts = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))[:-1]
+    where, value = np.split(lists.flatten().to_numpy(), cuts), np.split(numbers.flatten().to_numpy(), cuts)
     target = [model.posterior[v] for v in got["votes"].to_pylist()]
     order = sorted(range(len(target)), key=lambda i: (hash_of(i), i))
     for epoch in range(epochs):
@@ -228,15 +244,15 @@ def score(docs: DataFrame, weights: np.ndarray, keep: list[str], text: str = "te
 def classify(docs: DataFrame, keep: list[str], text: str = "text", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """The ``keep`` columns, ``n_words``, ``votes``, ``posterior`` (of the votes), ``score`` (of
     the scorer) and ``kept`` (``score`` at least ``threshold``) of every row. Null and empty
-    texts have no words: the length and letter labellers speak against them. An empty table
-    gives no rows; equal texts get equal scores. All texts are read twice, once for the vote
+    texts have no words: the length, line and letter labellers speak against them, no other has an
+    opinion. An empty table gives no rows; equal texts get equal scores. All texts are read twice, once for the vote
     counts and once for the scores; only the sample is read in between."""
     made = ["votes", "posterior", "score", "kept", *COUNTS, *SHARES]
     keep = [k for k in keep if k.lower() not in made]
     own = [f"k{i}" for i in range(len(keep))]
     whole = pick(docs, **dict(zip(own, keep)), text=text)
     model = accuracies(measured(whole, []))
-    weights = train(measured(sampled(whole, model.documents, sample), ["text"]), "text", model)
+    weights = train(measured(sampled(whole, model.documents, sample), ["text", "place"]), "text", model)
     scored = score(whole, weights, own).withColumn("votes", votes())
     table = F.create_map(*[F.lit(x) for v, p in sorted(model.posterior.items()) for x in (v, float(p))]) if model.posterior else None
     posterior = F.try_element_at(table, F.col("votes")) if table is not None else F.lit(0.0)
