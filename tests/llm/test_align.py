@@ -121,6 +121,34 @@ def test_whole_table_equals_brute_force(spark, tokens):
     assert run(docs) == brute([(r["doc_id"], r["text"]) for r in docs.collect()], tokens)
 
 
+def test_chunks_join_to_the_text_and_tokens_do_not_cross_them():
+    assert A.chunks("a bc  d\n e ") == ["a", "bc", " d\n e "] and A.chunks("x ") == ["x "] and A.chunks(" x") == [" x"]
+    rnd = random.Random(9)
+    a, b = A.Vocabulary(PATH_A), A.Vocabulary(PATH_B)
+    for _ in range(400):
+        text = "".join(rnd.choice(["the", "un", " ", " ", "  ", "\n", "\t", "é", ",", "'s", "1", "\u2003", "\x1c", "漢", "=="]) for _ in range(rnd.randint(1, 20)))
+        cut = A.chunks(text)
+        assert " ".join(cut) == text
+        for v in (a, b):
+            whole, parts = v.encode([text])[0].tolist(), v.encode(cut)[0].tolist()
+            assert whole == parts, (text, cut)
+
+
+def test_chunks_are_forgotten_when_there_are_many(monkeypatch):
+    monkeypatch.setattr(A, "REMEMBERED", 50)
+    monkeypatch.setattr(A, "SLICE_BYTES", 30)
+    known = A.Chunks(A.Vocabulary(PATH_A), A.Vocabulary(PATH_B))
+    texts = [f"word{i} again and again naïve{i}" for i in range(40)]
+    whole = A.Chunks(known.a, known.b).aligned(texts)
+    parts = [known.aligned(texts[i:i + 5]) for i in range(0, 40, 5)]
+    for c in ("n_a", "n_links", "n_overlaps", "pairs", "times"):
+        assert np.concatenate([p[c] for p in parts]).tolist() == whole[c].tolist()
+    assert sum((p["groups_sha256"] for p in parts), []) == whole["groups_sha256"]
+    one = A.Aligned(texts[:5], known.a, known.b)  # the texts uncut
+    assert [hashlib.sha256(t).hexdigest() for t in one.written()] == whole["groups_sha256"][:5]
+    assert sum(len(x) for x, _, _ in one.overlaps()) == whole["n_overlaps"][:5].sum()
+
+
 def test_empty_table_and_clashing_columns(table, tokens):
     assert run(table([], "doc_id bigint, text string")) == []
     df = table([(1, "a cat", "x", 7), (2, "a dog", "y", 8)], "doc_id bigint, text string, TEXT string, N_A int")

@@ -8,6 +8,11 @@ entry for each pair whose tokens share a group: the shared-group links. Those ar
 token id, with the number of its occurrences in the group, so that a group of many repeated tokens
 costs its distinct ids, never its pairs of occurrences.
 
+Both tokenizers end a token in front of a space that follows a solid character, and what they do
+next does not depend on what came before. So a text is cut in chunks there, each distinct chunk is
+aligned once, and a document's links are the product of two more sparse matrices: its chunks with
+their numbers, and the chunks' links.
+
 Corpus-wide, an id pair counts the documents that hold it linked. Each document's distinct pairs
 are looked up by block: a block is some MB of consecutive texts, its distinct pairs are asked for
 once, and the answers meet the block's documents again. So a frequent pair costs a row a block."""
@@ -15,9 +20,11 @@ once, and the answers meet the block's documents again. So a frequent pair costs
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +35,10 @@ from .frames import pick, save, text_slices
 from .words import ranges, utf8
 
 #: Bytes of text in a block, about (a longer text is a block of its own), and in a slice that is
-#: encoded at once.
-BLOCK_BYTES, ENCODE_BYTES = 8 << 20, 1 << 19
+#: aligned at once.
+BLOCK_BYTES, SLICE_BYTES = 8 << 20, 1 << 20
+#: Bytes of chunks that a worker remembers (they are forgotten together when there are more).
+REMEMBERED = 8 << 20
 #: Entries that a product expands at once, about.
 EXPANDED = 4 << 20
 
@@ -114,8 +123,6 @@ class Vocabulary:
             pieces |= {t["id"]: t["content"].encode() for t in told["added_tokens"] if t["id"] not in pieces}
             table = [pieces.get(i, b"") for i in range(max(pieces) + 1)]
         else:
-            import re
-
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -123,6 +130,7 @@ class Vocabulary:
             raw = re.compile(r"<0x([0-9A-Fa-f]{2})>")
             named = (model.id_to_piece(i) for i in range(model.get_piece_size()))
             table = [bytes([int(m[1], 16)]) if (m := raw.fullmatch(p)) else p.replace("▁", " ").encode() for p in named]
+        self.crosses = any(re.search(r"\S ", b.decode(errors="replace")) for b in table if b" " in b)
         self.size = np.array([len(b) for b in table], np.int64)
         self.data = np.frombuffer(b"".join(table), np.uint8)
         self.start = np.cumsum(self.size) - self.size
@@ -130,7 +138,7 @@ class Vocabulary:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and where each text's begin (with the total at the end)."""
         made = self._encode(texts) if texts else []
-        return np.fromiter((i for ids in made for i in ids), np.int64), _starts(np.array([len(x) for x in made], np.int64))
+        return np.fromiter(chain.from_iterable(made), np.int64), _starts(np.array([len(x) for x in made], np.int64))
 
     def spelled(self, ids: np.ndarray) -> np.ndarray:
         """The tokens' bytes, joined."""
@@ -225,8 +233,8 @@ class Aligned:
         for first, strip in product(sides[0], sides[1].transposed()):
             yield strip.of() + first, strip.index
 
-    def digests(self) -> list[str]:
-        """sha256 of ``a1,a2|b1;a3|b2,b3`` of each text (empty without tokens)."""
+    def written(self) -> list[bytes]:
+        """``a1,a2|b1;a3|b2,b3`` of each text (empty without tokens)."""
         names, sizes, starts = _decimals(max(len(self.a.size), len(self.b.size)))
         group = np.concatenate([2 * self.group[0], 2 * self.group[1] + 1])
         order = np.argsort(group, kind="stable")
@@ -238,12 +246,12 @@ class Aligned:
         text[ranges(at, size - 1)] = names[ranges(starts[ids], size - 1)]
         after = np.append(group[1:], -2) if len(group) else group
         text[at + size - 1] = np.where(after == group, ord(","), np.where(group % 2 == 0, ord("|"), ord(";")))
-        out = [""] * self.n
+        out = [b""] * self.n
         first = np.searchsorted(doc, np.arange(len(self.rows) + 1))
         ends = np.append(at, len(text))[first]
         raw = text.tobytes()
         for row, i, j in zip(self.rows.tolist(), ends[:-1].tolist(), ends[1:].tolist()):
-            out[row] = hashlib.sha256(raw[i:j - 1]).hexdigest()
+            out[row] = raw[i:j - 1]
         return out
 
 
@@ -254,6 +262,122 @@ def _decimals(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(names), np.uint8), sizes, np.cumsum(sizes) - sizes
 
 
+# --- chunks -----------------------------------------------------------------------------------
+def chunks(text: str) -> list[str]:
+    """``text``, a space in front of it, cut before each space that follows a solid character and
+    that something follows; each chunk without its first space. Joined by spaces they are ``text``."""
+    out, held = [], None
+    for part in text.split(" "):
+        held = part if held is None else f"{held} {part}"
+        if part and not part[-1].isspace():
+            out.append(held)
+            held = None
+    if held is not None:  # the text ends in white space, or in a space alone
+        out.append(held)
+        if not held and len(out) > 1:
+            out[-2:] = [out[-2] + " "]
+    return out
+
+
+class Grown:
+    """An array that is appended to, with room to spare."""
+
+    def __init__(self, kind):
+        self.room, self.n = np.zeros(1024, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.room):
+            more = np.zeros(2 * (self.n + len(values)), self.room.dtype)
+            more[:self.n] = self.room[:self.n]
+            self.room = more
+        self.room[self.n:self.n + len(values)] = values
+        self.n += len(values)
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.room[:self.n]
+
+
+class Chunks:
+    """Distinct chunks with what their alignment gives; texts by their chunks."""
+
+    COUNTS = ("n_a", "n_b", "n_groups", "n_overlaps")
+
+    def __init__(self, a: Vocabulary, b: Vocabulary):
+        self.a, self.b = a, b
+        # if a piece held a space after a solid character, chunks were not independent
+        self.whole = any(v.crosses for v in (a, b))
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.bytes, self.text = 0, []
+        self.fine, self.size, self.pair, self.times = Grown(bool), Grown(np.int64), Grown(np.int64), Grown(np.int64)
+        self.counts = [Grown(np.int64) for _ in self.COUNTS]
+
+    def _learn(self, new: list[str]) -> None:
+        """Align chunks that are not known yet."""
+        one = Aligned(new, self.a, self.b)
+        strips = [*one.links()]
+        doc, left, right, times = (np.concatenate([s[i] for s in strips]) if strips else np.zeros(0, np.int64) for i in range(4))
+        overlaps = sum((one.of_docs(one.doc[0][x]) for x, _, _ in one.overlaps()), np.zeros(one.n, np.int64))
+        fine = np.zeros(one.n, bool)
+        fine[one.rows] = True
+        self.fine.add(fine)
+        self.size.add(one.of_docs(doc))
+        self.pair.add(left << 32 | right)
+        self.times.add(times)
+        for kept, made in zip(self.counts, (one.of_docs(one.doc[0]), one.of_docs(one.doc[1]), one.of_docs(one.group_doc), overlaps)):
+            kept.add(made)
+        self.text += one.written()
+        known = len(self.place)
+        self.place.update((c, known + i) for i, c in enumerate(new))
+        self.bytes += sum(map(len, new))
+
+    def aligned(self, texts: Sequence[str | None]) -> dict[str, object]:
+        """Of each text its counts, the digest of its groups, and its distinct linked id pairs with
+        how often each is linked (``first``, ``pairs``, ``times``)."""
+        n, cut = len(texts), [([t] if self.whole else chunks(t)) if t else [] for t in texts]
+        if self.bytes > REMEMBERED:
+            self.forget()
+        new, size = [], 0
+        for c in dict.fromkeys(c for cs in cut for c in cs if c not in self.place):
+            new.append(c)
+            size += len(c)
+            if size >= SLICE_BYTES:
+                self._learn(new)
+                new, size = [], 0
+        if new:
+            self._learn(new)
+        doc = np.repeat(np.arange(n), [len(cs) for cs in cut])
+        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(cut)), np.int64, len(doc))
+        bad = np.bincount(doc[~self.fine.all[at]], minlength=n) > 0
+        own = ~bad[doc]
+        doc, at = doc[own], at[own]
+        out: dict[str, object] = {c: np.bincount(doc, kept.all[at], n).astype(np.int64) for c, kept in zip(self.COUNTS, self.counts)}
+        text = self.text
+        out["groups_sha256"] = [hashlib.sha256(b";".join([text[self.place[c]] for c in cs])).hexdigest() if cs and not b else "" for cs, b in zip(cut, bad)]
+        known, local = np.unique(at, return_inverse=True)
+        sizes, start = self.size.all, _starts(self.size.all)[:-1]
+        where = ranges(start[known], sizes[known])
+        pairs, column = np.unique(self.pair.all[where], return_inverse=True)
+        by_chunk = Rows(_starts(sizes[known]), column, self.times.all[where], len(pairs))
+        strips = [*product(gathered(doc, local, n, len(known)), by_chunk)] if len(doc) else []
+        out["first"] = _starts(np.concatenate([np.diff(r.start) for _, r in strips]) if strips else np.zeros(n, np.int64))
+        out["pairs"] = pairs[np.concatenate([r.index for _, r in strips])] if strips else np.zeros(0, np.int64)
+        out["times"] = np.concatenate([r.data for _, r in strips]) if strips else np.zeros(0, np.int64)
+        whole = np.append(out["times"], 0)
+        linked = np.add.reduceat(whole, out["first"][:-1]) if n else whole[:0]
+        linked[np.diff(out["first"]) == 0] = 0
+        out["n_links"] = linked
+        return out
+
+
+@cache
+def _chunks(path_a: str, path_b: str) -> Chunks:
+    return Chunks(_vocabulary(path_a), _vocabulary(path_b))
+
+
 # --- whole tables -----------------------------------------------------------------------------
 _FOUND = ("block long, n_a long, n_b long, n_groups long, n_overlaps long, n_links long, groups_sha256 string, "
           "pairs array<long>, times array<long>")
@@ -283,18 +407,14 @@ def aligned(docs: DataFrame, keep: list[str], path_a: str, path_b: str, text: st
         from pyspark import TaskContext
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        a, b, target = _vocabulary(path_a), _vocabulary(path_b), to_arrow_schema(schema)
+        known, target = _chunks(path_a, path_b), to_arrow_schema(schema)
         block, held = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            for part in text_slices(batch, len(keep), ENCODE_BYTES):
+            for part in text_slices(batch, len(keep), SLICE_BYTES):
                 column = part.column(len(keep))
-                one = Aligned(column.to_pylist(), a, b)
-                strips = [*one.links()]
-                doc, left, right, times = (np.concatenate([s[i] for s in strips]) if strips else np.zeros(0, np.int64) for i in range(4))
-                first = _starts(one.of_docs(doc))
-                overlaps = sum((one.of_docs(one.doc[0][x]) for x, _, _ in one.overlaps()), np.zeros(one.n, np.int64))
-                made = [np.full(one.n, block), one.of_docs(one.doc[0]), one.of_docs(one.doc[1]), one.of_docs(one.group_doc), overlaps,
-                        one.of_docs(doc, times), one.digests(), _lists(first, left << 32 | right), _lists(first, times)]
+                one = known.aligned(column.to_pylist())
+                made = [np.full(part.num_rows, block), *(one[c] for c in ("n_a", "n_b", "n_groups", "n_overlaps", "n_links", "groups_sha256")),
+                        _lists(one["first"], one["pairs"]), _lists(one["first"], one["times"])]
                 arrays = [*(part.column(i) for i in range(len(keep))), *(pa.array(x) if not isinstance(x, pa.Array) else x for x in made)]
                 yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(arrays, target)], schema=target)
                 held += column.nbytes
