@@ -102,7 +102,7 @@ def test_empty_documents(spark):
 
 
 def test_clashing_ids_are_judged_row_by_row(spark):
-    say = lambda w: " ".join(f"{w}{i} the of and" for i in range(60))
+    say = lambda w: " ".join(f"{w}{i}x{i * i} {w[::-1]}{i}" for i in range(60))
     rows = [(3, say("alpha"), "en", "a", 1), (7, say("alpha"), "en", "b", 1), (7, say("beta"), "en", "c", 1), (9, say("gamma"), "en", "d", 1),
             (9, say("delta"), "en", "e", 1), (None, say("alpha"), "en", "f", 1), (None, say("omega"), "en", "g", 1), (3, say("alpha"), "en", "a", 1)]
     got = stages.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), SF).collect()

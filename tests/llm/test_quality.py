@@ -148,7 +148,8 @@ def test_accuracies_equal_plain_em_and_scores_the_plain_sum(spark, table):
 
 
 def test_texts_without_words_are_not_called_good(table):
-    rows = [(i, f"The house {i} of the man was in the town, and it is by the sea.\n" * 3 + f"This is number {i} of it.") for i in range(80)] + [(100, None), (101, ""), (102, " \n ")]
+    say = lambda i: f"The house {i} of the man was in the town, and it is by the sea.\nThis is number {i} of the list, which was long.\nThe end of it is in the other part {i}."
+    rows = [(i, say(i)) for i in range(80)] + [(100, None), (101, ""), (102, " \n ")]
     got = {r["doc_id"]: r for r in weaklabels.classify(table(rows, "doc_id long, text string"), ["doc_id"]).collect()}
     for i in (100, 101, 102):
         assert got[i]["votes"][0] == got[i]["votes"][1] == got[i]["votes"][7] == "2" and "1" not in got[i]["votes"]

@@ -104,7 +104,9 @@ def repeated(drawn: DataFrame, most: float) -> DataFrame:
     if most + 12 * most ** 0.5 + 31 <= BLOCK:
         return drawn.select(*rest, numbers(F.lit(1), F.col("_k")))
     blocks = drawn.where(many).select(*rest, "_k", F.explode(F.sequence(F.lit(0), F.expr(f"(_k - 1) div {BLOCK}").cast("int"))).alias("_block"))
-    dealt = blocks.repartition("_h", "_same", "_block")
+    # a number of its own: the rows are few and small until they are repeated, and would be put together
+    parts = int(drawn.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = blocks.repartition(parts, "_h", "_same", "_block")
     begin = F.col("_block") * BLOCK
     return drawn.where(~many).select(*rest, numbers(F.lit(1), F.col("_k"))).unionByName(
         dealt.select(*rest, numbers(begin + 1, F.least("_k", begin + BLOCK))))
