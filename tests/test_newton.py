@@ -79,3 +79,24 @@ def test_spark_models_of_fits(spark, tmp_path):
     again = LinearSVCModel.load(str(tmp_path / "svm"))
     got = MD.apply_classifier(again, frame(spark, x, y, c)).orderBy("doc_id").collect()
     assert np.allclose([r["proba"] for r in got], 1 / (1 + np.exp(-(x @ want[:-1] + want[-1]))), atol=1e-4)
+
+
+def test_runs_fitted_together_equal_separate_fits(spark):
+    from pyspark.sql import functions as F
+
+    x, y, c = data(400, 5, 7)
+    df = frame(spark, x, y, c).withColumn("held", F.col("doc_id") % 4 == 0)
+    table, fits = NW.fit_runs(df, "held", [0.01, 1.0, 30.0], weight="weight", tol=1e-9, patience=99)
+    own = np.arange(400) % 4 != 0
+    rows = table.collect()
+    for i, k in enumerate([0.01, 1.0, 30.0]):
+        want = dense_fit(x[own], y[own], k * c[own], "squared_hinge", np.ones(6))
+        assert np.allclose(np.r_[fits[k].coefficients, fits[k].intercept], want, atol=1e-5)
+        last = max((r for r in rows if r["run"] == i), key=lambda r: r["epoch"])
+        yes, true = x[~own] @ want[:-1] + want[-1] >= 0, y[~own] > 0
+        assert last["f1"] == pytest.approx(2 * (yes & true).sum() / (yes.sum() + true.sum()))
+        epochs = sorted(r["epoch"] for r in rows if r["run"] == i)
+        assert epochs == list(range(len(epochs))) and len(epochs) <= 25
+    stopped, _ = NW.fit_runs(df, "held", [1.0], weight="weight", tol=0.0, patience=1)
+    f1 = [r["f1"] for r in stopped.orderBy("epoch").collect()]
+    assert f1[-1] <= max(f1[:-1]) and all(b > max(f1[:i + 1]) for i, b in enumerate(f1[1:-1]))

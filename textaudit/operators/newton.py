@@ -230,3 +230,99 @@ def fit_linear(train: DataFrame, loss: str, label: str = "label", features: str
             steps = [*steps, (moved, change)][-MEMORY:]
         w, (value, slope, curve) = w + moved, tried
     return Fit(w[:-1], float(w[-1]), float(value), float(np.abs(slope).max()), passes)
+
+
+@dataclass
+class _Run:
+    """One regularisation: the accepted weights with their objective, the step tried next, and the
+    best score so far with the epochs since."""
+
+    c: float
+    w: np.ndarray
+    tried: np.ndarray
+    direction: np.ndarray
+    value: float = float("inf")
+    slope: np.ndarray | None = None
+    size: float = 1.0
+    epoch: int = -1
+    best: float = -1.0
+    stale: int = 0
+    open: bool = True
+
+
+def fit_runs(train: DataFrame, held: str, cs, loss: str = "squared_hinge", label: str = "label", features: str = "features", weight: str | None = None,
+             regularise_intercept: bool = True, tol: float = 1e-6, patience: int = 3, most: int = MOST_PASSES) -> tuple[DataFrame, dict[float, Fit]]:
+    """Fits for several ``cs`` at once, with their history: ``(run, c, epoch, loss, precision, recall,
+    f1)``, a row for each accepted step of each run, measured on the rows where ``held`` is true (the
+    others are fitted). Every pass over the table serves all runs that are still open. A run ends
+    when its gradient vanishes or when ``patience`` epochs have not raised its F1. For features of
+    at most ``GRAM_MOST`` dimensions."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    spark = train.sparkSession
+    told = train.where(F.col(label).isNotNull() & F.col(features).isNotNull())
+    rows = saved_table(told.select((2 * F.col(label).cast("double") - 1).alias("y"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("weight"),
+                                   F.col(held).alias("held"), F.col(features).alias("features")), "runs")
+    first = rows.select("features").first()
+    schema = "run int, c double, epoch int, loss double, precision double, recall double, f1 double"
+    if first is None:
+        return spark.createDataFrame([], schema), {}
+    d = first["features"].size
+    if d > GRAM_MOST:
+        raise ValueError(f"{d} features; runs are fitted together for at most {GRAM_MOST}")
+    ridge = np.r_[np.ones(d), float(regularise_intercept)] + 1e-12
+    wide = 4 + (d + 1) + (d + 1) ** 2
+
+    def measured(ws: list[np.ndarray]) -> np.ndarray:
+        sent = spark.sparkContext.broadcast(np.array(ws))
+
+        def run(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+            total = np.zeros((len(sent.value), wide))
+            for batch in batches:
+                y, c = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("y", "weight"))
+                out = batch.column("held").to_numpy(zero_copy_only=False).astype(bool)
+                x = np.c_[Matrix(batch.column("features"), d).dense(), np.ones(len(y))]
+                for row, w in zip(total, sent.value):
+                    z = x @ w
+                    yes = z[out] >= 0
+                    row[:3] += (yes & (y[out] > 0)).sum(), (yes & (y[out] < 0)).sum(), (~yes & (y[out] > 0)).sum()
+                    value, slope, curve = LOSSES[loss](y[~out], z[~out])
+                    own, u = x[~out], c[~out]
+                    row[3] += u @ value
+                    row[4:d + 5] += own.T @ (u * slope)
+                    row[d + 5:] += (own.T @ (own * (u * curve)[:, None])).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], names=["sums"])
+
+        parts = rows.mapInArrow(run, "sums array<double>")
+        got = parts.agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("s")).first()["s"]
+        sent.unpersist()
+        return np.array(got).reshape(len(ws), wide)
+
+    runs = [_Run(float(c), np.zeros(d + 1), np.zeros(d + 1), np.zeros(d + 1)) for c in cs]
+    history, fits, passes, begun = [], {}, 0, {}
+    while passes < most and any(r.open for r in runs):
+        active = [(i, r) for i, r in enumerate(runs) if r.open]
+        passes += 1
+        for (i, r), sums in zip(active, measured([r.tried for _, r in active])):
+            value = r.c * sums[3] + ridge @ (r.tried * r.tried) / 2
+            if r.slope is not None and value > r.value + 1e-4 * r.size * (r.direction @ r.slope) + 1e-12 * abs(r.value):
+                r.size /= 2  # the step was too long
+                r.tried, r.open = r.w + r.size * r.direction, r.size > 1e-9
+                continue
+            r.w, r.value, r.epoch = r.tried, value, r.epoch + 1
+            r.slope = r.c * sums[4:d + 5] + ridge * r.w
+            begun.setdefault(i, np.abs(r.slope).max())
+            tp, fp, fn = sums[:3]
+            f1 = 2 * tp / (2 * tp + fp + fn) if tp else 0.0
+            history.append((i, r.c, r.epoch, float(value), float(tp / (tp + fp)) if tp else 0.0, float(tp / (tp + fn)) if tp else 0.0, float(f1)))
+            r.best, r.stale = (f1, 0) if f1 > r.best else (r.best, r.stale + 1)
+            fits[r.c] = Fit(r.w[:-1], float(r.w[-1]), float(value), float(np.abs(r.slope).max()), passes)
+            if fits[r.c].slope <= tol * max(begun[i], 1e-300) or r.stale >= patience:
+                r.open = False
+                continue
+            curve = r.c * sums[d + 5:].reshape(d + 1, d + 1) + np.diag(ridge)
+            r.direction, r.size = np.linalg.solve(curve, -r.slope), 1.0
+            r.tried = r.w + r.direction
+    return spark.createDataFrame(sorted(history), schema), fits

@@ -7,13 +7,18 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import text as TX
 from ..operators import attribution as AT
+from ..operators import compare as C
 from ..operators import features as FE
 from ..operators import metrics as M
 from ..operators import models as MD
+from ..operators import newton as NW
 from ..operators import splits as SP
 from ..operators import significance as SG
+from ..operators import wordvectors as WV
 from ..session import ensure_checkpoint_dir
+from ..sources import files as FS
 from . import setup as U
 from . import textsql as Q
 from .registry import query
@@ -83,6 +88,32 @@ def mean_pool(spark, sf):
         "doc_id", F.col("dim").cast("int").alias("dim"), "value")
 
 
+_VECTORS: dict[tuple, str] = {}
+
+
+def word_vectors(spark, sf):
+    """Vectors of the corpus's words, made once a session and corpus, as a saved table."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _VECTORS:
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/word-vectors-{uuid.uuid4().hex}"
+        WV.word_vectors(U.tables(spark, sf).documents.select("text"), dim=32).write.parquet(path)
+        _VECTORS[key] = path
+    return FS.read_embeddings(spark, [_VECTORS[key]])
+
+
+@query("word_vector_table")
+def word_vector_table(spark, sf):
+    """Word vectors by positive PMI and a randomised SVD, keyed by word."""
+    return word_vectors(spark, sf).select("word", F.posexplode("vec").alias("dim", "value"))
+
+
+@query("word_vector_pool")
+def word_vector_pool(spark, sf):
+    """Mean word vector of every document, words looked up by themselves."""
+    docs = U.tables(spark, sf).documents.select("doc_id", F.lower("text").alias("text"))
+    return FE.mean_pool(docs, word_vectors(spark, sf), vec_key="word", vec_col="vec", tokens=TX.word_tokens)
+
+
 @query("label_encoding", """
 SELECT doc_id, lang, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS INTEGER) AS lang_idx FROM documents""")
 def label_encoding(spark, sf):
@@ -158,6 +189,29 @@ def svm_report(spark, sf):
     return M.classification_report(MD.apply_classifier(svm(spark, sf), test, model_name="svm"))
 
 
+RUN_CS = [0.01, 0.1, 1.0, 10.0]
+
+
+def _runs(spark, sf):
+    """History of the SVM for several regularisations, fitted together on the train split and
+    measured on the validation split."""
+    both = _labelled(spark, sf).where(F.col("split") != "test").withColumn("held", F.col("split") == "val")
+    rows = MD.with_balanced_weights(_pooled(spark, sf, both).select("label", "features", "held"))
+    return NW.fit_runs(rows, "held", RUN_CS, weight="weight")[0]
+
+
+@query("run_history")
+def run_history(spark, sf):
+    """A row for each step of each run: loss on the fitted rows, precision, recall and F1 beside."""
+    return _runs(spark, sf).select("run", "c", "epoch", *[F.round(x, 6).alias(x) for x in ("loss", "precision", "recall", "f1")])
+
+
+@query("best_fitted_run")
+def best_fitted_run(spark, sf):
+    """The step with the strictly greatest F1 of each run's history."""
+    return C.best_run(_runs(spark, sf).select(F.concat(F.lit("svm C="), "c").alias("model"), "epoch", F.col("c").alias("threshold"), F.round("f1", 6).alias("f1")))
+
+
 @query("linear_attribution")
 def linear_attribution(spark, sf):
     """Per word of a held-out document: coefficient * (tf-idf weight - mean weight), top 10."""

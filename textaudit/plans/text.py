@@ -11,6 +11,8 @@ from ..operators import attribution as AT
 from ..operators import augment as AU
 from ..operators import counterfactual as CF
 from ..operators import fairness as FA
+from ..operators import phrases as PH
+from ..operators import pieces as PC
 from . import setup as U
 from . import textsql as Q
 from .registry import query
@@ -282,3 +284,42 @@ def benchmark_attribution(spark, sf):
     """Keyword attribution of the benchmark items (a second corpus)."""
     b = U.tables(spark, sf).benchmark.select(F.col("item_id").alias("doc_id"), "text")
     return AT.keyword_attribution(b, weights=QUERY_WEIGHTS)
+
+
+@query("piece_merge", r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents),
+x AS (SELECT doc_id, unnest(list_transform(w, lambda v, i: {'p': i - 1, 'w': v})) AS s FROM t)
+SELECT doc_id, CAST(s.p AS INTEGER) AS word_pos, s.w AS word, round(length(s.w) / 100.0, 6) AS score FROM x""")
+def piece_merge(spark, sf):
+    """Words cut into the pieces of a public vocabulary, each piece scored by its word's length,
+    and merged again: the words with their scores."""
+    import public_tokenizers
+    path = public_tokenizers.path("word_bpe_49k.json")
+    cut = PC.segmented(_docs(spark, sf), lambda: PC.byte_level_vocabulary(path))
+    starts = F.filter(F.transform("pieces", lambda p, i: F.when(~p.startswith("##"), i)), lambda i: i.isNotNull())
+    a = cut.withColumn("starts", starts)
+    ends = F.concat(F.slice("starts", 2, F.greatest(F.size("starts"), F.lit(1))), F.array(F.size("pieces")))
+    a = a.withColumn("ends", ends)
+    size = lambda p, i: F.length(p) - F.when(p.startswith("##"), 2).otherwise(0)
+    a = a.withColumn("sizes", F.transform("pieces", size))
+    scores = F.flatten(F.zip_with("starts", F.slice("ends", 1, F.size("starts")), lambda s, e: F.array_repeat(
+        F.aggregate(F.slice("sizes", s + 1, e - s), F.lit(0), lambda acc, n: acc + n) / 100.0, e - s)))
+    words = AT.merge_subwords_arrays(a.select("doc_id", "pieces", scores.alias("scores")))
+    return words.select("doc_id", TX.explode_rows(F.col("words")).alias("w")).where(F.col("w").isNotNull()).select(
+        "doc_id", F.col("w.word_pos").cast("int").alias("word_pos"), "w.word", "w.score")
+
+
+_TRIGGERS_SQL = r"""
+WITH w AS (SELECT regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM benchmark),
+p AS (SELECT DISTINCT w[i] || ' ' || w[i + 1] AS phrase FROM (SELECT w, unnest(range(1, len(w))) AS i FROM w))
+SELECT doc_id, count(*) AS n_phrases, min(phrase) AS first_phrase FROM documents, p WHERE contains(lower(coalesce(text, '')), phrase) GROUP BY 1"""
+
+
+@query("contained_phrases", _TRIGGERS_SQL)
+def contained_phrases(spark, sf):
+    """How many of the benchmark's word pairs every document contains."""
+    w = U.tables(spark, sf).benchmark.select(TX.word_tokens("text").alias("w"))
+    pairs = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
+    listed = w.select(F.explode(pairs).alias("p")).distinct()
+    found = PH.contained(_docs(spark, sf), (r["p"] for r in listed.toLocalIterator()))
+    return found.groupBy("doc_id").agg(F.count("*").alias("n_phrases"), F.min("phrase").alias("first_phrase"))
