@@ -38,7 +38,7 @@ from .words import ranges, utf8
 #: aligned at once.
 BLOCK_BYTES, SLICE_BYTES = 8 << 20, 1 << 20
 #: Bytes of chunks that a worker remembers (they are forgotten together when there are more).
-REMEMBERED = 8 << 20
+REMEMBERED = 4 << 20
 #: Entries that a product expands at once, about.
 EXPANDED = 4 << 20
 
