@@ -22,6 +22,17 @@ def metrics_long(model_metrics: DataFrame, by=("model",), metrics=METRIC_NAMES)
     return model_metrics.unpivot(list(by), list(metrics), "metric", "value")
 
 
+def top_models(model_metrics: DataFrame, metric: str = "f1", n: int = 5, by=("model",)) -> DataFrame:
+    """The ``n`` best rows by a metric (ties by name): a preview, whose limit is the feature."""
+    return model_metrics.orderBy(F.col(metric).desc(), *by).limit(n)
+
+
+def composition(df: DataFrame, by=("source", "label")) -> DataFrame:
+    """Rows of each combination of ``by``, with subtotals from the right (``level``: the grouping
+    id, 0 for a full combination)."""
+    return df.rollup(*by).agg(F.grouping_id(*by).cast("int").alias("level"), F.count(F.lit(1)).alias("n"))
+
+
 def model_ranking(model_metrics: DataFrame, metric: str = "f1") -> DataFrame:
     """Rank of each model by a metric (descending; ties share a rank)."""
     w = Window.orderBy(F.col(metric).desc())

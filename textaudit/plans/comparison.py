@@ -107,8 +107,7 @@ def cross_dataset(spark, sf):
 @query("top_models", EV._with(_MM + "\nSELECT model, f1, accuracy FROM mm ORDER BY f1 DESC, model LIMIT 2"))
 def top_models(spark, sf):
     """Preview of the two best models by F1 (a top-k report: the limit is the feature)."""
-    mm = M.model_metrics(U.predictions(spark, sf))
-    return mm.orderBy(F.col("f1").desc(), F.col("model")).limit(2).select("model", "f1", "accuracy")
+    return C.top_models(M.model_metrics(U.predictions(spark, sf)), "f1", 2).select("model", "f1", "accuracy")
 
 
 @query("cross_dataset_all_models", EV._with(

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
+from ..operators import compare as CO
 from ..operators import features as FE
 from ..operators import schema as SC
 from ..operators import splits as SP
@@ -54,8 +55,7 @@ def label_distribution(spark, sf):
 SELECT source, label, CAST(grouping(source, label) AS INTEGER) AS level, CAST(count(*) AS BIGINT) AS n
 FROM corpus GROUP BY ROLLUP (source, label)""")
 def composition_rollup(spark, sf):
-    return corpus(spark, sf).rollup("source", "label").agg(
-        F.grouping_id("source", "label").cast("int").alias("level"), F.count(F.lit(1)).alias("n"))
+    return CO.composition(corpus(spark, sf))
 
 
 @query("drop_incomplete", """
