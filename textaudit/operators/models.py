@@ -184,14 +184,15 @@ def as_spark_model(kind: str, fit):
     return wrapper(made(f"{kind}_{uuid.uuid4().hex[:12]}", _py2java(sc, Vectors.dense(fit.coefficients)), float(fit.intercept)))
 
 
-def train_logreg(train: DataFrame, max_iter: int = NW.MOST_PASSES, label: str = "label", stop_words=(), tol: float = 1e-5):
+def train_logreg(train: DataFrame, max_iter: int = NW.MOST_PASSES, label: str = "label", stop_words=(), tol: float = 1e-5,
+                 key: str = "doc_id"):
     """Balanced logistic regression on TF-IDF features, C = 1, intercept not regularised, by
     Newton steps (at most ``max_iter`` passes). Features are computed once; the fit keeps them
-    and reads no text."""
+    and reads no text. The sample of its curvature goes by a hash of ``key``."""
     from pyspark.ml import PipelineModel
-    feats = PipelineModel(text_features(train, stop_words=stop_words))
-    data = with_balanced_weights(feats.transform(train).select("doc_id", label, "features"), label)
-    fit = NW.fit_linear(data, "logistic", label, weight="weight", key="doc_id", tol=tol, most=max_iter)
+    feats = PipelineModel(text_features(train, stop_words=stop_words, key=key))
+    data = with_balanced_weights(feats.transform(train).select(key, label, "features"), label)
+    fit = NW.fit_linear(data, "logistic", label, weight="weight", key=key, tol=tol, most=max_iter)
     return PipelineModel([*feats.stages, as_spark_model("logistic", fit)])
 
 
