@@ -164,18 +164,38 @@ def explode_rows(arr: Column, pos: bool = False):
     return F.posexplode_outer(arr) if pos else F.explode_outer(arr)
 
 
-def with_counts(df: DataFrame, tokens: Column, out: str = "counts") -> DataFrame:
+def _counted(pairs: bool):
+    """Batch function of :func:`with_counts`: words become numbers by a batch's dictionary, and the
+    runs of the sorted ``(row, number)`` pairs are the counts."""
+    def counts(lists):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        n = len(lists)
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        words, codes = coded.dictionary, pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(n), sizes)
+        row, codes = row[codes >= 0], codes[codes >= 0]
+        if pairs and len(row):
+            near, wide = row[1:] == row[:-1], len(words)
+            both, own = np.unique((codes[:-1] * wide + codes[1:])[near], return_inverse=True)
+            joined = pc.binary_join_element_wise(words.take(pa.array(both // wide)), words.take(pa.array(both % wide)), " ")
+            words = pa.concat_arrays([words, joined.cast(words.type)])
+            row, codes = np.r_[row, row[1:][near]], np.r_[codes, own + wide]
+        order = pc.sort_indices(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        wide = max(len(order), 1)
+        found, c = np.unique(row * wide + rank[codes], return_counts=True)
+        starts = np.searchsorted(found, np.arange(n + 1) * wide).astype(np.int32)
+        told = pa.StructArray.from_arrays([words.take(pa.array(order[found % wide])), pa.array(c.astype(np.int64))], names=["word", "c"])
+        return pa.ListArray.from_arrays(pa.array(starts), told, mask=lists.is_null())
+    return counts
+
+
+def with_counts(df: DataFrame, tokens: Column, out: str = "counts", pairs: bool = False) -> DataFrame:
     """Adds ``out``: ``array<struct<word, c>>``, the distinct tokens of the row, sorted, with
-    their counts. Computed inside the row (sort, then the lengths of the runs), so counting the
-    words of documents shuffles nothing. The steps are columns of their own, as an array used
-    inside a lambda must be computed once a row, not once an element."""
-    own = [f"_{out}_{x}" for x in ("sorted", "runs")]
-    a = df.withColumn(own[0], F.sort_array(tokens))
-    t = F.col(own[0])
-    before = F.concat(F.array(F.lit(None).cast("string")), F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))))
-    marks = F.transform(F.zip_with(t, before, lambda x, y: F.when(x.isNotNull() & ~x.eqNullSafe(y), x)), lambda w, i: F.struct(w.alias("word"), i.alias("at")))
-    b = a.withColumn(own[1], F.filter(marks, lambda m: m["word"].isNotNull()))
-    r = F.col(own[1])
-    ends = F.concat(F.slice(F.transform(r, lambda m: m["at"]), 2, F.greatest(F.size(r), F.lit(1))), F.array(F.size(t)))
-    counts = F.zip_with(r, F.slice(ends, 1, F.greatest(F.size(r), F.lit(0))), lambda m, e: F.struct(m["word"].alias("word"), (e - m["at"]).cast("long").alias("c")))
-    return b.withColumn(out, counts).drop(*own)
+    their counts; ``pairs`` counts neighbours joined by a space too. Computed inside the row (in
+    Arrow batches), so counting the words of documents shuffles nothing."""
+    return df.withColumn(out, F.arrow_udf(_counted(pairs), "array<struct<word: string, c: bigint>>")(tokens))

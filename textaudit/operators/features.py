@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
+from ..session import saved_table
 from .metrics import DIGITS
 
 
@@ -46,9 +47,7 @@ def counted_terms(docs: DataFrame, key: str = "doc_id", text: str = "text", stop
     if stop_words:
         toks = F.filter(toks, lambda t: ~t.isin(*sorted(set(stop_words))))
     t = docs.select(key, toks.alias("_t"))
-    pairs = F.zip_with(F.slice("_t", 1, F.greatest(F.size("_t") - 1, F.lit(0))), F.slice("_t", 2, F.greatest(F.size("_t") - 1, F.lit(0))),
-                       lambda x, y: F.concat_ws(" ", x, y))
-    return TX.with_counts(t, F.concat("_t", pairs)).select(key, "counts")
+    return TX.with_counts(t, F.col("_t"), pairs=True).select(key, "counts")
 
 
 def tfidf_vocabulary(counted: DataFrame, n_docs: int, min_df: int = 2, max_terms: int = 10000) -> DataFrame:
@@ -88,6 +87,42 @@ def word_vector_id(word, n_ids: int):
     return F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(n_ids))
 
 
+#: Documents whose words meet their vectors in one task's group.
+BLOCK_DOCS = 1024
+
+
+def _weighted_sums(dim: int):
+    """Sums of a block: ``(key, vec, n)``, the sum of the vectors of each document's known words,
+    and how many occurrences they are."""
+    def sums(docs, vectors):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        flat = lambda table, name: pa.chunked_array([x.flatten() for x in table[name].chunks], table.schema.field(name).type.value_type)
+        known = pc.unique(vectors["_id"])
+        place = pc.fill_null(pc.index_in(vectors["_id"], value_set=known), 0).to_numpy()
+        table = np.zeros((len(known), dim))  # an id with several rows counts with each of them
+        if len(known):
+            np.add.at(table, place, flat(vectors, "_v").to_numpy().astype(np.float64).reshape(-1, dim))
+        times = np.bincount(place, minlength=len(known)).astype(np.float64)
+        col = pc.fill_null(pc.index_in(flat(docs, "_ids"), value_set=known), -1).to_numpy()
+        row = np.repeat(np.arange(docs.num_rows), pc.list_value_length(docs["_ids"]).to_numpy())
+        met = col >= 0
+        row, col, c = row[met], col[met], flat(docs, "_cs").to_numpy()[met]
+        n = np.bincount(row, c * times[col], docs.num_rows).astype(np.float64)  # of no rows, bincount counts in integers
+        out, step = np.zeros((docs.num_rows, dim)), 1 << 14
+        for a in range(0, len(row), step):
+            own = row[a:a + step]
+            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            out[own[first]] += np.add.reduceat(c[a:a + step, None] * table[col[a:a + step]], first, axis=0)
+        some = np.flatnonzero(n)
+        keys = docs["_key"].take(pa.array(some)).combine_chunks()
+        keys = pa.concat_arrays(keys.chunks) if isinstance(keys, pa.ChunkedArray) else keys
+        rows = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * dim), pa.array(out[some].ravel()))
+        return pa.Table.from_arrays([keys, rows, pa.array(n[some])], names=["_key", "_v", "_n"])
+    return sums
+
+
 def mean_pool_vectors(docs: DataFrame, vectors: DataFrame, key: str = "doc_id", text: str = "text",
                       word_id=None, vec_key: str = "vec_id", vec_col: str = "embedding", dim: int | None = None,
                       tokens=TX.whitespace_split) -> DataFrame:
@@ -95,22 +130,26 @@ def mean_pool_vectors(docs: DataFrame, vectors: DataFrame, key: str = "doc_id",
     occurrence counts, other words drop out); zeros for a document without a known word.
 
     ``tokens`` makes words of a text; by default whitespace-separated pieces, case and
-    punctuation kept. Words are counted inside the row, so the join carries a row per distinct
-    word and the vectors' weighted mean is combined on the map side. The planner decides by its
-    size threshold whether the vector table is broadcast; else AQE splits a hot word."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
+    punctuation kept. Words are counted inside the row, and documents dealt in blocks of
+    ``BLOCK_DOCS``: a vector is joined once to each block that needs it, not to each document, and
+    a block's sums are made where its documents and vectors meet. What is shuffled is the counts, a
+    vector a block and word, and a vector a document; neither table is broadcast."""
     wid = word_id if word_id is not None else (lambda c: c)
-    counted = TX.with_counts(docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text")), tokens("_text"))
-    each = counted.select(key, TX.explode_rows(F.col("counts")).alias("t")).where(F.col("t").isNotNull())
-    each = each.select(key, wid(F.col("t.word")).alias(vec_key), F.col("t.c").cast("double").alias("c"))
-    vec = vectors.select(vec_key, array_to_vector(vec_col).alias("_v"))
-    pooled = (each.join(vec, vec_key).groupBy(key)
-              .agg(Summarizer.mean(F.col("_v"), F.col("c")).alias("_m"))
-              .select(key, vector_to_array("_m").alias("_m")))
-    if dim is None:
-        dim = (vectors.select(F.size(vec_col).alias("d")).first() or {"d": 0})["d"]
-    zeros = F.array_repeat(F.lit(0.0), dim)
+    size = (vectors.where(F.col(vec_col).isNotNull()).select(F.size(vec_col).alias("d")).first() or {"d": 0})["d"]
+    zeros = F.array_repeat(F.lit(0.0), size if dim is None else dim)
+    if not size:
+        return docs.select(key, zeros.alias("vec"))
+    counted = TX.with_counts(docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")), tokens("_text"))
+    counted = saved_table(counted.select(
+        "_key", F.transform("counts", lambda t: wid(t["word"])).alias("_ids"), F.transform("counts", lambda t: t["c"].cast("double")).alias("_cs"),
+        F.floor(F.monotonically_increasing_id() / BLOCK_DOCS).alias("_block")), "counted")
+    ids = counted.select(F.col("_block").alias("_near"), TX.explode_rows(F.col("_ids")).alias("_id")).where(F.col("_id").isNotNull()).distinct()
+    vec = vectors.where(F.col(vec_col).isNotNull()).select(F.col(vec_key).alias("_id"), F.col(vec_col).alias("_v"))
+    kind = docs.schema[key].dataType.simpleString()
+    sums = counted.groupBy("_block").cogroup(ids.join(vec, "_id").groupBy("_near")).applyInArrow(
+        _weighted_sums(size), f"_key {kind}, _v array<double>, _n double")
+    whole = sums.groupBy("_key").agg(F.sum("_n").alias("_n"), *[F.sum(F.col("_v")[i]).alias(f"_{i}") for i in range(size)])
+    pooled = whole.select(F.col("_key").alias(key), F.array(*[F.col(f"_{i}") / F.col("_n") for i in range(size)]).alias("_m"))
     return docs.select(key).join(pooled, key, "left").select(key, F.coalesce(F.col("_m"), zeros).alias("vec"))
 
 

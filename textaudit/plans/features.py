@@ -17,7 +17,7 @@ from ..operators import newton as NW
 from ..operators import splits as SP
 from ..operators import significance as SG
 from ..operators import wordvectors as WV
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, saved_table
 from ..sources import files as FS
 from . import setup as U
 from . import textsql as Q
@@ -155,7 +155,7 @@ def _pooled(spark, sf, s):
     """``s`` with ``features``, the documents' mean word vectors."""
     from pyspark.ml.functions import array_to_vector
     e = U.tables(spark, sf).embeddings
-    vec = FE.mean_pool_vectors(s.select("doc_id", "text"), e, word_id=_word_id(e))
+    vec = saved_table(FE.mean_pool_vectors(s.select("doc_id", "text"), e, word_id=_word_id(e)), "pooled")  # read for the weights and for the fit
     return s.drop("text").join(vec, "doc_id").withColumn("features", array_to_vector("vec")).drop("vec")
 
 
