@@ -18,8 +18,8 @@ from ..functions import text as TX
 from ..session import saved_table
 
 DIM, WINDOW, MOST_WORDS, MIN_COUNT, EXTRA, POWER, SEED = 50, 4, 10_000, 5, 10, 3, 17
-#: Distinct pairs that a task collects before it sends them on.
-HELD = 1 << 20
+#: Distinct pairs that a task collects before it sends them on, and words that it reads at a time.
+HELD, READ = 1 << 20, 1 << 17
 
 
 def vocabulary(docs: DataFrame, text: str = "text", most: int = MOST_WORDS, least: int = MIN_COUNT, tokens=TX.word_tokens) -> list[str]:
@@ -33,30 +33,39 @@ def vocabulary(docs: DataFrame, text: str = "text", most: int = MOST_WORDS, leas
 def cooccurrence(docs: DataFrame, words: list[str], text: str = "text", window: int = WINDOW, tokens=TX.word_tokens) -> DataFrame:
     """``(i, j, n)``: how often the words ``i`` and ``j`` (places in ``words``) stand at most
     ``window`` words apart, in both directions; other words keep their place in the text."""
-    place = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
+    place = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches) -> Iterator:
         import pyarrow as pa
-        known, wide = place.value, len(place.value)
+        import pyarrow.compute as pc
+        known = place.value
+        wide = len(known)
 
         def told(keys, counts):
             return pa.RecordBatch.from_arrays([pa.array(keys // wide), pa.array(keys % wide), pa.array(counts)], names=["i", "j", "n"])
 
+        listed = pa.array(known, pa.string())
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            found = [keys]
-            for ws in batch.column(0).to_pylist():
-                ids = np.array([known.get(w, -1) for w in ws], np.int64)
+            texts = batch.column(0)
+            ends = np.cumsum(pc.list_value_length(texts).to_numpy())
+            words, row = texts.flatten(), np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
+            for a in range(0, len(words), READ):
+                # a part, and the words in front of it that its first words see
+                before = min(a, window)
+                ids = pc.fill_null(pc.index_in(words[a - before:a + READ], value_set=listed), -1).to_numpy().astype(np.int64)
+                text, found = row[a - before:a + READ], [keys]
                 for d in range(1, min(window, len(ids) - 1) + 1):
-                    a, b = ids[:-d], ids[d:]
-                    both = (a >= 0) & (b >= 0)
-                    found += [a[both] * wide + b[both], b[both] * wide + a[both]]
-            whole = np.concatenate(found)
-            keys, inverse = np.unique(whole, return_inverse=True)
-            counts = np.bincount(inverse, np.r_[counts, np.ones(len(whole) - len(counts))], len(keys)).astype(np.int64)
-            if len(keys) > HELD:
-                yield told(keys, counts)
-                keys, counts = keys[:0], counts[:0]
+                    own = slice(max(before - d, 0), len(ids) - d)
+                    x, y = ids[own], ids[own.start + d:]
+                    both = (x >= 0) & (y >= 0) & (text[own] == text[own.start + d:])
+                    found += [x[both] * wide + y[both], y[both] * wide + x[both]]
+                whole = np.concatenate(found)
+                keys, inverse = np.unique(whole, return_inverse=True)
+                counts = np.bincount(inverse, np.r_[counts, np.ones(len(whole) - len(counts))], len(keys)).astype(np.int64)
+                if len(keys) > HELD:
+                    yield told(keys, counts)
+                    keys, counts = keys[:0], counts[:0]
         if len(keys):
             yield told(keys, counts)
 
