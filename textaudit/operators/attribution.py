@@ -20,10 +20,10 @@ def keyword_scores_array(words: Column, weights: dict, k: int = L.KEYWORD_TOP_K)
     """Array of ``struct(neg_score, pos, word)`` for the top-k keyword occurrences: weight
     descending, then text order; repeats stay."""
     wmap = TX.literal_map({w: float(v) for w, v in weights.items()})
-    tagged = F.transform(words, lambda w, i: F.struct((-F.try_element_at(wmap, w)).alias("neg"),
-                                                      i.alias("pos"), w.alias("word")))
-    hits = F.filter(tagged, lambda x: x["neg"].isNotNull())
-    return F.slice(F.array_sort(hits), 1, k)
+    # a hash test of every word, so that the map is searched for the few hits alone
+    tagged = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("pos"), w.alias("word"))), lambda x: x["word"].isin(*weights))
+    hits = F.transform(tagged, lambda x: F.struct((-F.try_element_at(wmap, x["word"])).alias("neg"), x["pos"], x["word"]))
+    return F.slice(F.array_sort(F.filter(hits, lambda x: x["neg"].isNotNull())), 1, k)
 
 
 def keyword_attribution(df: DataFrame, key: str = "doc_id", text: str = "text",
@@ -155,38 +155,61 @@ def attribution_cosine(df: DataFrame, a: Column, b: Column, key: str = "doc_id")
     return kept.select(key, TX.explode_rows(F.col("_x")).alias("s")).where(F.col("s").isNotNull()).select(key, "s.cosine")
 
 
+def _merged(pieces, scores):
+    """Batch function of :func:`merge_subwords_arrays`: the pieces of all rows in one run, of which
+    each word is a range; means are not yet rounded."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    n = len(pieces)
+    sizes = pc.fill_null(pc.list_value_length(pieces), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat, first = pieces.flatten(), np.cumsum(sizes) - sizes
+    goes_on = pc.fill_null(pc.starts_with(flat, "##"), False)
+    begins = ~goes_on.to_numpy(zero_copy_only=False)
+    begins[first[sizes > 0]] = True
+    start, word = np.flatnonzero(begins), np.cumsum(begins) - 1
+    row = np.repeat(np.arange(n), sizes)
+    place = np.arange(len(row)) - first[row]
+    # a piece without a score leaves its word without one; scores beyond the pieces are not read
+    given = pc.fill_null(pc.list_value_length(scores), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    values, at = scores.flatten(), np.cumsum(np.maximum(given, 0)) - np.maximum(given, 0)
+    has = place < given[row]
+    own = np.zeros(len(row))
+    own[has] = pc.fill_null(values, np.nan).to_numpy(zero_copy_only=False)[(at[row] + place)[has]]
+    missing = np.zeros(len(row), bool)
+    missing[has] = values.is_null().to_numpy(zero_copy_only=False)[(at[row] + place)[has]]
+    missing |= given[row] < 0
+    m = len(start)
+    own = np.where(missing, 0.0, own)
+    mean = np.bincount(word, own, m) / np.maximum(np.bincount(word, minlength=m), 1)
+    lost = np.bincount(word, missing, m) > 0
+    body = pc.fill_null(pc.if_else(goes_on, pc.utf8_slice_codeunits(flat, 2), flat), "")
+    ends = pa.array(np.r_[start, len(row)].astype(np.int32))
+    raw = pc.binary_join(pa.ListArray.from_arrays(ends, body), "")
+    kept = pc.not_equal(raw, "").to_numpy(zero_copy_only=False)
+    of = row[start]
+    pos = np.arange(m) - np.searchsorted(of, of)
+    told = pa.StructArray.from_arrays([pa.array(pos[kept].astype(np.int32)), raw.filter(pa.array(kept)), pa.array(mean[kept], mask=lost[kept])],
+                                      names=["word_pos", "raw", "mean"])
+    offsets = pa.array(np.searchsorted(of[kept], np.arange(n + 1)).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, told, mask=pieces.is_null())
+
+
 def merge_subwords_arrays(df: DataFrame, pieces: str = "pieces", scores: str = "scores",
                           out: str = "words") -> DataFrame:
     """Array form of :func:`merge_subwords` for per-document piece arrays: adds ``out`` as
     ``array<struct<word_pos, word, score>>`` computed inside the row (no shuffle).
 
     Word starts are the positions of pieces without ``##`` (plus position 0 when the array
-    starts with a continuation piece); each word is the slice up to the next start, so the
-    merge is linear in the number of pieces. The start positions are materialised as a
-    column first, so the per-word lambda reads them instead of recomputing them."""
-    pc, sc = F.col(pieces), F.col(scores)
-    marks = F.filter(F.transform(pc, lambda p, i: F.when(p.startswith("##"), F.lit(-1)).otherwise(i)),
-                     lambda x: x >= 0)
-    lead = (F.size(pc) > 0) & ((F.size(marks) == 0) | (F.try_element_at(marks, F.lit(1)) > 0))
-    s1 = df.select("*", F.when(lead, F.concat(F.array(F.lit(0)), marks)).otherwise(marks).alias("_sw_starts"))
-    starts = F.col("_sw_starts")
-
-    def word(s, k):
-        end = F.coalesce(F.try_element_at(starts, k + 2), F.size(pc))
-        n = end - s
-        part = F.slice(pc, s + 1, n)
-        body = F.transform(part, lambda p, j: F.when((j == 0) & ~p.startswith("##"), p)
-                           .otherwise(F.substring(p, 3, 1 << 30)))
-        total = F.aggregate(F.slice(sc, s + 1, n), F.lit(0.0), lambda a, x: a + x)
-        return F.struct(k.alias("word_pos"), F.array_join(body, "").alias("raw"),
-                        F.round(total / n, DIGITS).alias("score"))
-
-    s2 = s1.select("*", F.filter(F.transform(starts, word), lambda w: w["raw"] != "").alias("_sw_words"))
-    clean = F.transform("_sw_words", lambda w: F.struct(
+    starts with a continuation piece); each word is the range up to the next start. Ranges are
+    merged in Arrow batches, whose inputs are computed once a row: linear in the pieces."""
+    def merge(p, s):
+        return _merged(p, s)
+
+    made = F.arrow_udf(merge, "array<struct<word_pos: int, raw: string, mean: double>>")(F.col(pieces), F.col(scores).cast("array<double>"))
+    return df.withColumn(out, F.transform(made, lambda w: F.struct(
         w["word_pos"].alias("word_pos"), F.trim(F.replace(w["raw"], F.lit("##"), F.lit(""))).alias("word"),
-        w["score"].alias("score")))
-    s3 = s2.select("*", clean.alias(out))
-    return s3.select(*[c for c in s3.columns if not c.startswith("_sw_")])
+        F.round(w["mean"], DIGITS).alias("score"))))
 
 
 def top_attributions_array(words: Column, k: int = L.ATTRIBUTION_TOP_K) -> Column:

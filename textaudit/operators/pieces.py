@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
@@ -94,3 +94,21 @@ def segmented(docs: DataFrame, vocabulary: Callable[[], tuple[Iterable[str], Ite
 
     own = docs.select(F.col(key).alias("k"), TX.word_tokens(text).alias("t"))
     return own.mapInArrow(run, f"k {kind}, p array<string>").select(F.col("k").alias(key), F.col("p").alias(out))
+
+
+def word_sizes(pieces: Column) -> Column:
+    """For each piece of an array, the characters of the word that it belongs to."""
+    def sizes(lists):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat, ends = lists.flatten(), np.cumsum(n)
+        goes_on = pc.fill_null(pc.starts_with(flat, "##"), False).to_numpy(zero_copy_only=False)
+        long = pc.fill_null(pc.utf8_length(flat), 0).to_numpy(zero_copy_only=False) - 2 * goes_on
+        begins = ~goes_on
+        begins[(ends - n)[n > 0]] = True
+        word = np.cumsum(begins) - 1
+        whole = np.bincount(word, long).astype(np.int32) if len(word) else np.zeros(0, np.int32)
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(whole[word]), mask=lists.is_null())
+    return F.arrow_udf(sizes, "array<int>")(pieces)

@@ -296,15 +296,8 @@ def piece_merge(spark, sf):
     import public_tokenizers
     path = public_tokenizers.path("word_bpe_49k.json")
     cut = PC.segmented(_docs(spark, sf), lambda: PC.byte_level_vocabulary(path))
-    starts = F.filter(F.transform("pieces", lambda p, i: F.when(~p.startswith("##"), i)), lambda i: i.isNotNull())
-    a = cut.withColumn("starts", starts)
-    ends = F.concat(F.slice("starts", 2, F.greatest(F.size("starts"), F.lit(1))), F.array(F.size("pieces")))
-    a = a.withColumn("ends", ends)
-    size = lambda p, i: F.length(p) - F.when(p.startswith("##"), 2).otherwise(0)
-    a = a.withColumn("sizes", F.transform("pieces", size))
-    scores = F.flatten(F.zip_with("starts", F.slice("ends", 1, F.size("starts")), lambda s, e: F.array_repeat(
-        F.aggregate(F.slice("sizes", s + 1, e - s), F.lit(0), lambda acc, n: acc + n) / 100.0, e - s)))
-    words = AT.merge_subwords_arrays(a.select("doc_id", "pieces", scores.alias("scores")))
+    scores = F.transform(PC.word_sizes(F.col("pieces")), lambda n: n / 100.0)
+    words = AT.merge_subwords_arrays(cut.select("doc_id", "pieces", scores.alias("scores")))
     return words.select("doc_id", TX.explode_rows(F.col("words")).alias("w")).where(F.col("w").isNotNull()).select(
         "doc_id", F.col("w.word_pos").cast("int").alias("word_pos"), "w.word", "w.score")
 
