@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as TX
 from ..operators import models as MD
 from ..operators import shapley as SH
 from . import features as FQ
@@ -42,10 +43,20 @@ def batch_scores_fitted(spark, sf):
 ADDITIVE = {w: (1 + i % 5) * (-1) ** i / 64 for i, w in enumerate(["the", "of", "and", "to", "in", "that", "is", "was", "with", "for", "he", "are"])}
 
 
-def _additive():
+def _words_of():
+    """Words of a text as in :func:`TX.word_tokens`: plain ASCII by a byte table, else by the pattern."""
     import regex
-    word = regex.compile(r"[\p{L}\p{N}_]+")
-    return lambda texts: [sum(ADDITIVE.get(w, 0.0) for w in word.findall(t.lower())) for t in texts]
+    word = regex.compile(TX.WORD_RE)
+    plain = str.maketrans({c: " " for c in map(chr, range(128)) if not (c.isalnum() or c == "_")})
+
+    def words(text: str) -> list[str]:
+        return text.lower().translate(plain).split() if text.isascii() else word.findall(text.lower())
+    return words
+
+
+def _additive():
+    words, given = _words_of(), ADDITIVE.get
+    return lambda texts: [sum([given(w, 0.0) for w in words(t)]) for t in texts]
 
 
 @query("shapley_additive", rf"""
@@ -70,13 +81,11 @@ def shapley_rule_scorer(spark, sf):
 
     def load():
         import math
-
-        import regex
-        word, known = regex.compile(r"[\p{L}\p{N}_]+"), set(rule.words)
+        words, known = _words_of(), frozenset(rule.words)
 
         def score(texts):
-            found = [word.findall(t.lower()) for t in texts]
-            return [1 / (1 + math.exp(-(rule.intercept + rule.slope * sum(w in known for w in ws) / max(len(ws), 1)))) for ws in found]
+            found = [words(t) for t in texts]
+            return [1 / (1 + math.exp(-(rule.intercept + rule.slope * sum(map(known.__contains__, ws)) / max(len(ws), 1)))) for ws in found]
         return score
 
     turns = U.tables(spark, sf).conversations.select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
