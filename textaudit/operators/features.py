@@ -50,11 +50,42 @@ def counted_terms(docs: DataFrame, key: str = "doc_id", text: str = "text", stop
     return TX.with_counts(t, F.col("_t"), pairs=True).select(key, "counts")
 
 
+#: Distinct terms of batches that a task holds before it adds them up.
+HELD_TERMS = 1 << 21
+
+
+def _batch_terms(batches):
+    """Batch function of :func:`tfidf_vocabulary`: ``(term, df, tf)`` of many documents at a time."""
+    import pyarrow as pa
+
+    def summed(parts):
+        whole = pa.concat_tables(parts).group_by("term", use_threads=False).aggregate([("df", "sum"), ("tf", "sum")])
+        return pa.table([whole["term"], whole["df_sum"], whole["tf_sum"]], names=["term", "df", "tf"])
+
+    held, n = [], 0
+    for batch in batches:
+        flat = batch.column("counts").flatten()
+        each = pa.table([flat.field("word"), flat.field("c")], names=["term", "c"]).group_by("term", use_threads=False).aggregate([("c", "count"), ("c", "sum")])
+        held.append(pa.table([each["term"], each["c_count"], each["c_sum"]], names=["term", "df", "tf"]))
+        n += each.num_rows
+        if n > HELD_TERMS:
+            whole = summed(held)
+            # terms that hardly repeat are sent on; others are kept for the batches to come
+            if whole.num_rows * 2 > HELD_TERMS:
+                yield from whole.to_batches(max_chunksize=1 << 16)
+                held, n = [], 0
+            else:
+                held, n = [whole], whole.num_rows
+    if held:
+        yield from summed(held).to_batches(max_chunksize=1 << 16)
+
+
 def tfidf_vocabulary(counted: DataFrame, n_docs: int, min_df: int = 2, max_terms: int = 10000) -> DataFrame:
     """``(term, df, tf_total, idf)``: terms in >= ``min_df`` documents, the ``max_terms`` most
-    frequent (ties by term); idf = ln((1 + n) / (1 + df)) + 1. One shuffle, by term."""
-    each = counted.select(TX.explode_rows(F.col("counts")).alias("t")).where(F.col("t").isNotNull())
-    stats = each.groupBy(F.col("t.word").alias("term")).agg(F.count(F.lit(1)).alias("df"), F.sum("t.c").alias("tf_total"))
+    frequent (ties by term); idf = ln((1 + n) / (1 + df)) + 1. Terms are added up over many documents
+    in each task first. One shuffle, by term."""
+    each = counted.select("counts").mapInArrow(_batch_terms, "term string, df bigint, tf bigint")
+    stats = each.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf_total"))
     return (stats.where(F.col("df") >= min_df).orderBy(F.col("tf_total").desc(), F.col("term")).limit(max_terms)
             .withColumn("idf", F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0))
 

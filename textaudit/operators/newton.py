@@ -187,10 +187,10 @@ def fit_linear(train: DataFrame, loss: str, label: str = "label", features: str
     (``logistic`` or ``squared_hinge``). The intercept is a constant feature, regularised or not. Ends
     when no entry of the gradient exceeds ``tol`` times the largest at the start. Rows with a null
     label or null features are left out; a table without rows gives zeros."""
-    told = train.where(F.col(label).isNotNull() & F.col(features).isNotNull())
     place = F.xxhash64(key) if key else F.monotonically_increasing_id()
-    rows = saved_table(told.select((2 * F.col(label).cast("double") - 1).alias("y"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("weight"),
-                                   F.col(features).alias("features"), place.alias("place")), "fit")
+    # the filter reads the saved features: put before, it would compute them a second time
+    rows = saved_table(train.select((2 * F.col(label).cast("double") - 1).alias("y"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("weight"),
+                                    F.col(features).alias("features"), place.alias("place")), "fit").where("y IS NOT NULL AND features IS NOT NULL")
     first = rows.select("features").first()
     if first is None:
         return Fit(np.zeros(0), 0.0, 0.0, 0.0, 0)
@@ -261,9 +261,8 @@ def fit_runs(train: DataFrame, held: str, cs, loss: str = "squared_hinge", label
     from pyspark.ml.stat import Summarizer
 
     spark = train.sparkSession
-    told = train.where(F.col(label).isNotNull() & F.col(features).isNotNull())
-    rows = saved_table(told.select((2 * F.col(label).cast("double") - 1).alias("y"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("weight"),
-                                   F.col(held).alias("held"), F.col(features).alias("features")), "runs")
+    rows = saved_table(train.select((2 * F.col(label).cast("double") - 1).alias("y"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("weight"),
+                                    F.col(held).alias("held"), F.col(features).alias("features")), "runs").where("y IS NOT NULL AND features IS NOT NULL")
     first = rows.select("features").first()
     schema = "run int, c double, epoch int, loss double, precision double, recall double, f1 double"
     if first is None:

@@ -166,13 +166,22 @@ def svm(spark, sf):
         _pooled(spark, sf, _labelled(spark, sf).where(F.col("split") == "train")))]))
 
 
+_SCORED: dict[tuple, str] = {}
+
+
 def trained_predictions(spark, sf):
     """Long predictions of the fitted models on the test split (as of the rules': one row per
-    document and model)."""
-    test = _labelled(spark, sf).where(F.col("split") == "test")
-    a = MD.apply_classifier(logreg(spark, sf), test, model_name="logreg")
-    b = MD.apply_classifier(svm(spark, sf), _pooled(spark, sf, test), model_name="svm")
-    return a.unionByName(b)
+    document and model), scored once a session and corpus and saved, since metrics read them many
+    times and ask for columns that would each compute the features again."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _SCORED:
+        test = saved_table(_labelled(spark, sf).where(F.col("split") == "test"), "test")
+        a = MD.apply_classifier(logreg(spark, sf), test, model_name="logreg")
+        b = MD.apply_classifier(svm(spark, sf), _pooled(spark, sf, test), model_name="svm")
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/trained-scored-{uuid.uuid4().hex}"
+        a.unionByName(b).write.parquet(path)
+        _SCORED[key] = path
+    return spark.read.parquet(_SCORED[key])
 
 
 @query("logreg_report")
