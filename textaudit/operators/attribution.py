@@ -55,20 +55,67 @@ def top_words(df: DataFrame, key: str = "doc_id", text: str = "text", weights: d
     return F.transform(keyword_scores_array(TX.word_tokens(text), weights, n), lambda s: s["word"])
 
 
+#: Words that the batch function below gives at a time.
+BATCH_WORDS = 1 << 16
+
+
+def _merged_rows(key: str):
+    """Batch function of :func:`merge_subwords`: the words of the pieces of whole documents."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        for batch in batches:
+            told = batch.column("rows").flatten()
+            row = np.repeat(np.arange(batch.num_rows), batch.column("rows").value_lengths().to_numpy(zero_copy_only=False))
+            pos, piece, score = (told.field(k) for k in ("pos", "piece", "score"))
+            place = np.where(pos.is_null().to_numpy(zero_copy_only=False), np.iinfo(np.int64).min,
+                             pc.fill_null(pos.cast("int64"), 0).to_numpy(zero_copy_only=False))
+            same = row[1:] == row[:-1]
+            if np.any(same & (place[1:] <= place[:-1])):
+                texts = pc.rank(piece, tiebreaker="dense").to_numpy()
+                order = np.lexsort((texts, place, row))
+                row, piece, score = row[order], piece.take(pa.array(order)), score.take(pa.array(order))
+            none = piece.is_null().to_numpy(zero_copy_only=False)
+            goes_on = pc.fill_null(pc.starts_with(piece, "##"), True)
+            starts = ~goes_on.to_numpy(zero_copy_only=False)
+            # the first piece of a document that is not null begins a word, whatever it is
+            some = np.flatnonzero(~none)
+            first = some[np.flatnonzero(np.r_[True, row[some][1:] != row[some][:-1]][:len(some)])]
+            begins = starts.copy()
+            begins[first] = True
+            begins[np.flatnonzero(np.r_[True, ~same][:len(row)])] = True
+            start, word = np.flatnonzero(begins), np.cumsum(begins) - 1
+            # words are numbered by the pieces that are no continuation, up to and with their own
+            upto, of = np.cumsum(starts), row[start]
+            before = (upto - starts)[np.searchsorted(row, of)]
+            number = upto[start] - before
+            m = len(start)
+            has = ~score.is_null().to_numpy(zero_copy_only=False)
+            given = np.bincount(word, has, m)
+            mean = np.bincount(word, np.where(has, pc.fill_null(score.cast("float64"), 0.0).to_numpy(zero_copy_only=False), 0.0), m) / np.maximum(given, 1)
+            body = pc.fill_null(pc.if_else(pc.starts_with(piece, "##"), pc.utf8_slice_codeunits(piece, 2), piece), "")
+            raw = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.r_[start, len(row)].astype(np.int32)), body), "")
+            whole = pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(of)), pa.array(number.astype(np.int64)), raw, pa.array(mean, mask=given == 0)],
+                                               names=[key, "word_pos", "raw", "mean"])
+            for a in range(0, m, BATCH_WORDS):
+                yield whole.slice(a, BATCH_WORDS)
+    return run
+
+
 def merge_subwords(pieces: DataFrame, key: str = "doc_id") -> DataFrame:
     """``(key, pos, piece, score)`` -> ``(key, word_pos, word, score)``: pieces starting with
     ``##`` continue the previous word; the word score is the mean of its pieces; a leading
-    ``##`` piece starts a word of its own; empty words are dropped."""
-    w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    starts = (~F.col("piece").startswith("##")).cast("int")
-    g = pieces.withColumn("word_pos", F.sum(starts).over(w))
-    body = F.when(F.col("piece").startswith("##"), F.substring(F.col("piece"), 3, 1 << 30)).otherwise(F.col("piece"))
-    agg = g.groupBy(key, "word_pos").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", body.alias("b")))),
-                                 lambda s: s["b"]), "").alias("raw"),
-        F.round(F.avg("score"), DIGITS).alias("score"))
-    return agg.where(F.col("raw") != "").select(
-        key, "word_pos", F.trim(F.replace(F.col("raw"), F.lit("##"), F.lit(""))).alias("word"), "score")
+    ``##`` piece starts a word of its own; empty words are dropped.
+
+    A document's pieces are gathered by one grouping, on the side of the map first, so that an array
+    a document and task is shuffled; its words are then ranges of the array in order."""
+    kind = pieces.schema[key].dataType.simpleString()
+    row = F.struct("pos", F.col("piece").cast("string").alias("piece"), F.col("score").cast("double").alias("score"))
+    whole = pieces.groupBy(key).agg(F.collect_list(row).alias("rows"))
+    words = whole.mapInArrow(_merged_rows(key), f"`{key}` {kind}, word_pos bigint, raw string, mean double")
+    return words.where(F.col("raw") != "").select(
+        key, "word_pos", F.trim(F.replace(F.col("raw"), F.lit("##"), F.lit(""))).alias("word"), F.round("mean", DIGITS).alias("score"))
 
 
 def filter_attributions(words: DataFrame, key: str = "doc_id", k: int = L.ATTRIBUTION_TOP_K) -> DataFrame:

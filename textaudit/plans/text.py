@@ -85,17 +85,39 @@ def attribution_topk(spark, sf):
     return AT.keyword_attribution_rows(_docs(spark, sf), w, k=L.ATTRIBUTION_WORDS_FOR_COMPONENTS)
 
 
+def _cut(lists):
+    """Batch function of :func:`_piece_structs`: a piece begins at every ``PIECE_LEN``-th character
+    of a word, found among the bytes of the words of all rows."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    words = lists.flatten().cast(pa.string())
+    n = len(words)
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + n + 1] if n else np.zeros(1, np.int32)
+    data = np.frombuffer(words.buffers()[2], np.uint8)[ends[0]:ends[-1]] if n else np.zeros(0, np.uint8)
+    begins = (data & 0xC0) != 0x80  # bytes that begin a character
+    chars = np.r_[0, np.cumsum(begins)][ends - ends[0]]
+    word = np.repeat(np.arange(n), np.diff(chars))
+    place = np.arange(len(word)) - chars[word]
+    cut = place % PIECE_LEN == 0
+    at, word, j = np.flatnonzero(begins)[cut].astype(np.int32), word[cut], place[cut] // PIECE_LEN
+    first = np.cumsum(sizes) - sizes
+    p = (np.arange(n) - np.repeat(first, sizes))[word]
+    piece = pa.StringArray.from_buffers(len(at), pa.py_buffer(np.r_[at, np.int32(len(data))].astype(np.int32)), pa.py_buffer(data.tobytes()))
+    piece = pc.if_else(pa.array(j > 0), pc.binary_join_element_wise("##", piece, ""), piece)
+    told = pa.StructArray.from_arrays([piece, pa.array(((p * 31 + j * 17) % 19 - 9) / 10.0)], names=["piece", "score"])
+    rows = np.searchsorted(word, np.r_[first, n]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(rows), told, mask=lists.is_null())
+
+
 def _piece_structs():
     """Stand-in subword pieces of each document: every word token is cut into chunks of
     three characters; continuation chunks carry ``##``. Piece score:
     ((31 p + 17 j) mod 19 - 9) / 10 for the j-th chunk of the p-th word."""
-    toks = TX.word_tokens("text")
-    return F.flatten(F.transform(toks, lambda t, p: F.transform(
-        F.sequence(F.lit(0), F.ceil(F.length(t) / PIECE_LEN).cast("int") - 1),
-        lambda j: F.struct(
-            F.when(j == 0, F.substring(t, 1, PIECE_LEN))
-            .otherwise(F.concat(F.lit("##"), t.substr(j * PIECE_LEN + 1, F.lit(PIECE_LEN)))).alias("piece"),
-            ((F.pmod(p * 31 + j * 17, F.lit(19)) - 9) / 10.0).alias("score")))))
+    def cut(lists):
+        return _cut(lists)
+    return F.arrow_udf(cut, "array<struct<piece: string, score: double>>")(TX.word_tokens("text"))
 
 
 def pieces(docs):
@@ -107,8 +129,7 @@ def pieces(docs):
 def piece_arrays(docs):
     """The pieces as per-document arrays ``(doc_id, pieces, scores)``."""
     a = docs.select("doc_id", _piece_structs().alias("_p"))
-    return a.select("doc_id", F.transform("_p", lambda s: s["piece"]).alias("pieces"),
-                    F.transform("_p", lambda s: s["score"]).alias("scores"))
+    return a.select("doc_id", F.col("_p.piece").alias("pieces"), F.col("_p.score").alias("scores"))
 
 
 _SUBWORD_SQL = f"""
