@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicons as L
 from ..functions import text as TX
+from . import ranks as RK
 from .metrics import DIGITS
 
 
@@ -37,15 +38,14 @@ def keyword_attribution(df: DataFrame, key: str = "doc_id", text: str = "text",
 
 def keyword_attribution_rows(df: DataFrame, weights: DataFrame, key: str = "doc_id", text: str = "text",
                              k: int = 3) -> DataFrame:
-    """Row form: explode word positions, join a weight table, ``row_number`` top-k (Spark
-    applies the limit per partition before the shuffle). Whether the weight table is broadcast
-    is left to the planner's size threshold; a hot word's partition is split by AQE."""
+    """Row form: explode word positions, join a weight table, ``row_number`` top-k, limited in
+    batches before the sort. Whether the weight table is broadcast is left to the planner, which
+    must know its size for that (a file, a local relation): a table of unknown size, as a list makes
+    it, costs a shuffle of all words by word, where a hot word is one partition."""
     pos = df.select(key, TX.explode_rows(TX.word_tokens(text), pos=True).alias("pos", "word")).where(
         F.col("word").isNotNull())
     j = pos.join(weights.select("word", F.col("weight").alias("score")), "word")
-    w = Window.partitionBy(key).orderBy(F.col("score").desc(), F.col("pos"))
-    return (j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select(key, "rank", "word", "score"))
+    return RK.first_rows(j.select(key, "pos", "word", "score"), key, [("score", True), ("pos", False)], k).select(key, "rank", "word", "score")
 
 
 def top_words(df: DataFrame, key: str = "doc_id", text: str = "text", weights: dict | None = None,

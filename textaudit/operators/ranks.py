@@ -41,3 +41,36 @@ def range_prefix(df: DataFrame, by, order, sums: dict[str, Column], range_rows:
 def range_rank(df: DataFrame, by, order, name: str = "rank", **how) -> DataFrame:
     """``df`` with ``name``: the rows of the same ``by`` that come earlier in ``order``."""
     return range_prefix(df, by, order, {name: F.lit(1).cast("long")}, **how)
+
+
+def _first_in_batches(key: str, orders: list[tuple[str, bool]], k: int):
+    """Batch function of :func:`first_rows`: the first ``k`` rows of each key of a batch."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        for batch in batches:
+            held = [batch.column(name) for name, _ in orders]
+            # a NaN is Spark's largest number but not Arrow's: such a batch goes on whole
+            if any(pa.types.is_floating(x.type) and pc.any(pc.is_nan(x)).as_py() for x in held):
+                yield batch
+                continue
+            code = pc.dictionary_encode(batch.column(key), null_encoding="encode").indices
+            by, sorts = {"key": code}, [("key", "ascending")]
+            for i, ((_, down), x) in enumerate(zip(orders, held)):
+                # nulls come last in descending order, first in ascending order, as in Spark
+                by |= {f"n{i}": pc.is_null(x).cast("int8"), f"v{i}": x}
+                sorts += [(f"n{i}", "ascending" if down else "descending"), (f"v{i}", "descending" if down else "ascending")]
+            order = pc.sort_indices(pa.table(by), sort_keys=sorts).to_numpy()
+            own = code.to_numpy(zero_copy_only=False)[order]
+            yield batch.take(pa.array(np.sort(order[np.arange(len(own)) - np.searchsorted(own, own) < k])))
+    return run
+
+
+def first_rows(df: DataFrame, key: str, orders: list[tuple[str, bool]], k: int, rank: str = "rank") -> DataFrame:
+    """The first ``k`` rows of each ``key`` with their ``rank``, by ``orders``: columns, true for
+    descending. Rows are limited inside Arrow batches first: where a key's rows are near each other,
+    few are left to be sorted and shuffled, whatever the size of a task."""
+    near = df.mapInArrow(_first_in_batches(key, orders, k), df.schema)
+    by = [F.col(name).desc() if down else F.col(name).asc() for name, down in orders]
+    return near.withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(*by))).where(F.col(rank) <= k)

@@ -81,7 +81,9 @@ def keyword_attribution(spark, sf):
 
 @query("attribution_topk", _kw_sql("text", QUERY_WEIGHTS, L.ATTRIBUTION_WORDS_FOR_COMPONENTS))
 def attribution_topk(spark, sf):
-    w = spark.createDataFrame([(k, float(v)) for k, v in QUERY_WEIGHTS.items()], "word STRING, weight DOUBLE")
+    import pyarrow as pa
+    # as an Arrow table it becomes a local relation, whose size the planner knows
+    w = spark.createDataFrame(pa.table({"word": list(QUERY_WEIGHTS), "weight": [float(v) for v in QUERY_WEIGHTS.values()]}))
     return AT.keyword_attribution_rows(_docs(spark, sf), w, k=L.ATTRIBUTION_WORDS_FOR_COMPONENTS)
 
 
