@@ -128,6 +128,27 @@ def filter_attributions(words: DataFrame, key: str = "doc_id", k: int = L.ATTRIB
             .select(key, "rank", "word", F.round("score", DIGITS).alias("score")))
 
 
+def _least_words(lexicon, k: int):
+    """Batch function of :func:`occlusion_attribution`: of a row's words with one count, inside or
+    outside of ``lexicon``, the first ``k`` of the sorted counts."""
+    def least(counts):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        sizes = pc.fill_null(pc.list_value_length(counts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat, row = counts.flatten(), np.repeat(np.arange(len(counts)), sizes)
+        known = pc.is_in(flat.field("word"), value_set=pa.array(lexicon, pa.string())).to_numpy(zero_copy_only=False)
+        c = flat.field("c").to_numpy(zero_copy_only=False)
+        order = np.lexsort((known, c, row))  # stable: words stay in order
+        own = [x[order] for x in (row, c, known)]
+        new = np.r_[True, np.logical_or.reduce([x[1:] != x[:-1] for x in own])][:len(row)]
+        place = np.arange(len(row)) - np.maximum.accumulate(np.where(new, np.arange(len(row)), 0))
+        kept = np.sort(order[place < k])
+        ends = np.searchsorted(row[kept], np.arange(len(counts) + 1)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), flat.take(pa.array(kept)), mask=counts.is_null())
+    return least
+
+
 def occlusion_attribution(df: DataFrame, model, key: str = "doc_id", text: str = "text",
                           k: int = L.ATTRIBUTION_TOP_K) -> DataFrame:
     """Occlusion for a count-based rule scorer: remove every occurrence of one distinct word,
@@ -136,11 +157,19 @@ def occlusion_attribution(df: DataFrame, model, key: str = "doc_id", text: str =
 
     The scorer depends on (hits, n_tokens) only, so removing word w gives
     (hits - c_w * [w in lexicon], n - c_w) exactly, from the word counts of the row: no
-    rescoring pass per variant text, and no shuffle but the top-k's, limited per partition."""
+    rescoring pass per variant text, and no shuffle but the top-k's, limited per partition. Words of
+    a document that have the same count and are alike in or out of the lexicon have the same delta,
+    so of each such class only the first ``k`` words can be in the top-k: the others are not scored."""
     toks = TX.word_tokens(text)
+    least = _least_words(list(model.words), k)
+
+    def near(counts):
+        return least(counts)
+
     per_doc = df.select(key, toks.alias("_t"))
     per_doc = TX.with_counts(per_doc.select(key, "_t", F.size("_t").alias("n"), model.hits(F.col("_t")).alias("hits")), F.col("_t"))
-    counts = per_doc.select(key, "n", "hits", TX.explode_rows(F.col("counts")).alias("t")).where(F.col("t").isNotNull()).select(
+    few = F.arrow_udf(near, "array<struct<word: string, c: bigint>>")(F.col("counts"))
+    counts = per_doc.select(key, "n", "hits", TX.explode_rows(few).alias("t")).where(F.col("t").isNotNull()).select(
         key, "n", "hits", F.col("t.word").alias("word"), F.col("t.c").alias("c"))
 
     def prob(h, n):
