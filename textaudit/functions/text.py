@@ -164,6 +164,41 @@ def explode_rows(arr: Column, pos: bool = False):
     return F.posexplode_outer(arr) if pos else F.explode_outer(arr)
 
 
+#: Items of lists that a step of a batch function holds at once; a longer list is a step of its own.
+SLICE_ITEMS = 1 << 16
+
+
+def item_slices(batches, column: int, most: int = SLICE_ITEMS):
+    """Zero-copy row slices of Arrow batches whose lists in ``column`` have about ``most`` items
+    together; a batch is let go before the next is read."""
+    import numpy as np
+    import pyarrow.compute as pc
+    for batch in batches:
+        sizes = pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        step = np.cumsum(sizes) // most
+        cuts = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a:
+                yield batch.slice(a, b - a)
+        del batch
+
+
+def sliced_rows(df: DataFrame, keep, lists, made, out: str, kind: str) -> DataFrame:
+    """``(keep..., out)``: ``made(*lists)`` of a row's list columns, as Arrow arrays of a bounded number
+    of items at a time, sent on as such. The memory of a worker then depends on the batch that it is
+    sent, not on what is made of it; the result of a column function is a whole batch."""
+    own, n = df.select(*keep, *[c.alias(f"_list{i}") for i, c in enumerate(lists)]), len(keep)
+
+    def run(batches):
+        import pyarrow as pa
+        for part in item_slices(batches, n):
+            yield pa.RecordBatch.from_arrays([*part.columns[:n], made(*part.columns[n:])], names=[*keep, out])
+            del part
+
+    told = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:n]] + [f"`{out}` {kind}"])
+    return own.mapInArrow(run, told)
+
+
 def _counted(pairs: bool):
     """Batch function of :func:`with_counts`: words become numbers by a batch's dictionary, and the
     runs of the sorted ``(row, number)`` pairs are the counts."""

@@ -272,18 +272,17 @@ def _merged(pieces, scores):
 
 
 def merge_subwords_arrays(df: DataFrame, pieces: str = "pieces", scores: str = "scores",
-                          out: str = "words") -> DataFrame:
+                          out: str = "words", keep=None) -> DataFrame:
     """Array form of :func:`merge_subwords` for per-document piece arrays: adds ``out`` as
-    ``array<struct<word_pos, word, score>>`` computed inside the row (no shuffle).
+    ``array<struct<word_pos, word, score>>`` computed inside the row (no shuffle). ``keep`` names the
+    columns that stay beside it, all by default; those left out are not sent back by the workers.
 
     Word starts are the positions of pieces without ``##`` (plus position 0 when the array
     starts with a continuation piece); each word is the range up to the next start. Ranges are
-    merged in Arrow batches, whose inputs are computed once a row: linear in the pieces."""
-    def merge(p, s):
-        return _merged(p, s)
-
-    made = F.arrow_udf(merge, "array<struct<word_pos: int, raw: string, mean: double>>")(F.col(pieces), F.col(scores).cast("array<double>"))
-    return df.withColumn(out, F.transform(made, lambda w: F.struct(
+    merged in Arrow, a bounded number of pieces at a time: linear in the pieces."""
+    stays = [c for c in df.columns if c != out] if keep is None else list(keep)
+    made = TX.sliced_rows(df, stays, [F.col(pieces), F.col(scores).cast("array<double>")], _merged, out, "array<struct<word_pos: int, raw: string, mean: double>>")
+    return made.withColumn(out, F.transform(out, lambda w: F.struct(
         w["word_pos"].alias("word_pos"), F.trim(F.replace(w["raw"], F.lit("##"), F.lit(""))).alias("word"),
         F.round(w["mean"], DIGITS).alias("score"))))
 

@@ -82,33 +82,37 @@ def byte_level_vocabulary(path: str, suffix: str = "</w>") -> tuple[list[str], l
 def segmented(docs: DataFrame, vocabulary: Callable[[], tuple[Iterable[str], Iterable[str]]], key: str = "doc_id", text: str = "text",
               out: str = "pieces") -> DataFrame:
     """``(key, out)``: the pieces of the lower-cased words of each text, in order (null: none).
-    ``vocabulary()`` is called once a task; what it reads must be on every executor."""
+    ``vocabulary()`` is called once a task; what it reads must be on every executor. A bounded number
+    of words is cut and sent on at a time, each distinct one once."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
         trie = Trie(*vocabulary())
-        for batch in batches:
-            made = [[p for w in words for p in trie.pieces(w)] for words in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.string()))], names=["k", "p"])
+        for batch in TX.item_slices(batches, 1):
+            words = batch.column(1).flatten().dictionary_encode()
+            each = pa.array([trie.pieces(w) for w in words.dictionary.to_pylist()], pa.list_(pa.string())).take(words.indices)
+            rows = np.r_[0, np.cumsum(pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False))]
+            ends = np.r_[0, np.cumsum(pc.list_value_length(each).to_numpy(zero_copy_only=False))][rows].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), each.flatten())], names=["k", "p"])
+            del batch
 
     own = docs.select(F.col(key).alias("k"), TX.word_tokens(text).alias("t"))
     return own.mapInArrow(run, f"k {kind}, p array<string>").select(F.col("k").alias(key), F.col("p").alias(out))
 
 
 def word_sizes(pieces: Column) -> Column:
-    """For each piece of an array, the characters of the word that it belongs to."""
-    def sizes(lists):
-        import numpy as np
-        import pyarrow as pa
-        import pyarrow.compute as pc
-        n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        flat, ends = lists.flatten(), np.cumsum(n)
-        goes_on = pc.fill_null(pc.starts_with(flat, "##"), False).to_numpy(zero_copy_only=False)
-        long = pc.fill_null(pc.utf8_length(flat), 0).to_numpy(zero_copy_only=False) - 2 * goes_on
-        begins = ~goes_on
-        begins[(ends - n)[n > 0]] = True
-        word = np.cumsum(begins) - 1
-        whole = np.bincount(word, long).astype(np.int32) if len(word) else np.zeros(0, np.int32)
-        return pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(whole[word]), mask=lists.is_null())
-    return F.arrow_udf(sizes, "array<int>")(pieces)
+    """For each piece of an array, the characters of the word that it belongs to. Inside the row and
+    linear in the pieces, without a worker of its own."""
+    goes_on = lambda i: F.startswith(F.coalesce(pieces[i], F.lit("")), F.lit("##"))
+    starts = F.filter(F.sequence(F.lit(0), F.size(pieces) - 1), lambda i: (i == 0) | ~goes_on(i))
+
+    def word(a, b):
+        marked = b - a - F.when((a == 0) & ~goes_on(a) | (a > 0), 1).otherwise(0)
+        return F.array_repeat(F.aggregate(F.sequence(a, b - 1), -2 * marked, lambda n, i: n + F.coalesce(F.length(pieces[i]), F.lit(0))), b - a)
+
+    # an array of one, so that its element is computed once
+    sizes = F.transform(F.array(starts), lambda s: F.flatten(F.zip_with(s, F.concat(F.slice(s, 2, F.size(s)), F.array(F.size(pieces))), word)))[0]
+    return F.when(F.size(pieces) > 0, sizes).when(pieces.isNotNull(), F.array().cast("array<int>"))

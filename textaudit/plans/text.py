@@ -320,7 +320,7 @@ def piece_merge(spark, sf):
     path = public_tokenizers.path("word_bpe_49k.json")
     cut = PC.segmented(_docs(spark, sf), lambda: PC.byte_level_vocabulary(path))
     scores = F.transform(PC.word_sizes(F.col("pieces")), lambda n: n / 100.0)
-    words = AT.merge_subwords_arrays(cut.select("doc_id", "pieces", scores.alias("scores")))
+    words = AT.merge_subwords_arrays(cut.select("doc_id", "pieces", scores.alias("scores")), keep=["doc_id"])
     return words.select("doc_id", TX.explode_rows(F.col("words")).alias("w")).where(F.col("w").isNotNull()).select(
         "doc_id", F.col("w.word_pos").cast("int").alias("word_pos"), "w.word", "w.score")
 
