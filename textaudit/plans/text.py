@@ -113,25 +113,32 @@ def _cut(lists):
     return pa.ListArray.from_arrays(pa.array(rows), told, mask=lists.is_null())
 
 
+_PIECES = "array<struct<piece: string, score: double>>"
+
+
 def _piece_structs():
     """Stand-in subword pieces of each document: every word token is cut into chunks of
     three characters; continuation chunks carry ``##``. Piece score:
     ((31 p + 17 j) mod 19 - 9) / 10 for the j-th chunk of the p-th word."""
     def cut(lists):
         return _cut(lists)
-    return F.arrow_udf(cut, "array<struct<piece: string, score: double>>")(TX.word_tokens("text"))
+    return F.arrow_udf(cut, _PIECES)(TX.word_tokens("text"))
+
+
+def _piece_rows(docs):
+    """``(doc_id, p)``: the pieces of :func:`_piece_structs`, a bounded number of words at a time."""
+    return TX.sliced_rows(docs, ["doc_id"], [TX.word_tokens("text")], _cut, "p", _PIECES)
 
 
 def pieces(docs):
     """The pieces as a ``(doc_id, pos, piece, score)`` table."""
-    return docs.select("doc_id", TX.explode_rows(_piece_structs(), pos=True).alias("pos", "s")).where(
+    return _piece_rows(docs).select("doc_id", TX.explode_rows(F.col("p"), pos=True).alias("pos", "s")).where(
         F.col("s").isNotNull()).select("doc_id", "pos", F.col("s.piece").alias("piece"), F.col("s.score").alias("score"))
 
 
 def piece_arrays(docs):
     """The pieces as per-document arrays ``(doc_id, pieces, scores)``."""
-    a = docs.select("doc_id", _piece_structs().alias("_p"))
-    return a.select("doc_id", F.col("_p.piece").alias("pieces"), F.col("_p.score").alias("scores"))
+    return _piece_rows(docs).select("doc_id", F.col("p.piece").alias("pieces"), F.col("p.score").alias("scores"))
 
 
 _SUBWORD_SQL = f"""
@@ -148,7 +155,7 @@ SELECT doc_id, rank, word, score FROM f WHERE rank <= {L.ATTRIBUTION_TOP_K}"""
 @query("subword_merge", _SUBWORD_SQL)
 def subword_merge(spark, sf):
     """Pieces arrive per document, so merging and the top-10 run inside each row."""
-    a = AT.merge_subwords_arrays(piece_arrays(_docs(spark, sf)))
+    a = AT.merge_subwords_arrays(piece_arrays(_docs(spark, sf)), keep=["doc_id"])
     top = AT.top_attributions_array(F.col("words"))
     return a.select("doc_id", TX.explode_rows(top, pos=True).alias("i", "w")).where(F.col("w").isNotNull()).select(
         "doc_id", (F.col("i") + 1).alias("rank"), F.col("w.word").alias("word"), F.col("w.score").alias("score"))
