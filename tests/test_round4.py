@@ -70,3 +70,14 @@ def test_word_sizes_need_no_worker(spark):
     sizes = spark.createDataFrame(rows, "k LONG, p ARRAY<STRING>").select("k", PC.word_sizes(F.col("p")).alias("n"))
     assert "Python" not in plan_of(sizes)
     assert {r["k"]: r["n"] for r in sizes.collect()} == {1: [2, 0, 3, 3, 3, 1], 2: [], 3: None, 4: [1, 1], 5: [0], 6: [3, 3]}
+
+
+def test_gathered_pieces_are_merged_a_bounded_part_at_a_time():
+    kind = pa.struct([("pos", pa.int32()), ("piece", pa.string()), ("score", pa.float64())])
+    own = pa.array([{"pos": i, "piece": "##b" if i % 2 else "a", "score": 0.5} for i in range(20_000)], kind)
+    rows = pa.ListArray.from_arrays(pa.array(np.arange(41, dtype=np.int32) * 20_000), pa.concat_arrays([own] * 40))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), rows], names=["doc_id", "rows"])
+    run = AT._merged_rows("doc_id")
+    assert held(run(iter([batch]))) < 25  # 7; a batch at once took 61
+    got = pa.Table.from_batches(run(iter([batch])))
+    assert got.num_rows == 400_000 and got["raw"].unique().to_pylist() == ["ab"] and got["word_pos"].to_pylist()[:10_000] == list(range(1, 10_001))

@@ -65,7 +65,7 @@ def _merged_rows(key: str):
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
-        for batch in batches:
+        for batch in TX.item_slices(batches, 1):
             told = batch.column("rows").flatten()
             row = np.repeat(np.arange(batch.num_rows), batch.column("rows").value_lengths().to_numpy(zero_copy_only=False))
             pos, piece, score = (told.field(k) for k in ("pos", "piece", "score"))
@@ -109,7 +109,8 @@ def merge_subwords(pieces: DataFrame, key: str = "doc_id") -> DataFrame:
     ``##`` piece starts a word of its own; empty words are dropped.
 
     A document's pieces are gathered by one grouping, on the side of the map first, so that an array
-    a document and task is shuffled; its words are then ranges of the array in order."""
+    a document and task is shuffled; its words are then ranges of the array in order, found a bounded
+    number of pieces at a time."""
     kind = pieces.schema[key].dataType.simpleString()
     row = F.struct("pos", F.col("piece").cast("string").alias("piece"), F.col("score").cast("double").alias("score"))
     whole = pieces.groupBy(key).agg(F.collect_list(row).alias("rows"))
