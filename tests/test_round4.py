@@ -81,3 +81,14 @@ def test_gathered_pieces_are_merged_a_bounded_part_at_a_time():
     assert held(run(iter([batch]))) < 25  # 7; a batch at once took 61
     got = pa.Table.from_batches(run(iter([batch])))
     assert got.num_rows == 400_000 and got["raw"].unique().to_pylist() == ["ab"] and got["word_pos"].to_pylist()[:10_000] == list(range(1, 10_001))
+
+
+def test_weights_count_a_bounded_part_at_a_time(spark):
+    docs = spark.createDataFrame([(1, "xx yy xx"), (2, "yy zz"), (2, "xx yy"), (None, "zz yy"), (3, None)], "doc_id LONG, text STRING")
+    counted = FE.counted_terms(docs)
+    assert "ArrowEvalPython" not in plan_of(counted)
+    got = sorted((r["doc_id"] or 0, [tuple(c) for c in r["counts"]]) for r in counted.collect())
+    assert got == [(0, [("yy", 1), ("zz", 1), ("zz yy", 1)]), (1, [("xx", 2), ("xx yy", 1), ("yy", 1), ("yy xx", 1)]),
+                   (2, [("xx", 1), ("xx yy", 1), ("yy", 1)]), (2, [("yy", 1), ("yy zz", 1), ("zz", 1)]), (3, [])]
+    weights = FE.tfidf_terms(docs)[1].collect()
+    assert sum(r["weight"] ** 2 for r in weights if r["doc_id"] == 1) == pytest.approx(1, abs=1e-5)

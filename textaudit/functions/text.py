@@ -229,8 +229,16 @@ def _counted(pairs: bool):
     return counts
 
 
+_COUNTS = "array<struct<word: string, c: bigint>>"
+
+
+def counted_rows(df: DataFrame, keep, tokens: Column, out: str = "counts", pairs: bool = False) -> DataFrame:
+    """``(keep..., out)``, ``out`` as by :func:`with_counts`, a bounded number of tokens at a time."""
+    return sliced_rows(df, keep, [tokens], _counted(pairs), out, _COUNTS)
+
+
 def with_counts(df: DataFrame, tokens: Column, out: str = "counts", pairs: bool = False) -> DataFrame:
     """Adds ``out``: ``array<struct<word, c>>``, the distinct tokens of the row, sorted, with
     their counts; ``pairs`` counts neighbours joined by a space too. Computed inside the row (in
     Arrow batches), so counting the words of documents shuffles nothing."""
-    return df.withColumn(out, F.arrow_udf(_counted(pairs), "array<struct<word: string, c: bigint>>")(tokens))
+    return df.withColumn(out, F.arrow_udf(_counted(pairs), _COUNTS)(tokens))

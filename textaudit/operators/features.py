@@ -40,14 +40,18 @@ def label_index(df: DataFrame, label: str):
                          handleInvalid="error").fit(df)
 
 
-def counted_terms(docs: DataFrame, key: str = "doc_id", text: str = "text", stop_words=()) -> DataFrame:
-    """``(key, counts array<struct<word, c>>)``: uni- and bigrams of lower-cased runs of 2+ word
-    characters, stop words removed before bigrams; counted inside the row."""
+def term_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", stop_words=()) -> DataFrame:
+    """``(key, tokens)``: lower-cased runs of 2+ word characters, stop words removed."""
     toks = TX.word_tokens(text, lower=True, min_len=2)
     if stop_words:
         toks = F.filter(toks, lambda t: ~t.isin(*sorted(set(stop_words))))
-    t = docs.select(key, toks.alias("_t"))
-    return TX.with_counts(t, F.col("_t"), pairs=True).select(key, "counts")
+    return docs.select(key, toks.alias("tokens"))
+
+
+def counted_terms(docs: DataFrame, key: str = "doc_id", text: str = "text", stop_words=()) -> DataFrame:
+    """``(key, counts array<struct<word, c>>)``: uni- and bigrams of :func:`term_tokens`; counted
+    inside the row."""
+    return TX.counted_rows(term_tokens(docs, key, text, stop_words), [key], F.col("tokens"), pairs=True)
 
 
 #: Distinct terms of batches that a task holds before it adds them up.
