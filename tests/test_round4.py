@@ -83,6 +83,17 @@ def test_gathered_pieces_are_merged_a_bounded_part_at_a_time():
     assert got.num_rows == 400_000 and got["raw"].unique().to_pylist() == ["ab"] and got["word_pos"].to_pylist()[:10_000] == list(range(1, 10_001))
 
 
+def test_terms_of_a_vocabulary_are_counted_where_they_are_added_up(spark):
+    r = random.Random(4)
+    texts = [" ".join(r.choice("aa bb cc dd ee the".split()) for _ in range(r.randint(0, 40))) for _ in range(30)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING").repartition(3)
+    by_tokens = FE.tfidf_vocabulary(FE.term_tokens(docs, stop_words=["the"]), docs.count(), max_terms=20)
+    by_counts = FE.tfidf_vocabulary(FE.counted_terms(docs, stop_words=["the"]), docs.count(), max_terms=20)
+    assert by_tokens.collect() == by_counts.collect() != []
+    vocabulary = FE.tfidf_terms(docs, stop_words=["the"])[0]
+    assert plan_of(vocabulary).count("MapInArrow") == 1 and "ArrowEvalPython" not in plan_of(vocabulary)
+
+
 def test_weights_count_a_bounded_part_at_a_time(spark):
     docs = spark.createDataFrame([(1, "xx yy xx"), (2, "yy zz"), (2, "xx yy"), (None, "zz yy"), (3, None)], "doc_id LONG, text STRING")
     counted = FE.counted_terms(docs)

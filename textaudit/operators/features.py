@@ -55,11 +55,12 @@ def counted_terms(docs: DataFrame, key: str = "doc_id", text: str = "text", stop
 
 
 #: Distinct terms of batches that a task holds before it adds them up.
-HELD_TERMS = 1 << 21
+HELD_TERMS = 1 << 19
 
 
 def _batch_terms(batches):
-    """Batch function of :func:`tfidf_vocabulary`: ``(term, df, tf)`` of many documents at a time."""
+    """Batch function of :func:`tfidf_vocabulary`: ``(term, df, tf)`` of many documents at a time, read a
+    bounded number of terms at a time."""
     import pyarrow as pa
 
     def summed(parts):
@@ -67,8 +68,8 @@ def _batch_terms(batches):
         return pa.table([whole["term"], whole["df_sum"], whole["tf_sum"]], names=["term", "df", "tf"])
 
     held, n = [], 0
-    for batch in batches:
-        flat = batch.column("counts").flatten()
+    for part in TX.item_slices(batches, 0):
+        flat = part.column("counts").flatten()
         each = pa.table([flat.field("word"), flat.field("c")], names=["term", "c"]).group_by("term", use_threads=False).aggregate([("c", "count"), ("c", "sum")])
         held.append(pa.table([each["term"], each["c_count"], each["c_sum"]], names=["term", "df", "tf"]))
         n += each.num_rows
@@ -84,11 +85,21 @@ def _batch_terms(batches):
         yield from summed(held).to_batches(max_chunksize=1 << 16)
 
 
+def _token_terms(batches):
+    """Batch function of :func:`tfidf_vocabulary`: :func:`_batch_terms` of documents given as tokens,
+    counted in the same worker."""
+    import pyarrow as pa
+    counts = TX._counted(True)
+    yield from _batch_terms(pa.RecordBatch.from_arrays([counts(x.column(0))], names=["counts"]) for x in TX.item_slices(batches, 0))
+
+
 def tfidf_vocabulary(counted: DataFrame, n_docs: int, min_df: int = 2, max_terms: int = 10000) -> DataFrame:
     """``(term, df, tf_total, idf)``: terms in >= ``min_df`` documents, the ``max_terms`` most
     frequent (ties by term); idf = ln((1 + n) / (1 + df)) + 1. Terms are added up over many documents
-    in each task first. One shuffle, by term."""
-    each = counted.select("counts").mapInArrow(_batch_terms, "term string, df bigint, tf bigint")
+    in each task first. One shuffle, by term. ``counted`` has the terms of each document as
+    ``counts`` or, so that they need not be sent, its ``tokens`` (:func:`term_tokens`)."""
+    told = [c for c in ("counts", "tokens") if c in counted.columns][0]
+    each = counted.select(told).mapInArrow(_batch_terms if told == "counts" else _token_terms, "term string, df bigint, tf bigint")
     stats = each.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf_total"))
     return (stats.where(F.col("df") >= min_df).orderBy(F.col("tf_total").desc(), F.col("term")).limit(max_terms)
             .withColumn("idf", F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0))
@@ -109,7 +120,7 @@ def tfidf_terms(docs: DataFrame, key: str = "doc_id", text: str = "text", stop_w
     """Uni- and bigram TF-IDF: (vocabulary ``(term, df, tf_total, idf)``, weights ``(key, term,
     weight)``), rounded for output."""
     counted = counted_terms(docs, key, text, stop_words)
-    vocab = tfidf_vocabulary(counted, docs.count(), min_df, max_terms)
+    vocab = tfidf_vocabulary(term_tokens(docs, key, text, stop_words), docs.count(), min_df, max_terms)
     weights = tfidf_apply(counted, vocab, key).withColumn("weight", F.round("weight", DIGITS))
     vocab_out = vocab.select("term", F.col("df").cast("long").alias("df"), F.col("tf_total").cast("long").alias("tf_total"),
                              F.round("idf", DIGITS).alias("idf"))

@@ -149,7 +149,7 @@ def text_features(train: DataFrame, vocab_size: int = 10000, min_df: int = 2, st
                                     StopWordsRemover)
     from pyspark.ml.linalg import Vectors
     from . import features as FE
-    vocab = FE.tfidf_vocabulary(FE.counted_terms(train, key, "text", stop_words), train.count(), min_df, vocab_size).collect()
+    vocab = FE.tfidf_vocabulary(FE.term_tokens(train, key, "text", stop_words), train.count(), min_df, vocab_size).collect()
     vocab = sorted(vocab, key=lambda r: (-r["tf_total"], r["term"]))
     filled = SQLTransformer(statement="SELECT *, coalesce(text, '') AS text_filled FROM __THIS__")
     words = RegexTokenizer(inputCol="text_filled", outputCol="words", gaps=False, pattern=TX.WORD2_RE, toLowercase=True)
