@@ -103,3 +103,49 @@ def test_weights_count_a_bounded_part_at_a_time(spark):
                    (2, [("xx", 1), ("xx yy", 1), ("yy", 1)]), (2, [("yy", 1), ("yy zz", 1), ("zz", 1)]), (3, [])]
     weights = FE.tfidf_terms(docs)[1].collect()
     assert sum(r["weight"] ** 2 for r in weights if r["doc_id"] == 1) == pytest.approx(1, abs=1e-5)
+
+
+RULE = RuleModel("r", ("the", "he"), -1.0, 6.0)
+ODD = "The İstanbul of ΑΣ.Β and the ŉ x_1 he, to the Éa"
+
+
+def test_values_of_sums_are_those_over_all_subsets_and_orders():
+    score = SC.RuleScorer(RULE)
+    for text in (ODD, "the the of x y", "the", "x y, x", "he the HE b c c c"):
+        p = SH.Players(text)
+        value, _ = SH.summed_values(p, score)
+        assert np.allclose(value, SH.exact_values(p, score, 512)[0], rtol=0, atol=1e-12)
+    p = SH.Players("the a he a b")
+    total = np.zeros(4)
+    for order in permutations(range(4)):
+        total[list(order)] += np.diff(SH.scored(p.growing(order), score, 32))
+    assert np.allclose(SH.summed_values(p, score)[0], total / 24, atol=1e-12)
+    long = SH.Players(" ".join(f"w{i % 150}" for i in range(400)) + " the he" * 20)
+    value, _ = SH.summed_values(long, score)
+    ends = score([long.variant([True] * 152), long.variant([False] * 152)])
+    assert value.sum() == pytest.approx(ends[0] - ends[1], abs=1e-10)
+    assert SH.summed_values(SH.Players("İthe a b"), score) is None  # one word with sums of both kinds: drawn
+
+
+def test_three_sums_and_large_tables(monkeypatch):
+    class Three(SH.SumScorer):
+        def features(self, texts):
+            return np.array([[t.count(c) for t in texts] for c in "abc"], float)
+
+        def value(self, sums):
+            return np.sin(sums[0] + 0.1) * (1 + sums[1]) ** 0.5 + 0.3 * sums[2] * sums[0]
+
+    p = SH.Players("a aa b b bbb c cc zz a c")
+    want = SH.exact_values(p, Three(), 64)[0]
+    assert np.allclose(SH.summed_values(p, Three())[0], want, atol=1e-12)
+    monkeypatch.setattr(SH, "LARGEST_TABLE", 10)
+    assert SH.summed_values(p, Three()) is None
+
+
+def test_the_rule_scorer_query_gives_the_whole_values(spark, tmp_path):
+    text = "the cat and the dog, of a house in that old town to which he was"
+    spark.createDataFrame([(7, 0, "user", text), (7, 1, "user", None), (8, 0, "user", "!")], "conv_id LONG, turn INT, role STRING, text STRING").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["word"]: (r["id"], r["score"]) for r in SC.shapley_rule_scorer(spark, str(tmp_path)).collect()}
+    p = SH.Players(text)
+    value = dict(zip(p.words, SH.exact_values(p, SC.RuleScorer(SC.U.MODELS[0]), 1 << 16)[0]))
+    assert len(got) == 10 and all(i == "7:0" and s == pytest.approx(value[w], abs=1.1e-6) for w, (i, s) in got.items())

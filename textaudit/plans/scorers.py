@@ -3,6 +3,7 @@ attributions of scorers that are plain functions of a text."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
@@ -73,20 +74,25 @@ def shapley_additive(spark, sf):
     return got.select(part[0].cast("bigint").alias("conv_id"), part[1].cast("bigint").alias("turn"), "rank", "word", "score")
 
 
+class RuleScorer(SH.SumScorer):
+    """A rule scorer as a function of texts: of how many lexicon words and other words they have."""
+
+    def __init__(self, rule: MD.RuleModel):
+        self.rule, self.words, self.known = rule, _words_of(), frozenset(rule.words)
+
+    def features(self, texts):
+        found = [self.words(t) for t in texts]
+        hits = np.array([sum(map(self.known.__contains__, ws)) for ws in found], np.float64)
+        return np.array([hits, [len(ws) for ws in found] - hits])
+
+    def value(self, sums):
+        return 1 / (1 + np.exp(-(self.rule.intercept + self.rule.slope * sums[0] / np.maximum(sums[0] + sums[1], 1))))
+
+
 @query("shapley_rule_scorer")
 def shapley_rule_scorer(spark, sf):
     """Shapley values for a rule scorer (a sigmoid of the share of lexicon words): not additive,
-    so orders are drawn until the standard errors are small."""
+    but of sums alone, so that the values over all orders are exact."""
     rule = U.MODELS[0]
-
-    def load():
-        import math
-        words, known = _words_of(), frozenset(rule.words)
-
-        def score(texts):
-            found = [words(t) for t in texts]
-            return [1 / (1 + math.exp(-(rule.intercept + rule.slope * sum(map(known.__contains__, ws)) / max(len(ws), 1)))) for ws in found]
-        return score
-
     turns = U.tables(spark, sf).conversations.select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
-    return SH.shapley_attribution(turns, load, "id", tolerance=0.01, most_pairs=4).drop("error", "evaluations")
+    return SH.shapley_attribution(turns, lambda: RuleScorer(rule), "id", tolerance=0.01, most_pairs=4).drop("error", "evaluations")
