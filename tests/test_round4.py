@@ -142,6 +142,23 @@ def test_three_sums_and_large_tables(monkeypatch):
     assert SH.summed_values(p, Three()) is None
 
 
+def test_orders_are_drawn_until_the_error_is_small(spark):
+    text = " ".join("abcdefghij")
+
+    def load():
+        return lambda texts: [float("a" in t and "b" in t) + 0.5 * ("c" in t) for t in texts]
+
+    df = spark.createDataFrame([(1, text)], "doc_id LONG, text STRING")
+    rows = SH.shapley_attribution(df, load, k=99, tolerance=0.02).collect()
+    assert len(rows) == 10 and all(r["error"] <= 0.02 for r in rows) and rows[0]["evaluations"] > 2 * 16 * 11
+    few = SH.shapley_attribution(df, load, k=99, tolerance=0.02, most_pairs=4).collect()
+    assert few[0]["evaluations"] == 2 * 4 * 11
+    with pytest.raises(ValueError):
+        SH.shapley_attribution(df, load, tolerance=0)
+    broken = SH.shapley_attribution(df, lambda: (lambda texts: [float("nan")] * len(texts)), tolerance=0.02).collect()
+    assert broken[0]["evaluations"] == 2 * 11
+
+
 def test_the_rule_scorer_query_gives_the_whole_values(spark, tmp_path):
     text = "the cat and the dog, of a house in that old town to which he was"
     spark.createDataFrame([(7, 0, "user", text), (7, 1, "user", None), (8, 0, "user", "!")], "conv_id LONG, turn INT, role STRING, text STRING").write.parquet(f"{tmp_path}/conversations.parquet")

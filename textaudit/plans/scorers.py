@@ -95,4 +95,4 @@ def shapley_rule_scorer(spark, sf):
     but of sums alone, so that the values over all orders are exact."""
     rule = U.MODELS[0]
     turns = U.tables(spark, sf).conversations.select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
-    return SH.shapley_attribution(turns, lambda: RuleScorer(rule), "id", tolerance=0.01, most_pairs=4).drop("error", "evaluations")
+    return SH.shapley_attribution(turns, lambda: RuleScorer(rule), "id").drop("error", "evaluations")
