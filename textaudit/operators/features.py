@@ -55,7 +55,7 @@ def counted_terms(docs: DataFrame, key: str = "doc_id", text: str = "text", stop
 
 
 #: Distinct terms of batches that a task holds before it adds them up.
-HELD_TERMS = 1 << 19
+HELD_TERMS = 1 << 17
 
 
 def _batch_terms(batches):
